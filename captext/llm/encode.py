@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers before it starts afresh.
-WORDS_HELD = 800_000
+WORDS_HELD = 1_200_000
 
 #: White space next to a space, or at either end: such a text is encoded in one piece.
-UNEVEN = re.compile(r"^\s|\s$|\s | \s")
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+UNEVEN = f"^{WHITE}|{WHITE}$|{WHITE} | {WHITE}"
+
+#: Marks that stand alone after a word's letters.
+MARKS = ".,;:!?|"
 
 _held: dict[str, Encoder] = {}
 
@@ -60,51 +65,79 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text; null and empty texts have none."""
         out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
-        even = [bool(t) and self.by_word and not UNEVEN.search(t) for t in texts]
-        rest = [i for i, t in enumerate(texts) if t and not even[i]]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+        texts = texts.cast(pa.large_string())
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        even = pc.and_(some, pc.fill_null(pc.invert(pc.match_substring_regex(texts, UNEVEN)), False)) if self.by_word else pa.array([False] * len(texts))
+        rest = pc.and_(some, pc.invert(even))
+        for i, ids in zip(np.flatnonzero(rest), self.whole(texts.filter(rest).to_pylist()), strict=True):
             out[i] = ids
+        at = np.flatnonzero(even)
+        if not len(at):
+            return out
         if len(self.index) > WORDS_HELD:
             self._reset()
+        words = pc.split_pattern(texts.filter(even), " ")
+        opens = words.offsets.to_numpy()
+        words = words.flatten()
+        distinct = words.dictionary_encode()
         known, look = len(self.index), self.index.__getitem__
-        places = []
-        for i, t in enumerate(texts):
-            if even[i]:
-                words = t.split(" ")
-                words[0] += " "  # without a space before it; no word holds a space
-                places.append((i, np.fromiter(map(look, words), np.int64, len(words))))
+        firsts = [w + " " for w in words.take(pa.array(opens[:-1])).to_pylist()]  # without a space before; no word holds one
+        first = np.fromiter(map(look, firsts), np.int64, len(firsts))
+        number = np.fromiter(map(look, distinct.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(distinct.dictionary))
         self._learn(list(islice(reversed(self.index), len(self.index) - known))[::-1])
-        if not places:
-            return out
-        index = np.concatenate([p for _, p in places])
+        index = number[distinct.indices.to_numpy()]
+        index[opens[:-1]] = first
         ids, ends = gather(self.flat, self.ends, index)
-        stops = ends[np.cumsum([len(p) for _, p in places])]
-        for (i, _), a, b in zip(places, np.append(0, stops[:-1]), stops, strict=True):
+        stops = ends[opens]
+        for i, a, b in zip(at.tolist(), stops[:-1].tolist(), stops[1:].tolist(), strict=True):
             out[i] = ids[a:b]
         return out
 
     def _learn(self, words: list[str]) -> None:
-        """Append the ids of new words; those after a space are encoded together."""
+        """Append the ids of new words; those after a space are encoded together.
+
+        Marks at a word's end form a piece of their own, so such a word is that
+        of its letters and that of the marks.
+        """
         if not words:
             return
-        first = np.fromiter((w[-1] == " " for w in words), bool, len(words))
-        lengths = np.zeros(len(words), np.int64)
-        heads = self.whole([w[:-1] for w, f in zip(words, first, strict=True) if f])
-        inner = [w for w, f in zip(words, first, strict=True) if not f]
-        tails = self.whole([" " + " ".join(inner[k : k + 512]) for k in range(0, len(inner), 512)])
-        tail = np.concatenate(tails) if tails else np.empty(0, self.dtype)
-        starts = np.flatnonzero(self.opens[tail])
-        lengths[first] = [len(h) for h in heads]
-        lengths[~first] = np.diff(np.append(starts, len(tail)))
-        new = np.empty(int(lengths.sum()), self.dtype)
-        own = np.repeat(first, lengths)
-        new[own] = np.concatenate(heads) if heads else 0
-        new[~own] = tail
+        first = [w[:-1] for w in words if w[-1] == " "]
+        inner = dict.fromkeys(w for w in words if w[-1] != " ")
+        parts: list[tuple[str, str]] = []
+        for w in inner:
+            stem = w.rstrip(MARKS)
+            parts.append((stem, w[len(stem) :]) if stem != w and stem[-1:].isalpha() else (w, ""))
+        stems = dict.fromkeys(a for a, _ in parts)
+        for place, a in enumerate(stems):
+            stems[a] = place
+        marks = {m: i for i, m in enumerate(dict.fromkeys(m for _, m in parts if m))}
+        known = list(stems)
+        tails = self.whole([" " + " ".join(known[k : k + 512]) for k in range(0, len(known), 512)])
+        heads = self.whole([*marks, *first])
+        flat = np.concatenate((*tails, *heads)) if tails or heads else np.empty(0, self.dtype)
+        n = sum(map(len, tails))
+        ends = np.concatenate((np.flatnonzero(self.opens[flat[:n]]), [n], n + np.cumsum([len(h) for h in heads], dtype=np.int64)))
+        # Two parts a word: its stem, and its marks or nothing; a first word is one part.
+        nothing = len(ends) - 1
+        ends = np.append(ends, ends[-1])
+        base = len(known)
+        index = np.full((len(words), 2), nothing, np.int64)
+        inner_at = iter(parts)
+        head_at = iter(range(base + len(marks), nothing))
+        for row, w in enumerate(words):
+            if w[-1] == " ":
+                index[row, 0] = next(head_at)
+            else:
+                a, m = next(inner_at)
+                index[row, 0] = stems[a]
+                if m:
+                    index[row, 1] = base + marks[m]
+        new, stops = gather(flat, ends, index.ravel())
         self.flat = np.concatenate((self.flat, new))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + stops[2::2]))
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,13 +150,11 @@ def gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.nd
 
 
 def batches(rows: Iterator, encode: Encoder, most: int = 1 << 23) -> Iterator[tuple]:
-    """Arrow batches cut so that one call encodes few texts or about `most` bytes: (batch, its ids)."""
+    """Arrow batches cut so that one call encodes one text or about `most` bytes at most: (batch, its ids)."""
     for batch in rows:
-        start = 0
-        texts = batch.column("text").to_pylist()
-        held = 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= most or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), encode(texts[start : i + 1])
-                start, held = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes) - sizes) // most
+        for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                own = batch.slice(part[0], len(part))
+                yield own, encode(own.column("text"))
