@@ -20,8 +20,22 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op3_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
+
+
+def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
 ALL = {
     "op1_repair_tokens": (op1_repair_tokens, None),
+    "op3_residual_packing": (op3_residual_packing, None),
+    "op4_pivotal_mix": (op4_pivotal_mix, None),
 }
 
 
