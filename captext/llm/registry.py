@@ -32,10 +32,24 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3)
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 ALL = {
     "op1_repair_tokens": (op1_repair_tokens, None),
     "op3_residual_packing": (op3_residual_packing, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
+    "op6_simhash_groups": (op6_simhash_groups, None),
+    "op7_near_vectors": (op7_near_vectors, None),
 }
 
 
