@@ -44,12 +44,26 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op2_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = {
     "op1_repair_tokens": (op1_repair_tokens, None),
+    "op2_fourier_quality": (op2_fourier_quality, None),
     "op3_residual_packing": (op3_residual_packing, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
     "op6_simhash_groups": (op6_simhash_groups, None),
     "op7_near_vectors": (op7_near_vectors, None),
+    "op9_decision_list": (op9_decision_list, None),
 }
 
 
