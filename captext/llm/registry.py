@@ -56,6 +56,12 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.language import detect_language
+
+    return detect_language(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ALL = {
     "op1_repair_tokens": (op1_repair_tokens, None),
     "op2_fourier_quality": (op2_fourier_quality, None),
@@ -64,6 +70,7 @@ ALL = {
     "op6_simhash_groups": (op6_simhash_groups, None),
     "op7_near_vectors": (op7_near_vectors, None),
     "op9_decision_list": (op9_decision_list, None),
+    "op10_unigram_language": (op10_unigram_language, None),
 }
 
 
