@@ -32,6 +32,12 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.substrings import repeats_removed
+
+    return repeats_removed(table(spark, sf_dir, "documents"), least=100)
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from captext.llm.simhash import simhash_groups
 
@@ -67,6 +73,7 @@ ALL = {
     "op2_fourier_quality": (op2_fourier_quality, None),
     "op3_residual_packing": (op3_residual_packing, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
+    "op5_suffix_repeats": (op5_suffix_repeats, None),
     "op6_simhash_groups": (op6_simhash_groups, None),
     "op7_near_vectors": (op7_near_vectors, None),
     "op9_decision_list": (op9_decision_list, None),
