@@ -56,6 +56,12 @@ def op2_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.sharding import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from captext.llm.rules import quality_rules
 
@@ -76,6 +82,7 @@ ALL = {
     "op5_suffix_repeats": (op5_suffix_repeats, None),
     "op6_simhash_groups": (op6_simhash_groups, None),
     "op7_near_vectors": (op7_near_vectors, None),
+    "op8_kd_shards": (op8_kd_shards, None),
     "op9_decision_list": (op9_decision_list, None),
     "op10_unigram_language": (op10_unigram_language, None),
 }
