@@ -217,6 +217,45 @@ def learn(docs: DataFrame, number: dict[str, int]) -> tuple[list[str], np.ndarra
     return langs, prob
 
 
+class Detector:
+    """Languages and scores of Arrow batches of texts; a worker remembers its words' scores."""
+
+    def __init__(self, langs: list[str], prob: np.ndarray, number: dict[str, int]) -> None:
+        self.langs, self.forward = langs, Forward(prob, number)
+        self.state = hashlib.blake2b(prob.tobytes() + repr(langs).encode()).digest()
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        n, wide = len(texts), len(self.langs)
+        words, stops = words_of(texts)
+        filled = np.diff(stops) > 0
+        if not wide:
+            return [UNDETERMINED] * n, np.zeros(n)
+        index, table = _held.get(self.state) or (None, None)
+        if index is None or len(index) > WORDS_HELD:
+            index, table = defaultdict(count().__next__), np.zeros((0, wide))
+        known = len(index)
+        at = np.fromiter(map(index.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(words.dictionary))
+        new = list(islice(reversed(index), len(index) - known))[::-1]
+        table = np.concatenate((table, *(self.forward.scores(new[k : k + 20_000]) for k in range(0, len(new), 20_000))))
+        _held.clear()
+        _held[self.state] = (index, table)
+        total = np.zeros((n, wide))
+        if filled.any():
+            total[filled] = np.add.reduceat(table[at[words.indices.to_numpy()]], stops[:-1][filled])
+        score = np.where(filled, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+        return [self.langs[b] if f else UNDETERMINED for b, f in zip(total.argmax(1), filled, strict=True)], score
+
+
+def _cut_batches(rows: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` text bytes, one row at least."""
+    for batch in rows:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes) - sizes) // most
+        for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                yield batch.slice(part[0], len(part))
+
+
 def detect_language(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
@@ -228,44 +267,27 @@ def detect_language(docs: DataFrame, vocabulary: str) -> DataFrame:
     text is null or has no letter, or no language was learned.
     """
     number = pieces(vocabulary)
-    langs, prob = learn(docs.where(fold() > 0), number)
-    state = hashlib.blake2b(prob.tobytes() + repr((vocabulary, langs)).encode()).digest()
+    detector = (*learn(docs.where(fold() > 0), number), number)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward = Forward(prob, number)
-        index, table = _held.get(state) or (defaultdict(count().__next__), np.zeros((0, len(langs))))
-        for batch in rows:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) >> 23)) + 1):
-                if not len(part):
-                    continue
-                if len(index) > WORDS_HELD:
-                    index, table = defaultdict(count().__next__), np.zeros((0, len(langs)))
-                own = batch.slice(part[0], len(part))
-                words, stops = words_of(own.column("text"))
-                known = len(index)
-                at = np.fromiter(map(index.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(words.dictionary))
-                new = list(islice(reversed(index), len(index) - known))[::-1]
-                table = np.concatenate((table, *(forward.scores(new[k : k + 20_000]) for k in range(0, len(new), 20_000))))
-                values = table[at[words.indices.to_numpy()]]
-                total = np.zeros((len(part), len(langs)))
-                filled = np.diff(stops) > 0
-                if filled.any() and langs:
-                    total[filled] = np.add.reduceat(values, stops[:-1][filled])
-                best = total.argmax(1) if langs else np.zeros(len(part), int)
-                share = np.exp(total - total.max(1, keepdims=True)) if langs else np.ones((len(part), 1))
-                score = np.where(filled & bool(langs), 1 / share.sum(1), 0.0)
-                name = [langs[b] if f and langs else UNDETERMINED for b, f in zip(best, filled, strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(name), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
-        _held.clear()
-        _held[state] = (index, table)
+        detect = Detector(*detector)
+        for own in _cut_batches(rows):
+            name, score = detect(own.column("text"))
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(name, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """The rows of docs that have a language, found with a score of `least` or more."""
-    found = detect_language(docs, vocabulary).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    kept = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs, all columns, whose language is found with a score of `least` or more. See detect_language()."""
+    number = pieces(vocabulary)
+    detector = (*learn(docs.where(fold() > 0), number), number)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detect = Detector(*detector)
+        for own in _cut_batches(rows):
+            name, score = detect(own.column("text"))
+            yield own.filter(pa.array((score >= least) & (np.array(name) != UNDETERMINED)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -74,6 +74,12 @@ def op10_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ALL = {
     "op1_repair_tokens": (op1_repair_tokens, None),
     "op2_fourier_quality": (op2_fourier_quality, None),
@@ -85,6 +91,7 @@ ALL = {
     "op8_kd_shards": (op8_kd_shards, None),
     "op9_decision_list": (op9_decision_list, None),
     "op10_unigram_language": (op10_unigram_language, None),
+    "pipeline": (pipeline, None),
 }
 
 

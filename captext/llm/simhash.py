@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captext.operators.components import connected_components
-from captext.session import cut
+from captext.session import cut, scratch
 
 SEED = 42
 #: A fingerprint has 16 segments of 4 bits; a cell holds their bit counts, a hexadecimal digit each.
 SEGMENTS = 16
+#: Slots of a sketch, and bands of coarse slots whose agreement makes two texts candidates.
+SLOTS = 512
+BANDS = 32
+ROWS = 4
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, lower: bool = True) -> int:
@@ -105,7 +109,100 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their near-duplicate group; rows without a doc_id stay."""
-    kept = simhash_groups(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi"))
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted XXH64 values of a text's shingles, as fingerprint() takes them; none without a word."""
+    from xxhash import xxh64_digest
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    stops = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], stops[:-shingle]))
+    ends = (stops[shingle - 1 :] if len(words) >= shingle else stops[-1:]) - 1
+    parts = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=False)]
+    return np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(SEED))), ">u8").astype(np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The least hash of each of SLOTS ranges, 16 bits of it (0: none), and keys of BANDS groups of coarser slots.
+
+    A coarse slot without a hash takes the next one that has.
+    """
+    bits = np.uint64(64 - SLOTS.bit_length() + 1)
+    h = np.sort(hashes)
+    at = np.searchsorted(h, np.arange(SLOTS, dtype=np.uint64) << bits)
+    least = h[np.minimum(at, len(h) - 1)]
+    filled = (at < len(h)) & (least >> bits == np.arange(SLOTS, dtype=np.uint64))
+    mixed = (least * np.uint64(0x9E3779B97F4A7C15)) ^ (least >> np.uint64(31))
+    fine = np.where(filled, (mixed >> np.uint64(48)) | np.uint64(1), 0).astype("<u2")
+    coarse = np.where(filled, mixed, ~np.uint64(0)).reshape(BANDS * ROWS, -1).min(1)
+    some = np.flatnonzero(coarse != ~np.uint64(0))
+    step = np.searchsorted(some, np.arange(len(coarse)))
+    value = coarse[some[step % len(some)]]
+    value = value + (step // len(some) + (some[step % len(some)] != np.arange(len(coarse)))).astype(np.uint64)
+    weights = np.uint64(0xD6E8FEB86659FD93) * np.arange(1, 2 * ROWS, 2, dtype=np.uint64)
+    keys = (value.reshape(BANDS, ROWS) * weights).sum(1) + np.arange(BANDS, dtype=np.uint64)
+    return fine.tobytes(), keys ^ (keys >> np.uint64(29))
+
+
+def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The Jaccard similarity of the shingles of pairs of sketches: shared slots over filled ones."""
+    x, y = (np.frombuffer(b"".join(v), "<u2").reshape(-1, SLOTS) for v in (a, b))
+    return ((x == y) & (x > 0)).sum(1) / np.maximum(1, ((x > 0) | (y > 0)).sum(1))
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Per document: doc_id and component_id, over links between texts whose shingles' Jaccard similarity is `least` or more.
+
+    Candidates are fingerprints within two bits (close_pairs) and, for similar
+    texts whose fingerprints differ more, each document with the first one that
+    has a key of BANDS in common; all are checked by sketches of SLOTS slots, which
+    are all but exact for texts of fewer shingles. Equal sketches are one point.
+    Texts without a word are equal. A row with a null doc_id is alone.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            fps, fine, keys = [], [], []
+            for t in batch.column("text").cast(pa.large_binary()).to_pylist():
+                h = _hashes(t, shingle)
+                if not len(h):
+                    h = np.zeros(1, np.uint64)
+                ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                fps.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
+                own, bands = sketch(h)
+                fine.append(own)
+                keys.append(bands.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "keys"])
+
+    def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            good = similarity(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, sketch binary, keys array<long>")
+    path = scratch(docs.sparkSession, "sketches")
+    found.write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    same = F.xxhash64("fp", "sketch")
+    points = cut(found.groupBy(same.alias("h")).agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys"))
+    keyed = firsts.select("id", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(heads, "key").where("a < id").select("a", F.col("id").alias("b"))
+    one = points.groupBy("fp").agg(F.min("id").alias("id"))
+    near = close_pairs(one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    level = points.join(one.select("fp", F.col("id").alias("a")), "fp").where("a < id").select("a", F.col("id").alias("b"))
+    pairs = cut(pairs.union(near).union(level).distinct())
+    left, right = firsts.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), firsts.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    joined = connected_components(links, "a", "b")
+    groups = points.join(joined, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("component_id"))
+    return found.select("doc_id", same.alias("h")).join(groups, "h").select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their group of near copies; rows without a doc_id stay. See near_copy_groups()."""
+    gone = near_copy_groups(docs, shingle, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
