@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+PARTS = ("text_queries", "join_queries", "score_queries", "window_queries", "stream_queries")
+
 
 def _all() -> dict:
-    return {}
+    found: dict = {}
+    for part in PARTS:
+        found |= import_module(f"captext.plans.{part}").QUERIES
+    return found
 
 
 def queries() -> dict:
