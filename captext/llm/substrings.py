@@ -300,10 +300,11 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
         key, a, b = _join_ranges(ords[row], place, place + shape.least)
         yield _marks(key, 0, a, b)
 
-    packed = frame.select("_ord", "text").mapInArrow(find, "part int, kind byte, rows binary").repartitionById(parts, F.col("part"))
+    # Every branch takes the same columns, so that one exchange of the texts serves them all.
+    packed = frame.mapInArrow(find, "part int, kind byte, rows binary").repartitionById(parts, F.col("part"))
     settled = packed.mapInArrow(settle, MARK).repartition(parts, "ord")
     marks = settled.groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("marks"))
-    asked = frame.select("_ord", "text").join(marks.hint("shuffle_hash"), F.col("_ord") == F.col("ord")).select("_ord", "text", "marks")
+    asked = frame.join(marks.hint("shuffle_hash"), F.col("_ord") == F.col("ord"))
     contexts = asked.mapInArrow(fetch, "lead binary, context binary, ord long, pos long").repartitionByRange(parts, "lead")
     strings = contexts.mapInArrow(compare, MARK).repartition(parts, "ord").groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("more"))
     both = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_o1"), F.col("_ord") == F.col("_o1"), "left")
