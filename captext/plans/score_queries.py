@@ -1 +1,356 @@
-QUERIES: dict = {}
+"""Queries over scores, classes, aggregates and sources, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from captext.functions import text as T
+from captext.operators import lexicon, scoring
+from captext.operators.lines import explode_lines
+from captext.plans import views as V
+from captext.plans.join_queries import OVERLAP, frame, values
+from captext.plans.text_queries import LINES, SENTENCES, WORDS, has, n, q, sub
+
+KEYWORDS = (("happy", 0, "ing"), ("happy", 0, "joy"), ("sad", 1, "ment"), ("sad", 1, "tear"), ("angry", 2, "hate"), ("surprised", 3, "wow"), ("thinking", 4, "tion"), ("scared", 5, "ung"))
+CURSES = ["idiot", "moron"]
+CLASSES = [("fear", ["ung", "schr"]), ("joy", ["ing", "eau"]), ("grief", ["ment", "ado"])]
+SITUATIONS = [("battle", "idiot|moron|clown"), ("travel", "tion|ción"), ("trade", "[0-9]+"), ("magic", "eau|schw"), ("talk", "the|und|que")]
+EMOTIONS = (("shout", 20, 10), ("fear", 15, 8), ("joy", 10, 5), ("grief", -15, -6), ("surprise", 5, 12), ("normal", 0, 0))
+SHORT = (("the", "the whole"), ("of", "out of"), ("und", "und auch"), ("que", "lo que"))
+UTTERANCE = ("conv_id", "turn", "text", "turn % 2 = 0 AS has_voice", "CASE WHEN turn % 2 = 0 THEN substr(text, 1, 40) ELSE '' END AS voice_text", "cast(turn % 4 AS int) AS stability", "cast(turn % 5 AS double) / 4 AS screen_pos", "cast(turn % 7 AS double) AS age", "turn % 11 = 0 AS is_echo")
+
+
+def docs(s, d) -> DataFrame:
+    return V.table(s, d, "documents")
+
+
+def t27(s, d):
+    return scoring.decide_utterances(V.table(s, d, "conversations").selectExpr(*UTTERANCE)).select("conv_id", "turn", "action", F.round("score", 6).alias("score"))
+
+
+def _t27() -> str:
+    t, w = "trim(text)", "regexp_extract_all(trim(text), '[\\p{L}\\p{N}_]+')"
+    han = n(t, r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]")
+    yes = lambda c: f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END"
+    clamp = lambda c: f"greatest(0.0, least(1.0, {c}))"
+    count = f"(len({w}) + {han} // 2)"
+    plain = f"{count} >= 2 AND {n(t, r'\p{L}')} >= 3 AND len(list_filter({w}, lambda x: length(x) <= 2)) <= len({w}) * 0.5 AND len(list_filter({w}, lambda x: {has('x', r'\p{Nd}')})) = 0 AND {n(t, r'\p{Nd}')} <= greatest(1, {n(t, r'\p{L}')} // 4)"
+    f = {
+        "words": yes(f"{count} >= 1"), "length": clamp(f"{count} / 6.0"), "dialog_marks": yes(has(t, "[.?!…]")), "sentence_start": yes(f"{has(t, r'^\p{Lu}')} OR {han} > 0"), "screen_pos": clamp("screen_pos"),
+        "stability": clamp("stability / 3.0"), "freshness": clamp("1.0 - age / 5.0"), "not_gibberish": yes(f"{han} >= 2 OR ({plain})"), "has_voice": yes("has_voice"), "voice_text": yes(f"{n('voice_text', r'[\p{L}\p{N}_]+')} >= 2"),
+        "overlap_voice": f"({OVERLAP('voice_text', 'text')})", "not_echo": yes("NOT is_echo"),
+    }
+    total = " + ".join(f"CAST({f[k]} AS DOUBLE) * CAST({w} AS DOUBLE)" for k, w in scoring.WEIGHTS.items())
+    return f"""WITH u AS (SELECT {', '.join(UTTERANCE)} FROM conversations), s AS (SELECT conv_id, turn, is_echo OR trim(text) = '' AS hard, ({total}) / {sum(scoring.WEIGHTS.values())} AS score FROM u)
+      SELECT conv_id, turn, CASE WHEN hard THEN 'skip' WHEN score >= 0.55 THEN 'speak' WHEN score >= 0.30 THEN 'refine' ELSE 'skip' END AS action, round(CASE WHEN hard THEN 0.0 ELSE score END, 6) AS score FROM s"""
+
+
+def a2(s, d):
+    return scoring.keyword_emotion(docs(s, d), frame(s, KEYWORDS, "emotion string, ord int, stem string"), CURSES)
+
+
+A2 = f"""WITH k AS (SELECT * FROM {values(KEYWORDS, 'emotion, ord, stem')}), s AS (SELECT doc_id, emotion, min(ord) AS ord, any_value(text) AS text, count(*) FILTER (WHERE contains(lower(text), stem))
+    + CASE WHEN emotion = 'angry' AND any_value({has('lower(text)', '|'.join(CURSES))}) THEN 2.0 ELSE 0.0 END + CASE WHEN contains(any_value(text), '?') THEN CASE emotion WHEN 'thinking' THEN 1.0 WHEN 'surprised' THEN 0.5 ELSE 0.0 END ELSE 0.0 END AS score FROM documents, k GROUP BY doc_id, emotion),
+  t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1) SELECT doc_id, CASE WHEN score + CASE WHEN contains(text, '!') AND score > 0 THEN 1 ELSE 0 END >= 1 THEN emotion ELSE 'neutral' END AS emotion FROM t"""
+
+
+def a3(s, d):
+    return explode_lines(docs(s, d)).select("doc_id", "line_no", scoring.priority_emotion(F.col("line"), CLASSES).alias("emotion"))
+
+
+EMOTION = f"CASE WHEN {has('line', r'\p{Lu}{2,}')} THEN 'shout' " + " ".join(f"WHEN {has('lower(line)', '|'.join(stems))} THEN {q(name)}" for name, stems in CLASSES) + " WHEN contains(line, '?') THEN 'surprise' ELSE 'normal' END"
+
+
+def a4(s, d):
+    return docs(s, d).select("lang", F.explode(scoring.situations(F.col("text"), SITUATIONS)).alias("situation")).groupBy("lang", "situation").agg(F.count("*").alias("n"))
+
+
+_FOUND = "list_filter([" + ", ".join(f"CASE WHEN {has('lower(text)', p)} THEN {q(name)} END" for name, p in SITUATIONS) + "], lambda x: x IS NOT NULL)"
+A4 = f"WITH x AS (SELECT lang, unnest(CASE WHEN len({_FOUND}) > 0 THEN {_FOUND} ELSE ['narrator'] END) AS situation FROM documents) SELECT lang, situation, count(*) AS n FROM x GROUP BY lang, situation"
+
+
+def corrections(s, d):
+    return V.table(s, d, "events").selectExpr("event_id AS seq", "concat('v', user_id % 5) AS new_voice", "concat('v', (user_id + event_id) % 5) AS old_voice", "event_type AS situation")
+
+
+CORRECTIONS = "corrections AS (SELECT event_id AS seq, concat('v', user_id % 5) AS new_voice, concat('v', (user_id + event_id) % 5) AS old_voice, event_type AS situation FROM events)"
+
+
+def a5(s, d):
+    return scoring.preference_scores(corrections(s, d))
+
+
+A5X = f"""{CORRECTIONS}, x AS (SELECT seq, situation, new_voice AS voice, 1 AS delta FROM corrections UNION ALL SELECT seq, situation, old_voice, -1 FROM corrections),
+  f AS (SELECT *, min(CASE WHEN delta = 1 THEN seq END) OVER (PARTITION BY situation, voice) AS first FROM x), p AS (SELECT voice, situation, CAST(sum(delta) AS BIGINT) AS score FROM f WHERE delta = 1 OR first < seq GROUP BY voice, situation)"""
+A5 = f"WITH {A5X} SELECT voice, situation, score FROM p"
+A5B = f"WITH {A5X} SELECT situation, voice, score FROM p WHERE score > -1 QUALIFY row_number() OVER (PARTITION BY situation ORDER BY score DESC, voice) = 1"
+
+
+def a1(s, d):
+    rows = V.table(s, d, "pages").select(F.length("html").alias("chars"), F.size(F.split("html", "\n")).alias("lines"), (F.length("html") > 0).alias("success"))
+    return rows.agg(F.count("*").alias("total"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), F.sum("chars").alias("chars"), F.sum("lines").alias("lines"))
+
+
+A1 = "SELECT count(*) AS total, count(*) FILTER (WHERE length(html) > 0) AS ok, count(*) FILTER (WHERE NOT length(html) > 0) AS failed, CAST(sum(length(html)) AS BIGINT) AS chars, CAST(sum(len(string_split(html, chr(10)))) AS BIGINT) AS lines FROM pages"
+
+
+def s2(s, d):
+    return V.table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("chars"), F.size(F.split("html", "\n")).cast("long").alias("lines"))
+
+
+def a9(s, d):
+    rows = V.captures(s, d).withColumn("pass", F.col("seq") % 3)
+    passes = rows.groupBy("stream_id", "pass").agg(F.avg("conf").alias("conf"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return passes.groupBy("stream_id").agg(F.max_by("pass", F.struct(F.round("conf", 9), -F.col("pass"))).alias("pass"), F.length(F.max_by("text", F.struct(F.round("conf", 9), -F.col("pass")))).cast("long").alias("chars"))
+
+
+A9 = f"""WITH {V.ctes('captures')}, p AS (SELECT stream_id, seq % 3 AS pass, avg(conf) AS conf, string_agg(text, ' ' ORDER BY seq) AS text FROM captures GROUP BY 1, 2)
+  SELECT stream_id, pass, length(text) AS chars FROM p QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY round(conf, 9) DESC, pass) = 1"""
+
+
+def a10(s, d):
+    last = V.captures(s, d).withColumn("region", F.col("seq") % 4).groupBy("stream_id", "region").agg(F.max_by("text", "t").alias("text"))
+    return last.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", "text"))), lambda x: F.concat(F.lit("["), x["region"].cast("string"), F.lit("] "), x["text"])), "\n").alias("text"))
+
+
+A10 = f"""WITH {V.ctes('captures')}, l AS (SELECT stream_id, seq % 4 AS region, arg_max(text, t) AS text FROM captures GROUP BY 1, 2) SELECT stream_id, string_agg(concat('[', region, '] ', text), chr(10) ORDER BY region) AS text FROM l GROUP BY stream_id"""
+
+
+def a11(s, d):
+    rows = V.providers(s, d).withColumn("ok", F.coalesce(F.col("result").startswith(">>"), F.lit(False)))
+    return rows.groupBy("provider").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_ms"))
+
+
+A11 = f"WITH {V.ctes('providers')} SELECT provider, count(*) AS n, count(*) FILTER (WHERE coalesce(starts_with(result, '>>'), false)) AS n_ok, round(avg(latency_ms), 6) AS mean_ms, round(CAST(quantile_cont(latency_ms, 0.95) AS DOUBLE), 6) AS p95_ms FROM providers GROUP BY provider"
+
+
+def vectors(s, d):
+    return V.table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("samples"))
+
+
+def a12(s, d):
+    e = scoring.frame_energy()
+    return vectors(s, d).select("vec_id", F.round(e["db"], 6).alias("db"), F.round(e["peak"], 6).alias("peak"), (e["peak"] < 0.005).alias("silent"), (e["rms"] >= 0.01).alias("voice"))
+
+
+_RMS = "sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / len(embedding))"
+_PEAK = "list_max(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))))"
+A12 = f"SELECT vec_id, round(greatest(-60.0, 20 * log10(greatest({_RMS}, 1e-6))), 6) AS db, round({_PEAK}, 6) AS peak, {_PEAK} < 0.005 AS silent, {_RMS} >= 0.01 AS voice FROM embeddings"
+
+
+def a13(s, d):
+    return scoring.spectrum(vectors(s, d)).select("vec_id", F.round("centroid", 4).alias("centroid"), F.round("bandwidth", 4).alias("bandwidth"), "rolloff")
+
+
+A13 = """WITH b AS (SELECT k, n, cos(2 * pi() * k * n / 64) * (0.5 - 0.5 * cos(2 * pi() * n / 63)) AS c, sin(2 * pi() * k * n / 64) * (0.5 - 0.5 * cos(2 * pi() * n / 63)) AS s FROM range(0, 33) x(k), range(0, 64) y(n)),
+  l AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings), f AS (SELECT vec_id, k * 16000.0 / 64 AS hz, sqrt(sum(CAST(v AS DOUBLE) * c) ^ 2 + sum(CAST(v AS DOUBLE) * s) ^ 2) AS m FROM l JOIN b USING (n) GROUP BY vec_id, k),
+  u AS (SELECT *, sum(m) OVER (PARTITION BY vec_id ORDER BY hz) AS upto, sum(m) OVER (PARTITION BY vec_id) AS a FROM f), g AS (SELECT vec_id, sum(hz * m) / sum(m) AS c, sum(hz * hz * m) / sum(m) AS second, min(hz) FILTER (WHERE upto >= 0.85 * a) AS rolloff FROM u GROUP BY vec_id)
+  SELECT vec_id, round(c, 4) AS centroid, round(sqrt(greatest(second - c * c, 0.0)), 4) AS bandwidth, CAST(rolloff AS DOUBLE) AS rolloff FROM g"""
+
+
+def a14(s, d):
+    return scoring.pitch_lags(vectors(s, d)).select("vec_id", "lag", F.round("r", 6).alias("r"))
+
+
+A14 = """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), e AS (SELECT *, list_sum(list_transform(x, lambda v: v * v)) AS e FROM x), l AS (SELECT vec_id, x, e, unnest(range(8, 33)) AS lag FROM e WHERE e > 0),
+  r AS (SELECT vec_id, lag, round(list_sum(list_transform(range(1, 65 - lag), lambda i: x[i] * x[i + lag])) / e, 9) AS r FROM l) SELECT vec_id, CAST(lag AS INTEGER) AS lag, round(r, 6) AS r FROM r WHERE r >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, lag) = 1"""
+VOICE = ("event_id", "60 + value * 0.7 AS pitch_hz", "cast(800 + (event_id * 37) % 1600 AS double) AS centroid", "cast(300 + (event_id * 53) % 600 AS double) AS bandwidth", "cast(-60 + (event_id * 29) % 60 AS double) AS energy_db", "cast((event_id * 17) % 40 AS double) / 100 AS flatness", "cast((event_id * 13) % 100 AS double) / 100 AS conf")
+
+
+def a15(s, d):
+    return scoring.voice_class(V.table(s, d, "events").selectExpr(*VOICE)).select("event_id", "gender", "age", "style")
+
+
+A15 = f"""WITH v AS (SELECT {', '.join(VOICE)} FROM events) SELECT event_id, CASE WHEN conf < 0.3 OR pitch_hz < 30 THEN 'unknown' WHEN pitch_hz < 140 OR (pitch_hz < 180 AND centroid < 1800) THEN 'male' WHEN pitch_hz < 280 THEN 'female' ELSE 'child' END AS gender,
+  CASE WHEN conf < 0.3 OR pitch_hz < 30 THEN 'unknown' WHEN pitch_hz > 280 THEN 'child' WHEN centroid < 1200 AND bandwidth < 500 THEN 'elderly' WHEN centroid > 1800 AND bandwidth > 600 THEN 'young' WHEN pitch_hz > 160 AND pitch_hz < 280 AND centroid > 1800 THEN 'young' WHEN pitch_hz > 80 AND pitch_hz <= 160 AND centroid > 1600 THEN 'young' ELSE 'adult' END AS age,
+  CASE WHEN conf < 0.3 THEN 'normal' WHEN energy_db < -40 AND flatness > 0.2 THEN 'whisper' WHEN energy_db > -10 AND pitch_hz > 200 THEN 'shout' WHEN pitch_hz > 200 AND flatness > 0.12 THEN 'laugh' WHEN pitch_hz < 150 AND flatness < 0.03 THEN 'cry' ELSE 'normal' END AS style FROM v"""
+
+
+def a16(s, d):
+    return scoring.otsu(V.table(s, d, "events"), "event_type", "value", 0.0, 500.0)
+
+
+A16 = """WITH h AS (SELECT event_type, CAST(least(63, floor(value / 500 * 64)) AS INTEGER) AS b, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS wb, sum(n * b) OVER w AS sb, sum(n) OVER (PARTITION BY event_type) AS w, sum(n * b) OVER (PARTITION BY event_type) AS s FROM h WINDOW w AS (PARTITION BY event_type ORDER BY b))
+  SELECT event_type, b AS threshold FROM c WHERE w > wb QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(CAST(wb AS DOUBLE) * (w - wb) * (CAST(sb AS DOUBLE) / wb - CAST(s - sb AS DOUBLE) / (w - wb)) ^ 2, 3) DESC, b) = 1"""
+
+
+def a17(s, d):
+    rows = V.table(s, d, "events").select("event_id", "event_type", "value")
+    cuts = rows.groupBy("event_type").agg(F.percentile("value", 0.01).alias("lo"), F.percentile("value", 0.99).alias("hi"))
+    put = F.when(F.col("hi") - F.col("lo") < 10, F.col("value")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)))
+    return rows.join(cuts, "event_type").select("event_id", F.round(put, 4).alias("value"))
+
+
+A17 = "WITH c AS (SELECT event_type, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1) SELECT event_id, round(CASE WHEN hi - lo < 10 THEN value ELSE greatest(0.0, least(255.0, (value - lo) / (hi - lo) * 255)) END, 4) AS value FROM events JOIN c USING (event_type)"
+
+
+def a18(s, d):
+    x = F.col("luma")
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    rows = V.frames(s, d).withColumn("mean", mean).withColumn("std", F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))) / F.size(x)))
+    return rows.select("seq", F.when(F.col("std") < 12, "low_contrast").when(F.col("mean") > 130, "bright").when(F.col("mean") < 125, "dark").otherwise("clean").alias("kind"), F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+
+
+A18 = f"""WITH {V.ctes('frames')}, m AS (SELECT seq, luma, list_sum(luma) / len(luma) AS mean FROM frames), s AS (SELECT seq, mean, sqrt(list_sum(list_transform(luma, lambda v: (v - mean) * (v - mean))) / len(luma)) AS std FROM m)
+  SELECT seq, CASE WHEN std < 12 THEN 'low_contrast' WHEN mean > 130 THEN 'bright' WHEN mean < 125 THEN 'dark' ELSE 'clean' END AS kind, round(mean, 3) AS mean, round(std, 3) AS std FROM s"""
+
+
+def f17(s, d):
+    """Frames by the variance of the eight-neighbour Laplacian of their inner pixels."""
+    at = lambda dx, dy: F.col("luma")[F.col("y") * 8 + dy * 8 + F.col("x") + dx]
+    ring = sum((at(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy), F.lit(0.0))
+    px = V.frames(s, d).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("y", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    return px.groupBy("seq").agg(F.round(F.var_pop(8 * at(0, 0) - ring), 3).alias("sharpness")).withColumn("blurred", F.col("sharpness") < 20000)
+
+
+_AT = lambda dx, dy: f"luma[y * 8 + x + {dy * 8 + dx + 1}]"
+F17 = f"""WITH {V.ctes('frames')}, p AS (SELECT seq, 8 * {_AT(0, 0)} - ({' + '.join(_AT(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)}) AS l FROM frames, range(1, 7) a(x), range(1, 7) b(y))
+  SELECT seq, round(var_pop(l), 3) AS sharpness, round(var_pop(l), 3) < 20000 AS blurred FROM p GROUP BY seq"""
+
+
+def f11(s, d):
+    why = F.when(F.length("text") < 2, "short").when(F.col("no_speech") > 0.6, "no_speech").when(F.col("logprob") < -1, "logprob").when(F.col("compression") > 2.4, "compression").when(F.col("lang") == "ru", "target").otherwise("kept")
+    return V.speech(s, d).groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+
+
+F11 = f"WITH {V.ctes('speech')} SELECT CASE WHEN length(text) < 2 THEN 'short' WHEN no_speech > 0.6 THEN 'no_speech' WHEN logprob < -1 THEN 'logprob' WHEN compression > 2.4 THEN 'compression' WHEN lang = 'ru' THEN 'target' ELSE 'kept' END AS reason, count(*) AS n FROM speech GROUP BY 1"
+
+
+def f13(s, d):
+    done = lexicon.translate_words(V.tokens(s, d), frame(s, (("the", "le"), ("of", "de"), ("and", "et"), ("der", "le"), ("de", "of")), "src string, dst string"), 0.0).select("doc_id", F.col("text").alias("r"))
+    rows = docs(s, d).join(done, "doc_id").select("doc_id", F.array_distinct(T.words(F.lower("text"))).alias("a"), F.array_distinct(T.words(F.lower("r"))).alias("b"))
+    return rows.select("doc_id", (F.size(F.array_intersect("a", "b")) > F.size("a") * 0.5).alias("same"), (F.size("b") < F.size("a") * 0.4).alias("thin"))
+
+
+F13 = f"""WITH {V.ctes('tokens')}, g AS (SELECT * FROM {values((('the', 'le'), ('of', 'de'), ('and', 'et'), ('der', 'le'), ('de', 'of')), 'src, dst')}), r AS (SELECT doc_id, string_agg(coalesce(dst, token), ' ' ORDER BY pos) AS r FROM tokens LEFT JOIN g ON lower(token) = src GROUP BY doc_id),
+  x AS (SELECT doc_id, list_distinct({WORDS('lower(text)')}) AS a, list_distinct({WORDS('lower(r)')}) AS b FROM documents JOIN r USING (doc_id)) SELECT doc_id, len(list_intersect(a, b)) > len(a) * 0.5 AS same, len(b) < len(a) * 0.4 AS thin FROM x"""
+
+
+def f15(s, d):
+    rows = V.table(s, d, "conversations").withColumn("lang", F.expr("CASE conv_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'ru' END"))
+    return rows.where(F.lower("text").contains("and") & F.col("lang").isin("en", "de")).select("conv_id", "turn", "lang")
+
+
+def t16(s, d):
+    rows = docs(s, d).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("doc_id", T.sentence_type(F.col("s")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.ceil(F.length("s") / 200)).alias("chunks"))
+
+
+T16 = f"WITH x AS (SELECT doc_id, unnest({SENTENCES}) AS s FROM documents) SELECT doc_id, CASE WHEN {has('s', r'\?\s*$')} THEN 'question' WHEN {has('s', r'!\s*$')} THEN 'exclamation' ELSE 'statement' END AS kind, count(*) AS n, CAST(sum(ceil(length(s) / 200)) AS BIGINT) AS chunks FROM x GROUP BY 1, 2"
+SPOKEN = ((r"\b(\d+) ?km\b", "$1 kilometres"), (r"\b(\d+)-(\d+)\b", "$1 to $2"), (r"[|*#]+", " "), (r"\b[Dd]r\. ", "doctor "))
+
+
+def t19(s, d):
+    c = F.expr("concat(line, ' ', doc_id, ' km ', line_no, '-', doc_id)")
+    for p, to in SPOKEN:
+        c = F.regexp_replace(c, p, to)
+    return explode_lines(docs(s, d)).select("doc_id", "line_no", F.trim(c).alias("value"))
+
+
+def _t19() -> str:
+    c = "concat(line, ' ', doc_id, ' km ', line_no, '-', doc_id)"
+    for p, to in SPOKEN:
+        c = sub(c, p, to.replace("$", "\\"))
+    return f"WITH {LINES} SELECT doc_id, line_no, trim({c}) AS value FROM lines"
+
+
+def t21(s, d):
+    rows = explode_lines(docs(s, d)).withColumn("emotion", scoring.priority_emotion(F.col("line"), CLASSES)).join(frame(s, EMOTIONS, "emotion string, er int, ep int"), "emotion")
+    rate, pitch = scoring.prosody(F.col("er"), F.col("ep"), F.expr("cast(doc_id % 7 * 10 - 30 AS int)"), F.expr("cast(doc_id % 5 * 10 - 20 AS int)"), T.sentence_type(F.col("line")))
+    return rows.select("doc_id", "line_no", rate.alias("rate"), pitch.alias("pitch"))
+
+
+_KIND = f"CASE WHEN {has('line', r'\?\s*$')} THEN 'question' WHEN {has('line', r'!\s*$')} THEN 'exclamation' ELSE 'statement' END"
+T21 = f"""WITH {LINES}, e AS (SELECT doc_id, line_no, {EMOTION} AS emotion, {_KIND} AS kind FROM lines), j AS (SELECT * FROM e JOIN {values(EMOTIONS, 'emotion, er, ep')} USING (emotion))
+  SELECT doc_id, line_no, CAST(greatest(-100, least(100, doc_id % 7 * 10 - 30 + er + CASE kind WHEN 'question' THEN -5 WHEN 'exclamation' THEN 5 ELSE 0 END)) AS INTEGER) AS rate, CAST(greatest(-50, least(50, doc_id % 5 * 10 - 20 + ep + CASE kind WHEN 'question' THEN 12 WHEN 'exclamation' THEN 7 ELSE 0 END)) AS INTEGER) AS pitch FROM j"""
+#: Sounds of letters; `e` has another after a consonant.
+SOUNDS = (("a", "a"), ("b", "b"), ("d", "d"), ("e", "je"), ("i", "i"), ("k", "k"), ("l", "l"), ("m", "m"), ("n", "n"), ("o", "o"), ("r", "r"), ("s", "s"), ("t", "t"), ("u", "u"))
+
+
+def t22(s, d):
+    words = V.lexicon(s, d, 20).where(F.col("word").rlike("^[a-z]+$")).select("word", F.posexplode(F.filter(F.split("word", ""), lambda c: c != "")).alias("i", "c"))
+    w = Window.partitionBy("word").orderBy("i")
+    soft = F.coalesce(F.lag("c").over(w).rlike("[bdklmnrst]"), F.lit(False))
+    rows = words.withColumn("soft", soft).join(frame(s, SOUNDS, "c string, sound string"), "c", "left").withColumn("p", F.when((F.col("c") == "e") & F.col("soft"), "e").otherwise(F.coalesce("sound", "c")))
+    return rows.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "").alias("sounds"))
+
+
+T22 = f"""WITH {V.ctes('tokens')}, lex AS (SELECT lower(token) AS word FROM tokens WHERE {has('token', '^\\p{L}+$')} GROUP BY 1 HAVING count(*) >= 20 AND {has('lower(token)', '^[a-z]+$')}),
+  c AS (SELECT word, i, substr(word, i, 1) AS c, CASE WHEN i > 1 THEN substr(word, i - 1, 1) ELSE '' END AS before FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM lex))
+  SELECT word, string_agg(CASE WHEN c.c = 'e' AND {has('before', '[bdklmnrst]')} THEN 'e' ELSE coalesce(sound, c.c) END, '' ORDER BY i) AS sounds FROM c LEFT JOIN {values(SOUNDS, 'letter, sound')} ON letter = c.c GROUP BY word"""
+
+
+def t14(s, d):
+    return lexicon.correct_tokens(V.tokens(s, d), frame(s, SHORT, "wrong string, right string")).groupBy("doc_id").agg(F.sum(F.length("fixed")).alias("chars"), F.count_if(F.col("fixed") != F.col("token")).alias("n"))
+
+
+T14 = f'WITH {V.ctes("tokens")} SELECT doc_id, CAST(sum(length(coalesce(v."right", token))) AS BIGINT) AS chars, count(*) FILTER (WHERE coalesce(v."right", token) <> token) AS n FROM tokens LEFT JOIN {values(SHORT, chr(119) + "rong, " + chr(34) + "right" + chr(34))} ON lower(token) = wrong GROUP BY doc_id'
+
+
+def t25(s, d):
+    return V.captures(s, d).select("stream_id", "seq", F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("t") / 1000)), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+T25 = f"WITH {V.ctes('captures')} SELECT stream_id, seq, strftime(make_timestamp((1704067200 + t // 1000) * 1000000), '%Y-%m-%d %H:%M:%S') AS at FROM captures"
+
+
+def t26(s, d):
+    return V.table(s, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("k"), F.coalesce(F.get_json_object("props", "$.missing.path"), F.lit("default")).alias("other"))
+
+
+def s4(s, d):
+    rows = V.table(s, d, "conversations").select(F.expr("cast(conv_id * 3600 + turn AS double)").alias("timestamp"), F.when(F.col("turn") % 5 != 0, F.col("text")).alias("source_text"), F.lit(None).cast("string").alias("image_path"))
+    return rows.select(F.coalesce("timestamp", F.lit(0.0)).alias("timestamp"), F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("image_path", F.lit("")).alias("image_path"))
+
+
+def s7(s, d):
+    return V.tokens(s, d).select(F.translate(F.lower(F.trim("token")), "ё", "е").alias("word")).where(F.col("word").rlike(r"^\p{L}+$")).distinct()
+
+
+def f12(s, d):
+    return V.providers(s, d).select("doc_id", "rank", F.coalesce(F.col("result").rlike(r"^\[.*failed"), F.lit(False)).alias("failed"), F.coalesce(F.col("result").rlike(r"(^|\s)[a-z]{2,}(\s|$)"), F.lit(False)).alias("stray"))
+
+
+def f14(s, d):
+    return V.boxes(s, d).where("conf >= 40").groupBy("frame_id").agg(F.avg("conf").alias("m"), F.count("*").alias("n")).where("m >= 60").select("frame_id", "n", F.round("m", 6).alias("mean"))
+
+
+QUERIES = {
+    "t27_decide": (t27, _t27()),
+    "a1_batch_summary": (a1, A1),
+    "s2_batch_files": (s2, "SELECT page_id, length(html) AS chars, len(string_split(html, chr(10))) AS lines FROM pages"),
+    "a2_keyword_emotion": (a2, A2),
+    "a3_priority_emotion": (a3, f"WITH {LINES} SELECT doc_id, line_no, {EMOTION} AS emotion FROM lines"),
+    "a4_situations": (a4, A4),
+    "a5_preferences": (a5, A5),
+    "a5_best_voices": (lambda s, d: scoring.best_voices(a5(s, d)), A5B),
+    "a9_best_pass": (a9, A9),
+    "a10_latest_by_region": (a10, A10),
+    "a11_provider_health": (a11, A11),
+    "a12_energy": (a12, A12),
+    "a13_spectrum": (a13, A13),
+    "a14_pitch": (a14, A14),
+    "a15_voice_class": (a15, A15),
+    "a16_otsu": (a16, A16),
+    "a17_stretch": (a17, A17),
+    "a18_frame_class": (a18, A18),
+    "f8_keep_script_lines": (lambda s, d: explode_lines(docs(s, d)).where(F.col("line").rlike("[à-ÿ]")).select("doc_id", "line_no", F.array_join(F.filter(T.words(F.col("line")), lambda w: w.rlike("[^A-Za-z]")), " ").alias("value")), f"WITH {LINES} SELECT doc_id, line_no, array_to_string(list_filter({WORDS('line')}, lambda w: {has('w', '[^A-Za-z]')}), ' ') AS value FROM lines WHERE {has('line', '[à-ÿ]')}"),
+    "f11_speech_audit": (f11, F11),
+    "f12_result_marks": (f12, f"WITH {V.ctes('providers')} SELECT doc_id, rank, coalesce({has('result', r'^\[.*failed')}, false) AS failed, coalesce({has('result', r'(^|\s)[a-z]{2,}(\s|$)')}, false) AS stray FROM providers"),
+    "f13_translation_quality": (f13, F13),
+    "f14_confidence": (f14, f"WITH {V.ctes('boxes')} SELECT frame_id, count(*) AS n, round(avg(conf), 6) AS mean FROM boxes WHERE conf >= 40 GROUP BY frame_id HAVING avg(conf) >= 60"),
+    "f15_history_search": (f15, "SELECT conv_id, turn, lang FROM (SELECT *, CASE conv_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'ru' END AS lang FROM conversations) WHERE contains(lower(text), 'and') AND lang IN ('en', 'de')"),
+    "f17_blur": (f17, F17),
+    "s4_history_load": (s4, "SELECT CAST(conv_id * 3600 + turn AS DOUBLE) AS timestamp, CASE WHEN turn % 5 <> 0 THEN text ELSE '' END AS source_text, '' AS image_path FROM conversations"),
+    "s7_word_list": (s7, f"WITH {V.ctes('tokens')} SELECT DISTINCT translate(lower(trim(token)), 'ё', 'е') AS word FROM tokens WHERE {has('lower(token)', '^\\p{L}+$')}"),
+    "t14_contractions": (t14, T14),
+    "t16_chunks": (t16, T16),
+    "t19_spoken_form": (t19, _t19()),
+    "t21_prosody": (t21, T21),
+    "t22_sounds": (t22, T22),
+    "t25_time_text": (t25, T25),
+    "t26_json_path": (t26, "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.missing.path'), 'default') AS other FROM events"),
+    "a19_overlap": (lambda s, d: V.captures(s, d).where("seq % 3 = 1").join(V.subtitles(s, d).select("stream_id", F.col("text").alias("shown"), F.col("seq").alias("n")), "stream_id").select("stream_id", "seq", "n", F.round(T.token_overlap(F.col("shown"), F.col("text")), 6).alias("overlap")), f"WITH {V.ctes('captures', 'subtitles')} SELECT c.stream_id, c.seq, u.seq AS n, round(CAST({OVERLAP('u.text', 'c.text')} AS DOUBLE), 6) AS overlap FROM captures c JOIN subtitles u USING (stream_id) WHERE c.seq % 3 = 1"),
+}
+
