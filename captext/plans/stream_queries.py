@@ -1 +1,240 @@
-QUERIES: dict = {}
+"""Queries over streams, folds, files and hooks, with DuckDB SQL where a batch twin has the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from captext.functions import text as T
+from captext.operators import fusion
+from captext.plans import views as V
+from captext.plans.join_queries import OVERLAP, REGIONS, frame, values
+from captext.plans.text_queries import SENTENCES
+from captext.plans.window_queries import K4, W13
+from captext.session import scratch
+from captext.sources import files
+from captext.streaming import fold, live
+
+TEXTS = "stream_id long, seq long, text string"
+
+
+def capture_stream(s: SparkSession, d: str) -> DataFrame:
+    rows = live.stream_table(s, d, "conversations").withColumn("copy", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))))
+    return rows.selectExpr("conv_id AS stream_id", "turn * 3 + copy AS seq", "conv_id * 3600000 + (turn * 3 + copy) * 600 AS t", "CASE WHEN copy = 0 THEN substr(text, 1, length(text) div 2) ELSE text END AS text")
+
+
+def folded(step, schema: str = TEXTS):
+    return lambda s, d: live.finished(fold.stream_fold(capture_stream(s, d), "stream_id", ["t", "seq"], step, schema), "fold")
+
+
+def at(ms: str) -> Column:
+    return F.timestamp_millis(F.expr(f"1704067200000 + {ms}"))
+
+
+def speech_stream(s, d):
+    return live.stream_table(s, d, "conversations").where("role = 'user'").selectExpr("conv_id AS stream_id", "turn AS seq", "conv_id * 3600000 + turn * 4000 AS t0", "conv_id * 3600000 + turn * 4000 + 1000 + (length(text) % 30) * 100 AS t1", "text")
+
+
+def shown_stream(s, d):
+    rows = live.stream_table(s, d, "conversations").where("role = 'user' AND turn % 7 <> 0")
+    return rows.selectExpr("conv_id AS stream_id", "conv_id * 3600000 + turn * 4000 + ((turn % 5) - 1) * 2500 AS t", "regexp_replace(text, ' [^ ]*$', '') AS shown", "turn AS n")
+
+
+def x5(s, d):
+    return live.finished(live.sessions(live.stream_table(s, d, "events"), "user_id", "6 hours"), "sessions").select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
+
+
+X5 = """WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM b)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)"""
+
+
+def x6(s, d):
+    return live.finished(fold.stream_fold(speech_stream(s, d), "stream_id", ["t0", "seq"], fold.cut_step(), "stream_id long, seq long, t0 long, t1 long"), "cuts")
+
+
+def x7(s, d):
+    a = speech_stream(s, d).withColumn("ta", at("t1")).withWatermark("ta", "8 seconds")
+    b = shown_stream(s, d).withColumnRenamed("stream_id", "sid").withColumn("tb", at("t")).withWatermark("tb", "8 seconds")
+    both = a.join(b, F.expr("stream_id = sid AND tb <= ta AND tb >= ta - INTERVAL 8 SECONDS"))
+    return live.finished(both.where(T.token_overlap(F.col("shown"), F.col("text")) >= 0.34).select("stream_id", "seq", "n", "shown"), "fused")
+
+
+X7 = f"""WITH {V.ctes('speech')}, u AS (SELECT stream_id, t0 + ((seq % 5) - 1) * 2500 AS t, regexp_replace(text, ' [^ ]*$', '') AS shown, seq AS n FROM speech WHERE seq % 7 <> 0)
+  SELECT s.stream_id, s.seq, n, shown FROM speech s JOIN u ON u.stream_id = s.stream_id AND u.t <= s.t1 AND u.t >= s.t1 - 8000 WHERE {OVERLAP('shown', 's.text')} >= 0.34"""
+
+
+def x8(s, d):
+    a = shown_stream(s, d).withColumn("ta", at("t")).withWatermark("ta", "3 seconds")
+    b = speech_stream(s, d).select(F.col("stream_id").alias("sid"), F.col("seq").alias("heard"), at("t1").alias("tb")).withWatermark("tb", "3 seconds")
+    both = a.join(b, F.expr("stream_id = sid AND tb >= ta - INTERVAL 2500 MILLISECONDS AND tb <= ta + INTERVAL 4 SECONDS"), "leftOuter")
+    return live.finished(both.where("heard IS NULL").select("stream_id", "n", "shown"), "silent")
+
+
+def x9(s, d):
+    a = speech_stream(s, d).withColumn("ta", at("t0")).withWatermark("ta", "3 seconds")
+    b = live.stream_table(s, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("sid"), F.lit(1).alias("echo"), at("conv_id * 3600000 + turn * 4000").alias("tb")).withWatermark("tb", "3 seconds")
+    both = a.join(b, F.expr("stream_id = sid AND tb <= ta + INTERVAL 2 SECONDS AND tb >= ta - INTERVAL 4500 MILLISECONDS"), "leftOuter")
+    return live.finished(both.where("echo IS NULL").select("stream_id", "seq", "t0"), "unechoed")
+
+
+def x10(s, d):
+    rows = capture_stream(s, d).withColumn("at", at("t")).withColumn("key", T.normalise_key(F.col("text"))).withWatermark("at", "10 seconds")
+    return live.finished(rows.dropDuplicatesWithinWatermark(["stream_id", "key"]).select("stream_id", "key"), "distinct")
+
+
+X10 = "SELECT DISTINCT stream_id, key FROM (SELECT conv_id AS stream_id, {k} AS key FROM conversations UNION ALL SELECT conv_id, {h} FROM conversations)"
+
+
+def x11(s, d):
+    rows = capture_stream(s, d).withColumn("arrived", F.expr("t + (stream_id * 7 + seq * 13) % 6000")).withColumn("at", at("t")).withWatermark("at", "8 seconds")
+    return live.finished(rows.where("arrived - t <= 3000").select("stream_id", "seq"), "fresh")
+
+
+X11 = "WITH c AS (SELECT conv_id AS stream_id, turn * 3 + copy AS seq FROM conversations, (VALUES (CAST(0 AS BIGINT)), (1), (2)) v(copy)) SELECT stream_id, seq FROM c WHERE (stream_id * 7 + seq * 13) % 6000 <= 3000"
+
+
+def x12(s, d):
+    rows = live.stream_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    out = rows.groupBy(F.session_window("ts", "2 hours").alias("w"), "event_type").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    return live.finished(out.select("event_type", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids")), "flushed")
+
+
+X12 = """WITH b AS (SELECT event_type, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM b)
+  SELECT event_type, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM r GROUP BY event_type, run HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)"""
+
+
+def x13(s, d):
+    rows = live.stream_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    out = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
+    return live.finished(out.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_id", "n"), "polled")
+
+
+X13 = "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)"
+
+
+def x15(s, d):
+    def answer(batch: DataFrame) -> DataFrame:
+        rows = batch.withColumn("rank", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))))).selectExpr("doc_id", "rank", "CASE (doc_id * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN substr(text, 1, 20) ELSE concat('>> ', substr(text, 1, 20)) END AS result")
+        good = F.coalesce(F.col("result").startswith(">>"), F.lit(False))
+        return rows.groupBy("doc_id").agg(F.min_by(F.when(good, F.col("result")), F.when(good, F.col("rank"))).alias("result"), F.min(F.when(good, F.col("rank"))).alias("rank")).withColumn("result", F.coalesce("result", F.lit("[failed]"))).sortWithinPartitions("doc_id")
+
+    return live.fan_out(live.stream_table(s, d, "documents"), {"answers": answer})["answers"].select("doc_id", "rank", "result")
+
+
+def x16(s, d):
+    rows = live.stream_table(s, d, "events").selectExpr("event_type AS service", "ts", "event_id AS id", "value / 100 AS latency")
+    return live.finished(fold.stream_fold(rows, "service", ["ts", "id"], fold.transition_step(), "service string, id long, state string, before string"), "alerts")
+
+
+def x17(s, d):
+    out = live.fan_out(live.stream_table(s, d, "conversations"), {"users": lambda b: b.where("role = 'user'").select("conv_id", "turn", F.lit("users").alias("sink")), "all": lambda b: b.select("conv_id", "turn", F.concat(F.lit("["), "role", F.lit("]")).alias("sink"))})
+    return out["users"].unionByName(out["all"])
+
+
+X17 = "SELECT conv_id, turn, 'users' AS sink FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, concat('[', role, ']') FROM conversations"
+
+
+def s1(s, d):
+    found = files.scan_files(s, d, (".parquet", ".PQ")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    return found.where(F.col("file").startswith("documents") | F.col("file").startswith("part-") | F.col("file").startswith("labels"))
+
+
+def s3(s, d):
+    rows = V.table(s, d, "documents").select("doc_id", "lang", F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
+    path = scratch(s, "batch")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/csv")
+    rows.write.json(f"{path}/json")
+    rows.select(files.txt_block(F.col("doc_id").cast("string"), F.col("text"))).write.text(f"{path}/txt")
+    csv = s.read.option("header", True).option("escape", '"').schema("doc_id long, lang string, text string").csv(f"{path}/csv")
+    json = s.read.schema("doc_id long, lang string, text string").json(f"{path}/json")
+    return csv.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.lit("csv").alias("sink")).unionByName(json.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.lit("json").alias("sink")))
+
+
+_TXT = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
+S3 = f"SELECT doc_id, lang, length({_TXT}) AS chars, 'csv' AS sink FROM documents UNION ALL SELECT doc_id, lang, length({_TXT}), 'json' FROM documents"
+
+
+def s5(s, d):
+    rows = V.table(s, d, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
+    path = scratch(s, "history")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return s.read.option("header", True).option("escape", '"').schema("conv_id long, turn long, role string, text string").csv(path)
+
+
+def s6(s, d):
+    rows = V.table(s, d, "documents").select(F.concat(F.lit("2024-01-01 #"), F.col("doc_id").cast("string")).alias("at"), F.expr("cast(doc_id % 100 AS double)").alias("conf"), F.expr("cast(doc_id % 30 AS double) / 10").alias("scan_s"), "text")
+    path = scratch(s, "log")
+    files.write_capture_log(rows, path)
+    return files.read_capture_log(s, path)
+
+
+S6 = "SELECT concat('2024-01-01 #', doc_id) AS at, CAST(doc_id % 100 AS DOUBLE) AS conf, round(CAST(doc_id % 30 AS DOUBLE) / 10, 1) AS scan_s, text FROM documents"
+
+
+def s8(s, d):
+    regions = frame(s, REGIONS, "name string, ord int, x double, y double, w double, h double").withColumn("locked", F.col("name") == "side")
+    return fusion.boxes_in_regions(V.boxes(s, d), files.valid_regions(regions)).groupBy("name").agg(F.count("*").alias("n"))
+
+
+S8 = f"WITH {V.ctes('boxes')} SELECT name, count(*) AS n FROM boxes JOIN {values(REGIONS, 'name, ord, x, y, w, h')} ON x0 >= x AND x1 <= x + w AND y0 >= y AND y1 <= y + h WHERE w > 30 AND h > 12 AND name <> 'side' GROUP BY name"
+
+
+def p1(s, d):
+    def recognise(html: str) -> str:
+        if len(html) % 7 == 0:
+            raise ValueError("unreadable")
+        return html
+
+    return files.batch_process(V.table(s, d, "pages"), recognise, "page_id", "html").select("key", "success", "error", "chars", "lines")
+
+
+P1 = "SELECT page_id AS key, length(html) % 7 <> 0 AS success, CASE WHEN length(html) % 7 = 0 THEN 'ValueError' END AS error, CASE WHEN length(html) % 7 <> 0 THEN length(html) END AS chars, CASE WHEN length(html) % 7 <> 0 THEN len(string_split(html, chr(10))) END AS lines FROM pages"
+
+
+def p2(s, d):
+    rows = V.table(s, d, "documents").select("lang", F.substring(F.trim("text"), 1, 12).alias("key"))
+    memory = rows.where("length(key) % 2 = 0").select("lang", "key").distinct().withColumn("hit", F.lower("key"))
+    return fusion.remember(rows, memory, ["lang", "key"], lambda missing: missing.withColumn("hit", F.concat(F.lit("new "), "key")))
+
+
+P2 = "WITH r AS (SELECT DISTINCT lang, substr(trim(text), 1, 12) AS key FROM documents) SELECT lang, key, CASE WHEN length(key) % 2 = 0 THEN lower(key) ELSE concat('new ', key) END AS hit FROM r"
+
+
+def p7(s, d):
+    s.udtf.register("split_sentences", files.SplitSentences)
+    V.table(s, d, "documents").select("doc_id", "text").createOrReplaceTempView("_captext_documents")
+    return s.sql("SELECT doc_id, pos, sentence FROM _captext_documents, LATERAL split_sentences(text)")
+
+
+P7 = f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT doc_id, unnest({SENTENCES}) AS s, generate_subscripts({SENTENCES}, 1) AS i FROM documents)"
+KEY_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+QUERIES = {
+    "w3_hysteresis": (lambda s, d: fold.table_fold(V.frames(s, d), "stream_id", ["seq"], fold.hysteresis_step(), "stream_id int, seq long, diff double, moved boolean"), None),
+    "t23_window_merge": (lambda s, d: fold.table_fold(V.captures(s, d), "stream_id", ["seq"], fold.window_merge_step(), TEXTS), None),
+    "x1_text_change": (folded(fold.change_step()), None),
+    "x2_line_maturation": (folded(fold.maturing_step()), None),
+    "x3_chunker": (folded(fold.chunk_step()), None),
+    "x4_dedup_buffer": (folded(fold.buffer_step()), None),
+    "x5_sessions": (x5, X5),
+    "x6_forced_cut": (x6, None),
+    "x7_fusion": (x7, X7),
+    "x8_silent": (x8, None),
+    "x9_echo_block": (x9, None),
+    "x10_event_dedup": (x10, X10.format(k=KEY_SQL.format("text"), h=KEY_SQL.format("substr(text, 1, length(text) // 2)"))),
+    "x11_freshness": (x11, X11),
+    "x12_flush": (x12, X12),
+    "x13_poll": (x13, X13),
+    "x14_min_gap": (folded(fold.gap_step(), "stream_id long, seq long, t long"), None),
+    "x15_enrichment": (x15, K4),
+    "x16_alerts": (x16, W13),
+    "x17_fan_out": (x17, X17),
+    "s1_scan_files": (s1, None),
+    "s3_batch_sinks": (s3, S3),
+    "s5_history_csv": (s5, r"SELECT conv_id, turn, role, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM conversations"),
+    "s6_capture_log": (s6, S6),
+    "s8_regions": (s8, S8),
+    "p1_recogniser_hook": (p1, P1),
+    "p2_provider_hook": (p2, P2),
+    "p7_sentence_udtf": (p7, P7),
+}
