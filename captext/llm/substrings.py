@@ -167,7 +167,7 @@ MARK = "ord long, kind byte, a long, b long"
 
 
 def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
-    """docs with `spans`, the maximal runs [a, b) of bytes to remove from each text's UTF-8, and `_ord`.
+    """docs with `_row_spans`, the maximal runs [a, b) of bytes to remove from each text's UTF-8, and `_row_order`.
 
     A byte goes if a string of `least` bytes over it starts earlier too: in a
     row with a smaller doc_id, or earlier in the same text. Null texts are empty.
@@ -190,16 +190,16 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     parts = max(1, -(-size // PARTITION_BYTES))
     unclear = frame.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count()
     if unclear:
-        ordered = cut(frame.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h"))
-        frame = ordered.drop("_h").withColumn("_ord", F.monotonically_increasing_id())
+        ordered = cut(frame.withColumn("_row_hash", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_row_hash").sortWithinPartitions("doc_id", "_row_hash"))
+        frame = ordered.drop("_row_hash").withColumn("_row_order", F.monotonically_increasing_id())
     else:
-        frame = frame.withColumn("_ord", F.col("doc_id"))
-    frame = frame.repartition(parts, "_ord")
+        frame = frame.withColumn("_row_order", F.col("doc_id"))
+    frame = frame.repartition(parts, "_row_order")
 
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         for batch in rows:
-            ords = batch.column("_ord").to_numpy()
+            ords = batch.column("_row_order").to_numpy()
             which, place, left, right, key, ctx = anchors(batch.column("text").cast(pa.large_binary()).to_pylist(), shape)
             rec = np.empty(len(key), ANCHOR)
             rec["key"], rec["ctx"], rec["ord"] = key, ctx, ords[which]
@@ -260,7 +260,7 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     def fetch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             leads, contexts, ords, places = [], [], [], []
-            for o, t, marks in zip(batch.column("_ord").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("marks"), strict=True):
+            for o, t, marks in zip(batch.column("_row_order").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("_row_marks"), strict=True):
                 values = marks.values
                 for pos in values.field("a").filter(pc.equal(values.field("kind"), 1)).to_pylist():
                     q, left, right = pos >> 16, pos >> 8 & 255, pos & 255
@@ -303,15 +303,15 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     # Every branch takes the same columns, so that one exchange of the texts serves them all.
     packed = frame.mapInArrow(find, "part int, kind byte, rows binary").repartitionById(parts, F.col("part"))
     settled = packed.mapInArrow(settle, MARK).repartition(parts, "ord")
-    marks = settled.groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("marks"))
-    asked = frame.join(marks.hint("shuffle_hash"), F.col("_ord") == F.col("ord"))
+    marks = settled.groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_marks"))
+    asked = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_row_mark"), F.col("_row_order") == F.col("_row_mark"))
     contexts = asked.mapInArrow(fetch, "lead binary, context binary, ord long, pos long").repartitionByRange(parts, "lead")
-    strings = contexts.mapInArrow(compare, MARK).repartition(parts, "ord").groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("more"))
-    both = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_o1"), F.col("_ord") == F.col("_o1"), "left")
-    both = both.join(strings.hint("shuffle_hash").withColumnRenamed("ord", "_o2"), F.col("_ord") == F.col("_o2"), "left")
-    ranges = F.concat(F.coalesce("marks", F.array().cast("array<struct<kind:tinyint,a:bigint,b:bigint>>")), F.coalesce("more", F.array().cast("array<struct<kind:tinyint,a:bigint,b:bigint>>")))
+    strings = contexts.mapInArrow(compare, MARK).repartition(parts, "ord").groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_more"))
+    both = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_row_mark"), F.col("_row_order") == F.col("_row_mark"), "left")
+    both = both.join(strings.hint("shuffle_hash").withColumnRenamed("ord", "_row_other"), F.col("_row_order") == F.col("_row_other"), "left")
+    ranges = F.concat(F.coalesce("_row_marks", F.array().cast("array<struct<kind:tinyint,a:bigint,b:bigint>>")), F.coalesce("_row_more", F.array().cast("array<struct<kind:tinyint,a:bigint,b:bigint>>")))
     spans = F.array_sort(F.transform(F.filter(ranges, lambda x: x["kind"] == 0), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    return both.select(*docs.columns, "_ord", spans.alias("spans"))
+    return both.select(*docs.columns, "_row_order", spans.alias("_row_spans"))
 
 
 def _packed(part: int, kind: int, blob: bytes) -> pa.RecordBatch:
@@ -345,7 +345,7 @@ def repeats_removed(docs: DataFrame, least: int = 100) -> DataFrame:
     def digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             n, removed, spans, sha = [], [], [], []
-            for t, own in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), _merged(batch.column("spans")), strict=True):
+            for t, own in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), _merged(batch.column("_row_spans")), strict=True):
                 t = t or b""
                 n.append(len(t))
                 removed.append(sum(b - a for a, b in own))
@@ -353,7 +353,7 @@ def repeats_removed(docs: DataFrame, least: int = 100) -> DataFrame:
                 sha.append(hashlib.sha256(_kept(t, own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeat_spans(docs.select("doc_id", "text"), least).select("doc_id", "text", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeat_spans(docs.select("doc_id", "text"), least).select("doc_id", "text", "_row_spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -362,7 +362,7 @@ def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     def trim(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = []
-            for t, own in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), _merged(batch.column("spans")), strict=True):
+            for t, own in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), _merged(batch.column("_row_spans")), strict=True):
                 whole = []
                 for a, b in own:
                     while a < b and t[a] & 0xC0 == 0x80:
@@ -374,7 +374,7 @@ def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
             at = batch.schema.get_field_index("text")
             kind = batch.schema.field("text").type
             out = batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(kind))
-            yield out.drop_columns(["spans", "_ord"])
+            yield out.drop_columns(["_row_spans", "_row_order"])
 
     schema = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).schema
     out = repeat_spans(docs, least).mapInArrow(trim, schema)
