@@ -1,0 +1,332 @@
+"""The corpus operators against plain versions on small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+from captext.llm import language, mixing, packing, quality, rules, sharding, simhash, substrings, tokens, vectors
+
+SF = "/root/testdata/sf0.001"
+BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.orderBy("doc_id").collect()}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    t = Tokenizer.from_file(BYTES)
+    t.encode_special_tokens = True
+    return t
+
+
+def crc(ids) -> int:
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_repair_round_trip():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        ids = rng.integers(0, 6, int(rng.integers(1, 3000))).astype(np.uint16)
+        last = rng.random(len(ids)) < 0.02
+        last[-1] = True
+        symbols, ends, made = tokens.repair(ids, last, 10, 500, least=2, rounds=6)
+        flat, stops = tokens.expansions(made, 10)
+        lengths = np.diff(stops)[symbols]
+        assert (np.concatenate([flat[stops[s] : stops[s + 1]] for s in symbols]) == ids).all()
+        assert (np.flatnonzero(last) + 1 == np.cumsum(lengths)[ends]).all()
+
+
+def test_tokens(spark, docs, texts, tokenizer, tmp_path):
+    path = str(tmp_path / "ids")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_shards(docs, BYTES, 2, path).collect()}
+    start = 0
+    every = {}
+    for doc, text in texts.items():
+        every[doc] = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert got[doc] == (start, len(every[doc]), crc(every[doc]))
+        start += len(every[doc])
+    for row in tokens.read_tokens(spark, path).collect():
+        row = row.asDict()
+        for k in (0, len(row["doc_ids"]) // 2):
+            ids = every[row["doc_ids"][k]]
+            a, b = len(ids) // 3, len(ids) // 3 + 5
+            assert tokens.decode_slice(row, k, a, b).tolist() == ids[a:b]
+
+
+def test_uneven_white_space(tokenizer):
+    import pyarrow as pa
+
+    from captext.llm.encode import Encoder
+
+    enc = Encoder(BYTES)
+    some = ["", None, "a  b", " a", "a ", "a  b", "a b\n c", "it's, 'quoted'. x1y2 ... end!!", "<|endoftext|> x", "the cat\nthe cat. the", "naïve—café ☃☃ 12,000.50|"]
+    for text, ids in zip(some, enc(pa.array(some)), strict=True):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_packing(docs, texts, tokenizer):
+    rows = packing.pack(docs, BYTES).collect()
+    pieces, bins = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id][r.piece] = r
+        bins[r.sequence_id].append((r.offset, r.length))
+    for doc, text in texts.items():
+        ids, at = [*tokenizer.encode(text, add_special_tokens=False).ids, 0], 0
+        for k in range(len(pieces[doc])):
+            r = pieces[doc][k]
+            assert (r.start, r.ids_crc32) == (at, crc(ids[at : at + r.length]))
+            assert k == 0 or r.length == 2048
+            at += r.length
+        assert at == len(ids)
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= 1.03 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_mixing(docs, texts):
+    sizes = {d: len(simhash_words(t)) for d, t in texts.items()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    rows = mixing.mix(docs).collect()
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(3)).collect()}
+    total, got = Counter(), Counter()
+    for r in rows:
+        assert r.size == sizes[r.doc_id] and r.taken <= 2 * r.size and again[r.doc_id] == r.taken
+        total[source[r.doc_id]] += r.size
+        got[source[r.doc_id]] += r.taken
+    goal = mixing.targets(dict(total))
+    assert abs(sum(goal.values()) - 1.5 * sum(total.values())) < 1e-6
+    most = max(sizes.values())
+    for r in rows:
+        s = source[r.doc_id]
+        assert r.source_size == total[s] and abs(r.target - goal[s]) < 1e-9 and abs(got[s] - goal[s]) <= most / 2
+
+
+def test_pivotal_keeps_probabilities():
+    size, p = np.array([5.0, 9, 2, 7, 4, 4]), np.array([0.3, 0.5, 0.7, 0.2, 0.9, 0.4])
+    runs = np.array([mixing.pivotal(size, p, np.random.default_rng(k))[0] for k in range(4000)])
+    assert np.allclose((runs * size).sum(1), (p * size).sum()) and np.abs(runs.mean(0) - p).max() < 0.03
+
+
+def simhash_words(text: str) -> list[bytes]:
+    return text.encode().split()
+
+
+def removed(rows: dict[int, str], least: int) -> dict:
+    seen, out = set(), {}
+    for doc, text in sorted(rows.items()):
+        b = text.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - least + 1):
+            if b[i : i + least] in seen:
+                gone[i : i + least] = True
+            seen.add(b[i : i + least])
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        out[doc] = (len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+    return out
+
+
+def test_substrings(docs, texts):
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.repeats_removed(docs).collect()}
+    assert got == removed(texts, 100)
+
+
+def test_substrings_over_partitions(spark, monkeypatch):
+    random.seed(3)
+    base = ["".join(random.choice("ab é\n") for _ in range(300)) for _ in range(6)]
+    rows = {i: "".join(random.choice(base)[random.randrange(200) :][: random.randrange(250)] for _ in range(random.randrange(5))) for i in range(80)}
+    rows |= {200: "q" * 900, 201: base[0] * 3, 202: (base[1] + base[2]) * 300}
+    monkeypatch.setattr(substrings, "PARTITION_BYTES", 40_000)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    for least in (100, 40):
+        assert {r.doc_id: tuple(r)[1:] for r in substrings.repeats_removed(table, least).collect()} == removed(rows, least)
+
+
+def test_without_repeats_keeps_characters(spark):
+    passage = "".join(random.Random(0).choices("éàüßñ", k=150))
+    table = spark.createDataFrame([(0, passage + " one", "x"), (1, "two " + passage, "y")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.text for r in substrings.without_repeats(table).collect()}
+    assert got == {0: passage + " one", 1: "two "}
+
+
+def plain_fingerprint(text: str) -> int:
+    w = [x.decode() for x in text.encode().lower().split()]
+    parts = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(xxh64_intdigest(p, 42) >> b & 1 for p in parts) > len(parts)) if parts else 0
+
+
+def test_simhash(docs, texts):
+    fps = {d: plain_fingerprint(t) for d, t in texts.items()}
+    rows = {r.doc_id: r for r in simhash.simhash_groups(docs).collect()}
+    assert {d: f"{f:016x}" for d, f in fps.items()} == {d: r.fingerprint for d, r in rows.items()}
+    least = {d: d for d in fps}
+    for _ in range(20):
+        least = {d: min(least[e] for e in fps if (fps[d] ^ fps[e]).bit_count() <= 2) for d in fps}
+    assert least == {d: r.component_id for d, r in rows.items()}
+
+
+def test_close_pairs_lose_none(spark):
+    random.seed(1)
+    points = {random.getrandbits(64) for _ in range(60)}
+    for f in list(points):
+        for _ in range(4):
+            points.add(f ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) if random.random() < 0.7 else f ^ (1 << random.randrange(64)))
+    points |= {0, 1, 3, (1 << 64) - 1, (1 << 64) - 2}
+    order = sorted(points)
+    table = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(order)], "id long, fp long")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.close_pairs(table).collect()}
+    assert got == {(i, j) for i in range(len(order)) for j in range(i + 1, len(order)) if (order[i] ^ order[j]).bit_count() <= 2}
+
+
+def test_near_copies(docs, texts):
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {d: shingles(t) for d, t in texts.items()}
+    group = {r.doc_id: r.component_id for r in simhash.near_copy_groups(docs).collect()}
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            alike = both / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
+            if alike >= 0.85:
+                assert group[a] == group[b]
+
+
+def test_vectors(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    more = rows.limit(40).selectExpr("vec_id + 100000 AS vec_id", "transform(embedding, (e, i) -> cast(e + 0.01 * sin(i + vec_id) AS float)) AS embedding", "label")
+    both = rows.select("vec_id", "embedding", "label").union(more).union(rows.limit(5).selectExpr("vec_id + 200000", "embedding", "label"))
+    table = both.toPandas()
+    got = vectors.near_vectors(both).toPandas().set_index("vec_id")
+    found = true = 0
+    for _, own in table.groupby("label"):
+        x = np.stack(own["embedding"]).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        links = (x @ x.T >= 0.98).sum(1) - 1
+        true, found = true + links.sum(), found + got.loc[own["vec_id"], "n_links"].sum()
+        assert (got.loc[own["vec_id"], "n_links"].to_numpy() <= links).all()
+    assert true > 40 and found >= 0.9 * true
+    exact = vectors.near_vectors(both, margin=180.0).toPandas()
+    assert exact["n_links"].sum() == true and (exact["kept"] == (exact["vec_id"] == exact["component_id"])).all()
+
+
+def test_vector_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in np.array([1.0, 0, 0, 0]) + rng.normal(0, 0.01, 4)], 1) for i in range(100)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.n_links for r in got} == {99} and {r.component_id for r in got} == {0}
+
+
+def test_sharding(docs, texts):
+    rows = sharding.kd_shards(docs, 24).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in rows:
+        b = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 8, zlib.crc32(b), "bytes", None)
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert set(size) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 2 * max(len(t.encode()) for t in texts.values())
+
+
+def test_rules(docs, texts, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in rules.quality_rules(docs, labels).collect()}
+    for doc, text in texts.items():
+        w = text.encode().split()
+        seen = defaultdict(list)
+        for i in range(len(w) - 2):
+            seen[tuple(w[i : i + 3])].append(i)
+        repeat = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+        lines = [x for x in text.encode().split(b"\n") if x.split()]
+        r = got[doc]
+        assert (r.n_words, r.n_dup_lines, r.n_repeat_words) == (len(w), len(lines) - len(set(lines)), len(repeat))
+        assert r.n_symbols == sum(text.count(c) for c in "#*$%&|<>") and r.word_chars == sum(len(x.decode()) for x in w)
+        assert r.base_failed == (len(w) < 50 or 100 * len(repeat) > 50 * len(w)) and not (r.base_failed and r.kept)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    judged = [(known[d], r.kept) for d, r in got.items() if d in known and not r.base_failed]
+    assert all(kept for good, kept in judged if good == 1)
+
+
+def test_rules_cover():
+    rng = np.random.default_rng(2)
+    x = {"a": rng.random(900), "b": rng.random(900)}
+    bad = (x["a"] > 0.8) | ((x["b"] < 0.2) & (x["a"] > 0.4))
+    learned = rules.learn_rules(x, bad)
+    hit = np.zeros(900, bool)
+    for rule in learned:
+        hit |= rules.covered(rule, x)
+    assert (hit == bad).mean() > 0.95
+
+
+def test_quality(docs, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.quality_scores(more, labels).collect() if r.held_out and r.doc_id in known]
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    good, low = ([r.score for r in rows if known[r.doc_id] == k] for k in (1, 0))
+    assert np.mean([a > b for a in good for b in low]) > 0.95
+    changed = labels.withColumn("quality", labels.quality * 0).where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").unionByName(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    assert {(r.doc_id, round(r.score, 9)) for r in quality.quality_scores(more, changed).collect()} == {(r.doc_id, round(r.score, 9)) for r in quality.quality_scores(more, labels).collect()}
+
+
+def test_isotonic():
+    x, y = quality.isotonic(np.arange(5.0), np.array([0.0, 1, 0, 1, 1]), np.ones(5), 0.5)
+    assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
+
+
+def test_language_sums_all_segmentations():
+    number = language.pieces(PIECES)
+    prob = np.random.default_rng(0).random((len(number) + 1, 2)) * 1e-3
+    prob[-1] = 1e-6
+
+    def brute(word: str) -> np.ndarray:
+        text = "▁" + word
+        ways = [np.zeros(2) for _ in text] + [np.ones(2)]
+        for a in range(len(text) - 1, -1, -1):
+            for b in range(a + 1, min(len(text), a + language.LONGEST, (a // language.SPAN + 1) * language.SPAN) + 1):
+                k = number.get(text[a:b], -1 if b == a + 1 else None)
+                if k is not None:
+                    ways[a] = ways[a] + prob[k] * ways[b]
+        return np.log(ways[0])
+
+    words = ["the", "nation", "a", "ß", "x" * 40, "theandtherefore" * 4, "a" * 31, "b" * 32, "中"]
+    forward = language.Forward(prob, number)
+    assert np.allclose(forward.scores(words), [brute(w) for w in words])
+    uses = forward.uses(words, np.ones((len(words), 2)))
+    for piece in ("the", "a", "on"):
+        moved = prob.copy()
+        moved[number[piece]] *= 1 + 1e-6
+        assert np.allclose(uses[number[piece]], (language.Forward(moved, number).scores(words) - forward.scores(words)).sum(0) / 1e-6, atol=1e-4)
+
+
+def test_language(docs):
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    rows = language.detect_language(docs, PIECES).collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert np.mean([known[r.doc_id] == r.lang_pred for r in held]) > 0.95
