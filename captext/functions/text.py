@@ -256,3 +256,8 @@ def growth_tail(before: Column, now: Column) -> Column:
     w = words(now)
     n = common_words(F.coalesce(before, F.lit("")), now)
     return F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " ")
+
+
+def strip_isolated_latin(text: Column) -> Column:
+    """Up to three Latin letters that stand alone between Cyrillic words go."""
+    return F.regexp_replace(text, r"(?<=[А-Яа-яЁё]) +[A-Za-z]{1,3}(?= +[А-Яа-яЁё])", "")

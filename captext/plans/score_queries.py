@@ -189,11 +189,11 @@ def a18(s, d):
     x = F.col("luma")
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
     rows = V.frames(s, d).withColumn("mean", mean).withColumn("std", F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))) / F.size(x)))
-    return rows.select("seq", F.when(F.col("std") < 12, "low_contrast").when(F.col("mean") > 130, "bright").when(F.col("mean") < 125, "dark").otherwise("clean").alias("kind"), F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+    return rows.select("seq", F.when(F.col("std") < 12, "low_contrast").when(F.col("mean") > 130, "bright").when(F.col("mean") < 125, "dark").otherwise("clean").alias("kind"), F.round(F.col("mean") * 64, 3).alias("total"), F.round("std", 3).alias("std"))
 
 
 A18 = f"""WITH {V.ctes('frames')}, m AS (SELECT seq, luma, list_sum(luma) / len(luma) AS mean FROM frames), s AS (SELECT seq, mean, sqrt(list_sum(list_transform(luma, lambda v: (v - mean) * (v - mean))) / len(luma)) AS std FROM m)
-  SELECT seq, CASE WHEN std < 12 THEN 'low_contrast' WHEN mean > 130 THEN 'bright' WHEN mean < 125 THEN 'dark' ELSE 'clean' END AS kind, round(mean, 3) AS mean, round(std, 3) AS std FROM s"""
+  SELECT seq, CASE WHEN std < 12 THEN 'low_contrast' WHEN mean > 130 THEN 'bright' WHEN mean < 125 THEN 'dark' ELSE 'clean' END AS kind, round(mean * 64, 3) AS total, round(std, 3) AS std FROM s"""
 
 
 def f17(s, d):
@@ -316,7 +316,30 @@ def f14(s, d):
     return V.boxes(s, d).where("conf >= 40").groupBy("frame_id").agg(F.avg("conf").alias("m"), F.count("*").alias("n")).where("m >= 60").select("frame_id", "n", F.round("m", 6).alias("mean"))
 
 
+T5_CASES = (("мама xy мыла раму", "мама мыла раму"), ("это x дом ab тут", "это дом тут"), ("слово word слово", "слово word слово"), ("plain text", "plain text"))
+
+
+def t5(s, d):
+    """Each document's number picks a case, so the rows grow with the table."""
+    cases = F.array(*(F.struct(F.lit(a).alias("raw"), F.lit(b).alias("expected")) for a, b in T5_CASES))
+    rows = docs(s, d).select("doc_id", cases[F.expr(f"cast(doc_id % {len(T5_CASES)} AS int)")].alias("c"))
+    return rows.select("doc_id", T.strip_isolated_latin(F.col("c.raw")).alias("value"))
+
+
+T5 = f"SELECT doc_id, expected AS value FROM documents JOIN {values(tuple((i, *c) for i, c in enumerate(T5_CASES)), 'i, raw, expected')} ON doc_id % {len(T5_CASES)} = i"
+
+
+def f16(s, d):
+    e = scoring.frame_energy()
+    scale = 0.95 / F.greatest(e["peak"], F.lit(1e-9))
+    return vectors(s, d).where(e["peak"] >= 0.005).select("vec_id", F.round(e["rms"] * scale, 6).alias("rms"), (e["rms"] >= 0.01).alias("voice"))
+
+
+F16 = f"SELECT vec_id, round({_RMS} * (CAST(0.95 AS DOUBLE) / greatest({_PEAK}, 1e-9)), 6) AS rms, {_RMS} >= 0.01 AS voice FROM embeddings WHERE {_PEAK} >= 0.005"
+
 QUERIES = {
+    "t5_isolated_latin": (t5, T5),
+    "f16_audio_gates": (f16, F16),
     "t27_decide": (t27, _t27()),
     "a1_batch_summary": (a1, A1),
     "s2_batch_files": (s2, "SELECT page_id, length(html) AS chars, len(string_split(html, chr(10))) AS lines FROM pages"),

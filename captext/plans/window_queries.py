@@ -29,11 +29,11 @@ W1 = f"""WITH {CAP}, k AS (SELECT *, {KEY('text')} AS key FROM captures), c AS (
 
 
 def w2(s, d):
-    return Q.frame_difference(V.frames(s, d)).select("stream_id", "seq", F.round("diff", 3).alias("diff"), "moved", "cut")
+    return Q.frame_difference(V.frames(s, d)).select("stream_id", "seq", F.round(F.col("diff") * 64, 3).alias("diff"), "moved", "cut")
 
 
 W2 = f"""WITH {V.ctes('frames')}, b AS (SELECT *, lag(luma) {W} AS old FROM frames), x AS (SELECT stream_id, seq, CASE WHEN old IS NOT NULL THEN list_sum(list_transform(list_zip(luma, old), lambda p: abs(p[1] - p[2]))) / len(luma) END AS diff FROM b)
-  SELECT stream_id, seq, round(diff, 3) AS diff, coalesce(diff > 2, true) AS moved, coalesce(diff > 30, false) AS cut FROM x"""
+  SELECT stream_id, seq, round(diff * 64, 3) AS diff, coalesce(diff > 2, true) AS moved, coalesce(diff > 30, false) AS cut FROM x"""
 
 
 def w4(s, d):
