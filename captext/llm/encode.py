@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers before it starts afresh.
-WORDS_HELD = 1_200_000
+WORDS_HELD = 500_000
 
 #: White space next to a space, or at either end: such a text is encoded in one piece.
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -149,7 +149,7 @@ def gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.nd
     return flat[at], stops
 
 
-def batches(rows: Iterator, encode: Encoder, most: int = 1 << 23) -> Iterator[tuple]:
+def batches(rows: Iterator, encode: Encoder, most: int = 1 << 22) -> Iterator[tuple]:
     """Arrow batches cut so that one call encodes one text or about `most` bytes at most: (batch, its ids)."""
     for batch in rows:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
@@ -22,8 +21,8 @@ FOLDS = 5
 #: Longest piece, and characters of a word that are segmented together; longer words are cut.
 LONGEST = 16
 SPAN = 32
-#: Words whose scores a worker remembers before it starts afresh.
-WORDS_HELD = 800_000
+#: Words whose scores a task remembers before it starts afresh.
+WORDS_HELD = 300_000
 #: Expected uses that each piece and language starts from, and the probability of an unknown character.
 PRIOR = 0.1
 UNKNOWN = 1e-6
@@ -159,9 +158,6 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return words.filter(pa.array(some)).dictionary_encode(), stops
 
 
-_held: dict[bytes, tuple[dict[str, int], np.ndarray]] = {}
-
-
 def fold() -> Column:
     """crc32 of doc_id as text, modulo FOLDS; rows of fold 0 are held out."""
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
@@ -218,11 +214,15 @@ def learn(docs: DataFrame, number: dict[str, int]) -> tuple[list[str], np.ndarra
 
 
 class Detector:
-    """Languages and scores of Arrow batches of texts; a worker remembers its words' scores."""
+    """Languages and scores of Arrow batches of texts; a task remembers its words' scores."""
 
     def __init__(self, langs: list[str], prob: np.ndarray, number: dict[str, int]) -> None:
         self.langs, self.forward = langs, Forward(prob, number)
-        self.state = hashlib.blake2b(prob.tobytes() + repr(langs).encode()).digest()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index: dict[str, int] = defaultdict(count().__next__)
+        self.table = np.zeros((0, len(self.langs)))
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n, wide = len(texts), len(self.langs)
@@ -230,15 +230,13 @@ class Detector:
         filled = np.diff(stops) > 0
         if not wide:
             return [UNDETERMINED] * n, np.zeros(n)
-        index, table = _held.get(self.state) or (None, None)
-        if index is None or len(index) > WORDS_HELD:
-            index, table = defaultdict(count().__next__), np.zeros((0, wide))
+        if len(self.index) > WORDS_HELD:
+            self._reset()
+        index = self.index
         known = len(index)
         at = np.fromiter(map(index.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(words.dictionary))
         new = list(islice(reversed(index), len(index) - known))[::-1]
-        table = np.concatenate((table, *(self.forward.scores(new[k : k + 20_000]) for k in range(0, len(new), 20_000))))
-        _held.clear()
-        _held[self.state] = (index, table)
+        table = self.table = np.concatenate((self.table, *(self.forward.scores(new[k : k + 5_000]) for k in range(0, len(new), 5_000))))
         total = np.zeros((n, wide))
         if filled.any():
             total[filled] = np.add.reduceat(table[at[words.indices.to_numpy()]], stops[:-1][filled])
@@ -246,7 +244,7 @@ class Detector:
         return [self.langs[b] if f else UNDETERMINED for b, f in zip(total.argmax(1), filled, strict=True)], score
 
 
-def _cut_batches(rows: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _cut_batches(rows: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` text bytes, one row at least."""
     for batch in rows:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
