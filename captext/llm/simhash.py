@@ -20,6 +20,8 @@ SEGMENTS = 16
 SLOTS = 512
 BANDS = 32
 ROWS = 4
+#: Members of a band key that meet each other in one group of rows at most (twice as many between two blocks).
+BLOCK = 1024
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, lower: bool = True) -> int:
@@ -152,14 +154,79 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return ((x == y) & (x > 0)).sum(1) / np.maximum(1, ((x > 0) | (y > 0)).sum(1))
 
 
+def _likely(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether each pair of sketch rows may be `least` similar: a shared share of slots, less 5 standard errors and 2 slots, reaches it."""
+    shared, filled = ((x == y) & (x > 0)).sum(-1), ((x > 0) | (y > 0)).sum(-1)
+    return shared + 2 >= (least - 0.1) * filled
+
+
+def _meet(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of different components in one group of _block_pairs() that may be similar: across its two blocks, or all of one."""
+    found = []
+    first = np.flatnonzero(blocks == blocks.min())
+    other = np.flatnonzero(blocks != blocks.min())
+    for k, i in enumerate(first):
+        rest = other if len(other) else first[k + 1 :]
+        rest = rest[comps[rest] != comps[i]]
+        if len(rest):
+            for j in rest[_likely(rows[i], rows[rest], least)]:
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return found
+
+
+def _block_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ids of different components under one key whose sketches don't exclude `least`.
+
+    members: key, id, component, sketch. A key's members are dealt by hash to
+    blocks of about BLOCK, each two of which meet in one group of rows, so a
+    common key is shared out and its pairs are compared, but not made into rows.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with")).select("key", "low", "high", "own", "id", "component", "sketch")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None and held.num_rows else table
+            group = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
+            starts = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1))
+            held = table.slice(starts[-1])
+            yield _compared(table.slice(0, starts[-1]), starts)
+        if held is not None:
+            yield _compared(held, np.zeros(1, np.int64))
+
+    def _compared(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+        if table.num_rows:
+            ids, comps, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
+            slots = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, SLOTS)
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=False):
+                if b > a + 1:
+                    found += _meet(ids[a:b], comps[a:b], own[a:b], slots[a:b], least)
+        made = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Per document: doc_id and component_id, over links between texts whose shingles' Jaccard similarity is `least` or more.
 
     Candidates are fingerprints within two bits (close_pairs) and, for similar
     texts whose fingerprints differ more, each document with the first one that
-    has a key of BANDS in common; all are checked by sketches of SLOTS slots, which
-    are all but exact for texts of fewer shingles. Equal sketches are one point.
-    Texts without a word are equal. A row with a null doc_id is alone.
+    has a key of BANDS in common. Where that leaves members of a key in several
+    groups, all of its members of different groups meet too (_block_pairs), so
+    that no pair with a common key goes uncompared. All are checked by sketches of
+    SLOTS slots, which are all but exact for texts of fewer shingles. Equal
+    sketches are one point. Texts without a word are equal. A row with a null
+    doc_id is alone.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +263,14 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     level = points.join(one.select("fp", F.col("id").alias("a")), "fp").where("a < id").select("a", F.col("id").alias("b"))
     pairs = cut(pairs.union(near).union(level).distinct())
     left, right = firsts.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), firsts.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
-    joined = connected_components(links, "a", "b")
+    links = lambda p: p.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    linked = cut(links(pairs))
+    joined = connected_components(linked, "a", "b")
+    shared = keyed.join(heads.select("key"), "key").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    apart = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    members = cut(shared.join(apart, "key")).join(firsts.select("id", "sketch"), "id")
+    more = cut(_block_pairs(members, least))
+    joined = connected_components(linked.union(links(more)), "a", "b")
     groups = points.join(joined, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("component_id"))
     return found.select("doc_id", same.alias("h")).join(groups, "h").select("doc_id", "component_id")
 
