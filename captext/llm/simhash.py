@@ -148,12 +148,6 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
     return fine.tobytes(), keys ^ (keys >> np.uint64(29))
 
 
-def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """The Jaccard similarity of the shingles of pairs of sketches: shared slots over filled ones."""
-    x, y = (np.frombuffer(b"".join(v), "<u2").reshape(-1, SLOTS) for v in (a, b))
-    return ((x == y) & (x > 0)).sum(1) / np.maximum(1, ((x > 0) | (y > 0)).sum(1))
-
-
 def _likely(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Whether each pair of sketch rows may be `least` similar: a shared share of slots, less 5 standard errors and 2 slots, reaches it."""
     shared, filled = ((x == y) & (x > 0)).sum(-1), ((x > 0) | (y > 0)).sum(-1)
@@ -216,6 +210,31 @@ def _block_pairs(members: DataFrame, least: float) -> DataFrame:
     return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of `least` or more.
+
+    Only texts of a pair are shuffled, and hashed again here: they take less room than their hashes.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, x = None, np.empty(0, np.uint64)
+        for batch in rows:
+            good = []
+            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                if ta.as_py() != known:
+                    known = ta.as_py()
+                    x = np.unique(_hashes(known, shingle))
+                y = np.unique(_hashes(tb.as_py(), shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                every = len(x) + len(y) - both
+                good.append(not every or both / every >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").cast("binary").alias(f"t{name}"))
+    some = own("a").join(pairs.select("a").distinct(), "a", "left_semi"), own("b").join(pairs.select("b").distinct(), "b", "left_semi")
+    return pairs.join(some[1], "b").join(some[0], "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Per document: doc_id and component_id, over links between texts whose shingles' Jaccard similarity is `least` or more.
 
@@ -224,36 +243,38 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     has a key of BANDS in common. Where that leaves members of a key in several
     groups, all of its members of different groups meet too (_block_pairs), so
     that no pair with a common key goes uncompared. All are checked by sketches of
-    SLOTS slots, which are all but exact for texts of fewer shingles. Equal
-    sketches are one point. Texts without a word are equal. A row with a null
-    doc_id is alone.
+    SLOTS slots, which only discard pairs that are clearly less similar, and then
+    by the shingles of both whole texts (_alike). Equal sets of shingles are one
+    point. Texts without a word are equal. A row with a null doc_id is alone.
     """
 
+    from xxhash import xxh3_128_digest
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            fps, fine, keys = [], [], []
+            fps, sets, fine, keys = [], [], [], []
             for t in batch.column("text").cast(pa.large_binary()).to_pylist():
                 h = _hashes(t, shingle)
                 if not len(h):
                     h = np.zeros(1, np.uint64)
                 ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
                 fps.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
+                sets.append(xxh3_128_digest(np.unique(h).tobytes()))
                 own, bands = sketch(h)
                 fine.append(own)
                 keys.append(bands.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "fp", "h", "sketch", "keys"])
 
     def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            good = similarity(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()) >= least
+            good = _likely(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("sa", "sb")), least)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, sketch binary, keys array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>")
     path = scratch(docs.sparkSession, "sketches")
     found.write.parquet(path)
     found = docs.sparkSession.read.parquet(path)
-    same = F.xxhash64("fp", "sketch")
-    points = cut(found.groupBy(same.alias("h")).agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    points = cut(found.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
     firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys"))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -263,16 +284,17 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     level = points.join(one.select("fp", F.col("id").alias("a")), "fp").where("a < id").select("a", F.col("id").alias("b"))
     pairs = cut(pairs.union(near).union(level).distinct())
     left, right = firsts.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), firsts.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    links = lambda p: p.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
-    linked = cut(links(pairs))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    likely = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+    linked = cut(_alike(likely, texts, shingle, least))
     joined = connected_components(linked, "a", "b")
     shared = keyed.join(heads.select("key"), "key").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     apart = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     members = cut(shared.join(apart, "key")).join(firsts.select("id", "sketch"), "id")
     more = cut(_block_pairs(members, least))
-    joined = connected_components(linked.union(links(more)), "a", "b")
+    joined = connected_components(linked.union(_alike(more, texts, shingle, least)), "a", "b")
     groups = points.join(joined, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("component_id"))
-    return found.select("doc_id", same.alias("h")).join(groups, "h").select("doc_id", "component_id")
+    return found.select("doc_id", "h").join(groups, "h").select("doc_id", "component_id")
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -60,3 +60,25 @@ def test_blocks_of_a_common_key(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     texts = crowd(random.Random(8), 5)
     assert groups(spark, texts) == plain_groups(texts)
+
+
+def test_links_near_the_threshold(spark):
+    """Pairs of 1,996 shingles from 0.77 to 0.83 link from 0.8 on and not below, and so do those of a few words."""
+    rng, texts = random.Random(9), {}
+    for k in range(37, 52):
+        own = words(rng, 2000)
+        other = list(own)
+        for at in rng.sample(range(2, 199), k):
+            other[at * 10] = words(rng, 1)[0]
+        texts |= {2 * k: " ".join(own), 2 * k + 1: " ".join(other)}
+    for n in range(5, 25):
+        own = words(rng, n)
+        texts |= {1000 + 3 * n: " ".join(own), 1001 + 3 * n: " ".join([*own, "more"]), 1002 + 3 * n: " ".join([*own[1:], "end"])}
+    alike = [similar(shingles(texts[2 * k]), shingles(texts[2 * k + 1])) for k in range(37, 52)]
+    assert 0.76 < min(alike) < 0.8 < max(alike) < 0.84
+    assert groups(spark, texts) == plain_groups(texts)
+
+
+def test_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert groups(spark, texts) == plain_groups(texts)
