@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ PARTITION_BYTES = 32 << 20
 SHARD_IDS = 1 << 22
 #: A pair becomes a rule if a round replaces it so often in the shard.
 LEAST_USES = 24
-#: Rounds of replacement; each counts the pairs of what the last one left.
-ROUNDS = 2
+#: Rules of a shard at most, more than LEAST_USES of each lets a shard have.
+MOST_RULES = 1 << 20
 
 SHARD = T.StructType(
     [
@@ -46,25 +47,26 @@ SHARD = T.StructType(
 ORDER = "part * 2147483648L + seq"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int, least: int = LEAST_USES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int, least: int = LEAST_USES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: (symbols, marks of documents' last symbols, rules as rows of two symbols).
 
     A round counts all adjacent pairs inside documents and replaces every pair
     found `least` times or more, from left to right without overlap, the more
-    frequent of two overlapping pairs first where their runs meet. A rule's
-    symbols are ids or earlier rules.
+    frequent of two overlapping pairs first where their runs meet. Rounds go on
+    until one replaces no pair so often, or for `rounds`. A rule's symbols are
+    ids or earlier rules.
     """
-    # A pair is one number of twice a symbol's bits; a slot of the table below is its Fibonacci hash.
-    bits = 16 if first_rule + most_rules <= 1 << 16 else 32
-    wide = np.uint32 if bits == 16 else np.uint64
-    half, low, mix = wide(bits), wide((1 << bits) - 1), wide(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
-    slot = lambda k: ((k * mix) >> wide(2 * bits - 17)).astype(np.int32)
-    seq, last = ids.astype(np.uint16 if bits == 16 else np.uint32), last.copy()
+    seq, last = ids.astype(np.uint16 if first_rule <= 1 << 16 else np.uint32), last.copy()
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2 or n_rules >= most_rules:
             break
+        # A pair is one number of twice a symbol's bits; a slot of the table below is its Fibonacci hash.
+        bits = 16 if first_rule + n_rules <= 1 << 16 else 32
+        wide = np.uint32 if bits == 16 else np.uint64
+        half, low, mix = wide(bits), wide((1 << bits) - 1), wide(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
+        slot = lambda k: ((k * mix) >> wide(2 * bits - 17)).astype(np.int32)  # noqa: B023, E731
         key = seq[:-1].astype(wide)
         key <<= half
         key |= seq[1:]
@@ -103,6 +105,8 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int,
         good = uses >= least
         if not good.any():
             break
+        if first_rule + n_rules + good.sum() > 1 << 16:
+            seq = seq.astype(np.uint32)
         number = (np.cumsum(good) - 1 + first_rule + n_rules).astype(seq.dtype)
         places, rule = places[good[rule]], rule[good[rule]]
         seq[places] = number[rule]
@@ -134,8 +138,7 @@ def _shard(part: int, seq: int, docs: list, held: list[np.ndarray], n_vocab: int
     ids = np.concatenate(held)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(tokens)[tokens > 0] - 1] = True
-    room = (1 << 16) - n_vocab
-    symbols, ends, rules = repair(ids, last, n_vocab, room if room > 0 else 1 << 20)
+    symbols, ends, rules = repair(ids, last, n_vocab, MOST_RULES)
     _, stops = expansions(rules, n_vocab)
     cut = np.zeros(len(tokens), np.int64)
     cut[tokens > 0] = np.diff(np.append(0, np.flatnonzero(ends) + 1))
