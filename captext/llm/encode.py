@@ -33,11 +33,12 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Encodes lists of texts into arrays of ids, without special tokens.
+    """Encodes lists of texts into arrays of ids; none are added at the ends.
 
     Byte-level tokenizers split before every single space, so a word keeps its
     ids wherever it stands; those of a worker's words are remembered. Other
-    tokenizers, and texts with uneven white space, are encoded in one piece.
+    tokenizers, and texts with uneven white space or the name of an added token
+    (which has an id of its own), are encoded in one piece.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,13 +46,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
+        self.added = [t["content"] for t in made.get("added_tokens") or []]
         self.opens = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.opens[i] = piece[:1] == "Ġ"
@@ -71,6 +72,8 @@ class Encoder:
         texts = texts.cast(pa.large_string())
         some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
         even = pc.and_(some, pc.fill_null(pc.invert(pc.match_substring_regex(texts, UNEVEN)), False)) if self.by_word else pa.array([False] * len(texts))
+        for name in self.added:
+            even = pc.and_(even, pc.fill_null(pc.invert(pc.match_substring(texts, name)), False))
         rest = pc.and_(some, pc.invert(even))
         for i, ids in zip(np.flatnonzero(rest), self.whole(texts.filter(rest).to_pylist()), strict=True):
             out[i] = ids

@@ -31,9 +31,7 @@ def texts(docs):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BYTES)
 
 
 def crc(ids) -> int:
@@ -76,7 +74,7 @@ def test_uneven_white_space(tokenizer):
     from captext.llm.encode import Encoder
 
     enc = Encoder(BYTES)
-    some = ["", None, "a  b", " a", "a ", "a  b", "a b\n c", "it's, 'quoted'. x1y2 ... end!!", "<|endoftext|> x", "the cat\nthe cat. the", "naïve—café ☃☃ 12,000.50|"]
+    some = ["", None, "a  b", " a", "a ", "a  b", "a b\n c", "it's, 'quoted'. x1y2 ... end!!", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|>b c", "the cat\nthe cat. the", "naïve—café ☃☃ 12,000.50|"]
     for text, ids in zip(some, enc(pa.array(some)), strict=True):
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
