@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from captext.session import cut
 
@@ -146,6 +147,68 @@ def _scan(texts: list[bytes], group: list[tuple[int, int, int, int]], shape: Sha
     return facts[:, 0], place, left, right, h[q], _words_hash(context.view(np.uint64), left * 256 + right)
 
 
+def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes in order, and how many bytes each shares with the one before it (0 first).
+
+    Multikey quicksort with characters of eight bytes: rows are parted by one
+    word, and only runs of equal ones go on to the next word.
+    """
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.argsort(words[:, 0], kind="stable")
+    opens = np.concatenate(([True], words[order[1:], 0] != words[order[:-1], 0]))[:n]
+    for k in range(1, words.shape[1]):
+        tied = ~opens
+        tied[:-1] |= ~opens[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        run, own = np.cumsum(opens)[at], order[at]
+        own = own[np.lexsort((words[own, k], run))]
+        order[at] = own
+        opens[at[1:]] |= (run[1:] == run[:-1]) & (words[own[1:], k] != words[own[:-1], k])
+    shared = np.zeros(n, np.int64)
+    for a in range(1, n, 8192):
+        differ = rows[order[a : a + 8192]] != rows[order[a - 1 : min(n, a + 8192) - 1]]
+        shared[a : a + 8192] = np.where(differ.any(1), differ.argmax(1), width)
+    return order, shared
+
+
+def twins(before: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (row, o) of two kinds for the string that starts o bytes before a row's suffix: it equals that of an earlier row; it is
+    the first of its like here, but rows in other buckets may have it too.
+
+    before: the bytes before each suffix, nearest first, `left` of them true ones;
+    after: the suffix, as long as a string, `right` of it true. Rows stand in the
+    order of their places. Both sides are sorted once; rows share their last o
+    bytes before and first ones after exactly where no smaller shared length lies
+    between them in the orders, so that two class numbers stand for a string. Other
+    buckets hold suffixes below the first or above the last here, so only strings
+    that share all of their suffix with one of these two can be there.
+    """
+    n, least = after.shape
+    window = before.shape[1] + 1
+    twin, outside = np.zeros((n, window), bool), np.zeros((n, window), bool)
+    sides = [multikey_sort(x) for x in (before, after)]
+    number = np.empty((2, n), np.int64)
+    for o in range(window):
+        able = np.flatnonzero((left >= o) & (right >= least - o))
+        if not len(able):
+            continue
+        for side, (order, shared), length in zip(number, sides, (o, least - o), strict=True):
+            side[order] = np.cumsum(shared < length)
+        ends = number[1, able]
+        value = ends * (n + 1) + number[0, able]
+        rank = np.argsort(value, kind="stable")
+        again = np.concatenate(([False], value[rank[1:]] == value[rank[:-1]]))
+        twin[able[rank[again]], o] = True
+        edge = (ends == number[1, sides[1][0][0]]) | (ends == number[1, sides[1][0][-1]])
+        outside[able, o] = edge & ~twin[able, o]
+    return twin, outside
+
+
 def _join_ranges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges [a, b) of each key merged where they touch; sorted."""
     order = np.lexsort((a, key))
@@ -164,6 +227,7 @@ def _join_ranges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 
 ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ord", "<i8"), ("pos", "<i8")])
 MARK = "ord long, kind byte, a long, b long"
+EDGES = pa.schema([("ord", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("string", pa.binary())])
 
 
 def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -176,12 +240,13 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
 
     A suffix is kept at each anchor (see anchors()). Tasks drop suffixes whose
     whole context they saw earlier; the others meet by their lead's hash, and
-    later copies of a context are settled there. Where one lead has several
-    contexts, these are fetched and range-partitioned by sampled splitters on the
-    lead's bytes. A bucket sorts the strings at each distance before the lead by
-    a hash of their words and holds equal neighbours against the first of them
-    byte by byte; equal leads share a bucket, so no boundary parts them. All rows
-    of a lead with different contexts are in one task, about 300 bytes each.
+    later copies of a context are settled there (equal lead and context hashes,
+    128 bits, stand for equal bytes). Where one lead has several contexts, these
+    suffixes are fetched with the bytes before them and range-partitioned by
+    sampled splitters, so that a common lead is parted by what follows it. A bucket
+    sorts by multikey quicksort and finds equal strings by neighbours' shared
+    lengths, see twins(). Of strings that reach over a bucket's border the first
+    ones of all buckets meet by their 128-bit hash, and the earliest stays.
     """
     shape = Shape(least)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -259,16 +324,16 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
 
     def fetch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            leads, contexts, ords, places = [], [], [], []
+            after, before, ords, places = [], [], [], []
             for o, t, marks in zip(batch.column("_row_order").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("_row_marks"), strict=True):
                 values = marks.values
                 for pos in values.field("a").filter(pc.equal(values.field("kind"), 1)).to_pylist():
                     q, left, right = pos >> 16, pos >> 8 & 255, pos & 255
-                    leads.append(t[q : q + shape.lead])
-                    contexts.append(bytes(shape.left - left) + t[q - left : q + right] + bytes(shape.least - right))
+                    after.append(t[q : q + right] + bytes(shape.least - right))
+                    before.append(t[q - left : q][::-1] + bytes(shape.left - left))
                     ords.append(o)
                     places.append(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), pa.array(contexts, pa.binary()), pa.array(ords, pa.int64()), pa.array(places, pa.int64())], ["lead", "context", "ord", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array(ords, pa.int64()), pa.array(places, pa.int64())], ["after", "before", "ord", "pos"])
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(rows))
@@ -276,39 +341,49 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
         if not n:
             return
         ords, pos = table.column("ord").to_numpy(), table.column("pos").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(n, shape.context)
         order = np.lexsort((pos, ords))
-        ords, pos, raw = ords[order], pos[order], raw[order]
-        left, right = pos >> 8 & 255, pos & 255
-        twin = np.zeros((n, shape.window), bool)
-        for o in range(shape.window):
-            able = np.flatnonzero((left >= o) & (right >= shape.least - o))
-            if len(able) < 2:
-                continue
-            string = np.ascontiguousarray(raw[able, shape.left - o : shape.context - o])
-            words = np.concatenate((string, np.zeros((len(able), -shape.least % 8), np.uint8)), 1).view(">u8")
-            # Sorted by a first word that stands for all, earlier starts first where equal; then each is held against the first of its run.
-            value = _words_hash(words.astype(np.uint64), np.zeros(len(able), np.int64))
-            rank = np.argsort(value, kind="stable")
-            new = np.concatenate(([True], value[rank][1:] != value[rank][:-1]))
-            first = rank[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = rank[~new]
-            equal = (words[later] == words[first[~new]]).all(1)
-            twin[able[later[equal]], o] = True
+        ords, pos = ords[order], pos[order]
+        after, before = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(n, -1)[order] for c in ("after", "before"))
+        twin, outside = twins(before, after, pos >> 8 & 255, pos & 255)
         row, o = np.nonzero(twin)
         place = (pos >> 16)[row] - o
         key, a, b = _join_ranges(ords[row], place, place + shape.least)
-        yield _marks(key, 0, a, b)
+        yield _edges(key, a, b, None)
+        row, o = np.nonzero(outside)
+        for k in range(0, len(row), 100_000):
+            i, j = row[k : k + 100_000], o[k : k + 100_000]
+            place = (pos >> 16)[i] - j
+            strings = [xxh3_128_digest(before[x, :y][::-1].tobytes() + after[x, : shape.least - y].tobytes()) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            yield _edges(ords[i], place, place + shape.least, strings)
+
+    def across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in rows:
+            inner = pc.is_null(batch.column("string"))
+            own, rest = batch.filter(inner), batch.filter(pc.invert(inner))
+            yield _marks(own.column("ord").to_numpy(), 0, own.column("a").to_numpy(), own.column("b").to_numpy())
+            held.append(rest)
+        rest = pa.Table.from_batches(held, EDGES).sort_by([("string", "ascending"), ("ord", "ascending"), ("a", "ascending")]).combine_chunks()
+        if rest.num_rows > 1:
+            ords, starts, ends = (rest.column(c).to_numpy() for c in ("ord", "a", "b"))
+            strings = rest.column("string").chunk(0)
+            opens = np.concatenate(([True], pc.not_equal(strings[1:], strings[:-1]).to_numpy(zero_copy_only=False)))
+            first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+            # A string of one byte over and over has several anchors, so that its first place may stand there twice.
+            later = (ords != ords[first]) | (starts != starts[first])
+            yield _marks(ords[later], 0, starts[later], ends[later])
 
     # Every branch takes the same columns, so that one exchange of the texts serves them all.
     packed = frame.mapInArrow(find, "part int, kind byte, rows binary").repartitionById(parts, F.col("part"))
     settled = packed.mapInArrow(settle, MARK).repartition(parts, "ord")
     marks = settled.groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_marks"))
     asked = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_row_mark"), F.col("_row_order") == F.col("_row_mark"))
-    contexts = asked.mapInArrow(fetch, "lead binary, context binary, ord long, pos long").repartitionByRange(parts, "lead")
-    strings = contexts.mapInArrow(compare, MARK).repartition(parts, "ord").groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_more"))
+    contexts = asked.mapInArrow(fetch, "after binary, before binary, ord long, pos long").repartitionByRange(parts, "after", "before")
+    edges = contexts.mapInArrow(compare, "ord long, a long, b long, string binary")
+    found = edges.repartition(parts, F.when(F.col("string").isNull(), F.col("ord")).otherwise(F.xxhash64("string"))).mapInArrow(across, MARK)
+    more = found.repartition(parts, "ord").groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_more"))
     both = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_row_mark"), F.col("_row_order") == F.col("_row_mark"), "left")
-    both = both.join(strings.hint("shuffle_hash").withColumnRenamed("ord", "_row_other"), F.col("_row_order") == F.col("_row_other"), "left")
+    both = both.join(more.hint("shuffle_hash").withColumnRenamed("ord", "_row_other"), F.col("_row_order") == F.col("_row_other"), "left")
     ranges = F.concat(F.coalesce("_row_marks", F.array().cast("array<struct<kind:tinyint,a:bigint,b:bigint>>")), F.coalesce("_row_more", F.array().cast("array<struct<kind:tinyint,a:bigint,b:bigint>>")))
     spans = F.array_sort(F.transform(F.filter(ranges, lambda x: x["kind"] == 0), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
     return both.select(*docs.columns, "_row_order", spans.alias("_row_spans"))
@@ -322,6 +397,10 @@ def _marks(ords: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(ords.astype(np.int64)), pa.array(np.full(len(ords), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["ord", "kind", "a", "b"])
 
 
+def _edges(ords: np.ndarray, a: np.ndarray, b: np.ndarray, strings: list[bytes] | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (ords, a, b)), pa.nulls(len(ords), pa.binary()) if strings is None else pa.array(strings, pa.binary())], schema=EDGES)
+
+
 def _merged(column: pa.Array) -> list[list[tuple[int, int]]]:
     """Each row's sorted ranges, merged where they touch."""
     offsets = column.offsets.to_numpy()

@@ -44,7 +44,7 @@ def test_repair_round_trip():
         ids = rng.integers(0, 6, int(rng.integers(1, 3000))).astype(np.uint16)
         last = rng.random(len(ids)) < 0.02
         last[-1] = True
-        symbols, ends, made = tokens.repair(ids, last, 10, 500, least=2, rounds=6)
+        symbols, ends, made = tokens.repair(ids, last, 10, 500, least=2)
         flat, stops = tokens.expansions(made, 10)
         lengths = np.diff(stops)[symbols]
         assert (np.concatenate([flat[stops[s] : stops[s + 1]] for s in symbols]) == ids).all()
@@ -160,6 +160,34 @@ def test_substrings_over_partitions(spark, monkeypatch):
         assert {r.doc_id: tuple(r)[1:] for r in substrings.repeats_removed(table, least).collect()} == removed(rows, least)
 
 
+def test_a_common_lead_over_many_buckets(spark, monkeypatch):
+    """One passage of 30 to 150 bytes in every document, with bytes of few kinds around it, parted by many splitters."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh ", k=150))
+    rows = {}
+    for i in range(150):
+        a = rng.randrange(60)
+        own = lambda: "".join(rng.choices("xy", k=rng.choice((3, 7, 120))))
+        rows[i] = own() + passage[a : a + rng.choice((30, 60, 90))] + own()
+    monkeypatch.setattr(substrings, "PARTITION_BYTES", 1_000)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in substrings.repeats_removed(table, 40).collect()} == removed(rows, 40)
+
+
+def test_multikey_sort():
+    rng = np.random.default_rng(5)
+    for width in (8, 13, 40):
+        rows = rng.integers(0, 2, (300, width)).astype(np.uint8)
+        rows[100:200] = rows[:100]
+        rows[200:] = rows[0]
+        rows[250:, width // 2 :] = 1
+        order, shared = substrings.multikey_sort(rows)
+        made = [rows[i].tobytes() for i in order]
+        assert made == sorted(r.tobytes() for r in rows) and shared[0] == 0
+        for a, b, n in zip(made, made[1:], shared[1:], strict=False):
+            assert a[:n] == b[:n] and (n == width or a[n] != b[n])
+
+
 def test_without_repeats_keeps_characters(spark):
     passage = "".join(random.Random(0).choices("éàüßñ", k=150))
     table = spark.createDataFrame([(0, passage + " one", "x"), (1, "two " + passage, "y")], "doc_id long, text string, lang string")
