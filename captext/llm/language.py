@@ -18,13 +18,13 @@ from captext.session import cut
 LEARN_DOCS = 2_000
 ROUNDS = 2
 FOLDS = 5
-#: Longest piece, and characters of a word that are segmented together; longer words are cut.
+#: Longest piece, and characters of a word after which the sums are scaled anew.
 LONGEST = 16
 SPAN = 32
 #: Words whose scores a task remembers before it starts afresh.
 WORDS_HELD = 300_000
-#: Expected uses that each piece and language starts from, and the probability of an unknown character.
-PRIOR = 0.1
+#: Share of every language's probability that all pieces have alike, seen or not, and the probability of an unknown character.
+UNSEEN = 0.002
 UNKNOWN = 1e-6
 UNDETERMINED = "und"
 
@@ -44,10 +44,7 @@ def pieces(path: str) -> dict[str, int]:
 
 
 def lattice(words: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of all words' segmentations: word, start, end, piece (-1: one unknown character), and the words' lengths.
-
-    A word of more than SPAN characters has a single edge where two of its spans meet.
-    """
+    """Edges of all words' segmentations: word, start, end, piece (-1: one unknown character), and the words' lengths."""
     w, s, e, p = [], [], [], []
     lengths = np.zeros(len(words), np.int64)
     get = number.get
@@ -55,8 +52,7 @@ def lattice(words: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.nd
         text = "▁" + word
         m = lengths[i] = len(text)
         for a in range(m):
-            last = min(m, a + LONGEST, (a // SPAN + 1) * SPAN)
-            for b in range(a + 1, last + 1):
+            for b in range(a + 1, min(m, a + LONGEST) + 1):
                 k = get(text[a:b])
                 if k is None:
                     if b > a + 1:
@@ -73,7 +69,9 @@ class Forward:
     """Sums over all segmentations of words, for all languages at once.
 
     prob: a row for each piece, the last for an unknown character; a column for
-    each language. Values are scaled by SPAN-long stretches, so none underflows.
+    each language. A word's sums are divided by their own value at every SPAN-th
+    character, so that none underflows, however long the word; pieces across such
+    a place take the ratio of the two scales.
     """
 
     def __init__(self, prob: np.ndarray, number: dict[str, int]) -> None:
@@ -86,63 +84,64 @@ class Forward:
         return word, base[word] + start, base[word] + end, piece, lengths, base, end, order
 
     def _alpha(self, made) -> tuple[np.ndarray, np.ndarray]:
-        """Forward sums by node, each stretch of SPAN characters starting from 1, and the log of what was taken out, by node."""
+        """Scaled forward sums by node, and the logarithm of each node's scale."""
         word, a, b, piece, lengths, base, end, order = made
         alpha = np.zeros((base[-1], self.prob.shape[1]))
-        taken = np.zeros_like(alpha)
+        scale = np.zeros_like(alpha)
         alpha[base[:-1]] = 1.0
+        far = (end - (b - a)) // SPAN < (end - 1) // SPAN  # from a stretch before that of the character before the end
         bounds = np.searchsorted(end[order], np.arange(1, (lengths.max() if len(lengths) else 0) + 2))
         for k in range(len(bounds) - 1):
             at = order[bounds[k] : bounds[k + 1]]
             if not len(at):
                 continue
+            # All these edges end at place k + 1 of their words; the scale is that of the place before.
+            here = scale[b[at] - 1]
             value = alpha[a[at]] * self.prob[piece[at]]
-            nodes, first = np.unique(b[at], return_index=True) if (np.diff(b[at]) >= 0).all() else (None, None)
-            if nodes is None:
-                np.add.at(alpha, b[at], value)
-                nodes = np.unique(b[at])
-            else:
+            if far[at].any():
+                value *= np.exp(scale[a[at]] - here)
+            if (np.diff(b[at]) >= 0).all():
+                nodes, first = np.unique(b[at], return_index=True)
                 alpha[nodes] = np.add.reduceat(value, first)
-            # All nodes here have the same place in their words, so they start a new stretch together.
+            else:
+                nodes = np.unique(b[at])
+                np.add.at(alpha, b[at], value)
+            scale[nodes] = scale[nodes - 1]
             if (k + 1) % SPAN == 0:
-                scale = np.maximum(alpha[nodes], 1e-300)
-                taken[nodes] = np.log(scale) + taken[nodes - SPAN]
+                total = np.maximum(alpha[nodes], 1e-300)
+                scale[nodes] += np.log(total)
                 alpha[nodes] = 1.0
-        return alpha, taken
+        return alpha, scale
 
     def scores(self, words: list[str]) -> np.ndarray:
         """log P(word | language): a row for each word."""
         if not words:
             return np.zeros((0, self.prob.shape[1]))
         made = self._lattice(words)
-        alpha, taken = self._alpha(made)
-        ends, lengths = made[5][1:] - 1, made[4]
-        whole = ends - lengths % SPAN
-        return np.log(np.maximum(alpha[ends], 1e-300)) + np.where((lengths % SPAN == 0)[:, None], taken[ends], taken[whole])
+        alpha, scale = self._alpha(made)
+        ends = made[5][1:] - 1
+        return np.log(np.maximum(alpha[ends], 1e-300)) + scale[ends]
 
     def uses(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece (a row, the last the unknown one) in words with weights by language."""
         made = self._lattice(words)
         word, a, b, piece, lengths, base, end, order = made
-        alpha, _ = self._alpha(made)
+        alpha, scale = self._alpha(made)
+        # Backward sums over the word's probability, times the forward scale: an edge's share is alpha * step * beta.
         beta = np.zeros_like(alpha)
-        total = alpha.copy()
-        beta[base[1:] - 1] = 1.0
+        last = base[1:] - 1
+        beta[last] = 1 / np.maximum(alpha[last], 1e-300)
+        step = self.prob[piece]
+        far = (scale[a] != scale[b]).any(1)
+        step[far] *= np.exp(scale[a[far]] - scale[b[far]])
         start = end - (b - a)
         back = np.argsort(-start, kind="stable")
         bounds = np.searchsorted(-start[back], -np.arange(lengths.max() if len(lengths) else 0, -1, -1), side="left")
         bounds = np.append(bounds, len(back))
         for k in range(len(bounds) - 1):
             at = back[bounds[k] : bounds[k + 1]]
-            # At a stretch's border the forward sum was reset to 1, so is the backward one.
-            edge = end[at] % SPAN == 0
-            value = self.prob[piece[at]] * np.where(edge[:, None], 1.0, beta[b[at]])
-            np.add.at(beta, a[at], value)
-        # The sum of a stretch stands at its first node: what leads to a border starts there with alpha 1.
-        first = base[word] + start // SPAN * SPAN
-        closing = np.where((end % SPAN == 0)[:, None], 1.0, beta[b])
-        denominator = np.maximum(beta[first], 1e-300)
-        share = total[a] * self.prob[piece] * closing / denominator
+            np.add.at(beta, a[at], step[at] * beta[b[at]])
+        share = alpha[a] * step * beta[b]
         out = np.zeros(self.prob.shape)
         np.add.at(out, piece, share * weights[word])
         return out
@@ -205,10 +204,10 @@ def learn(docs: DataFrame, number: dict[str, int]) -> tuple[list[str], np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(out[piece, lang])], ["piece", "lang", "uses"])
 
         summed = counts.mapInArrow(expect, "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
-        uses = np.full(prob.shape, PRIOR)
-        uses[summed["piece"], summed["lang"]] += summed["uses"]
+        uses = np.zeros(prob.shape)
+        uses[summed["piece"], summed["lang"]] = summed["uses"]
         uses[-1] = 0
-        prob = uses / uses.sum(0)
+        prob = (1 - UNSEEN) * uses / np.maximum(uses.sum(0), 1e-300) + UNSEEN / len(number)
         prob[-1] = UNKNOWN
     return langs, prob
 
@@ -240,7 +239,8 @@ class Detector:
         total = np.zeros((n, wide))
         if filled.any():
             total[filled] = np.add.reduceat(table[at[words.indices.to_numpy()]], stops[:-1][filled])
-        score = np.where(filled, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+        mean = total / np.maximum(np.diff(stops), 1)[:, None]
+        score = np.where(filled, 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1), 0.0)
         return [self.langs[b] if f else UNDETERMINED for b, f in zip(total.argmax(1), filled, strict=True)], score
 
 
@@ -260,9 +260,11 @@ def detect_language(docs: DataFrame, vocabulary: str) -> DataFrame:
     docs needs doc_id, text and lang; only folds 1 to 4 are learned from. A word
     is a run of letters in lower case; a text's score is the sum over its words
     of log P(word | language), each the sum over all segmentations into pieces of
-    the vocabulary. lang_pred is the language of the greatest score, the first
-    by name where they tie, and score its posterior. `und` with score 0 if the
-    text is null or has no letter, or no language was learned.
+    the vocabulary. lang_pred is the language of the greatest sum, the first by
+    name where they tie. score is its posterior for the mean over the words, so
+    that it tells how clear the language is whatever the length; a text in letters
+    that no language has gets an equal share. `und` with score 0 if the text is
+    null or has no letter, or no language was learned.
     """
     number = pieces(vocabulary)
     detector = (*learn(docs.where(fold() > 0), number), number)
@@ -277,7 +279,7 @@ def detect_language(docs: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, vocabulary: str, least: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose language is found with a score of `least` or more. See detect_language()."""
     number = pieces(vocabulary)
     detector = (*learn(docs.where(fold() > 0), number), number)

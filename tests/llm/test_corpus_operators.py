@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -334,13 +335,13 @@ def test_language_sums_all_segmentations():
         text = "▁" + word
         ways = [np.zeros(2) for _ in text] + [np.ones(2)]
         for a in range(len(text) - 1, -1, -1):
-            for b in range(a + 1, min(len(text), a + language.LONGEST, (a // language.SPAN + 1) * language.SPAN) + 1):
+            for b in range(a + 1, min(len(text), a + language.LONGEST) + 1):
                 k = number.get(text[a:b], -1 if b == a + 1 else None)
                 if k is not None:
                     ways[a] = ways[a] + prob[k] * ways[b]
         return np.log(ways[0])
 
-    words = ["the", "nation", "a", "ß", "x" * 40, "theandtherefore" * 4, "a" * 31, "b" * 32, "中"]
+    words = ["the", "nation", "a", "ß", "x" * 40, "theandtherefore" * 4, "a" * 31, "b" * 32, "中", "unknownß" * 9]
     forward = language.Forward(prob, number)
     assert np.allclose(forward.scores(words), [brute(w) for w in words])
     uses = forward.uses(words, np.ones((len(words), 2)))
@@ -356,3 +357,41 @@ def test_language(docs):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert np.mean([known[r.doc_id] == r.lang_pred for r in held]) > 0.95
+
+
+def test_no_clear_language_goes(spark, docs):
+    """Of clean documents all stay; null, letterless, unlearned and evenly mixed texts go."""
+    by = {lang: [r.text for r in docs.where(docs.lang == lang).limit(3).collect()] for lang in ("en", "de")}
+    mixed = " ".join(w for pair in zip(by["en"][0].split()[:40], by["de"][0].split()[:40], strict=True) for w in pair)
+    more = [(-1, None), (-2, "12 - 34"), (-3, "中文和日文之间没有空格" * 20), (-4, "Привет мир и все остальные")]
+    table = docs.unionByName(spark.createDataFrame([(i, t, None, "x", 0) for i, t in more], docs.schema))
+    kept = {r.doc_id for r in language.known_language(table, PIECES).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+    rows = {r.doc_id: r for r in language.detect_language(table.unionByName(spark.createDataFrame([(-5, mixed, None, "x", 0)], docs.schema)), PIECES).collect()}
+    assert rows[-5].score < min(r.score for d, r in rows.items() if d >= 0)
+
+
+def test_language_scores_by_hand(docs):
+    """Every document's score by plain sums over plain words, from the pieces learned in Spark."""
+    number = language.pieces(PIECES)
+    langs, prob = language.learn(docs.where(language.fold() > 0), number)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.detect_language(docs, PIECES).collect()}
+    known = {}
+
+    def word_sums(word):
+        if word not in known:
+            text = "▁" + word
+            ways = [np.ones(len(langs))] + [np.zeros(len(langs)) for _ in text]
+            for b in range(1, len(text) + 1):
+                for a in range(max(0, b - language.LONGEST), b):
+                    k = number.get(text[a:b], -1 if b == a + 1 else None)
+                    if k is not None:
+                        ways[b] = ways[b] + ways[a] * prob[k]
+            known[word] = np.log(ways[-1])
+        return known[word]
+
+    for r in docs.limit(60).collect():
+        words = re.findall(r"[^\W\d_]+", r.text.lower())
+        total = sum(map(word_sums, words)) / len(words)
+        best = int(total.argmax())
+        assert got[r.doc_id][0] == langs[best] and got[r.doc_id][1] == pytest.approx(1 / np.exp(total - total[best]).sum())
