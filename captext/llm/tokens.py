@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,79 +45,112 @@ SHARD = T.StructType(
 ORDER = "part * 2147483648L + seq"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int, least: int = LEAST_USES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray, at: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs as one number, where each one's places start, places) of the pairs that start at the places `at`, in the order of pair and place."""
+    bits, room = np.uint64(n_symbols.bit_length()), np.uint64(len(seq).bit_length())
+    key = seq[at].astype(np.uint64)
+    key <<= bits
+    key |= seq[at + 1]
+    if 2 * int(bits) + int(room) <= 64:
+        # A pair and its place in one number: sorting numbers is several times faster than ordering places by them.
+        key <<= room
+        key |= at.astype(np.uint64)
+        key.sort()
+        places = (key & np.uint64((1 << int(room)) - 1)).astype(np.int64)
+        key >>= room
+    else:
+        order = np.argsort(key, kind="stable")
+        key, places = key[order], at[order]
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    return key[starts], starts, places
+
+
+def _apart(places: np.ndarray, rule: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Which of the places, in order, are replaced: of two neighbours the less frequent pair gives way, what is left of a run alternates."""
+    near = np.diff(places) == 1
+    weaker = np.zeros(len(places), bool)
+    own = strength[rule]
+    weaker[1:] |= near & (own[1:] < own[:-1])
+    weaker[:-1] |= near & (own[:-1] < own[1:])
+    at = np.flatnonzero(~weaker)
+    opens = np.concatenate((np.ones(min(1, len(at)), bool), np.diff(places[at]) != 1))
+    run = np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    out = np.zeros(len(places), bool)
+    out[at[run % 2 == 0]] = True
+    return out
+
+
+def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: (symbols, marks of documents' last symbols, rules as rows of two symbols).
 
-    A round counts all adjacent pairs inside documents and replaces every pair
-    found `least` times or more, from left to right without overlap, the more
-    frequent of two overlapping pairs first where their runs meet. Rounds go on
-    until one replaces no pair so often, or for `rounds`. A rule's symbols are
-    ids or earlier rules.
+    A round counts adjacent pairs inside documents and replaces every pair found
+    `least` times or more, from left to right without overlap, the more frequent
+    of two overlapping pairs first where their runs meet. Rounds go on until no
+    pair is found so often without overlap, or there are most_rules rules. After
+    the first only pairs with a symbol of the round before are counted, and those
+    that it left over: others can't have become more frequent. A rule's symbols
+    are ids or earlier rules.
     """
-    seq, last = ids.astype(np.uint16 if first_rule <= 1 << 16 else np.uint32), last.copy()
+    seq, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in count() if rounds is None else range(rounds):
-        if len(seq) < 2 or n_rules >= most_rules:
-            break
-        # A pair is one number of twice a symbol's bits; a slot of the table below is its Fibonacci hash.
-        bits = 16 if first_rule + n_rules <= 1 << 16 else 32
-        wide = np.uint32 if bits == 16 else np.uint64
-        half, low, mix = wide(bits), wide((1 << bits) - 1), wide(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
-        slot = lambda k: ((k * mix) >> wide(2 * bits - 17)).astype(np.int32)  # noqa: B023, E731
-        key = seq[:-1].astype(wide)
-        key <<= half
-        key |= seq[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(key[inside])
-        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(starts, len(ordered)))
-        keep = counts >= least
-        pairs, counts = ordered[starts[keep]], counts[keep]
-        if not len(pairs):
+    n_rules, at = 0, np.flatnonzero(~last[:-1])
+    while len(at) and n_rules < most_rules:
+        pairs, starts, places = _pairs(seq, at, first_rule + n_rules)
+        counts = np.diff(np.append(starts, len(places)))
+        keep = np.flatnonzero(counts >= least)
+        if len(keep) > most_rules - n_rules:
+            keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[: most_rules - n_rules]])
+        if not len(keep):
             break
-        if len(pairs) > most_rules - n_rules:
-            top = np.sort(np.argsort(-counts, kind="stable")[: most_rules - n_rules])
-            pairs, counts = pairs[top], counts[top]
-        # A direct table answers which places hold a chosen pair; a slot keeps its most frequent pair.
-        table, held = np.full(1 << 17, -1, np.int32), np.zeros(1 << 17, wide)
-        order = np.argsort(counts, kind="stable")
-        where = slot(pairs[order])
-        table[where] = order
-        held[where] = pairs[order]
-        at = slot(key)
-        places = np.flatnonzero((held[at] == key) & inside)
-        places = places[table[at[places]] >= 0]
-        rule = table[at[places]]
-        # Of two neighbours, the less frequent gives way; what is left of a run alternates.
-        strength = counts[rule]
-        near = np.diff(places) == 1
-        weaker = np.zeros(len(places), bool)
-        weaker[1:] |= near & (strength[1:] < strength[:-1])
-        weaker[:-1] |= near & (strength[:-1] < strength[1:])
-        places, rule = places[~weaker], rule[~weaker]
-        opens = np.concatenate((np.ones(min(1, len(places)), bool), np.diff(places) != 1))
-        run = np.arange(len(places)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
-        places, rule = places[run % 2 == 0], rule[run % 2 == 0]
-        uses = np.bincount(rule, minlength=len(pairs))
-        good = uses >= least
+        pairs, counts, some = pairs[keep], counts[keep], np.zeros(len(counts), bool)
+        some[keep] = True
+        both = places[np.repeat(some, np.diff(np.append(starts, len(places))))] << 32 | np.repeat(np.arange(len(keep)), counts)
+        both.sort()
+        places, rule = both >> 32, both & 0xFFFFFFFF
+        taken = _apart(places, rule, counts)
+        good = np.bincount(rule[taken], minlength=len(pairs)) >= least
         if not good.any():
-            break
-        if first_rule + n_rules + good.sum() > 1 << 16:
-            seq = seq.astype(np.uint32)
-        number = (np.cumsum(good) - 1 + first_rule + n_rules).astype(seq.dtype)
-        places, rule = places[good[rule]], rule[good[rule]]
-        seq[places] = number[rule]
-        last[places] |= last[places + 1]
+            # Pairs that only overlap each other: the most frequent one that is found often enough alone.
+            grouped = np.split(np.argsort(rule, kind="stable"), np.cumsum(counts)[:-1])
+            for k in np.argsort(-counts, kind="stable").tolist():
+                own = grouped[k]
+                alone = _apart(places[own], rule[own], counts)
+                if alone.sum() >= least:
+                    good[k], taken = True, np.zeros(len(places), bool)
+                    taken[own[alone]] = True
+                    break
+            else:
+                break
+        taken &= good[rule]
+        new = first_rule + n_rules
+        gone = places[taken] + 1
+        seq[places[taken]] = (new + np.cumsum(good) - 1)[rule[taken]]
+        last[places[taken]] |= last[gone]
+        look = np.zeros(len(seq), bool)
+        look[places] = True
         stay = np.ones(len(seq), bool)
-        stay[places + 1] = False
-        seq, last = seq[stay], last[stay]
+        stay[gone] = False
+        seq, last, look = seq[stay], last[stay], look[stay]
+        fresh = seq >= new
+        look |= fresh
+        look[:-1] |= fresh[1:]
+        look &= ~last
+        at = np.flatnonzero(look[:-1])
+        bits = np.uint64((first_rule + n_rules).bit_length())
         made = pairs[good]
-        rules.append(np.stack((made >> half, made & low), 1).astype(np.uint32))
+        rules.append(np.stack((made >> bits, made & np.uint64((1 << int(bits)) - 1)), 1).astype(np.uint32))
         n_rules += len(made)
     return seq, last, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
+def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """How many ids each rule expands to."""
+    out: list[int] = []
+    for left, right in rules.tolist():
+        out.append((out[left - first_rule] if left >= first_rule else 1) + (out[right - first_rule] if right >= first_rule else 1))
+    return np.array(out, np.int64)
+
+
 def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
     """All symbols' ids in a row and where each ends (0 first), for symbols below first_rule + len(rules)."""
     parts: list[np.ndarray] = []
@@ -139,13 +170,12 @@ def _shard(part: int, seq: int, docs: list, held: list[np.ndarray], n_vocab: int
     last = np.zeros(len(ids), bool)
     last[np.cumsum(tokens)[tokens > 0] - 1] = True
     symbols, ends, rules = repair(ids, last, n_vocab, MOST_RULES)
-    _, stops = expansions(rules, n_vocab)
     cut = np.zeros(len(tokens), np.int64)
     cut[tokens > 0] = np.diff(np.append(0, np.flatnonzero(ends) + 1))
     width = 2 if n_vocab + len(rules) <= 1 << 16 else 4
     return {
         "part": part, "seq": seq, "n_ids": len(ids), "doc_ids": docs, "doc_tokens": tokens.tolist(), "doc_symbols": cut.tolist(), "first_rule": n_vocab,
-        "rules": rules.astype("<u4").tobytes(), "lengths": np.diff(stops)[n_vocab:].astype("<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes(),
+        "rules": rules.astype("<u4").tobytes(), "lengths": rule_lengths(rules, n_vocab).astype("<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes(),
     }
 
 
