@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers before it starts afresh.
+#: Words that a worker remembers before it forgets those that it met least.
 WORDS_HELD = 500_000
 
 #: White space next to a space, or at either end: such a text is encoded in one piece.
@@ -60,9 +60,20 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = defaultdict(count().__next__)
+        self.uses = np.zeros(0, np.int64)
         self.flat = np.empty(0, self.dtype)
         self.ends = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Drop the words met once, then those met twice and so on, until half of WORDS_HELD are left."""
+        least = 2
+        while (keep := np.flatnonzero(self.uses >= least)).size > WORDS_HELD // 2:
+            least *= 2
+        words = list(self.index)
+        self.index = defaultdict(count(len(keep)).__next__, {words[i]: k for k, i in enumerate(keep.tolist())})
+        self.flat, self.ends = gather(self.flat, self.ends, keep)
+        self.uses = self.uses[keep] // 2
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -81,7 +92,7 @@ class Encoder:
         if not len(at):
             return out
         if len(self.index) > WORDS_HELD:
-            self._reset()
+            self._forget()
         words = pc.split_pattern(texts.filter(even), " ")
         opens = words.offsets.to_numpy()
         words = words.flatten()
@@ -93,6 +104,9 @@ class Encoder:
         self._learn(list(islice(reversed(self.index), len(self.index) - known))[::-1])
         index = number[distinct.indices.to_numpy()]
         index[opens[:-1]] = first
+        used = np.bincount(index, minlength=len(self.index))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         ids, ends = gather(self.flat, self.ends, index)
         stops = ends[opens]
         for i, a, b in zip(at.tolist(), stops[:-1].tolist(), stops[1:].tolist(), strict=True):
@@ -100,47 +114,61 @@ class Encoder:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        """Append the ids of new words; those after a space are encoded together.
+        """Append the ids of new words; those after a space are encoded together, one that none stands before (it ends in a space) alone.
 
-        Marks at a word's end form a piece of their own, so such a word is that
-        of its letters and that of the marks.
+        Marks after a word's last letter or digit, and a single line break between
+        other characters, form pieces of their own: such a word's ids are those of
+        its parts, which are known already or new in their turn.
         """
         if not words:
             return
-        first = [w[:-1] for w in words if w[-1] == " "]
-        inner = dict.fromkeys(w for w in words if w[-1] != " ")
-        parts: list[tuple[str, str]] = []
-        for w in inner:
-            stem = w.rstrip(MARKS)
-            parts.append((stem, w[len(stem) :]) if stem != w and stem[-1:].isalpha() else (w, ""))
-        stems = dict.fromkeys(a for a, _ in parts)
-        for place, a in enumerate(stems):
-            stems[a] = place
-        marks = {m: i for i, m in enumerate(dict.fromkeys(m for _, m in parts if m))}
-        known = list(stems)
-        tails = self.whole([" " + " ".join(known[k : k + 512]) for k in range(0, len(known), 512)])
-        heads = self.whole([*marks, *first])
-        flat = np.concatenate((*tails, *heads)) if tails or heads else np.empty(0, self.dtype)
-        n = sum(map(len, tails))
-        ends = np.concatenate((np.flatnonzero(self.opens[flat[:n]]), [n], n + np.cumsum([len(h) for h in heads], dtype=np.int64)))
-        # Two parts a word: its stem, and its marks or nothing; a first word is one part.
-        nothing = len(ends) - 1
-        ends = np.append(ends, ends[-1])
-        base = len(known)
-        index = np.full((len(words), 2), nothing, np.int64)
-        inner_at = iter(parts)
-        head_at = iter(range(base + len(marks), nothing))
-        for row, w in enumerate(words):
-            if w[-1] == " ":
-                index[row, 0] = next(head_at)
+        known, get = len(self.ends) - 1, self.index.get
+        inner: dict[str, int] = {}
+        heads: dict[str, int] = {}
+        parts: list[int] = []
+        counts: list[int] = []
+
+        def add(body: str, first: bool) -> int:
+            """Put down the parts of a word without line breaks: a known word's number, or one beyond, even for inner and odd for head parts."""
+            stem = body.rstrip(MARKS)
+            cut = stem != body and stem[-1:].isalnum()
+            own = stem if cut else body
+            k = get(own + " " if first else own, known)
+            new = heads if first else inner
+            parts.append(k if k < known else known + 2 * new.setdefault(own, len(new)) + first)
+            if cut:
+                parts.append(known + 2 * heads.setdefault(body[len(stem) :], len(heads)) + 1)
+            return 1 + cut
+
+        for w in words:
+            first = w[-1] == " "
+            body = w[:-1] if first else w
+            lines = body.split("\n") if "\n" in body else None
+            if lines is None:
+                counts.append(add(body, first))
+            elif all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                n = add(lines[0], first)
+                for x in lines[1:]:
+                    parts.append(known + 2 * heads.setdefault("\n", len(heads)) + 1)
+                    n += 1 + add(x, True)
+                counts.append(n)
             else:
-                a, m = next(inner_at)
-                index[row, 0] = stems[a]
-                if m:
-                    index[row, 1] = base + marks[m]
-        new, stops = gather(flat, ends, index.ravel())
+                new = heads if first else inner
+                parts.append(known + 2 * new.setdefault(body, len(new)) + first)
+                counts.append(1)
+        stems = list(inner)
+        tails = self.whole([" " + " ".join(stems[k : k + 512]) for k in range(0, len(stems), 512)])
+        alone = self.whole(list(heads))
+        n = sum(map(len, tails))
+        flat = np.concatenate((self.flat, *tails, *alone))
+        opens = np.flatnonzero(self.opens[flat[len(self.flat) : len(self.flat) + n]])
+        ends = np.concatenate((self.ends[:-1], self.ends[-1] + np.concatenate((opens, [n], n + np.cumsum([len(h) for h in alone], dtype=np.int64)))))
+        index = np.array(parts, np.int64)
+        beyond = index - known
+        index = np.where(beyond < 0, index, known + beyond // 2 + np.where(beyond % 2 == 1, len(stems), 0))
+        new, stops = gather(flat, ends, index)
         self.flat = np.concatenate((self.flat, new))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + stops[2::2]))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + stops[np.cumsum(counts)]))
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
