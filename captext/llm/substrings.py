@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from captext.llm.columns import set_aside
 from captext.session import cut
 
 #: Text bytes planned for a partition.
@@ -227,7 +228,8 @@ def _join_ranges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 
 ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("ord", "<i8"), ("pos", "<i8")])
 MARK = "ord long, kind byte, a long, b long"
-EDGES = pa.schema([("ord", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("string", pa.binary())])
+#: A string's hash and where it starts.
+EDGE = np.dtype([("high", "<u8"), ("low", "<u8"), ("ord", "<i8"), ("a", "<i8")])
 
 
 def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -348,30 +350,32 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
         row, o = np.nonzero(twin)
         place = (pos >> 16)[row] - o
         key, a, b = _join_ranges(ords[row], place, place + shape.least)
-        yield _edges(key, a, b, None)
+        yield from _dealt(0, key % parts, np.stack((key, a, b), 1).astype("<i8"))
         row, o = np.nonzero(outside)
-        for k in range(0, len(row), 100_000):
-            i, j = row[k : k + 100_000], o[k : k + 100_000]
-            place = (pos >> 16)[i] - j
-            strings = [xxh3_128_digest(before[x, :y][::-1].tobytes() + after[x, : shape.least - y].tobytes()) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            yield _edges(ords[i], place, place + shape.least, strings)
+        for k in range(0, len(row), 200_000):
+            i, j = row[k : k + 200_000], o[k : k + 200_000]
+            found = np.empty(len(i), EDGE)
+            strings = (xxh3_128_digest(before[x, :y][::-1].tobytes() + after[x, : shape.least - y].tobytes()) for x, y in zip(i.tolist(), j.tolist(), strict=True))
+            found["high"], found["low"] = np.frombuffer(b"".join(strings), "<u8").reshape(-1, 2).T
+            found["ord"], found["a"] = ords[i], (pos >> 16)[i] - j
+            yield from _dealt(1, found["high"] % np.uint64(parts), found)
 
     def across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held = [np.empty(0, EDGE)]
         for batch in rows:
-            inner = pc.is_null(batch.column("string"))
-            own, rest = batch.filter(inner), batch.filter(pc.invert(inner))
-            yield _marks(own.column("ord").to_numpy(), 0, own.column("a").to_numpy(), own.column("b").to_numpy())
-            held.append(rest)
-        rest = pa.Table.from_batches(held, EDGES).sort_by([("string", "ascending"), ("ord", "ascending"), ("a", "ascending")]).combine_chunks()
-        if rest.num_rows > 1:
-            ords, starts, ends = (rest.column(c).to_numpy() for c in ("ord", "a", "b"))
-            strings = rest.column("string").chunk(0)
-            opens = np.concatenate(([True], pc.not_equal(strings[1:], strings[:-1]).to_numpy(zero_copy_only=False)))
-            first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-            # A string of one byte over and over has several anchors, so that its first place may stand there twice.
-            later = (ords != ords[first]) | (starts != starts[first])
-            yield _marks(ords[later], 0, starts[later], ends[later])
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if kind:
+                    held.append(np.frombuffer(blob, EDGE))
+                else:
+                    m = np.frombuffer(blob, "<i8").reshape(-1, 3)
+                    yield _marks(m[:, 0], 0, m[:, 1], m[:, 2])
+        rest = np.concatenate(held)
+        rest = rest[np.lexsort((rest["a"], rest["ord"], rest["low"], rest["high"]))]
+        opens = np.concatenate(([True], (rest["high"][1:] != rest["high"][:-1]) | (rest["low"][1:] != rest["low"][:-1])))[: len(rest)]
+        first = rest[np.flatnonzero(opens)[np.cumsum(opens) - 1]] if len(rest) else rest
+        # A string of one byte over and over has several anchors, so that its first place may stand there twice.
+        later = rest[(rest["ord"] != first["ord"]) | (rest["a"] != first["a"])]
+        yield _marks(later["ord"], 0, later["a"], later["a"] + shape.least)
 
     # Every branch takes the same columns, so that one exchange of the texts serves them all.
     packed = frame.mapInArrow(find, "part int, kind byte, rows binary").repartitionById(parts, F.col("part"))
@@ -379,8 +383,8 @@ def repeat_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     marks = settled.groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_marks"))
     asked = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_row_mark"), F.col("_row_order") == F.col("_row_mark"))
     contexts = asked.mapInArrow(fetch, "after binary, before binary, ord long, pos long").repartitionByRange(parts, "after", "before")
-    edges = contexts.mapInArrow(compare, "ord long, a long, b long, string binary")
-    found = edges.repartition(parts, F.when(F.col("string").isNull(), F.col("ord")).otherwise(F.xxhash64("string"))).mapInArrow(across, MARK)
+    edges = contexts.mapInArrow(compare, "part int, kind byte, rows binary").repartitionById(parts, F.col("part"))
+    found = edges.mapInArrow(across, MARK)
     more = found.repartition(parts, "ord").groupBy("ord").agg(F.collect_list(F.struct("kind", "a", "b")).alias("_row_more"))
     both = frame.join(marks.hint("shuffle_hash").withColumnRenamed("ord", "_row_mark"), F.col("_row_order") == F.col("_row_mark"), "left")
     both = both.join(more.hint("shuffle_hash").withColumnRenamed("ord", "_row_other"), F.col("_row_order") == F.col("_row_other"), "left")
@@ -397,8 +401,15 @@ def _marks(ords: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(ords.astype(np.int64)), pa.array(np.full(len(ords), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["ord", "kind", "a", "b"])
 
 
-def _edges(ords: np.ndarray, a: np.ndarray, b: np.ndarray, strings: list[bytes] | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (ords, a, b)), pa.nulls(len(ords), pa.binary()) if strings is None else pa.array(strings, pa.binary())], schema=EDGES)
+def _dealt(kind: int, part: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of each part in one blob."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order].astype(np.int64), rows[order]
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+        yield _packed(int(part[a]), kind, rows[a:b].tobytes())
 
 
 def _merged(column: pa.Array) -> list[list[tuple[int, int]]]:
@@ -455,6 +466,7 @@ def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
             out = batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(kind))
             yield out.drop_columns(["_row_spans", "_row_order"])
 
-    schema = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).schema
-    out = repeat_spans(docs, least).mapInArrow(trim, schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    plain, restored = set_aside(docs, "doc_id", "text", "n_chars")
+    schema = plain.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).schema
+    out = repeat_spans(plain, least).mapInArrow(trim, schema)
+    return restored(out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
