@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from captext.llm.columns import set_aside
 from captext.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +20,7 @@ SEED = 7
 #: Documents of a source that stay fractional until the last level, where flips among them make up for the last rounding.
 RESERVE = 64
 
-ROUNDED = "doc_id long, source string, size long, nth int, bucket int, base int, p double, u double, open boolean"
+ROUNDED = "doc_id long, lot long, source string, size long, nth int, bucket int, base int, p double, u double, open boolean"
 
 
 def word_count(text: str = "text") -> Column:
@@ -87,23 +88,37 @@ def nearest(size: np.ndarray, p: np.ndarray, wanted: np.ndarray, most: int = 4 *
     return p
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, hash and any others) with `lot` and `nth`, which tell rows of one doc_id apart.
+
+    Rows with a doc_id are one lot, numbered from 0 by size, source and hash; those
+    without are a lot for each hash. No window is taken where each doc_id is there once.
+    """
+    lot = F.when(F.col("doc_id").isNull(), F.col("hash")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("lot", lot)
+    if not rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return rows.withColumn("nth", F.lit(0))
+    rank = Window.partitionBy("doc_id", "lot").orderBy("size", "source", "hash")
+    return rows.withColumn("nth", (F.row_number().over(rank) - 1).cast("int"))
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """How often the mix takes each document: doc_id, nth, source, size, source_size, target, copies.
+    """How often the mix takes each document: doc_id, lot, nth, source, size, source_size, target, copies.
 
     docs needs doc_id, text and source. Null texts have size 0, a null source is
-    a source of its own, rows that share a doc_id are told apart by nth (0, 1, ...
-    in the order of size, source and text). A document's expected copies are
-    its source's target over the source's size; the whole part is certain and the
-    fraction is rounded by the pivotal method: in hash buckets, then residuals
-    (at most one a bucket and source) and RESERVE documents of each source in a
-    tree of FAN_IN buckets. The last residual is rounded to the nearer side and one
-    or two reserved documents flip where that brings the source nearer to its target.
-    Documents of size 0 are rounded each by a hash. Reruns agree. One row a source
-    reaches the driver.
+    a source of its own, rows that share a doc_id are told apart by lot and nth (see
+    _numbered()). A document's expected copies are its source's target over the
+    source's size; the whole part is certain and the fraction is rounded by the
+    pivotal method: in hash buckets, then residuals (at most one a bucket and
+    source) and RESERVE documents of each source in a tree of FAN_IN buckets. In the
+    last level a source's rows, at most FAN_IN * (RESERVE + 1), meet in a bucket by
+    its hash; the last residual is rounded to the nearer side and one or two reserved
+    documents flip where that brings the source nearer to its target. Documents of
+    size 0 are rounded each by a hash. Reruns agree. One row a source reaches the
+    driver and every task: sources may be millions, not as many as documents.
     """
-    rank = Window.partitionBy("doc_id").orderBy("size", "source", "hash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), F.xxhash64("text").alias("hash"))
-    rows = cut(rows.withColumn("nth", (F.row_number().over(rank) - 1).cast("int")).drop("hash"))
+    rows = cut(_numbered(rows))
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(sizes, weights, share, most)
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
@@ -115,7 +130,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         return rounded(frame, True)
 
     def rounded(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "doc_id", "nth"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["size", "doc_id", "lot", "nth"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         p, left = frame["p"].to_numpy(float).copy(), np.zeros(len(frame), bool)
         size, draw = frame["size"].to_numpy(), frame["u"].to_numpy()
         for source, at in frame.groupby("source", dropna=False, sort=False).indices.items():
@@ -145,14 +160,19 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         frame.loc[zero, "p"] = (frame.loc[zero, "u"] < frame.loc[zero, "p"]).astype(float)
         return rounded(frame, False)[[c.split()[0] for c in ROUNDED.split(", ")]]
 
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(buckets)).cast("int"))
-    keyed = keyed.withColumn("u", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "nth"), F.lit(1 << 30)) / float(1 << 30))
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "lot", "nth"), F.lit(buckets)).cast("int"))
+    keyed = keyed.withColumn("u", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "lot", "nth"), F.lit(1 << 30)) / float(1 << 30))
     level = cut(keyed.groupBy("bucket").applyInPandas(local, ROUNDED))
     settled = [level.where(~F.col("open"))]
     while True:
-        buckets = -(-buckets // FAN_IN)
-        final = buckets == 1
-        rest = level.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
+        final = buckets <= FAN_IN
+        rest = level.where("open")
+        if final:
+            groups = max(1, -(-rest.count() // BUCKET_ROWS))
+            rest = rest.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int"))
+        else:
+            buckets = -(-buckets // FAN_IN)
+            rest = rest.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
         level = cut(rest.groupBy("bucket").applyInPandas(finished if final else met, ROUNDED))
         settled.append(level.where(~F.col("open")))
         if final:
@@ -161,7 +181,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     for part in settled[1:]:
         out = out.union(part)
     facts = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes] or [], "of string, source_size long, target double")
-    return out.join(facts, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "nth", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))
+    return out.join(facts, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "lot", "nth", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -171,8 +191,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all its columns."""
-    rank = Window.partitionBy("doc_id").orderBy(word_count(), "source", F.xxhash64("text"))
-    taken = copies(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("nth").alias("_of"), F.col("copies").alias("_copies"))
-    numbered = docs.withColumn("_nth", F.row_number().over(rank) - 1)
-    both = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_of")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    plain, restored = set_aside(docs, "doc_id", "text", "source")
+    taken = copies(docs, **options).where("copies > 0").select(F.col("doc_id").alias("of"), F.col("lot").alias("of_lot"), F.col("nth").alias("of_nth"), "copies")
+    numbered = _numbered(plain.withColumn("size", word_count()).withColumn("hash", F.xxhash64("text")))
+    both = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("lot") == F.col("of_lot")) & (F.col("nth") == F.col("of_nth")))
+    return restored(both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))

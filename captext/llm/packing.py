@@ -123,21 +123,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     bins = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, kind))
     done: list[DataFrame] = []
     full = F.col("fill") >= capacity - SLACK
-    count = bins.where(~full).count()
+    count, turn = bins.where(~full).count(), 0
     while count > 1:
-        groups = -(-count // GROUP)
+        groups, turn = -(-count // GROUP), turn + 1
         done.append(bins.where(full))
         packed = cut(
             bins.where(~full)
-            .withColumn("group", F.pmod(F.xxhash64("members"), F.lit(groups)).cast("int"))
+            .withColumn("group", F.pmod(F.xxhash64(F.lit(turn), "members"), F.lit(groups)).cast("int"))
             .repartitionById(groups, F.col("group"))
             .sortWithinPartitions("members")
             .select("fill", "members")
             .mapInArrow(again, kind)
         )
         bins, before = packed, count
-        count = bins.where(~full).count()
-        if groups == 1 or count > 0.999 * before:
+        made, count = bins.agg(F.count("*"), F.count_if(~full)).first()
+        if groups == 1 or made == before:
             break
     done.append(bins)
     out = done[0]

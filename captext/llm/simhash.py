@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captext.llm.columns import set_aside
 from captext.operators.components import connected_components
 from captext.session import cut, scratch
 
@@ -299,5 +300,6 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their group of near copies; rows without a doc_id stay. See near_copy_groups()."""
-    gone = near_copy_groups(docs, shingle, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    plain, restored = set_aside(docs, "doc_id")
+    gone = near_copy_groups(docs, shingle, least).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return restored(plain.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
