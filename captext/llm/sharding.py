@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,84 +14,90 @@ from pyspark.sql import functions as F
 from captext.session import cut
 
 LAW = "bytes"
-#: Values that a dimension is coded in; histograms have no more bins.
+#: Codes of a dimension at most.
 CODES = 4096
 DIMENSIONS = ("size_code", "lang_code", "source_code")
-#: A cut goes on to finer keys until the bytes in doubt are below this share of a shard; copies of a text part beyond the second.
+#: A cut goes on to finer keys until the bytes in doubt are below this share of a shard; copies of one text part beyond the second.
 FINE = 0.0005
-COPIES = 0.005
+WHOLE = 0.5
 SLOT_ROWS = 200_000
+#: Keys inside a dimension's code: groups of copies from the largest down, then bits of the text's hash (TEXT_KEYS so far), then of the row's.
+KEYS = ("bulk", "text_a", "text_b", "text_c", "row_a", "row_b", "row_c")
+TEXT_KEYS = 4
 
 
-def _code(column: str) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(column), F.lit(CODES - 1)) + 1, F.lit(0)).cast("int")
+@dataclass
+class Node:
+    """A part of the tree that is to be cut: its shards, dimension, the bytes its left part still lacks, and the keys where it ends so far."""
 
+    shards: int
+    dim: int = 0
+    goal: float = 0.0
+    at: tuple[int, ...] = ()
+    done: bool = False
 
-def _below(keys: list[Column], at: tuple[int, ...]) -> Column:
-    """keys are less than at, the first to differ deciding."""
-    out = keys[len(at) - 1] < at[-1]
-    for key, value in reversed(list(zip(keys[:-1], at[:-1], strict=False))):
-        out = (key < value) | ((key == value) & out)
-    return out
 
+def _coded(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `{column}_code`: the place of the value among all values in order, or among CODES / 2 sampled ones if there are more; null is 0."""
+    values = cut(rows.where(F.col(column).isNotNull()).select(column).distinct())
+    n = values.count()
+    sample = values if n < CODES else values.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(CODES / 2 / n * (1 << 30)))
+    cuts = np.array(sorted(r[0] for r in sample.collect()), object)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"value": frame[column], "code": (np.searchsorted(cuts, frame[column].to_numpy(object), side="right") if len(cuts) else np.zeros(len(frame))).astype(np.int32) + (n >= CODES)})
+
+    codes = values.mapInPandas(place, "value string, code int")
+    return rows.join(codes, F.col(column) == F.col("value"), "left").withColumn(f"{column}_code", F.coalesce("code", F.lit(0))).drop("value", "code")
+
+
+def _place(dim: Column) -> Column:
+    """A row's place in the order of a dimension, as an array."""
+    own = F.when(dim == 0, F.col(DIMENSIONS[0])).when(dim == 1, F.col(DIMENSIONS[1])).otherwise(F.col(DIMENSIONS[2]))
+    return F.array(own, *KEYS)
 
-def _keys(dimension: str) -> list[Column]:
-    """The order inside a dimension: its code, then bits of the text's hash, then of the doc_id's."""
-    bits = lambda name, shift: F.shiftrightunsigned(F.col(name), shift).bitwiseAND(F.lit(CODES - 1)).cast("int")
-    return [F.col(dimension), bits("text_hash", 52), bits("text_hash", 40), bits("row_hash", 52), bits("row_hash", 40), bits("row_hash", 28)]
-
-
-def _cuts(rows: DataFrame, nodes: dict[int, int], shard_bytes: float) -> dict[int, tuple[str, tuple[int, ...]]]:
-    """For each node {first shard: number of shards} of two shards or more its dimension and where its left part ends."""
-    active = {n: k for n, k in nodes.items() if k > 1}
-    own = rows.where(F.col("node").isin(list(active)))
-    long = own.select("node", "size", F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(d).alias("code")) for i, d in enumerate(DIMENSIONS)))).alias("at"))
-    bars = long.groupBy("node", "at.dim", "at.code").agg(F.sum("size").alias("bytes")).toPandas()
-    state: dict[int, dict] = {}
-    out: dict[int, tuple[str, tuple[int, ...]]] = {}
-    for n, k in active.items():
-        mine = bars[bars["node"] == n]
-        if not len(mine):
-            out[n] = (DIMENSIONS[0], (0,))
-            continue
-        width = {}
-        for d, at in mine.groupby("dim"):
-            w = at["bytes"].to_numpy(float)
-            mean = (at["code"] * w).sum() / w.sum()
-            width[d] = (w * (at["code"] - mean) ** 2).sum() / w.sum()
-        dim = max(sorted(width), key=width.get)
-        hist = mine[mine["dim"] == dim].sort_values("code")
-        goal = hist["bytes"].sum() * (k // 2) / k
-        state[n] = {"dim": DIMENSIONS[dim], "at": (), "goal": goal, "hist": (hist["code"].to_numpy(), hist["bytes"].to_numpy(float))}
-    depth = 0
-    while state:
-        for n, s in list(state.items()):
-            code, size = s["hist"]
-            total = np.cumsum(size)
-            i = int(min(np.searchsorted(total, s["goal"]), len(total) - 1))
-            before, inside = total[i] - size[i], size[i]
-            limit = COPIES if depth == 2 else FINE
-            if inside <= limit * shard_bytes or depth + 1 == len(_keys(s["dim"])):
-                above = s["goal"] - before > inside / 2
-                out[n] = (s["dim"], (*s["at"], int(code[i]) + above))
-                del state[n]
-            else:
-                s["goal"] -= before
-                s["at"] = (*s["at"], int(code[i]))
-        depth += 1
-        if not state:
-            break
-        parts = []
-        for n, s in state.items():
-            keys = _keys(s["dim"])
-            same = reduce(lambda a, b: a & b, [key == value for key, value in zip(keys, s["at"], strict=False)], F.col("node") == n)
-            parts.append((same, keys[depth]))
-        bucket = reduce(lambda rest, part: F.when(part[0], part[1]).otherwise(rest), parts, F.lit(None).cast("int"))
-        bars = own.withColumn("bucket", bucket).where("bucket IS NOT NULL").groupBy("node", "bucket").agg(F.sum("size").alias("bytes")).toPandas()
-        for n, s in state.items():
-            hist = bars[bars["node"] == n].sort_values("bucket")
-            s["hist"] = (hist["bucket"].to_numpy(), hist["bytes"].to_numpy(float))
-    return out
+
+def _cuts(rows: DataFrame, nodes: dict[int, Node], spread: list[float], shard_bytes: float) -> None:
+    """Give each node of two shards or more its dimension and where its left part ends.
+
+    One pass finds the dimension whose weighted variance, as a share of that of all
+    rows, is the greatest; each further one settles one more key for all nodes. A
+    row a node reaches the driver.
+    """
+    spark = rows.sparkSession
+    own = rows.join(F.broadcast(spark.createDataFrame([(n,) for n in nodes], "node int")), "node")
+    w = F.col("size").cast("double")
+    moments = [f for d in DIMENSIONS for f in (F.sum(w * F.col(d)), F.sum(w * F.col(d) * F.col(d)))]
+    for n, total, *sums in own.groupBy("node").agg(F.sum(w), *moments).collect():
+        width = [(sums[2 * i + 1] / total - (sums[2 * i] / total) ** 2) / spread[i] if spread[i] > 0 else 0.0 for i in range(len(DIMENSIONS))]
+        nodes[n].dim = int(np.argmax(np.round(width, 9)))
+        nodes[n].goal = total * (nodes[n].shards // 2) / nodes[n].shards
+    for n in nodes.values():
+        n.done = not n.goal
+        n.at = (0,) if n.done else ()
+    while open_nodes := {n: x for n, x in nodes.items() if not x.done}:
+        depth = len(next(iter(open_nodes.values())).at)
+        asked = spark.createDataFrame([(n, x.dim, list(x.at), x.goal) for n, x in open_nodes.items()], "node int, dim int, at array<int>, goal double")
+        inside = own.join(F.broadcast(asked), "node").withColumn("place", _place(F.col("dim"))).where(F.slice("place", 1, depth) == F.col("at") if depth else F.lit(True))
+        bars = inside.groupBy("node", "goal", F.col("place")[depth].alias("key")).agg(F.sum("size").alias("bytes"))
+        packed = bars.groupBy("node", "goal").agg(F.array_sort(F.collect_list(F.struct("key", "bytes"))).alias("bars"))
+
+        def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for node, goal, bars in zip(frame["node"], frame["goal"], frame["bars"], strict=True):
+                    size = np.array([b["bytes"] for b in bars], float)
+                    i = int(min(np.searchsorted(np.cumsum(size), goal), len(size) - 1))
+                    out.append((node, bars[i]["key"], size[:i].sum(), size[i]))
+                yield pd.DataFrame(out, columns=["node", "key", "before", "inside"])
+
+        for r in packed.mapInPandas(found, "node int, key int, before double, inside double").collect():
+            x = nodes[r["node"]]
+            limit = WHOLE if depth == TEXT_KEYS else FINE
+            x.goal -= r["before"]
+            x.done = r["inside"] <= limit * shard_bytes or depth == len(KEYS)
+            x.at = (*x.at, r["key"] + int(x.done and x.goal > r["inside"] / 2))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -98,14 +105,15 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     docs needs doc_id, text, lang and source; size is the text's UTF-8 bytes
     (null: none) plus 8. The tree starts with all rows for `shards` leaves (or as
-    many as hold target_bytes each) and cuts each node at the weighted quantile
-    of its dimension with the greatest variance: the size's logarithm, the
-    language or the source (by hash codes; null is the code 0). Where a code
-    holds the cut, bits of a hash of the text decide, then of the doc_id; lang and
-    source of equal texts are the least among them. So equal texts share a shard
-    unless they hold more than COPIES of one. Nodes of a level are cut together
-    by histograms of at most CODES bins each, the only rows that reach the driver.
-    slot numbers a shard's rows from 0 in doc_id order; rows equal in all count each.
+    many as hold target_bytes each) and cuts each node at the weighted quantile of
+    its widest dimension: the size's logarithm, the language or the source, in
+    their order (null first), each measured by its weighted variance as a share of
+    that of all rows. Where a code holds the cut, groups of equal texts from the
+    largest down and bits of their hash decide; lang and source of equal texts are
+    the least among them. So equal texts share a shard, unless they hold more than
+    WHOLE of one: then bits of the doc_id's hash part them. Nodes of a level are
+    cut together, and a row a node reaches the driver. slot numbers a shard's rows
+    from 0 in doc_id order; rows equal in all count each.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -114,28 +122,35 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     )
     rows = cut(rows)
     copies = rows.groupBy("text_hash").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("n")).where("n > 1")
-    copies = copies.select(F.col("text_hash").alias("_h"), _code("lang").alias("_l"), _code("source").alias("_s"))
-    rows = rows.join(copies, F.col("text_hash") == F.col("_h"), "left").select(
-        "doc_id", "size", "text_crc32", "text_hash", "row_hash", F.floor(F.log(F.col("size").cast("double")) * 64).cast("int").alias("size_code"),
-        F.coalesce("_l", _code("lang")).alias("lang_code"), F.coalesce("_s", _code("source")).alias("source_code"), F.lit(0).alias("node"),
+    copies = copies.select(F.col("text_hash").alias("of"), F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "n")
+    several = F.col("n").isNotNull()
+    rows = rows.join(copies, F.col("text_hash") == F.col("of"), "left").select(
+        "doc_id", "size", "text_crc32", "text_hash", "row_hash", F.coalesce("n", F.lit(1)).alias("n"),
+        F.when(several, F.col("of_lang")).otherwise(F.col("lang")).alias("lang"), F.when(several, F.col("of_source")).otherwise(F.col("source")).alias("source"),
+    )
+    bits = lambda name, shift: F.shiftrightunsigned(F.col(name), shift).bitwiseAND(F.lit(CODES - 1)).cast("int")
+    rows = _coded(_coded(rows, "lang"), "source").select(
+        "doc_id", "size", "text_crc32", F.floor(F.log(F.col("size").cast("double")) * 64).cast("int").alias("size_code"), "lang_code", "source_code",
+        (-F.floor(F.log2(F.col("n") * F.col("size").cast("double")))).cast("int").alias("bulk"),
+        *(bits("text_hash", shift).alias(k) for k, shift in zip(KEYS[1:4], (52, 40, 28), strict=True)), *(bits("row_hash", shift).alias(k) for k, shift in zip(KEYS[4:], (52, 40, 28), strict=True)),
+        F.lit(0).alias("node"),
     )
     rows = cut(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    w = F.col("size").cast("double")
+    facts = rows.agg(F.sum("size"), *(f for d in DIMENSIONS for f in (F.sum(w * F.col(d)), F.sum(w * F.col(d) * F.col(d))))).first()
+    total = facts[0] or 0
+    spread = [facts[2 * i + 2] / total - (facts[2 * i + 1] / total) ** 2 if total else 0.0 for i in range(len(DIMENSIONS))]
     if shards is None:
         shards = max(1, -(-total // (target_bytes or 1 << 30)))
-    nodes = {0: shards}
-    while total and any(k > 1 for k in nodes.values()):
-        found = _cuts(rows, nodes, total / shards)
-        node, after = F.col("node"), {}
-        moved = node
-        for n, k in nodes.items():
-            if k < 2:
-                after[n] = k
-                continue
-            dim, at = found[n]
-            moved = F.when((node == n) & ~_below(_keys(dim), at), F.lit(n + k // 2)).otherwise(moved)
-            after |= {n: k // 2, n + k // 2: k - k // 2}
-        rows, nodes = cut(rows.withColumn("node", moved)), after
+    counts = {0: int(shards)}
+    while total and any(k > 1 for k in counts.values()):
+        nodes = {n: Node(k) for n, k in counts.items() if k > 1}
+        _cuts(rows, nodes, spread, total / shards)
+        moves = rows.sparkSession.createDataFrame([(n, x.dim, list(x.at), n + x.shards // 2) for n, x in nodes.items()], "node int, dim int, at array<int>, right int")
+        rows = rows.join(F.broadcast(moves), "node", "left")
+        stays = F.col("right").isNull() | (_place(F.col("dim")) < F.col("at"))
+        rows = cut(rows.withColumn("node", F.when(stays, F.col("node")).otherwise(F.col("right"))).drop("dim", "at", "right"))
+        counts = {m: k for n, have in counts.items() for m, k in (((n, have // 2), (n + have // 2, have - have // 2)) if have > 1 else ((n, have),))}
     out = rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
     parts = max(1, -(-out.count() // SLOT_ROWS))
     ranged = cut(out.repartitionByRange(parts, "shard", "doc_id").sortWithinPartitions("shard", "doc_id", "text_crc32").withColumn("part", F.spark_partition_id()))
