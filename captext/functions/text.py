@@ -9,8 +9,15 @@ CYRILLIC = "[А-Яа-яЁё]"
 LATIN = "[A-Za-z]"
 #: The digit that each look-alike letter stands for.
 LOOKALIKE_LETTERS, LOOKALIKE_DIGITS = "liosbgze", "11058923"
-#: Latin letters and the Cyrillic ones drawn alike.
-HOMOGLYPH_LATIN, HOMOGLYPH_CYRILLIC = "aeopcxyABEKMHOPCTX", "аеорсхуАВЕКМНОРСТХ"
+#: Latin letters and the Cyrillic ones drawn alike, the other way round, and Ukrainian letters in Russian.
+HOMOGLYPH_LATIN, HOMOGLYPH_CYRILLIC = "aceopxyABCEHKMOPTXYUuiI", "асеорхуАВСЕНКМОРТХУУуіІ"
+CYRILLIC_LOOKALIKE, LATIN_LOOKALIKE = "асеорхуАВСЕНКМОРТХУіІїЇєЄґҐёЁ", "aceopxyABCEHKMOPTXYiIiIeEgGeE"
+UKRAINIAN, RUSSIAN = "ІіЇїЄє", "ИиЫыЕе"
+#: Any letter of the Cyrillic blocks.
+CYRILLIC_BLOCK = r"[\x{0400}-\x{052F}]"
+#: Letters of one script without a look-alike in the other.
+SURE_LATIN = "[bdfghijklmnqrstuvwzDFGIJLNQRSUVWYZ]"
+SURE_CYRILLIC = "[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯёЁ]"
 
 
 def n_matches(text: Column, pattern: str) -> Column:
@@ -84,6 +91,45 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
+def _trimmed(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def phrases(text: Column, most: int = 80) -> Column:
+    """Sentences parted by white space after an end mark or an empty line; those beyond `most` characters at commas too."""
+    parts = _trimmed(F.split(F.regexp_replace(text, r"([.!?])\s+|\n{2,}", "$1\x01"), "\x01"))
+    commas = lambda s: F.split(F.regexp_replace(s, r"(,)\s+", "$1\x01"), "\x01")
+    return F.flatten(F.transform(parts, lambda s: F.when(F.length(s) > most, _trimmed(commas(s))).otherwise(F.array(s))))
+
+
+def ended_sentences(text: Column) -> Column:
+    """Sentences that run on over line breaks up to their end marks; what follows the last mark is one too."""
+    return _trimmed(F.regexp_extract_all(text, F.lit(r"([^.!?…]*[.!?…]+|[^.!?…]+$)"), 1))
+
+
+def chunks(text: Column, most: int = 200) -> Column:
+    """Structs (chunk, kind): sentences and lines joined up to `most` characters; an end mark closes a chunk.
+
+    A part longer than `most` is a chunk of its own. kind is question if the last
+    part has a question mark (the whole chunk if a line or the length closed it),
+    else exclamation if it has such a mark, else statement.
+    """
+    parts = _trimmed(F.split(F.regexp_replace(text, r"([.!?…])\s+|\n+", "$1\x01"), "\x01"))
+    kind = lambda s: F.when(s.contains("?"), "question").when(s.contains("!"), "exclamation").otherwise("statement")
+    one = lambda chunk, of: F.array(F.struct(chunk.alias("chunk"), kind(of).alias("kind")))
+    none = F.expr("cast(array() AS array<struct<chunk: string, kind: string>>)")
+
+    def step(state: Column, part: Column) -> Column:
+        full = (state["held"] != "") & (F.length(state["held"]) + F.length(part) > most)
+        done = F.when(full, F.concat(state["done"], one(state["held"], state["held"]))).otherwise(state["done"])
+        held = F.when(full | (state["held"] == ""), part).otherwise(F.concat(state["held"], F.lit(" "), part))
+        closed = part.rlike(r"[.!?…]$")
+        return F.struct(F.when(closed, F.concat(done, one(held, part))).otherwise(done).alias("done"), F.when(closed, "").otherwise(held).alias("held"))
+
+    start = F.struct(none.alias("done"), F.lit("").alias("held"))
+    return F.aggregate(parts, start, step, lambda state: F.when(state["held"] != "", F.concat(state["done"], one(state["held"], state["held"]))).otherwise(state["done"]))
+
+
 def sentence_type(sentence: Column) -> Column:
     return F.when(sentence.rlike(r"\?\s*$"), "question").when(sentence.rlike(r"!\s*$"), "exclamation").otherwise("statement")
 
@@ -126,24 +172,28 @@ def is_utterance(line: Column, min_words: int = 1) -> Column:
 
 def garbage_rule(line: Column) -> Column:
     """The first rule that marks a recognised line as garbage, NULL if none does."""
+
+    def rule(x: Column) -> Column:
+        s, letters, cyrillic, latin, w = x["s"], x["letters"], x["cyrillic"], x["latin"], x["w"]
+        noisy = F.size(F.filter(w, lambda y: y.rlike(r"[~_{}\[\]\\]") | (n_matches(y, r"[^\p{L}\p{N}_]") > 1)))
+        return (
+            F.when(F.length(s) <= 2, "short")
+            .when((letters < 2) & (F.length(s) <= 5), "few_letters")
+            .when((letters < 4) & (n_matches(s, r"[|~`{}<>\[\]\\^_]") > letters), "junk")
+            .when(s.rlike(r"[\x{3040}-\x{30FF}]"), "kana")
+            .when(s.rlike(r"[\x{0600}-\x{06FF}]"), "arabic")
+            .when(s.rlike(r"[\x{4E00}-\x{9FFF}]"), "han")
+            .when((cyrillic > 0) & (latin > 0) & (letters >= 3) & (F.abs(cyrillic - latin) <= 2), "mixed")
+            .when(s.rlike(rf"{CYRILLIC}\d{CYRILLIC}"), "digit_inside")
+            .when(s.rlike(rf"\d{CYRILLIC}\d"), "letter_inside")
+            .when(s.rlike(r"[^\p{L}\p{N}\s]") & F.transform(F.array(noisy), lambda k: (k > 0) & (k >= F.size(w) * 0.5))[0], "noisy_words")
+            .when((letters < 3) & s.rlike(r"[\x{1F300}-\x{1FAFF}]"), "emoji")
+        )
+
+    # One struct an array, so that the counts are made once a line.
     s = F.trim(line)
-    letters = n_matches(s, r"\p{L}")
-    cyrillic, latin = n_matches(s, CYRILLIC), n_matches(s, "[a-z]")
-    w = words(s)
-    noisy = F.size(F.filter(w, lambda x: x.rlike(r"[~_{}\[\]\\]") | (n_matches(x, r"[^\p{L}\p{N}_]") > 1)))
-    return (
-        F.when(F.length(s) <= 2, "short")
-        .when((letters < 2) & (F.length(s) <= 5), "few_letters")
-        .when((n_matches(s, r"[|~`{}<>\[\]\\^_]") > letters) & (letters < 4), "junk")
-        .when(s.rlike(r"[\x{3040}-\x{30FF}]"), "kana")
-        .when(s.rlike(r"[\x{0600}-\x{06FF}]"), "arabic")
-        .when(s.rlike(r"[\x{4E00}-\x{9FFF}]"), "han")
-        .when((cyrillic > 0) & (latin > 0) & (letters >= 3) & (F.abs(cyrillic - latin) <= 2), "mixed")
-        .when(s.rlike(rf"{CYRILLIC}\d{CYRILLIC}"), "digit_inside")
-        .when(s.rlike(rf"\d{CYRILLIC}\d"), "letter_inside")
-        .when((noisy > 0) & (noisy >= F.size(w) * 0.5), "noisy_words")
-        .when((n_matches(s, r"[\x{1F300}-\x{1FAFF}]") > 0) & (letters < 3), "emoji")
-    )
+    made = F.struct(s.alias("s"), n_matches(s, r"\p{L}").alias("letters"), n_matches(s, CYRILLIC).alias("cyrillic"), n_matches(s, "[a-z]").alias("latin"), words(s).alias("w"))
+    return F.transform(F.array(made), rule)[0]
 
 
 def strip_icon(line: Column) -> Column:
@@ -187,20 +237,23 @@ def script_share(text: Column, letters: str) -> Column:
     return F.when(n > 0, n_matches(text, letters) / n).otherwise(F.lit(0.0))
 
 
-#: Words that vote for English where no letter decides.
-ENGLISH = ("the", "and", "of", "to", "is", "in", "that", "it", "for", "with")
+#: Words that vote where no letter decides: English ones, and Russian ones in Latin letters.
+ENGLISH = ("the", "and", "of", "to", "is", "in", "that", "it", "for", "with", "you", "this")
+RUSSIAN_IN_LATIN = ("privet", "spasibo", "net", "kak", "chto", "eto", "kto", "gde", "ty", "vy")
 
 
 def detect_language(text: Column) -> Column:
-    """Language by ordered rules: script, then marks, then words."""
-    latin = F.lower(text)
+    """Language by ordered rules: script, then marks, then a vote of known words, English where it is even."""
+    low = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+    votes = lambda known: F.size(F.filter(low, lambda w: w.isin(*known)))
     return (
         F.when(text.rlike(CYRILLIC), "ru")
         .when(text.rlike(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"), "ja")
         .when(text.rlike("[äöüßÄÖÜ]"), "de")
         .when(text.rlike("[àâçéèêëïîôùûÿœæ]"), "fr")
-        .when(latin.rlike("[a-z]"), "en")
-        .otherwise("auto")
+        .when(F.size(low) == 0, "auto")
+        .when(votes(RUSSIAN_IN_LATIN) > votes(ENGLISH), "ru")
+        .otherwise("en")
     )
 
 
@@ -210,16 +263,59 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(F.lit(0.0))
 
 
-def repair_homoglyphs(token: Column) -> Column:
-    """A token of both scripts takes that with more letters only it has; a tie stays."""
-    sure_latin = n_matches(token, "[b-dfghijklmnqrstuvwzDFGIJLNQRSUVWYZ]".replace("b-d", "bd"))
-    sure_cyrillic = n_matches(token, "[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯёЁ]")
-    both = token.rlike(CYRILLIC) & token.rlike(LATIN)
-    return (
-        F.when(both & (sure_latin > sure_cyrillic), F.translate(token, HOMOGLYPH_CYRILLIC, HOMOGLYPH_LATIN))
-        .when(both & (sure_cyrillic > sure_latin), F.translate(token, HOMOGLYPH_LATIN, HOMOGLYPH_CYRILLIC))
-        .otherwise(token)
-    )
+def split_scripts(token: Column) -> Column:
+    """A space between two or more Latin and two or more Cyrillic letters that touch."""
+    for a, b in ((LATIN, CYRILLIC_BLOCK), (CYRILLIC_BLOCK, LATIN)):
+        token = F.regexp_replace(token, f"({a}{{2}})({b}{{2}})", "$1 $2")
+    return token
+
+
+def repair_homoglyphs(token: Column, tie: str | None = None) -> Column:
+    """A token in the script that most of its letters without look-alikes have.
+
+    Words of both scripts that a lost space glued together are parted. Where no
+    letter is sure, all letters vote; where both scripts have as many, the token
+    stays, or takes `tie` ("ru" or "en"). Ukrainian letters become Russian ones.
+    """
+    sure_latin, sure_cyrillic = n_matches(token, SURE_LATIN), n_matches(token, SURE_CYRILLIC)
+    latin, cyrillic = n_matches(token, LATIN), n_matches(token, CYRILLIC_BLOCK)
+    unsure = (sure_latin == 0) & (sure_cyrillic == 0)
+    lead = F.when(unsure, cyrillic - latin).otherwise(sure_cyrillic - sure_latin)
+    glued = split_scripts(token)
+    to_latin = F.translate(token, CYRILLIC_LOOKALIKE, LATIN_LOOKALIKE)
+    to_cyrillic = F.translate(F.translate(token, HOMOGLYPH_LATIN, HOMOGLYPH_CYRILLIC), UKRAINIAN, RUSSIAN)
+    tied = {"ru": to_cyrillic, "en": to_latin, None: token}[tie]
+    out = F.when(lead > 0, to_cyrillic).when(lead < 0, to_latin).otherwise(tied)
+    return F.when(~token.rlike(CYRILLIC_BLOCK), token).when(glued != token, F.translate(glued, UKRAINIAN, RUSSIAN)).otherwise(out)
+
+
+def each_word(text: Column, change) -> Column:
+    """text with every run that isn't white space changed; white space stays."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), 1)
+    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"\S"), change(w)).otherwise(w)), "")
+
+
+def restore_case(like: Column, word: Column) -> Column:
+    """word in capitals, or with a capital first letter, as `like` is."""
+    return F.when((F.length(like) > 1) & (F.upper(like) == like) & (F.lower(like) != like), F.upper(word)).when(F.substring(like, 1, 1) != F.lower(F.substring(like, 1, 1)), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1000))).otherwise(word)
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(x for pair in sorted(pairs.items()) for x in (F.lit(pair[0]), F.lit(pair[1])))) if pairs else F.expr("cast(map() AS map<string, string>)")
+
+
+def fix_words(text: Column, fixes: dict[str, str], compounds: dict[str, str] | None = None) -> Column:
+    """Runs of Latin letters in their right form, in any case, which stays; before that, compounds that recognition tore apart, longest first."""
+    for wrong, right in sorted((compounds or {}).items(), key=lambda x: (-len(x[0]), x[0])):
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    known = literal_map(fixes)
+    parts = F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), 1)
+    return F.array_join(F.transform(parts, lambda w: F.coalesce(restore_case(w, known[F.lower(w)]), w)), "")
+
+
+def keep_tokens(text: Column) -> Column:
+    """keep_good_tokens line by line."""
+    return F.array_join(F.transform(F.split(text, "\n"), keep_good_tokens), "\n")
 
 
 def lower_inner_capitals(token: Column) -> Column:
@@ -243,6 +339,19 @@ def longest_ramp(token: Column) -> Column:
     return F.aggregate(points, start, step, lambda state: state["best"])
 
 
+def is_ramp(token: Column, letters: int = 8, rising: int = 10) -> Column:
+    """A token of `letters` characters or more with `rising` code points in a row that each exceed the last: a decoder that slid along its table."""
+    return (F.length(token) >= letters) & (longest_ramp(token) >= rising)
+
+
+#: What separates tokens for ramps: white space and marks.
+RAMP_BREAKS = r"""[\s,.\-!?;:"'()\[\]{}<>+/=…—–%№]+"""
+
+
+def has_ramp(text: Column) -> Column:
+    return F.exists(F.split(text, RAMP_BREAKS), lambda w: is_ramp(w))
+
+
 def common_words(a: Column, b: Column) -> Column:
     """How many words two texts share at their start."""
     x, y = words(a), words(b)
@@ -261,3 +370,50 @@ def growth_tail(before: Column, now: Column) -> Column:
 def strip_isolated_latin(text: Column) -> Column:
     """Up to three Latin letters that stand alone between Cyrillic words go."""
     return F.regexp_replace(text, r"(?<=[А-Яа-яЁё]) +[A-Za-z]{1,3}(?= +[А-Яа-яЁё])", "")
+
+
+def keep_script_words(line: Column, letters: str) -> Column:
+    """Of a line with a letter of the class its words that aren't Latin letters only; NULL for a line without one."""
+    return F.when(line.rlike(f"[{letters}]"), F.array_join(F.filter(words(line), lambda w: w.rlike("[^A-Za-z]")), " "))
+
+
+def failure_mark(text: Column) -> Column:
+    """An answer in brackets: `failed` (it says so), `refused` (any other), NULL for none."""
+    return F.when(text.rlike(r"^\s*\[.*failed.*\]\s*$"), "failed").when(text.rlike(r"^\s*\[.*\]\s*$"), "refused")
+
+
+def untranslated(text: Column, target: str | Column = "ru") -> Column:
+    """For a Cyrillic target: a lower-case Latin word is left."""
+    return (F.lit(target) if isinstance(target, str) else target).isin("ru", "uk") & text.rlike(r"(^|[^A-Za-z])[a-z]{2,}($|[^A-Za-z])")
+
+
+def translation_faults(text: Column, result: Column, leftovers: bool = True) -> dict[str, Column]:
+    """Of a translation: empty, leftover (an ASCII word of three letters or more), same (over half of the words), thin (under 0.4 of the words)."""
+    a, b = F.array_distinct(words(F.lower(text))), F.array_distinct(words(F.lower(result)))
+    n, m = F.size(words(text)), F.size(words(result))
+    return {
+        "empty": F.trim(result) == "",
+        "leftover": F.exists(words(result), lambda w: w.rlike("^[A-Za-z]{3,}$")) if leftovers else F.lit(False),
+        "same": F.size(F.array_intersect(a, b)) > F.size(a) * 0.5,
+        "thin": m < n * 0.4,
+    }
+
+
+#: Spoken forms: what is read in place of abbreviations, units after a number, ranges, drawn-out spellings and symbols.
+SPOKEN = (
+    (r"\b[Dd]r\. ", "doctor "), (r"\b[Mm]r\. ", "mister "), (r"\betc\.", "and so on"), (r"\be\.g\.", "for example"),
+    (r"\b(\d+) ?km\b", "$1 kilometres"), (r"\b(\d+) ?kg\b", "$1 kilograms"), (r"\b(\d+) ?%", "$1 percent"),
+    (r"\b(\d+)-(\d+)\b", "$1 to $2"), (r"\b([Hh])m{2,}\b", "$1mm"), (r"\b([Aa])h{2,}\b", "$1h"), (r"[|*#_~<>]+", " "), (r" {2,}", " "),
+)
+
+
+def spoken_form(text: Column, rules: tuple[tuple[str, str], ...] = SPOKEN) -> Column:
+    """text as it is read aloud, rule after rule."""
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return F.trim(text)
+
+
+def time_text(seconds: Column) -> Column:
+    """`yyyy-MM-dd HH:mm:ss` of seconds since 1970."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")

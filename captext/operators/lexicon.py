@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from captext.functions import text as T
+
 
 def build_lexicon(tokens: DataFrame, least: int = 3, seeds: DataFrame | None = None, seed_weight: int = 5) -> DataFrame:
     """word and freq of lower-case letter tokens found `least` times; each seed word counts seed_weight more."""
@@ -21,21 +23,41 @@ def build_lexicon(tokens: DataFrame, least: int = 3, seeds: DataFrame | None = N
     return counted.where(F.col("freq") >= least)
 
 
-def rejoin(rows: DataFrame, key: str, word: Column) -> DataFrame:
-    """Words of each key put together in the order of pos."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("pos"), word.alias("w"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text"))
+#: Rows of a table up to which it becomes a literal map in the plan.
+MOST_LITERALS = 100
+
+
+def with_answers(docs: DataFrame, words: Column, table: DataFrame, key: str, out: str) -> DataFrame:
+    """docs with `out`, a map from those of the array `words` that `table` (src, distinct; dst) knows.
+
+    A table of MOST_LITERALS rows at most is a literal, so that no row moves. For a
+    larger one the distinct words of each row meet it, and those found come back as
+    one map a row; docs then needs one row a key.
+    """
+    held = table.select("src", "dst").limit(MOST_LITERALS + 1).collect()
+    if len(held) <= MOST_LITERALS:
+        return docs.withColumn(out, T.literal_map({r["src"]: r["dst"] for r in held if r["src"] is not None and r["dst"] is not None}))
+    asked = docs.select(key, F.explode(F.array_distinct(words)).alias("src"))
+    found = asked.join(table.select("src", "dst"), "src").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("src", "dst"))).alias(out))
+    return docs.join(found, key, "left").withColumn(out, F.coalesce(out, T.literal_map({})))
+
+
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
 
 
-def translate_words(tokens: DataFrame, glossary: DataFrame, least: float = 0.3, key: str = "doc_id") -> DataFrame:
-    """Tokens looked up word by word; key, n, n_found and text, which is empty where fewer than `least` were found.
+def translate_words(docs: DataFrame, glossary: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts looked up word by word; key, n, n_found and text, which is empty where fewer than `least` were found.
 
-    glossary: src (distinct, lower case) and dst. Tokens that it lacks pass.
+    glossary: src (distinct, lower case) and dst. Words that it lacks pass; texts
+    without a word are left out.
     """
-    joined = tokens.withColumn("src", F.lower("token")).join(glossary.select("src", "dst"), "src", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("dst", "token").alias("w"))))
-    out = joined.groupBy(key).agg(F.count("*").alias("n"), F.count("dst").alias("n_found"), F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text"))
-    return out.withColumn("text", F.when(F.col("n_found") >= F.col("n") * least, F.col("text")).otherwise(F.lit("")))
+    docs = docs.select(key, _tokens(text).alias("_w"))
+    docs = with_answers(docs, F.transform("_w", F.lower), glossary, key, "_known").where(F.size("_w") > 0)
+    docs = docs.withColumn("_dst", F.transform("_w", lambda w: F.col("_known")[F.lower(w)]))
+    put = F.array_join(F.zip_with("_w", "_dst", lambda w, d: F.coalesce(d, w)), " ")
+    n, found = F.size("_w").cast("long"), F.size(F.filter("_dst", lambda d: d.isNotNull())).cast("long")
+    return docs.select(key, n.alias("n"), found.alias("n_found"), F.when(found >= n * least, put).otherwise(F.lit("")).alias("text"))
 
 
 def correct_tokens(tokens: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -53,6 +75,45 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame, key: str = "doc_id") -> D
     return ranked.where("nth % 2 = 1").select(key, "pos", "src", "dst")
 
 
+#: Words that a language without articles has no word for.
+ARTICLES = ("a", "an", "the")
+
+
+def translate_phrases(lines: DataFrame, phrases: DataFrame, glossary: DataFrame, keys: list[str], text: str = "line", longest: int = 6, contractions: dict[str, str] | None = None) -> DataFrame:
+    """keys and text of lines, translated by phrases first.
+
+    Contractions are spelled out word by word. A line that is a phrase as a whole
+    takes its answer; else at each place from the left the longest phrase of two to
+    `longest` words is put, or the word's own answer, nothing for an article, and
+    other words pass. phrases and glossary: src (lower case, distinct), dst.
+    """
+    spelled = T.literal_map(contractions or {})
+    raw = T.words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'\s]+", " "))
+    lines = lines.select(*keys, T.words(F.array_join(F.transform(raw, lambda w: F.regexp_replace(F.coalesce(spelled[w], w), "'", "")), " ")).alias("_w"))
+    lines = lines.withColumn("_id", F.struct(*keys))
+    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array())))
+    whole = F.array_join("_w", " ")
+    lines = with_answers(lines, F.concat(grams, F.array(whole)), phrases, "_id", "_phrases")
+    lines = with_answers(lines, F.col("_w"), glossary, "_id", "_words")
+    size = F.size("_w")
+    # The longest phrase that starts at each place, in words; 1 for none.
+    reach = F.transform("_w", lambda _, i: F.coalesce(*(F.when((i + n <= size) & F.col("_phrases")[F.array_join(F.slice("_w", i + 1, F.lit(n)), " ")].isNotNull(), F.lit(n)) for n in range(longest, 1, -1)), F.lit(1)))
+    lines = lines.withColumn("_n", reach)
+
+    def put(i: Column) -> Column:
+        word = F.col("_w")[i]
+        single = F.coalesce(F.col("_words")[word], F.when(~word.isin(*ARTICLES), word), F.lit(""))
+        return F.when(F.col("_n")[i] > 1, F.col("_phrases")[F.array_join(F.slice("_w", i + 1, F.col("_n")[i]), " ")]).otherwise(single)
+
+    def step(state: Column, i: Column) -> Column:
+        here = i == state["next"]
+        return F.struct(F.when(here, i + F.col("_n")[i]).otherwise(state["next"]).alias("next"), F.when(here, F.array_append(state["out"], put(i))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() AS array<string>)").alias("out"))
+    walked = F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda state: F.array_join(F.filter(state["out"], lambda w: w != ""), " "))
+    return lines.where(size > 0).select(*keys, F.coalesce(F.col("_phrases")[whole], walked).alias("text"))
+
+
 def deletions(word: Column, depth: int = 2) -> Column:
     """The word and all that is left of it after up to `depth` letters go."""
     once = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
@@ -63,7 +124,7 @@ def deletions(word: Column, depth: int = 2) -> Column:
 
 
 def fuzzy_lexicon(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFrame:
-    """For each word not in the lexicon its best entry within an edit distance: word, best, dist.
+    """For each word (lower case) not in the lexicon its best entry within an edit distance: word, best, dist.
 
     Words meet where they share a string left after deletions (at most `distance`
     on each side), which every pair within the distance does; the distance is then
@@ -73,8 +134,7 @@ def fuzzy_lexicon(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> Da
     left = unknown.select("word", F.explode(deletions(F.col("word"), distance)).alias("part"))
     right = lexicon.select(F.col("word").alias("best"), "freq", F.explode(deletions(F.col("word"), distance)).alias("part"))
     pairs = left.join(right, "part").withColumn("dist", F.levenshtein("word", "best")).where(F.col("dist") <= distance)
-    order = F.struct(-F.col("dist"), F.col("freq"), F.transform(F.split("best", ""), lambda c: -F.ascii(c)))
-    return pairs.groupBy("word").agg(F.max_by(F.struct("best", "dist"), order).alias("x")).select("word", "x.best", "x.dist")
+    return pairs.groupBy("word").agg(F.min(F.struct("dist", -F.col("freq"), "best")).alias("x")).select("word", "x.best", "x.dist")
 
 
 #: Letters that recognition takes for each other.
@@ -176,3 +236,17 @@ def lexicon_union(*sources: DataFrame) -> DataFrame:
     for t in tagged[1:]:
         both = both.unionByName(t)
     return both.groupBy("src").agg(F.min_by("dst", F.struct("priority", "dst")).alias("dst"))
+
+
+def correct_spelling(docs: DataFrame, lexicon: DataFrame, distance: int = 2, least: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with each unknown Latin word of `least` letters or more in its best known form within the distance, its case kept.
+
+    Words with a hyphen or an apostrophe inside stay. docs has one row a key.
+    """
+    word = r"((?<![\p{L}\p{N}'-])[A-Za-z]{%d,}(?![\p{L}\p{N}'-]))" % least
+    asked = docs.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(word), 1), F.lower))).alias("word"))
+    best = fuzzy_lexicon(asked.select("word"), lexicon, distance).select("word", "best")
+    found = asked.join(best, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("_known"))
+    parts = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}'-]+|[^\p{L}\p{N}'-]+)"), 1)
+    put = F.array_join(F.transform(parts, lambda w: F.coalesce(T.restore_case(w, F.col("_known")[F.lower(w)]), w)), "")
+    return docs.join(found, key, "left").withColumn(text, F.when(F.col("_known").isNull(), F.col(text)).otherwise(put)).drop("_known")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
+from captext.operators.cleaning import CAPTION, clean_documents, clean_stages, stage_audit
+from captext.operators.lexicon import build_lexicon
 from captext.operators.lines import explode_lines, explode_tokens
 
 LINES = """lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, trim(x) AS line FROM (
@@ -67,19 +69,38 @@ def hyphenated(spark: SparkSession, d: str) -> DataFrame:
 
 
 HYPHENATED = r"""hyphenated AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1) % 7 = 6 AND length(w) >= 6 THEN concat(substr(w, 1, 3), '-', chr(10), substr(w, 4)) ELSE w END), ' ') AS text FROM documents)"""
-#: Every third token of four letters or more with Latin letters drawn like Cyrillic ones replaced.
-NOISY = f"noisy AS (SELECT doc_id, pos, token, translate(token, 'aeopcxy', 'аеорсху') AS raw FROM tokens WHERE (doc_id + pos) % 3 = 0 AND {has('token', '^[A-Za-z]{4,}$')})"
+#: The letters of every fifth word or so drawn like Cyrillic ones, marks without sense, zeros after a fraction, and a ramp of letters.
+DIRT = "CASE WHEN i % 11 = 5 THEN translate(w, 'aeopcxy', 'аеорсху') WHEN i % 13 = 7 THEN concat(w, ' ~~§ ') WHEN i % 17 = 3 THEN concat(w, ' 1.500 thnt') WHEN i % 97 = 50 THEN concat(w, ' abcdefghijklm') WHEN i % 7 = 6 AND length(w) >= 6 THEN concat(substr(w, 1, 3), '-', chr(10), substr(w, 4)) ELSE w END"
+
+
+def dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with homoglyphs, broken words, noise, decimals and ramps put in."""
+    return docs(spark, d).select("doc_id", F.expr(f"array_join(transform(split(text, ' '), (w, i) -> {DIRT}), ' ')").alias("text"))
+
+
+DIRTY = f"dirty AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, j: {DIRT.replace('i %', '(j - 1) %')}), ' ') AS text FROM documents)"
+_ABC, _CYR = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз"
+#: Tokens of four Latin letters or more, by turns with letters drawn like Cyrillic ones, glued to their Cyrillic spelling, and in Ukrainian letters.
+RAW = f"CASE (doc_id + pos) % 3 WHEN 0 THEN translate(token, 'aeopcxy', 'аеорсху') WHEN 1 THEN concat(token, translate(lower(token), '{_ABC}', '{_CYR}')) ELSE translate(lower(token), '{_ABC}', '{_CYR.replace('и', 'і')}') END"
+NOISY = f"noisy AS (SELECT doc_id, pos, token, {RAW} AS raw FROM tokens WHERE {has('token', '^[A-Za-z]{4,}$')})"
 
 
 def noisy(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).where((F.expr("(doc_id + pos) % 3 = 0")) & F.col("token").rlike("^[A-Za-z]{4,}$")).select("doc_id", "pos", "token", F.translate("token", "aeopcxy", "аеорсху").alias("raw"))
+    return tokens(spark, d).where(F.col("token").rlike("^[A-Za-z]{4,}$")).withColumn("raw", F.expr(RAW)).select("doc_id", "pos", "token", "raw")
+
+
+def repair_sql(c: str) -> str:
+    """repair_homoglyphs of a SQL expression."""
+    latin, cyrillic = n(c, T.LATIN), n(c, T.CYRILLIC_BLOCK)
+    glued = sub(sub(c, f"({T.LATIN}{{2}})({T.CYRILLIC_BLOCK}{{2}})", r"\1 \2"), f"({T.CYRILLIC_BLOCK}{{2}})({T.LATIN}{{2}})", r"\1 \2")
+    lead = f"(CASE WHEN {n(c, T.SURE_LATIN)} = 0 AND {n(c, T.SURE_CYRILLIC)} = 0 THEN {cyrillic} - {latin} ELSE {n(c, T.SURE_CYRILLIC)} - {n(c, T.SURE_LATIN)} END)"
+    ukr = lambda x: f"translate({x}, {q(T.UKRAINIAN)}, {q(T.RUSSIAN)})"
+    return (
+        f"CASE WHEN NOT {has(c, T.CYRILLIC_BLOCK)} THEN {c} WHEN {glued} <> {c} THEN {ukr(glued)} WHEN {lead} > 0 THEN {ukr(f'translate({c}, {q(T.HOMOGLYPH_LATIN)}, {q(T.HOMOGLYPH_CYRILLIC)})')}"
+        f" WHEN {lead} < 0 THEN translate({c}, {q(T.CYRILLIC_LOOKALIKE)}, {q(T.LATIN_LOOKALIKE)}) ELSE {c} END"
+    )
 
 
-SURE_L, SURE_C = "[bdfghijklmnqrstuvwzDFGIJLNQRSUVWYZ]", "[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯёЁ]"
-REPAIR = (
-    f"CASE WHEN {has('raw', T.CYRILLIC)} AND {has('raw', T.LATIN)} AND {n('raw', SURE_L)} > {n('raw', SURE_C)} THEN translate(raw, {q(T.HOMOGLYPH_CYRILLIC)}, {q(T.HOMOGLYPH_LATIN)})"
-    f" WHEN {has('raw', T.CYRILLIC)} AND {has('raw', T.LATIN)} AND {n('raw', SURE_C)} > {n('raw', SURE_L)} THEN translate(raw, {q(T.HOMOGLYPH_LATIN)}, {q(T.HOMOGLYPH_CYRILLIC)}) ELSE raw END"
-)
 VALID = (
     f"length(trim(line)) >= 3 AND NOT contains(line, chr(65533)) AND {n('line', r'\p{L}')} > 0 AND {n('line', r'\p{Nd}')} <= {n('line', r'\p{L}')} AND NOT {has('line', r'\d{4}[-/.]\d{2}[-/.]\d{2}')}"
     f" AND NOT {has('line', r'\d{1,2}:\d{2}')} AND {n('line', '[^\\p{L}\\p{N}\\s.,!?\\-:;\'\"()]')} <= {n('line', r'\p{L}')} * 0.4 AND len(list_filter({WORDS('line')}, lambda w: length(w) > 2)) > 0"
@@ -121,15 +142,16 @@ def _pauses_sql(c: str) -> str:
     return c
 
 
+_VOTES = lambda known: f"len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({', '.join(map(q, known))})))"
 DETECT = (
     f"CASE WHEN {has('text', T.CYRILLIC)} THEN 'ru' WHEN {has('text', r'[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]')} THEN 'ja' WHEN {has('text', '[äöüßÄÖÜ]')} THEN 'de'"
-    f" WHEN {has('text', '[àâçéèêëïîôùûÿœæ]')} THEN 'fr' WHEN {has('lower(text)', '[a-z]')} THEN 'en' ELSE 'auto' END"
+    f" WHEN {has('text', '[àâçéèêëïîôùûÿœæ]')} THEN 'fr' WHEN NOT {has('lower(text)', '[a-z]')} THEN 'auto' WHEN {_VOTES(T.RUSSIAN_IN_LATIN)} > {_VOTES(T.ENGLISH)} THEN 'ru' ELSE 'en' END"
 )
 SENTENCES = f"list_filter(list_transform(regexp_extract_all(text, {q(r'([^.!?…\n]+[.!?…]*)')}), lambda s: trim(s)), lambda s: s <> '')"
 
 
 def a6_script_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).where(T.is_valid_text(F.col("line"))).join(docs(spark, d).select("doc_id", "lang", "source"), "doc_id")
+    rows = explode_lines(docs(spark, d), keep=("lang", "source")).where(T.is_valid_text(F.col("line")))
     return rows.groupBy("lang", "source").agg(
         F.count("*").alias("n_lines"), F.round(F.avg(T.script_share(F.col("line"), LATIN_CLASS)), 6).alias("latin"), F.round(F.avg(T.script_share(F.col("line"), T.CYRILLIC)), 6).alias("cyrillic"), F.sum(F.length(T.normalise_key(F.col("line")))).alias("key_chars")
     )
@@ -149,16 +171,19 @@ def a7_language_confusion(spark: SparkSession, d: str) -> DataFrame:
 A7 = f"SELECT lang, {', '.join(f'count(*) FILTER (WHERE found = {q(k)}) AS as_{k}' for k in ('ru', 'ja', 'de', 'fr', 'en', 'auto'))} FROM (SELECT lang, {DETECT} AS found FROM documents) GROUP BY lang"
 
 
+#: Every 50th token followed by so many letters from its first one on.
+RISEN = "CASE WHEN (doc_id + pos) % 50 = 0 THEN concat('AB', substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(2 + pos % 20 AS INTEGER))) ELSE token END"
+
+
 def f6_ramp_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).where("length(token) >= 4").groupBy("token").count().select("token", T.longest_ramp(F.col("token")).cast("long").alias("ramp"), F.col("count").alias("n")).where("ramp >= 4")
+    found = tokens(spark, d).select(F.expr(RISEN).alias("token")).where(F.length("token") >= 8).groupBy("token").agg(F.count("*").alias("n"))
+    return found.where(T.is_ramp(F.col("token"))).select("token", T.longest_ramp(F.col("token")).cast("long").alias("ramp"), "n")
 
 
-F6 = f"""WITH {TOKENS}, vocabulary AS (SELECT token, count(*) AS n FROM tokens WHERE length(token) >= 4 GROUP BY token), letters AS (
-  SELECT token, i, unicode(substr(token, i, 1)) AS p FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM vocabulary)),
-  breaks AS (SELECT token, i, CASE WHEN p > lag(p) OVER (PARTITION BY token ORDER BY i) THEN 0 ELSE 1 END AS b FROM letters),
-  runs AS (SELECT token, sum(b) OVER (PARTITION BY token ORDER BY i) AS r FROM breaks),
-  best AS (SELECT token, max(c) AS ramp FROM (SELECT token, r, count(*) AS c FROM runs GROUP BY token, r) GROUP BY token)
-  SELECT token, CAST(ramp AS BIGINT) AS ramp, n FROM best JOIN vocabulary USING (token) WHERE ramp >= 4"""
+F6 = f"""WITH {TOKENS}, vocabulary AS (SELECT token, count(*) AS n FROM (SELECT {RISEN} AS token FROM tokens) WHERE length(token) >= 8 GROUP BY token),
+  runs AS (SELECT token, n, list_reduce(list_transform(string_split(token, ''), lambda c: {{'last': unicode(c), 'run': 1, 'best': 1}}),
+    lambda s, c: {{'last': c.last, 'run': CASE WHEN c.last > s.last THEN s.run + 1 ELSE 1 END, 'best': greatest(s.best, CASE WHEN c.last > s.last THEN s.run + 1 ELSE 1 END)}}) AS r FROM vocabulary)
+  SELECT token, CAST(r.best AS BIGINT) AS ramp, n FROM runs WHERE r.best >= 10"""
 
 
 def t15_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -170,6 +195,17 @@ T15 = f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence, CASE WHEN
   FROM (SELECT doc_id, unnest({SENTENCES}) AS s, generate_subscripts({SENTENCES}, 1) AS i FROM documents)"""
 
 
+def split_rows(column):
+    return lambda spark, d: docs(spark, d).select("doc_id", F.posexplode(column(F.col("text"))).alias("pos", "sentence"))
+
+
+_BARE = lambda c: f"list_filter(list_transform({c}, lambda s: {sub('s', r'^\s+|\s+$', '')}), lambda s: s <> '')"
+_PARTS = _BARE(f"string_split({sub('text', r'([.!?])\s+|\n{2,}', chr(92) + '1' + chr(1))}, chr(1))")
+PHRASES = f"flatten(list_transform({_PARTS}, lambda p: CASE WHEN length(p) > 80 THEN {_BARE(f'string_split({sub("p", r"(,)\s+", chr(92) + "1" + chr(1))}, chr(1))')} ELSE [p] END))"
+ENDED = _BARE(f"regexp_extract_all(text, {q(r'([^.!?…]*[.!?…]+|[^.!?…]+$)')})")
+_ROWS = lambda c: f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {c} AS x FROM documents))"
+
+
 def t17_script_runs(spark: SparkSession, d: str) -> DataFrame:
     mixed = noisy(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw", "token"))), lambda x: F.concat(x["token"], F.lit(" "), F.translate(x["token"], "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз"))), ", ").alias("text"))
     return mixed.select("doc_id", F.posexplode(T.script_runs(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", "x.lang", "x.run")
@@ -189,22 +225,59 @@ SPEAKER = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(line, {q(p)}, 1))
 T18 = f"SELECT conv_id, turn, {SPEAKER} AS speaker, length(line) AS chars FROM (SELECT *, CASE turn % 4 WHEN 0 THEN concat(role, ': ', text) WHEN 1 THEN concat('[', role, '] ', text) WHEN 2 THEN concat(role, '> ', text) ELSE text END AS line FROM conversations)"
 
 
+CLEAN_FIXES = {"thnt": "tent", "ndwh": "and"}
+
+
 def t13_clean_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The clean pipeline with the number of documents that each stage changes."""
-    stages = [("space", T.normalise_space), ("hyphens", T.join_hyphens), ("decimals", T.trim_decimals), ("marks", T.reattach_marks)]
-    column, out = F.col("text"), []
-    for name, stage in stages:
-        after = stage(column)
-        out.append(F.sum((after != column).cast("long")).alias(f"n_{name}"))
-        column = after
-    return hyphenated(spark, d).agg(F.count("*").alias("n"), *out, F.sum(F.length(column)).alias("chars"))
+    """The clean chain without the lexicon: how many documents each stage changes."""
+    stages = [x for x in clean_stages(CLEAN_FIXES) if x[1]]
+    return stage_audit(clean_documents(dirty(spark, d), stages), stages)
+
+
+def t13_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain, glued words split by the corpus' own lexicon."""
+    known = build_lexicon(tokens(spark, d), 3)
+    return clean_documents(dirty(spark, d), clean_stages(CLEAN_FIXES), known).select("doc_id", "text", F.array_join("changed", ",").alias("changed"), "ramp")
+
+
+def t13_captions(spark: SparkSession, d: str) -> DataFrame:
+    """The variant for captions: confused letters are mended too."""
+    known = build_lexicon(tokens(spark, d), 3)
+    return clean_documents(dirty(spark, d), CAPTION, known).select("doc_id", "text", F.array_join("changed", ",").alias("changed"), "ramp")
 
 
 _S1 = _space_sql("text")
 _H = lambda c: sub(c, r"(\p{L})-[ \t]*\n[ \t]*(\p{L})", r"\1\2")
 _M = lambda c: sub(c, r"([\p{L}\p{N}]) ([,.!?:;]+)([\p{L}\p{N}])", r"\1\2 \3")
-T13 = f"""WITH {HYPHENATED}, a AS (SELECT text, {_S1} AS s FROM hyphenated), b AS (SELECT *, {_H('s')} AS h FROM a), c AS (SELECT *, {_decimals_sql('h')} AS z FROM b), e AS (SELECT *, {_M('z')} AS m FROM c)
-  SELECT count(*) AS n, count(*) FILTER (WHERE s <> text) AS n_space, count(*) FILTER (WHERE h <> s) AS n_hyphens, count(*) FILTER (WHERE z <> h) AS n_decimals, count(*) FILTER (WHERE m <> z) AS n_marks, CAST(sum(length(m)) AS BIGINT) AS chars FROM e"""
+_GOOD = lambda c: f"array_to_string(list_filter({WORDS(c)}, lambda w: {has('w', '[А-Яа-яЁёA-Za-z]')} OR {has('w', '^[.,!?;:\\-\'\"()—–…/0-9]+$')}), ' ')"
+_CASED = lambda put: f"CASE WHEN length(w) > 1 AND upper(w) = w THEN upper({q(put)}) WHEN substr(w, 1, 1) <> lower(substr(w, 1, 1)) THEN {q(put[0].upper() + put[1:])} ELSE {q(put)} END"
+_FIX = "CASE lower(w) " + " ".join(f"WHEN {q(a)} THEN {_CASED(b)}" for a, b in CLEAN_FIXES.items()) + " ELSE w END"
+_CLEAN = (
+    ("space", _space_sql), ("scripts", lambda c: f"array_to_string(list_transform(regexp_extract_all({c}, '(\\s+|\\S+)'), lambda w: {repair_sql('w')}), '')"), ("hyphens", _H),
+    ("tokens", lambda c: f"array_to_string(list_transform(string_split({c}, chr(10)), lambda l: {_GOOD('l')}), chr(10))"),
+    ("fixes", lambda c: f"array_to_string(list_transform(regexp_extract_all({c}, '([A-Za-z]+|[^A-Za-z]+)'), lambda w: {_FIX}), '')"), ("decimals", _decimals_sql), ("space_again", _space_sql),
+)
+
+
+def _clean_sql() -> str:
+    steps, before = [DIRTY], "text"
+    for k, (name, change) in enumerate(_CLEAN):
+        steps.append(f"s{k} AS (SELECT *, {change(before)} AS {name} FROM {f's{k - 1}' if k else 'dirty'})")
+        before = name
+    changed = ", ".join(f"count(*) FILTER (WHERE {b[0]} <> {a}) AS n_{b[0]}" for a, b in zip(("text", *(x[0] for x in _CLEAN)), _CLEAN, strict=False))
+    ramp = f"len(list_filter(string_split_regex({before}, {q(T.RAMP_BREAKS)}), lambda w: length(w) >= 8 AND {_RUN('w')} >= 10)) > 0"
+    return f"WITH {', '.join(steps)} SELECT count(*) AS n, {changed}, count(*) FILTER (WHERE {ramp}) AS n_ramps, CAST(sum(length({before})) AS BIGINT) AS chars FROM s{len(_CLEAN) - 1}"
+
+
+def _RUN(c: str) -> str:
+    """SQL for the longest rising run of code points."""
+    return (
+        f"list_reduce(list_transform(string_split({c}, ''), lambda c: {{'last': unicode(c), 'run': 1, 'best': 1}}),"
+        " lambda s, c: {'last': c.last, 'run': CASE WHEN c.last > s.last THEN s.run + 1 ELSE 1 END, 'best': greatest(s.best, CASE WHEN c.last > s.last THEN s.run + 1 ELSE 1 END)}).best"
+    )
+
+
+T13 = _clean_sql()
 F13_SAME = "len(list_intersect(list_distinct({a}), list_distinct({b})))"
 FILTER_WORDS = WORDS("line")
 
@@ -212,7 +285,7 @@ QUERIES = {
     "s10_lines": (lines, f"WITH {LINES} SELECT doc_id, line_no, line FROM lines"),
     "t1_normalise_key": per_line(T.normalise_key, KEY("line")),
     "t2_lookalike_key": per_line(T.lookalike_key, f"translate({KEY('line')}, 'liosbgze', '11058923')"),
-    "t3_homoglyphs": (lambda s, d: noisy(s, d).select("doc_id", "pos", "raw", T.repair_homoglyphs(F.col("raw")).alias("value")), f"WITH {TOKENS}, {NOISY} SELECT doc_id, pos, raw, {REPAIR} AS value FROM noisy"),
+    "t3_homoglyphs": (lambda s, d: noisy(s, d).select("doc_id", "pos", "raw", T.repair_homoglyphs(F.col("raw")).alias("value")), f"WITH {TOKENS}, {NOISY} SELECT doc_id, pos, raw, {repair_sql('raw')} AS value FROM noisy"),
     "t4_inner_capitals": (
         lambda s, d: tokens(s, d).where(F.col("token").rlike("^[A-Za-z]+$")).select("doc_id", "pos", T.lower_inner_capitals(F.expr("CASE WHEN pos % 5 = 0 THEN concat(lower(substr(token, 1, 1)), upper(substr(token, 2, 2)), substr(token, 4)) ELSE token END")).alias("value")),
         f"""WITH {TOKENS}, x AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN concat(lower(substr(token, 1, 1)), upper(substr(token, 2, 2)), substr(token, 4)) ELSE token END AS t FROM tokens WHERE {has('token', '^[A-Za-z]+$')})
@@ -233,7 +306,11 @@ QUERIES = {
         SELECT doc_id, line_no, CASE WHEN len(w) < 3 OR length(array_to_string(w, '')) / len(w) < 5 THEN t ELSE array_to_string(list_transform(w, lambda x, i: CASE WHEN length(x) > 5 AND i < len(w) THEN concat(x, '.') ELSE x END), ' ') END AS value FROM y""",
     ),
     "t13_clean_audit": (t13_clean_audit, T13),
+    "t13_clean_documents": (t13_clean_documents, None),
+    "t13_captions": (t13_captions, None),
     "t15_sentences": (t15_sentences, T15),
+    "t15_phrases": (split_rows(T.phrases), _ROWS(PHRASES)),
+    "t15_ended": (split_rows(T.ended_sentences), _ROWS(ENDED)),
     "t17_script_runs": (t17_script_runs, T17),
     "t18_dialogue": (t18_dialogue, T18),
     "t20_pause_marks": per_line(T.pause_marks, _pauses_sql("line")),

@@ -28,10 +28,10 @@ SQL = {
     "playback": "SELECT conv_id AS stream_id, conv_id * 3600000 + turn * 4000 AS t0, conv_id * 3600000 + turn * 4000 + 2000 AS t1, text FROM conversations WHERE role = 'assistant'",
     "tokens": """SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, x AS token FROM (
       SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS x, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) AS i FROM documents) WHERE x <> ''""",
-    "boxes": """SELECT doc_id AS frame_id, pos, CAST(80 * (pos % 8) AS DOUBLE) AS x0, CAST(20 * (pos // 8) + (pos * 5) % 4 AS DOUBLE) AS y0, CAST(80 * (pos % 8) + 8 * length(token) AS DOUBLE) AS x1,
-      CAST(20 * (pos // 8) + (pos * 5) % 4 + 14 AS DOUBLE) AS y1, token AS text, CAST((doc_id * 7 + pos * 13) % 100 AS DOUBLE) AS conf FROM tokens WHERE pos < 40""",
+    "boxes": """SELECT doc_id * 1000000 + pos // 40 AS frame_id, pos % 40 AS pos, CAST(80 * (pos % 8) AS DOUBLE) AS x0, CAST(20 * (pos % 40 // 8) + (pos * 5) % 4 AS DOUBLE) AS y0, CAST(80 * (pos % 8) + 8 * length(token) AS DOUBLE) AS x1,
+      CAST(20 * (pos % 40 // 8) + (pos * 5) % 4 + 14 AS DOUBLE) AS y1, token AS text, CAST((doc_id * 7 + pos * 13) % 100 AS DOUBLE) AS conf FROM tokens""",
     "frames": """SELECT label AS stream_id, vec_id AS seq, list_transform(embedding, lambda e: round((CAST(e AS DOUBLE) + 1) * 127.5, 3)) AS luma FROM embeddings""",
-    "providers": """SELECT doc_id, lang, r AS rank, concat('p', r) AS provider, CASE (doc_id * r) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN substr(text, 1, 20) ELSE concat('>> ', substr(text, 1, 20)) END AS result,
+    "providers": """SELECT doc_id, lang, r AS rank, concat('p', r) AS provider, CASE (doc_id * r) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN text ELSE concat('>> ', text) END AS result,
       CAST(100 + (doc_id * 31 + r * 17) % 900 AS BIGINT) AS latency_ms FROM documents, (VALUES (CAST(1 AS BIGINT)), (2), (3)) p(r)""",
     "lexicon": """SELECT lower(token) AS word, count(*) AS freq FROM tokens WHERE regexp_matches(token, '^\\p{L}+$') GROUP BY 1 HAVING count(*) >= 3""",
     "settings_a": "SELECT concat(user_id, '.', event_type) AS path, CAST(count(*) AS VARCHAR) AS value FROM events WHERE day(ts) <= 20 GROUP BY 1",
@@ -75,9 +75,10 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).where("pos < 40").selectExpr(
-        "doc_id AS frame_id", "pos", "cast(80 * (pos % 8) AS double) AS x0", "cast(20 * (pos div 8) + (pos * 5) % 4 AS double) AS y0", "cast(80 * (pos % 8) + 8 * length(token) AS double) AS x1",
-        "cast(20 * (pos div 8) + (pos * 5) % 4 + 14 AS double) AS y1", "token AS text", "cast((doc_id * 7 + pos * 13) % 100 AS double) AS conf",
+    """All tokens of the documents, 40 to a frame, in rows of eight."""
+    return tokens(spark, d).selectExpr(
+        "doc_id * 1000000 + pos div 40 AS frame_id", "pos % 40 AS pos", "cast(80 * (pos % 8) AS double) AS x0", "cast(20 * (pos % 40 div 8) + (pos * 5) % 4 AS double) AS y0", "cast(80 * (pos % 8) + 8 * length(token) AS double) AS x1",
+        "cast(20 * (pos % 40 div 8) + (pos * 5) % 4 + 14 AS double) AS y1", "token AS text", "cast((doc_id * 7 + pos * 13) % 100 AS double) AS conf",
     )
 
 
@@ -88,7 +89,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 def providers(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").withColumn("rank", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))))
     return rows.selectExpr(
-        "doc_id", "lang", "rank", "concat('p', rank) AS provider", "CASE (doc_id * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN substr(text, 1, 20) ELSE concat('>> ', substr(text, 1, 20)) END AS result",
+        "doc_id", "lang", "rank", "concat('p', rank) AS provider", "CASE (doc_id * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN text ELSE concat('>> ', text) END AS result",
         "100 + (doc_id * 31 + rank * 17) % 900 AS latency_ms",
     )
 
