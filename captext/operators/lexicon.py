@@ -46,18 +46,18 @@ def _tokens(text: str) -> Column:
     return F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
 
 
-def translate_words(docs: DataFrame, glossary: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts looked up word by word; key, n, n_found and text, which is empty where fewer than `least` were found.
+def translate_words(docs: DataFrame, glossary: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """Texts looked up word by word; key, n, n_found, text, which is empty where fewer than `least` were found, and the given text as `keep`.
 
     glossary: src (distinct, lower case) and dst. Words that it lacks pass; texts
     without a word are left out.
     """
-    docs = docs.select(key, _tokens(text).alias("_w"))
+    docs = docs.select(key, *([F.col(text).alias(keep)] if keep else []), _tokens(text).alias("_w"))
     docs = with_answers(docs, F.transform("_w", F.lower), glossary, key, "_known").where(F.size("_w") > 0)
     docs = docs.withColumn("_dst", F.transform("_w", lambda w: F.col("_known")[F.lower(w)]))
     put = F.array_join(F.zip_with("_w", "_dst", lambda w, d: F.coalesce(d, w)), " ")
     n, found = F.size("_w").cast("long"), F.size(F.filter("_dst", lambda d: d.isNotNull())).cast("long")
-    return docs.select(key, n.alias("n"), found.alias("n_found"), F.when(found >= n * least, put).otherwise(F.lit("")).alias("text"))
+    return docs.select(key, *([keep] if keep else []), n.alias("n"), found.alias("n_found"), F.when(found >= n * least, put).otherwise(F.lit("")).alias("text"))
 
 
 def correct_tokens(tokens: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -250,3 +250,11 @@ def correct_spelling(docs: DataFrame, lexicon: DataFrame, distance: int = 2, lea
     parts = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}'-]+|[^\p{L}\p{N}'-]+)"), 1)
     put = F.array_join(F.transform(parts, lambda w: F.coalesce(T.restore_case(w, F.col("_known")[F.lower(w)]), w)), "")
     return docs.join(found, key, "left").withColumn(text, F.when(F.col("_known").isNull(), F.col(text)).otherwise(put)).drop("_known")
+
+
+def transcribe(words: DataFrame, sounds: DataFrame, after: dict[str, str], consonants: str) -> DataFrame:
+    """word and sounds: each letter's sound (c, sound), or the one that `after` has for it behind a consonant; other letters stay."""
+    known, behind = T.literal_map({r["c"]: r["sound"] for r in sounds.select("c", "sound").collect()}), T.literal_map(after)
+    letter = lambda i: F.substr("word", i, F.lit(1))
+    one = lambda i: F.coalesce(F.when((i > 1) & F.contains(F.lit(consonants), letter(i - 1)), behind[letter(i)]), known[letter(i)], letter(i))
+    return words.select("word", F.array_join(F.transform(F.sequence(F.lit(1), F.length("word")), one), "").alias("sounds"))
