@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from captext.operators.components import connected_components
 from captext.session import cut
 
-#: Vectors that the centres are fitted on at most, vectors planned for a cell, cells at most.
-SAMPLE = 20_000
+#: Vectors planned for a cell, and cells at most: their centres (32 MB of 64 numbers each) go to every task.
 CELL = 2_000
-MOST_CELLS = 1_024
+MOST_CELLS = 1 << 16
+#: Vectors for each centre that it is fitted on, and centres fitted at once; more are fitted in two levels.
+FIT = 40
+FITTED = 512
 #: Rows on a side of one product.
 BLOCK = 2_048
 #: A vector also visits cells whose centre is at most so much further than its own, in degrees.
@@ -52,8 +54,10 @@ def near_vectors(rows: DataFrame, least: float = 0.98, margin: float = MARGIN) -
     vectors are one point with a count. n_links counts other vectors linked
     directly, component_id is the smallest vec_id reachable and kept marks it.
 
-    Centres are fitted on SAMPLE points by hash; every point goes to the cell of
-    its nearest centre and visits cells up to `margin` degrees further (180: all
+    Cells grow with the points, one for CELL of them. Their centres are fitted on
+    FIT points each, taken by hash; beyond FITTED cells in two levels, the second
+    in a task for each centre of the first. Every point goes to the cell of its
+    nearest centre and visits cells up to `margin` degrees further (180: all
     cells, an exact search). A pair is counted once: in the cell of the smaller
     id where the other visits it, else in the other's. Large cells are cut into
     blocks of BLOCK rows that meet block by block. Links stay in their task, which
@@ -82,27 +86,64 @@ def near_vectors(rows: DataFrame, least: float = 0.98, margin: float = MARGIN) -
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def fitted_centres(points: DataFrame, width: int) -> np.ndarray:
+    """Unit centres of the cells of points (id, embedding of `width` numbers), a row each; not more than points."""
+    n = points.count()
+    cells = int(min(MOST_CELLS, max(1, -(-n // CELL))))
+    top = cells if cells <= FITTED else int(np.ceil(np.sqrt(cells)))
+
+    def some(share: float) -> DataFrame:
+        return points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select("embedding")
+
+    # A threshold on the hash gives about as many as are wanted, from every partition alike.
+    x = _unit(some(max(FIT * top, 1000) / max(1, n)).toArrow().column("embedding").combine_chunks(), width)
+    centres = spherical_kmeans(x, top) if len(x) else np.eye(1, width)
+    if top == cells:
+        return centres
+    each = -(-cells // top)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_nearest(_unit(batch.column("embedding"), width), centres)), batch.column("embedding")], ["top", "embedding"])
+
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame["embedding"].to_numpy())
+        x = x[np.lexsort(x.T)]
+        own = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], each)
+        return pd.DataFrame({"centre": list(own)})
+
+    found = some(FIT * cells / n).mapInArrow(assign, "top int, embedding array<double>").groupBy("top").applyInPandas(split, "centre array<double>").toArrow()
+    x = _unit(found.column("centre").combine_chunks(), width)
+    return x[np.lexsort(x.T)]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    rows = max(16, (1 << 23) // len(centres))
+    return np.concatenate([np.argmax(x[k : k + rows] @ centres.T, 1) for k in range(0, len(x), rows)]).astype(np.int32)
+
+
 def _linked_points(points: DataFrame, width: int, least: float, margin: float) -> DataFrame:
     """id, links and parent of the points (one vector length) that have links, a row for each block they meet in."""
-    cells = int(min(MOST_CELLS, max(1, -(-points.count() // CELL))))
-    chosen = points.select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
-    centres = spherical_kmeans(_unit(chosen.column("embedding").combine_chunks(), width), cells)
+    centres = fitted_centres(points, width)
     cells = len(centres)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = int(max(16, min(4096, (1 << 23) // cells)))
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
                 x = _unit(part.column("embedding"), width)
-                angle = np.degrees(np.arccos(np.clip(x @ centres.T, -1, 1)))
-                home = angle.argmin(1)
-                goes = angle <= angle[np.arange(len(x)), home][:, None] + margin
+                close = np.clip(x @ centres.T, -1, 1)
+                home = close.argmax(1)
+                reach = np.degrees(np.arccos(close[np.arange(len(x)), home])) + margin
+                goes = close >= np.where(reach >= 180, -2.0, np.cos(np.radians(np.minimum(reach, 180))))[:, None]
                 goes[np.arange(len(x)), home] = True
                 row, at = np.nonzero(goes)
-                packed = np.packbits(goes, axis=1)
+                starts = np.searchsorted(row, np.arange(len(x) + 1))
                 take = pa.array(row)
                 vectors = pa.array([v.tobytes() for v in x], pa.binary())
-                visits = pa.array([v.tobytes() for v in packed], pa.binary())
+                visits = pa.array([at[a:b].astype("<i4").tobytes() for a, b in zip(starts, starts[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("label").take(take), pa.array(at.astype(np.int32)), pa.array(home[row].astype(np.int32)), part.column("id").take(take), part.column("n").take(take), vectors.take(take), visits.take(take)], ["label", "cell", "home", "id", "n", "vector", "visits"])
 
     placed = cut(points.select("label", "id", "n", "embedding").mapInArrow(visit, "label string, cell int, home int, id long, n long, vector binary, visits binary"))
@@ -116,14 +157,17 @@ def _linked_points(points: DataFrame, width: int, least: float, margin: float) -
         frame = frame.sort_values("id", kind="stable")
         ids, home, n, own = (frame[c].to_numpy() for c in ("id", "home", "n", "own"))
         x = np.frombuffer(b"".join(frame["vector"]), float).reshape(-1, width)
-        visits = np.unpackbits(np.frombuffer(b"".join(frame["visits"]), np.uint8).reshape(len(frame), -1), axis=1)[:, :cells]
+        visits = [np.frombuffer(v, "<i4") for v in frame["visits"]]
+        visited = np.concatenate([i * cells + v.astype(np.int64) for i, v in enumerate(visits)])
         cell = frame["cell"].iat[0]
         a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
         if frame["i"].iat[0] != frame["j"].iat[0]:
             cross = own[a] != own[b]
             a, b = a[cross], b[cross]
         # a has the smaller id: its cell counts the pair, else the other's cell where b doesn't visit a's.
-        good = (home[a] == cell) | ((home[b] == cell) & (visits[b, home[a]] == 0))
+        asked = b * cells + home[a]
+        there = visited[np.minimum(np.searchsorted(visited, asked), len(visited) - 1)] == asked
+        good = (home[a] == cell) | ((home[b] == cell) & ~there)
         a, b = a[good], b[good]
         links = np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids))
         labels, before = ids.copy(), None

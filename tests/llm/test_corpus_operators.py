@@ -259,6 +259,23 @@ def test_vectors(spark):
     assert exact["n_links"].sum() == true and (exact["kept"] == (exact["vec_id"] == exact["component_id"])).all()
 
 
+def test_centres_in_two_levels(spark, monkeypatch):
+    """Many cells, fitted in two levels, still find the links of the exact search."""
+    monkeypatch.setattr(vectors, "CELL", 8)
+    monkeypatch.setattr(vectors, "FITTED", 8)
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(60, 16))
+    x = heads[rng.integers(0, 60, 800)] + rng.normal(0, 0.05, (800, 16))
+    table = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = np.array([r.embedding for r in table.orderBy("vec_id").collect()], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = np.array([r.n_links for r in vectors.near_vectors(table).orderBy("vec_id").collect()])
+    assert (got <= links).all() and got.sum() >= 0.9 * links.sum() > 900
+    exact = np.array([r.n_links for r in vectors.near_vectors(table, margin=180.0).orderBy("vec_id").collect()])
+    assert (exact == links).all()
+
+
 def test_vector_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(4)
