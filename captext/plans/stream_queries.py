@@ -24,7 +24,7 @@ def capture_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def folded(step, schema: str = TEXTS):
-    return lambda s, d: live.finished(fold.stream_fold(capture_stream(s, d), "stream_id", ["t", "seq"], step, schema), "fold")
+    return lambda s, d: live.folded(capture_stream(s, d), "stream_id", ["t", "seq"], step, schema)
 
 
 def at(ms: str) -> Column:
@@ -41,15 +41,15 @@ def shown_stream(s, d):
 
 
 def x5(s, d):
-    return live.finished(live.sessions(live.stream_table(s, d, "events"), "user_id", "6 hours"), "sessions").select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
+    return live.finished(live.sessions(live.stream_table(s, d, "events"), "user_id", "6 hours", least=0.3), "sessions").select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
 
 
 X5 = """WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM b)
-  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)"""
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AND epoch(max(ts)) - epoch(min(ts)) >= 0.3"""
 
 
 def x6(s, d):
-    return live.finished(fold.stream_fold(speech_stream(s, d), "stream_id", ["t0", "seq"], fold.cut_step(), "stream_id long, seq long, t0 long, t1 long"), "cuts")
+    return live.folded(speech_stream(s, d), "stream_id", ["t0", "seq"], fold.cut_step(), "stream_id long, seq long, t0 long, t1 long")
 
 
 def x7(s, d):
@@ -70,6 +70,11 @@ def x8(s, d):
     return live.finished(both.where("heard IS NULL").select("stream_id", "n", "shown"), "silent")
 
 
+#: Subtitles that no voice can join any more when the stream ends.
+X8 = f"""WITH {V.ctes('speech')}, u AS (SELECT stream_id, t0 + ((seq % 5) - 1) * 2500 AS t, regexp_replace(text, ' [^ ]*$', '') AS shown, seq AS n FROM speech WHERE seq % 7 <> 0), m AS (SELECT least((SELECT max(t) FROM u), (SELECT max(t1) FROM speech)) - 3000 AS mark)
+  SELECT stream_id, n, shown FROM u WHERE t + 4000 < (SELECT mark FROM m) AND NOT EXISTS (SELECT 1 FROM speech s WHERE s.stream_id = u.stream_id AND s.t1 >= u.t - 2500 AND s.t1 <= u.t + 4000)"""
+
+
 def x9(s, d):
     a = speech_stream(s, d).withColumn("ta", at("t0")).withWatermark("ta", "3 seconds")
     b = live.stream_table(s, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("sid"), F.lit(1).alias("echo"), at("conv_id * 3600000 + turn * 4000").alias("tb")).withWatermark("tb", "3 seconds")
@@ -77,6 +82,10 @@ def x9(s, d):
     return live.finished(both.where("echo IS NULL").select("stream_id", "seq", "t0"), "unechoed")
 
 
+X9 = f"""WITH {V.ctes('speech', 'playback')}, m AS (SELECT least((SELECT max(t0) FROM speech), (SELECT max(t0) FROM playback)) - 3000 AS mark)
+  SELECT stream_id, seq, t0 FROM speech s WHERE t0 + 2000 < (SELECT mark FROM m) AND NOT EXISTS (SELECT 1 FROM playback p WHERE p.stream_id = s.stream_id AND p.t0 <= s.t0 + 2000 AND p.t0 >= s.t0 - 4500)"""
+
+
 def x10(s, d):
     rows = capture_stream(s, d).withColumn("at", at("t")).withColumn("key", T.normalise_key(F.col("text"))).withWatermark("at", "10 seconds")
     return live.finished(rows.dropDuplicatesWithinWatermark(["stream_id", "key"]).select("stream_id", "key"), "distinct")
@@ -86,8 +95,8 @@ X10 = "SELECT DISTINCT stream_id, key FROM (SELECT conv_id AS stream_id, {k} AS
 
 
 def x11(s, d):
-    rows = capture_stream(s, d).withColumn("arrived", F.expr("t + (stream_id * 7 + seq * 13) % 6000")).withColumn("at", at("t")).withWatermark("at", "8 seconds")
-    return live.finished(rows.where("arrived - t <= 3000").select("stream_id", "seq"), "fresh")
+    rows = capture_stream(s, d).withColumn("arrived", F.expr("t + (stream_id * 7 + seq * 13) % 6000"))
+    return live.finished(live.fresh(rows, "t", "arrived", 3000).select("stream_id", "seq"), "fresh")
 
 
 X11 = "WITH c AS (SELECT conv_id AS stream_id, turn * 3 + copy AS seq FROM conversations, (VALUES (CAST(0 AS BIGINT)), (1), (2)) v(copy)) SELECT stream_id, seq FROM c WHERE (stream_id * 7 + seq * 13) % 6000 <= 3000"
@@ -114,7 +123,7 @@ X13 = "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS
 
 def x15(s, d):
     def answer(batch: DataFrame) -> DataFrame:
-        rows = batch.withColumn("rank", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))))).selectExpr("doc_id", "rank", "CASE (doc_id * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN substr(text, 1, 20) ELSE concat('>> ', substr(text, 1, 20)) END AS result")
+        rows = batch.withColumn("rank", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))))).selectExpr("doc_id", "rank", "CASE (doc_id * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN text ELSE concat('>> ', text) END AS result")
         good = F.coalesce(F.col("result").startswith(">>"), F.lit(False))
         return rows.groupBy("doc_id").agg(F.min_by(F.when(good, F.col("result")), F.when(good, F.col("rank"))).alias("result"), F.min(F.when(good, F.col("rank"))).alias("rank")).withColumn("result", F.coalesce("result", F.lit("[failed]"))).sortWithinPartitions("doc_id")
 
@@ -135,30 +144,29 @@ X17 = "SELECT conv_id, turn, 'users' AS sink FROM conversations WHERE role = 'us
 
 
 def s1(s, d):
-    found = files.scan_files(s, d, (".parquet", ".PQ")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
-    return found.where(F.col("file").startswith("documents") | F.col("file").startswith("part-") | F.col("file").startswith("labels"))
+    return files.scan_files(s, d, (".parquet", ".PQ")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
 def s3(s, d):
-    rows = V.table(s, d, "documents").select("doc_id", "lang", F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
+    """The results of a batch as CSV, JSON and text blocks, each read back."""
+    rows = files.batch_process(V.table(s, d, "documents"), str.strip, "doc_id", "text").withColumn("filename", F.concat(F.lit("doc "), F.col("key").cast("string"), F.lit(".png")))
     path = scratch(s, "batch")
-    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/csv")
-    rows.write.json(f"{path}/json")
-    rows.select(files.txt_block(F.col("doc_id").cast("string"), F.col("text"))).write.text(f"{path}/txt")
-    csv = s.read.option("header", True).option("escape", '"').schema("doc_id long, lang string, text string").csv(f"{path}/csv")
-    json = s.read.schema("doc_id long, lang string, text string").json(f"{path}/json")
-    return csv.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.lit("csv").alias("sink")).unionByName(json.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.lit("json").alias("sink")))
+    files.write_results(rows, path)
+    found = [files.read_results(s, path, kind).select("filename", "text", F.lit(kind).alias("sink")) for kind in ("csv", "json", "txt")]
+    return found[0].union(found[1]).union(found[2])
 
 
-_TXT = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
-S3 = f"SELECT doc_id, lang, length({_TXT}) AS chars, 'csv' AS sink FROM documents UNION ALL SELECT doc_id, lang, length({_TXT}), 'json' FROM documents"
+_TXT = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+S3 = " UNION ALL ".join(f"SELECT concat('doc ', doc_id, '.png') AS filename, {_TXT} AS text, '{kind}' AS sink FROM documents" for kind in ("csv", "json", "txt"))
 
 
 def s5(s, d):
-    rows = V.table(s, d, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
-    path = scratch(s, "history")
-    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-    return s.read.option("header", True).option("escape", '"').schema("conv_id long, turn long, role string, text string").csv(path)
+    """History written as a table for people and taken in again, with a new time and no image."""
+    rows = V.table(s, d, "conversations").selectExpr("cast(conv_id * 3600 + turn AS double) AS timestamp", "text AS source_text", "role AS voice_preset", "'a.png' AS image_path")
+    held, path = files.new_history(s), scratch(s, "csv")
+    files.append_history(rows, held)
+    files.export_history(files.load_history(s, held), path)
+    return files.import_history(s, path, F.lit(5.0)).select("timestamp", "source_text", "voice_preset", "image_path")
 
 
 def s6(s, d):
@@ -172,8 +180,12 @@ S6 = "SELECT concat('2024-01-01 #', doc_id) AS at, CAST(doc_id % 100 AS DOUBLE)
 
 
 def s8(s, d):
-    regions = frame(s, REGIONS, "name string, ord int, x double, y double, w double, h double").withColumn("locked", F.col("name") == "side")
-    return fusion.boxes_in_regions(V.boxes(s, d), files.valid_regions(regions)).groupBy("name").agg(F.count("*").alias("n"))
+    from captext.plans.join_queries import REGIONS as held
+
+    path = scratch(s, "regions")
+    rows = [(n, x, y, w, h, n == "side") for n, _, x, y, w, h in held]
+    frame(s, rows, "name string, x double, y double, width double, height double, locked boolean").write.json(path)
+    return fusion.boxes_in_regions(V.boxes(s, d), files.valid_regions(files.read_regions(s, path))).groupBy("name").agg(F.count("*").alias("n"))
 
 
 S8 = f"WITH {V.ctes('boxes')} SELECT name, count(*) AS n FROM boxes JOIN {values(REGIONS, 'name, ord, x, y, w, h')} ON x0 >= x AND x1 <= x + w AND y0 >= y AND y1 <= y + h WHERE w > 30 AND h > 12 AND name <> 'side' GROUP BY name"
@@ -192,18 +204,22 @@ P1 = "SELECT page_id AS key, length(html) % 7 <> 0 AS success, CASE WHEN length(
 
 
 def p2(s, d):
-    rows = V.table(s, d, "documents").select("lang", F.substring(F.trim("text"), 1, 12).alias("key"))
+    rows = V.table(s, d, "documents").select("lang", F.trim("text").alias("key"))
     memory = rows.where("length(key) % 2 = 0").select("lang", "key").distinct().withColumn("hit", F.lower("key"))
     return fusion.remember(rows, memory, ["lang", "key"], lambda missing: missing.withColumn("hit", F.concat(F.lit("new "), "key")))
 
 
-P2 = "WITH r AS (SELECT DISTINCT lang, substr(trim(text), 1, 12) AS key FROM documents) SELECT lang, key, CASE WHEN length(key) % 2 = 0 THEN lower(key) ELSE concat('new ', key) END AS hit FROM r"
+P2 = "WITH r AS (SELECT DISTINCT lang, trim(text) AS key FROM documents) SELECT lang, key, CASE WHEN length(key) % 2 = 0 THEN lower(key) ELSE concat('new ', key) END AS hit FROM r"
+
+
+def p5(s, d):
+    """A recogniser found by its name."""
+    files.register_recogniser("upper", lambda: str.upper)
+    return files.batch_process(V.table(s, d, "pages"), files.recogniser("upper"), "page_id", "url").select("key", "text", "success")
 
 
 def p7(s, d):
-    s.udtf.register("split_sentences", files.SplitSentences)
-    V.table(s, d, "documents").select("doc_id", "text").createOrReplaceTempView("_captext_documents")
-    return s.sql("SELECT doc_id, pos, sentence FROM _captext_documents, LATERAL split_sentences(text)")
+    return V.table(s, d, "documents").select("doc_id", "text").lateralJoin(files.SplitSentences(F.col("text").outer())).select("doc_id", "pos", "sentence")
 
 
 P7 = f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT doc_id, unnest({SENTENCES}) AS s, generate_subscripts({SENTENCES}, 1) AS i FROM documents)"
@@ -219,8 +235,8 @@ QUERIES = {
     "x5_sessions": (x5, X5),
     "x6_forced_cut": (x6, None),
     "x7_fusion": (x7, X7),
-    "x8_silent": (x8, None),
-    "x9_echo_block": (x9, None),
+    "x8_silent": (x8, X8),
+    "x9_echo_block": (x9, X9),
     "x10_event_dedup": (x10, X10.format(k=KEY_SQL.format("text"), h=KEY_SQL.format("substr(text, 1, length(text) // 2)"))),
     "x11_freshness": (x11, X11),
     "x12_flush": (x12, X12),
@@ -231,10 +247,11 @@ QUERIES = {
     "x17_fan_out": (x17, X17),
     "s1_scan_files": (s1, None),
     "s3_batch_sinks": (s3, S3),
-    "s5_history_csv": (s5, r"SELECT conv_id, turn, role, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM conversations"),
+    "s5_history_csv": (s5, "SELECT CAST(5.0 AS DOUBLE) AS timestamp, text AS source_text, role AS voice_preset, '' AS image_path FROM conversations"),
     "s6_capture_log": (s6, S6),
     "s8_regions": (s8, S8),
     "p1_recogniser_hook": (p1, P1),
     "p2_provider_hook": (p2, P2),
+    "p5_named_recogniser": (p5, "SELECT page_id AS key, upper(url) AS text, true AS success FROM pages"),
     "p7_sentence_udtf": (p7, P7),
 }

@@ -22,14 +22,17 @@ def builder(app: str = "captext") -> SparkSession.Builder:
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor reaches.
 
-    Where the setting is absent (a local test session) a temporary folder is
-    made once and becomes the session's checkpoint folder.
+    Where the setting is absent in a local session a temporary folder is made once
+    and becomes the session's checkpoint folder; on a cluster that raises
+    RuntimeError, as executors don't see each other's local folders.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="captext-"))
         held = spark.sparkContext.getCheckpointDir()
     return held

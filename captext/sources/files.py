@@ -153,10 +153,39 @@ def valid_regions(regions: DataFrame) -> DataFrame:
     return regions.where((F.col("w") > 30) & (F.col("h") > 12) & ~F.coalesce("locked", F.lit(False)))
 
 
+#: Columns of a batch's results as CSV.
+RESULT = ("filename", "text", "chars", "lines", "error")
+#: What a spreadsheet takes as the sign of UTF-8.
+BOM = "\ufeff"
+
+
 def txt_block(name: Column, text: Column) -> Column:
     return F.concat(F.lit("=== "), name, F.lit(" ===\n"), text)
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """A batch's results (RESULT, success) below path as `csv` (those columns, a byte order mark before each file's header), `json` and `txt` (a block a file)."""
+    none = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    plain = rows.select("filename", none("text", ""), none("chars", 0), none("lines", 0), none("error", ""))
+    csv = plain.toDF(BOM + "filename", *RESULT[1:])
+    csv.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(f"{path}/csv")
+    rows.write.json(f"{path}/json")
+    plain.select(F.concat(F.lit("=== "), "filename", F.lit(" ===\n"), "text")).write.option("lineSep", "\n\n").text(f"{path}/txt")
+
+
+def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """filename and text of one of the sinks of write_results()."""
+    if kind == "json":
+        return spark.read.schema("filename string, text string").json(f"{path}/json")
+    if kind == "csv":
+        schema = "filename string, text string, chars long, lines long, error string"
+        return spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').schema(schema).csv(f"{path}/csv").select("filename", F.coalesce("text", F.lit("")).alias("text"))
+    # A block begins where a line is a name between bars; what stands before the first one is no block.
+    held = spark.read.option("lineSep", "\n\n=== ").text(f"{path}/txt").select(F.regexp_replace("value", r"^=== |\n\n$", "").alias("v"))
+    part = lambda i: F.regexp_extract("v", r"(?s)^(.*?) ===\n(.*)$", i)
+    return held.select(part(1).alias("filename"), part(2).alias("text")).where("filename <> ''")
+
+
 @F.udtf(returnType="pos int, sentence string")
 class SplitSentences:
     """The sentences of a text with their end marks, as a table function."""

@@ -2,6 +2,8 @@
 
 A step takes (state, row) and returns (state, output rows); states are small
 and bounded by their steps, rows of a key are folded in the order of `order`.
+A step with a `finish` attribute also says what a state still holds when its
+stream ends: finish(key, state) gives the last output rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[dict, object], tuple[dict, list[tuple]]]
@@ -22,7 +25,11 @@ def _names(schema: str) -> list[str]:
 
 
 def stream_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """Fold a stream; the state is kept from batch to batch."""
+    """Fold a stream; the state is kept from batch to batch.
+
+    A key's rows of one micro-batch are sorted in memory: bound them by the
+    source's maxFilesPerTrigger or maxBytesPerTrigger.
+    """
     names = _names(schema)
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,75 +44,149 @@ def stream_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema:
     return rows.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def table_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """Fold a table. A key's rows are in one task, as its order needs."""
+def left_over(spark: SparkSession, checkpoint: str, key: str, step: Step, schema: str) -> DataFrame:
+    """What the states of a stopped stream_fold() still hold, read from its checkpoint."""
     names = _names(schema)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        out: list[tuple] = []
-        for row in frame.sort_values(order).itertuples(index=False):
-            state, made = step(state, row)
-            out += made
-        return pd.DataFrame(out, columns=names)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [row for k, held in zip(frame["k"], frame["held"], strict=True) for row in step.finish(k, pickle.loads(held))]
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(F.col(f"key.{key}").alias("k"), F.col("value.groupState.state").alias("held")).where("held IS NOT NULL").mapInPandas(run, schema)
 
 
-def change_step(ttl: int = 1000, alike: float = 0.85) -> Step:
-    """Emits (stream_id, seq, text) where the text is new: not seen within ttl ms, not like the last one, not part of a remembered one."""
+def table_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
+    """Fold a table. A key's rows are in one task, as their order needs, but pass through it batch by batch: Spark sorts them, and only states are held."""
+    names, finish = _names(schema), getattr(step, "finish", None)
+    types = rows.sparkSession.createDataFrame([], schema).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, {}
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False):
+                mine = getattr(row, key)
+                if mine != now:
+                    if finish and now is not None:
+                        out += finish(now, state)
+                    now, state = mine, {}
+                state, made = step(state, row)
+                out += made
+            yield pd.DataFrame(out, columns=names)
+        if finish and now is not None:
+            yield pd.DataFrame(finish(now, state), columns=names)
+
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, types)
+
+
+def _plain(text: str) -> str:
+    """Lower case, white space squeezed, marks at the end gone."""
+    return " ".join(text.lower().split()).rstrip(".,!?:;- ")
+
+
+def change_step(ttl: int = 1000, alike: float = 0.85, shortest: int = 4) -> Step:
+    """Emits (stream_id, seq, text) of texts that are new.
+
+    A text of less than `shortest` characters is noise. Texts of the last `ttl` ms
+    are remembered; one that contains another of them, or is part of it, is the
+    same and keeps it fresh. So is one whose common run with the last new text is
+    above `alike`; where that one is longer, it is what later ones are held against.
+    """
     from captext.operators.fusion import common_run
 
     def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        text = " ".join(row.text.strip().lower().split()).rstrip(".,!?:;-")
-        seen = {k: t for k, t in state.get("seen", {}).items() if row.t - t <= ttl}
+        key = _plain(row.text)
+        if len(key) < shortest:
+            return state, []
+        fresh = [(k, t) for k, t in state.get("fresh", []) if t >= row.t - ttl]
         last = state.get("last", "")
-        if len(text) <= 3:
-            return {"seen": seen, "last": last}, []
-        held = next((k for k in seen if text in k or k in text), None)
-        if held is not None or (last and common_run(text, last) > alike):
-            if held is not None:
-                seen[held] = row.t
-            elif len(text) > len(last):
-                last = text
-            return {"seen": seen, "last": last}, []
-        return {"seen": seen | {text: row.t}, "last": text}, [(row.stream_id, row.seq, row.text)]
+        same = [i for i, (k, _) in enumerate(fresh) if key in k or k in key]
+        if same:
+            fresh[same[0]] = (fresh[same[0]][0], row.t)
+            return {"fresh": fresh, "last": last}, []
+        if last and common_run(key, last) > alike:
+            return {"fresh": fresh, "last": max(last, key, key=len)}, []
+        return {"fresh": [*fresh, (key, row.t)], "last": key}, [(row.stream_id, row.seq, row.text)]
 
     return step
 
 
-def maturing_step(memory: int = 80) -> Step:
-    """Emits (stream_id, seq, text) of a line seen twice; of one that grew, only the words that are new."""
+def maturing_step(memory: int = 80, alike: float = 0.75, grown: float = 1.15) -> Step:
+    """Emits (stream_id, seq, text) of lines that are stable: related to a line of the capture before, or to one seen before and not said.
+
+    Related: their common run is above `alike`, or one of five letters or more is
+    part of the other, at most three times as long, one. A line that a said one
+    grew into (longer by `grown`, alike or with eight letters of it inside) gives
+    only its tail; a line like a said one, or part of one, is not said again. The
+    last `memory` said lines are kept.
+    """
+    from captext.functions.text import LOOKALIKE_DIGITS, LOOKALIKE_LETTERS
+    from captext.operators.fusion import common_run
+
+    table = str.maketrans(LOOKALIKE_LETTERS, LOOKALIKE_DIGITS)
+    bare = lambda text: " ".join("".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split())
+
+    def related(a: str, b: str) -> bool:
+        short, long = sorted((a, b), key=len)
+        return (len(short) >= 5 and short in long and len(long) <= 3 * len(short)) or common_run(a, b) > alike
+
+    def origin(key: str, said: list[str]) -> tuple[bool, str | None]:
+        """(said already, the said line that this one grew from)."""
+        root = None
+        for old in said:
+            if len(key) > grown * len(old):
+                if common_run(key, old) > alike or (len(old) >= 8 and old in key):
+                    root = old
+            elif common_run(key, old) > alike or (len(key) >= 15 and key in old) or (len(old) >= 15 and old in key):
+                return True, root
+        return False, root
+
+    def tail(line: str, root: str) -> str:
+        """The words of line behind those that it shares with root at the start."""
+        words, old = line.split(), root.split()
+        n = next((i for i, w in enumerate(words) if i >= len(old) or bare(w).translate(table) != old[i]), len(words))
+        return " ".join(words[n:])
 
     def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        key = " ".join(row.text.lower().split())
-        said, waiting = state.get("said", []), state.get("waiting", {})
-        waiting = {key: waiting.get(key, 0) + 1}
-        if key in said or waiting[key] < 2:
-            return {"said": said, "waiting": waiting}, []
-        grown = max((s for s in said if key.startswith(s + " ")), key=len, default="")
-        tail = " ".join(row.text.split()[len(grown.split()) :])
-        return {"said": [*said, key][-memory:], "waiting": waiting}, [(row.stream_id, row.seq, tail)]
+        said, before, once = list(state.get("said", [])), state.get("before", []), state.get("once", [])
+        lines = [x.strip() for x in row.text.split("\n") if x.strip()]
+        keyed = [(bare(x).translate(table), x) for x in lines]
+        keyed = [(k, x) for k, x in keyed if k]
+        found, out, fresh = set(), [], []
+        for key, line in keyed:
+            done, root = origin(key, said)
+            if done or not (root or any(related(key, k) for k in (*before, *once))):
+                continue
+            words = tail(line, root) if root else line
+            if words:
+                found.add(key)
+                fresh.append(key)
+                out.append((row.stream_id, row.seq, words))
+        keys = [k for k, _ in keyed]
+        return {"said": [*said, *fresh][-memory:], "before": keys, "once": [k for k in keys if k not in found]}, out
 
     return step
 
 
-def chunk_step(idle: int = 5000) -> Step:
-    """Emits (stream_id, seq, text) at a comma or full stop after three words, beyond 15 words, or after `idle` ms with two."""
+def chunk_step(idle: int = 5000, least: int = 3, most: int = 15) -> Step:
+    """Emits (stream_id, seq, text) at a comma or full stop after `least` words, beyond `most` words, after `idle` ms with two, and at the stream's end."""
 
     def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        words, at = state.get("words", []), state.get("at", row.t)
+        words, at, seq = state.get("words", []), state.get("at", row.t), state.get("seq", row.seq)
         out = []
         if row.t - at >= idle and len(words) >= 2:
-            out.append((row.stream_id, row.seq, " ".join(words)))
+            out.append((row.stream_id, seq, " ".join(words)))
             words = []
         for w in row.text.split():
             words = [*words, w]
-            if (w[-1] in ",." and len(words) >= 3) or len(words) > 15:
+            if (w[-1] in ",." and len(words) >= least) or len(words) > most:
                 out.append((row.stream_id, row.seq, " ".join(words)))
                 words = []
-        return {"words": words, "at": row.t}, out
+        return {"words": words, "at": row.t, "seq": row.seq}, out
 
+    step.finish = lambda key, state: [(key, state["seq"], " ".join(state["words"]))] if state.get("words") else []
     return step
 
 
@@ -121,21 +202,23 @@ def buffer_step(memory: int = 20) -> Step:
     return step
 
 
-def cut_step(pause: int = 260, least: int = 1100, most: int = 8000) -> Step:
-    """Emits (stream_id, seq, t0, t1) of pieces: cut at a pause if long enough, forced at `most` ms."""
+def cut_step(pause: int = 260, least: int = 1100, most: int = 8000, gap: int = 700) -> Step:
+    """Emits (stream_id, seq, t0, t1) of pieces: cut at a pause if long enough and `gap` ms after the last cut, forced at `most` ms; the rest at the end."""
 
     def step(state: dict, row) -> tuple[dict, list[tuple]]:
         out = []
-        a, b = state.get("a", row.t0), state.get("b", row.t0)
-        if row.t0 - b >= pause and b - a >= least:
+        a, b, last = state.get("a", row.t0), state.get("b", row.t0), state.get("last")
+        if row.t0 - b >= pause and b - a >= least and (last is None or b - last >= gap):
             out.append((row.stream_id, row.seq, a, b))
-            a = row.t0
+            a, last = row.t0, b
         b = max(b, row.t1)
         while b - a >= most:
             out.append((row.stream_id, row.seq, a, a + most))
             a += most
-        return {"a": a, "b": b}, out
+            last = a
+        return {"a": a, "b": b, "last": last, "seq": row.seq}, out
 
+    step.finish = lambda key, state: [(key, state["seq"], state["a"], state["b"])] if state and state["b"] > state["a"] else []
     return step
 
 
@@ -175,12 +258,30 @@ def hysteresis_step(above: float = 8.0) -> Step:
     return step
 
 
-def window_merge_step(most: int = 48) -> Step:
-    """Emits (stream_id, seq, text): what a window adds beyond the longest end of the text so far that it starts with."""
+def window_merge_step(most: int = 48, reach: int = 24, least: int = 4) -> Step:
+    """Emits (stream_id, seq, text): what a window adds beyond the longest run that its first `most` characters share with the last `most` so far.
+
+    Runs are sought in canonical letters (lower case, Cyrillic look-alikes as
+    Latin), start within the window's first `reach` characters and have `least` or
+    more; the first place of the longest counts, and one of eight settles it.
+    """
+    from captext.functions.text import CYRILLIC_LOOKALIKE, LATIN_LOOKALIKE
+
+    table = str.maketrans(CYRILLIC_LOOKALIKE, LATIN_LOOKALIKE)
+    plain = lambda text: "".join(c.lower()[:1] for c in text.translate(table))
 
     def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        tail, text = state.get("tail", ""), row.text
-        n = next((k for k in range(min(len(tail), len(text), most), 0, -1) if tail.endswith(text[:k])), 0)
-        return {"tail": (tail + text[n:])[-most:]}, [(row.stream_id, row.seq, text[n:])]
+        merged, text = state.get("tail", ""), row.text
+        tail, head = plain(merged), plain(text[:most])
+        end, best = 0, 0
+        for k in range(min(reach, len(head))):
+            n = 0
+            while k + n < len(head) and head[k : k + n + 1] in tail:
+                n += 1
+            if n >= least and n > best:
+                end, best = k + n, n
+            if best >= 8:
+                break
+        return {"tail": (merged + text[end:])[-most:]}, [(row.stream_id, row.seq, text[end:])]
 
     return step

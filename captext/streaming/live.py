@@ -24,11 +24,29 @@ def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def sessions(events: DataFrame, key: str, gap: str, delay: str = "0 seconds") -> DataFrame:
-    """A stream's sessions by key, closed by `gap` of silence: key, start, last, n."""
+def folded(stream: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
+    """The rows of a stream_fold() by the end of its input, with what its states still held then."""
+    from captext.streaming.fold import left_over, stream_fold
+
+    spark = stream.sparkSession
+    path, state = scratch(spark, "fold"), scratch(spark, "state")
+    out = stream_fold(stream, key, order, step, schema)
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(path)
+    return rows.unionByName(left_over(spark, state, key, step, schema)) if hasattr(step, "finish") else rows
+
+
+def sessions(events: DataFrame, key: str, gap: str, delay: str = "0 seconds", least: float = 0.0) -> DataFrame:
+    """A stream's sessions by key, closed by `gap` of silence, that last `least` seconds or more: key, first, last, n."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     out = timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
-    return out.select(key, "first", "last", "n")
+    long = F.col("last").cast("double") - F.col("first").cast("double") >= least
+    return out.select(key, "first", "last", "n").where(long if least else F.lit(True))
+
+
+def fresh(rows: DataFrame, at: str, arrived: str, most: int) -> DataFrame:
+    """Rows that came at most `most` ms after their own time; late ones are ignored, nothing is held."""
+    return rows.where(F.col(arrived) - F.col(at) <= most)
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, object]) -> dict[str, DataFrame]:
