@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +67,43 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return line.groupBy("frame_id").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def reading_order_exact(boxes: DataFrame) -> DataFrame:
+    """reading_order() with rows by the running mean of their middles: a box, from the top down, joins the first row that it is near to."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for key, held in zip(frame["frame_id"], frame["held"], strict=True):
+                height = sorted(b["y1"] - b["y0"] for b in held)
+                near = max(8.0, 0.6 * (height[(len(height) - 1) // 2] + height[len(height) // 2]) / 2)
+                rows: list[list] = []
+                for b in sorted(held, key=lambda b: ((b["y0"] + b["y1"]) / 2, b["x0"], b["pos"])):
+                    middle = (b["y0"] + b["y1"]) / 2
+                    row = next((r for r in rows if abs(r[0] / len(r[1]) - middle) <= near), None)
+                    if row is None:
+                        rows.append(row := [0.0, []])
+                    row[0] += middle
+                    row[1].append(b)
+                rows.sort(key=lambda r: r[0] / len(r[1]))
+                text = "\n".join(" ".join(b["text"] for b in sorted(r[1], key=lambda b: (b["x0"], b["pos"]))) for r in rows)
+                out.append((key, len(rows), text))
+            yield pd.DataFrame(out, columns=["frame_id", "n_rows", "text"])
+
+    held = boxes.groupBy("frame_id").agg(F.collect_list(F.struct("x0", "y0", "y1", "pos", "text")).alias("held"))
+    return held.mapInPandas(run, "frame_id long, n_rows long, text string")
+
+
 def merge_boxes(boxes: DataFrame) -> DataFrame:
-    """frame_id, the merged rectangles and their number of boxes; boxes merge that overlap in height and are near in width, transitively."""
+    """frame_id, the merged rectangles and their number of boxes; boxes (pos is theirs in the frame) merge that overlap in height and are near in width, transitively."""
     from captext.operators.components import connected_components
 
-    # A frame's boxes number in the tens; ids are made unique over all frames.
-    ids = boxes.withColumn("id", F.col("frame_id") * 1000 + F.col("pos"))
+    ids = boxes.withColumn("id", F.struct("frame_id", "pos"))
     a, b = ids.alias("a"), ids.alias("b")
-    near = F.expr("""a.frame_id = b.frame_id AND a.id < b.id AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.55 * least(a.y1 - a.y0, b.y1 - b.y0)
+    near = F.expr("""a.frame_id = b.frame_id AND a.pos < b.pos AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.55 * least(a.y1 - a.y0, b.y1 - b.y0)
       AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 0.55 * greatest(a.y1 - a.y0, b.y1 - b.y0)""")
     found = connected_components(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "a", "b")
     grouped = ids.join(found, F.col("id") == F.col("node"), "left").withColumn("box", F.coalesce("component", "id"))
-    return grouped.groupBy("frame_id", "box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+    return grouped.groupBy("box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n")).select("box.frame_id", F.col("box.pos").alias("box"), "x0", "y0", "x1", "y1", "n")
 
 
 def name_lines(rows: DataFrame) -> DataFrame:
@@ -87,6 +113,28 @@ def name_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("after", after).where(F.col("line").rlike(r"^\p{Lu}[\p{L}]{1,14}[.:]?$") & (F.col("after") >= 3)).select("doc_id", "line_no", "line")
 
 
+def speakers(boxes: DataFrame) -> DataFrame:
+    """frame_id, name and pos of who speaks in a frame: the first box from the top whose text looks like a name just above what is said.
+
+    A name has one to three capitalised words of 20 characters in all, no digit or
+    code mark, and no mark at its end; the next box below it has three words and 12
+    characters or more, is longer and starts within twice the name's height.
+    """
+    w = Window.partitionBy("frame_id").orderBy("y0", "x0", "pos")
+    said = F.trim("text")
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    rows = boxes.withColumns({"_next": F.trim(F.lead("text").over(w)), "_top": F.lead("y0").over(w)})
+    name = said.rlike(r"^\p{Lu}[^\s\d{}\[\]<>=_/\\|]*( \p{Lu}[^\s\d{}\[\]<>=_/\\|]*){0,2}$") & (F.length(said) <= 20) & ~said.rlike(r"[.,!?:;…]$")
+    below = (words(F.col("_next")) >= 3) & (F.length("_next") >= 12) & (F.length("_next") > F.length(said)) & (F.col("_top") > F.col("y0")) & (F.col("_top") - F.col("y1") <= 2 * (F.col("y1") - F.col("y0")))
+    found = rows.where(name & below)
+    return found.groupBy("frame_id").agg(F.min_by(F.struct("text", "pos"), F.struct("y0", "x0", "pos")).alias("_x")).select("frame_id", F.trim("_x.text").alias("name"), "_x.pos")
+
+
+def without_speakers(boxes: DataFrame, found: DataFrame) -> DataFrame:
+    """boxes but those of the names."""
+    return boxes.join(found.select("frame_id", "pos"), ["frame_id", "pos"], "left_anti")
+
+
 def without_tiles(boxes: DataFrame, near: float = 20.0) -> DataFrame:
     """Boxes but those with the text of one less than `near` above it in the frame."""
     w = Window.partitionBy("frame_id", "text").orderBy("y0", "x0", "pos")
@@ -100,6 +148,21 @@ def bands(rows: DataFrame, key: str, order: str, on: Column) -> DataFrame:
     return picked.withColumn("_run", F.col("_n") - F.row_number().over(w)).groupBy(key, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
+def band_groups(runs: DataFrame, key: str, least: float = 5.0, factor: float = 1.7) -> DataFrame:
+    """Runs of bands() joined where their gap is at most max(least, round(factor * the key's median gap)): key, first, last, n (rows), runs."""
+    w = Window.partitionBy(key).orderBy("first")
+    gaps = runs.withColumn("_gap", F.col("first") - F.lag("last").over(w) - 1)
+    limit = gaps.groupBy(key).agg(F.greatest(F.lit(least), F.bround(factor * F.percentile("_gap", 0.5))).alias("_limit"))
+    joined = gaps.join(limit, key).withColumn("_new", F.coalesce((F.col("_gap") > F.col("_limit")).cast("int"), F.lit(1)))
+    numbered = joined.withColumn("_group", F.sum("_new").over(w))
+    return numbered.groupBy(key, "_group").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.count("*").alias("runs")).drop("_group")
+
+
+def lowest_group(groups: DataFrame, key: str, below: Column) -> DataFrame:
+    """Of each key the last of the groups that start where `below` holds: key, first, last, n."""
+    return groups.where(below).groupBy(key).agg(F.max_by(F.struct("first", "last", "n"), "first").alias("_x")).select(key, "_x.*")
+
+
 def service_states(probes: DataFrame) -> DataFrame:
     """Transitions of each service: fast up to 1.5 s, slow up to 4 s, else offline."""
     w = Window.partitionBy("service").orderBy("ts", "id")
@@ -108,10 +171,27 @@ def service_states(probes: DataFrame) -> DataFrame:
     return rows.where("before IS NULL OR before <> state")
 
 
-def retain(items: DataFrame, key: str, order: str, size: str, most: int, budget: int) -> DataFrame:
-    """The newest `most` rows of each key while their sizes fit the budget."""
+def retain(items: DataFrame, key: str, order: str, size: str | None = None, most: int = 60, budget: int | None = None) -> DataFrame:
+    """The newest `most` rows of each key, with nth, and while their sizes fit the budget, with held.
+
+    The number is cut first, which Spark does within partitions, so that sizes are
+    summed over `most` rows of a key only.
+    """
     w = Window.partitionBy(key).orderBy(F.desc(order))
-    return items.withColumn("nth", F.row_number().over(w)).withColumn("held", F.sum(size).over(w)).where((F.col("nth") <= most) & (F.col("held") <= budget))
+    newest = items.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+    return newest if budget is None else newest.withColumn("held", F.sum(size).over(Window.partitionBy(key).orderBy("nth"))).where(F.col("held") <= budget)
+
+
+def newest(rows: DataFrame, *order: str, most: int) -> DataFrame:
+    """The newest `most` rows of a whole table."""
+    return rows.orderBy(*(F.desc(c) for c in order)).limit(most)
+
+
+def pick_targets(rows: DataFrame, tick: str, ident: str, focused: Column, hinted: Column, denied: Column, volume: str = "volume", least: float = 0.001) -> DataFrame:
+    """Of each tick the audible row that is not denied: a focused one first, then a hinted one, then the loudest; kind is 2, 1 or 0."""
+    kind = F.when(focused, 2).when(hinted, 1).otherwise(0)
+    heard = rows.where(~denied & (F.col(volume) > least)).withColumn("kind", kind)
+    return heard.groupBy(tick).agg(F.max_by(ident, F.struct("kind", volume, -F.col(ident))).alias(ident), F.max("kind").alias("kind"))
 
 
 def backlog(rows: DataFrame, drain: float = 1.0, most: float = 30.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
+from captext.operators import scoring
 from captext.operators import sequences as Q
 from captext.operators.lines import explode_lines
 from captext.plans import views as V
@@ -122,11 +123,51 @@ STATE = "CASE WHEN value / 100 <= 1.5 THEN 'fast' WHEN value / 100 <= 4 THEN 'sl
 W13 = f"WITH s AS (SELECT event_type AS service, ts, event_id AS id, {STATE} AS state FROM events), b AS (SELECT *, lag(state) OVER (PARTITION BY service ORDER BY ts, id) AS before FROM s) SELECT service, id, state, before FROM b WHERE before IS NULL OR before <> state"
 
 
+def w12_groups(s, d):
+    runs = Q.bands(events(s, d).select("user_id", "event_id", "value"), "user_id", "event_id", F.col("value") > 250)
+    return Q.band_groups(runs, "user_id")
+
+
+_RUNS = """n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), p AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM n WHERE value > 250),
+  r AS (SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM p GROUP BY user_id, run), g AS (SELECT *, first - lag(last) OVER (PARTITION BY user_id ORDER BY first) - 1 AS gap FROM r), l AS (SELECT user_id, greatest(5.0, round_even(1.7 * quantile_cont(gap, 0.5), 0)) AS most FROM g GROUP BY user_id),
+  j AS (SELECT g.*, sum(coalesce(CAST(gap > most AS INTEGER), 1)) OVER (PARTITION BY g.user_id ORDER BY first) AS grp FROM g JOIN l ON l.user_id = g.user_id), groups AS (SELECT user_id, min(first) AS first, max(last) AS last, CAST(sum(n) AS BIGINT) AS n, count(*) AS runs FROM j GROUP BY user_id, grp)"""
+W12G = f"WITH {_RUNS} SELECT user_id, first, last, n, runs FROM groups"
+
+
+def w12_lowest(s, d):
+    return Q.lowest_group(w12_groups(s, d), "user_id", F.col("first") > 400)
+
+
+W12L = f"WITH {_RUNS} SELECT user_id, first, last, n FROM groups WHERE first > 400 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY first DESC) = 1"
+#: Every third line of a document is headed by a name on its own box.
+NAMED = "CASE line_no % 3 WHEN 0 THEN 'Anna Mond' WHEN 1 THEN 'the end' ELSE 'Stop.' END"
+
+
+def named_boxes(s, d):
+    rows = explode_lines(V.table(s, d, "documents")).selectExpr("doc_id * 1000000 + line_no div 3 AS frame_id", "line_no", "line", f"{NAMED} AS name")
+    both = rows.selectExpr("frame_id", "line_no * 2 AS pos", "cast(0 AS double) AS x0", "cast(line_no * 40 AS double) AS y0", "cast(line_no * 40 + 14 AS double) AS y1", "name AS text")
+    return both.unionByName(rows.selectExpr("frame_id", "line_no * 2 + 1 AS pos", "cast(0 AS double) AS x0", "cast(line_no * 40 + 18 AS double) AS y0", "cast(line_no * 40 + 32 AS double) AS y1", "line AS text"))
+
+
+_NAMED = f"""{LINES}, b AS (SELECT doc_id * 1000000 + line_no // 3 AS frame_id, line_no * 2 AS pos, CAST(line_no * 40 AS DOUBLE) AS y0, CAST(line_no * 40 + 14 AS DOUBLE) AS y1, {NAMED} AS text FROM lines UNION ALL SELECT doc_id * 1000000 + line_no // 3, line_no * 2 + 1, line_no * 40 + 18, line_no * 40 + 32, line FROM lines),
+  o AS (SELECT *, trim(lead(text) OVER w) AS after, lead(y0) OVER w AS top FROM b WINDOW w AS (PARTITION BY frame_id ORDER BY y0, pos)), c AS (SELECT * FROM o WHERE {has('trim(text)', r'^\p{Lu}[^\s\d{}\[\]<>=_/\\|]*( \p{Lu}[^\s\d{}\[\]<>=_/\\|]*){0,2}$')} AND length(trim(text)) <= 20 AND NOT {has('trim(text)', '[.,!?:;…]$')}
+    AND len(list_filter(string_split_regex(after, '\s+'), lambda x: x <> '')) >= 3 AND length(after) >= 12 AND length(after) > length(trim(text)) AND top > y0 AND top - y1 <= 2 * (y1 - y0)),
+  f AS (SELECT frame_id, trim(text) AS name, pos FROM c QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY y0, pos) = 1)"""
+W10S = f"WITH {_NAMED} SELECT frame_id, name, CAST(pos AS INTEGER) AS pos FROM f"
+W10T = f"WITH {_NAMED} SELECT b.frame_id, count(*) AS n FROM b LEFT JOIN f ON f.frame_id = b.frame_id AND f.pos = b.pos WHERE f.pos IS NULL GROUP BY b.frame_id"
+
+
 def w14(s, d):
     rows = V.table(s, d, "documents").select("source", "doc_id", (F.col("n_chars") * 200).alias("bytes"))
     return Q.retain(rows, "source", "doc_id", "bytes", 60, 24 << 20).select("source", "doc_id", F.col("nth").cast("long").alias("nth"), "held")
 
 
+def w14_lines(s, d):
+    """The last 200 lines of each source."""
+    rows = explode_lines(V.table(s, d, "documents"), keep=("source",)).select("source", (F.col("doc_id") * 1000000 + F.col("line_no")).alias("at"))
+    return Q.retain(rows, "source", "at", most=200).select("source", "at", F.col("nth").cast("long").alias("nth"))
+
+
 W14 = "SELECT source, doc_id, nth, held FROM (SELECT source, doc_id, row_number() OVER w AS nth, CAST(sum(n_chars * 200) OVER w AS BIGINT) AS held FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC)) WHERE nth <= 60 AND held <= 25165824"
 
 
@@ -168,9 +209,8 @@ def _k2() -> str:
 
 
 def k3(s, d):
-    rows = events(s, d).withColumn("volume", F.col("value") / 500).where("event_id % 2 = 1 AND event_type <> 'error' AND value / 500 > 0.001").withColumn("tick", F.expr("day(ts) * 100 + hour(ts)"))
-    kind = F.expr("CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END")
-    return rows.withColumn("kind", kind).groupBy("tick").agg(F.max_by("event_id", F.struct("kind", "volume", -F.col("event_id"))).alias("event_id"), F.max("kind").alias("kind"))
+    rows = events(s, d).where("event_id % 2 = 1").withColumn("volume", F.col("value") / 500).withColumn("tick", F.expr("day(ts) * 100 + hour(ts)"))
+    return Q.pick_targets(rows, "tick", "event_id", F.col("event_id") % 11 == 0, F.col("event_type") == "click", F.col("event_type") == "error")
 
 
 K3 = """SELECT tick, event_id, kind FROM (SELECT CAST(day(ts) * 100 + hour(ts) AS INTEGER) AS tick, event_id, value, CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END AS kind FROM events WHERE event_id % 2 = 1 AND event_type <> 'error' AND value / 500 > 0.001)
@@ -190,16 +230,15 @@ K4 = f"""WITH {V.ctes('providers')}, g AS (SELECT doc_id, rank, result FROM prov
 
 
 def k5(s, d):
-    n = F.regexp_count("text", F.lit(r"\p{L}"))
-    fit = F.when(n > 0, F.regexp_count("text", F.lit("[A-Za-z]")) / n).otherwise(0.0)
-    cover = F.expr("cast(pos AS double) / 40")
-    conf = F.col("conf") / 100 * (1 - 0.4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cover - 0.5) / 0.5)))
-    rows = V.boxes(s, d).withColumn("quality", fit + F.least(F.length("text") * 0.01, F.lit(0.12)) + F.col("conf") / 100).where(conf >= F.when(n.between(1, 3), 0.12).otherwise(0.25))
+    verified = F.col("text").rlike("^[A-Z][a-z]+$")
+    quality = scoring.candidate_quality(F.col("text"), T.LATIN, F.col("conf") / 100, verified)
+    kept = scoring.accepts(F.col("text"), scoring.covered_confidence(F.col("conf") / 100, F.expr("cast(pos AS double) / 40")))
+    rows = V.boxes(s, d).withColumn("quality", quality).where(kept)
     return rows.groupBy("frame_id").agg(F.max_by("pos", F.struct(F.round("quality", 9), -F.col("pos"))).alias("pos"), F.round(F.max("quality"), 6).alias("quality"))
 
 
 _N = "len(regexp_extract_all(text, '\\p{L}'))"
-K5 = f"""WITH {V.ctes('boxes')}, q AS (SELECT frame_id, pos, CAST(CASE WHEN {_N} > 0 THEN len(regexp_extract_all(text, '[A-Za-z]')) / {_N} ELSE 0 END AS DOUBLE) + CAST(least(length(text) * 0.01, 0.12) AS DOUBLE) + conf / 100 AS quality,
+K5 = f"""WITH {V.ctes('boxes')}, q AS (SELECT frame_id, pos, CAST(CASE WHEN {_N} > 0 THEN len(regexp_extract_all(text, '[A-Za-z]')) / {_N} ELSE 0 END AS DOUBLE) + CAST(least(length(text) * 0.01, 0.12) AS DOUBLE) + CASE WHEN {has('text', '^[A-Z][a-z]+$')} THEN CAST(0.2 AS DOUBLE) ELSE 0 END + conf / 100 AS quality,
   conf / 100 * (1 - 0.4 * greatest(0, least(1, (CAST(pos AS DOUBLE) / 40 - 0.5) / 0.5))) AS kept, {_N} AS n FROM boxes)
   SELECT frame_id, pos, round(quality, 6) AS quality FROM q WHERE kept >= CASE WHEN n BETWEEN 1 AND 3 THEN 0.12 ELSE 0.25 END QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY round(quality, 9) DESC, pos) = 1"""
 
@@ -249,6 +288,13 @@ QUERIES = {
     "w11_tiles": (w11, W11),
     "w12_bands": (w12, W12),
     "w13_service_states": (w13, W13),
+    "w12_groups": (w12_groups, W12G),
+    "w12_lowest": (w12_lowest, W12L),
+    "w10_speakers": (lambda s, d: Q.speakers(named_boxes(s, d)), W10S),
+    "w10_without_names": (lambda s, d: Q.without_speakers(b := named_boxes(s, d), Q.speakers(b)).groupBy("frame_id").agg(F.count("*").alias("n")), W10T),
+    "w8_exact_order": (lambda s, d: Q.reading_order_exact(V.boxes(s, d)), None),
+    "w14_lines": (w14_lines, f"WITH {LINES} SELECT source, lines.doc_id * 1000000 + line_no AS at, row_number() OVER (PARTITION BY source ORDER BY lines.doc_id * 1000000 + line_no DESC) AS nth FROM lines JOIN documents ON documents.doc_id = lines.doc_id QUALIFY nth <= 200"),
+    "w14_history": (lambda s, d: Q.newest(V.table(s, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", most=500), "SELECT conv_id, turn FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 500"),
     "w14_retention": (w14, W14),
     "w15_backlog": (w15, W15),
     "w16_last_voice": (w16, W16),
