@@ -20,6 +20,8 @@ DIMENSIONS = ("size_code", "lang_code", "source_code")
 #: A cut goes on to finer keys until the bytes in doubt are below this share of a shard; copies of one text part beyond the second.
 FINE = 0.0005
 WHOLE = 0.5
+#: Bytes, as a share of a shard, by which a cut may miss before the next widest dimension is tried.
+MISS = 0.01
 SLOT_ROWS = 200_000
 #: Keys inside a dimension's code: groups of copies from the largest down, then bits of the text's hash (TEXT_KEYS so far), then of the row's.
 KEYS = ("bulk", "text_a", "text_b", "text_c", "row_a", "row_b", "row_c")
@@ -28,13 +30,17 @@ TEXT_KEYS = 4
 
 @dataclass
 class Node:
-    """A part of the tree that is to be cut: its shards, dimension, the bytes its left part still lacks, and the keys where it ends so far."""
+    """A part of the tree that is to be cut: its shards and bytes, its dimensions from the widest on, the bytes its left part still lacks, and the keys where it ends so far."""
 
     shards: int
+    total: float = 0.0
+    widest: tuple[int, ...] = (0,)
     dim: int = 0
     goal: float = 0.0
-    at: tuple[int, ...] = ()
-    done: bool = False
+    at: tuple[int, ...] = (0,)
+    done: bool = True
+    miss: float = 0.0
+    best: tuple[float, int, tuple[int, ...]] | None = None
 
 
 def _coded(rows: DataFrame, column: str) -> DataFrame:
@@ -62,8 +68,9 @@ def _cuts(rows: DataFrame, nodes: dict[int, Node], spread: list[float], shard_by
     """Give each node of two shards or more its dimension and where its left part ends.
 
     One pass finds the dimension whose weighted variance, as a share of that of all
-    rows, is the greatest; each further one settles one more key for all nodes. A
-    row a node reaches the driver.
+    rows, is the greatest; each further one settles one more key for all nodes. Where
+    few large documents make a cut miss by more than MISS, the next widest dimension
+    is tried, and the nearest cut taken. A row a node reaches the driver.
     """
     spark = rows.sparkSession
     own = rows.join(F.broadcast(spark.createDataFrame([(n,) for n in nodes], "node int")), "node")
@@ -71,11 +78,23 @@ def _cuts(rows: DataFrame, nodes: dict[int, Node], spread: list[float], shard_by
     moments = [f for d in DIMENSIONS for f in (F.sum(w * F.col(d)), F.sum(w * F.col(d) * F.col(d)))]
     for n, total, *sums in own.groupBy("node").agg(F.sum(w), *moments).collect():
         width = [(sums[2 * i + 1] / total - (sums[2 * i] / total) ** 2) / spread[i] if spread[i] > 0 else 0.0 for i in range(len(DIMENSIONS))]
-        nodes[n].dim = int(np.argmax(np.round(width, 9)))
-        nodes[n].goal = total * (nodes[n].shards // 2) / nodes[n].shards
-    for n in nodes.values():
-        n.done = not n.goal
-        n.at = (0,) if n.done else ()
+        nodes[n].total, nodes[n].widest = total, tuple(int(i) for i in np.argsort(-np.round(width, 9), kind="stable"))
+    for attempt in range(len(DIMENSIONS)):
+        for x in nodes.values():
+            if x.total and (attempt == 0 or x.best[0] > MISS * shard_bytes):
+                x.dim, x.goal, x.at, x.done = x.widest[attempt], x.total * (x.shards // 2) / x.shards, (), False
+        _settle(own, nodes, shard_bytes)
+        for x in nodes.values():
+            if x.total and (x.best is None or x.miss < x.best[0]):
+                x.best = (x.miss, x.dim, x.at)
+    for x in nodes.values():
+        if x.best:
+            _, x.dim, x.at = x.best
+
+
+def _settle(own: DataFrame, nodes: dict[int, Node], shard_bytes: float) -> None:
+    """Find the keys of all nodes that are not done, one a pass."""
+    spark = own.sparkSession
     while open_nodes := {n: x for n, x in nodes.items() if not x.done}:
         depth = len(next(iter(open_nodes.values())).at)
         asked = spark.createDataFrame([(n, x.dim, list(x.at), x.goal) for n, x in open_nodes.items()], "node int, dim int, at array<int>, goal double")
@@ -97,7 +116,9 @@ def _cuts(rows: DataFrame, nodes: dict[int, Node], spread: list[float], shard_by
             limit = WHOLE if depth == TEXT_KEYS else FINE
             x.goal -= r["before"]
             x.done = r["inside"] <= limit * shard_bytes or depth == len(KEYS)
-            x.at = (*x.at, r["key"] + int(x.done and x.goal > r["inside"] / 2))
+            above = x.goal > r["inside"] / 2
+            x.miss = abs(x.goal - r["inside"]) if above else abs(x.goal)
+            x.at = (*x.at, r["key"] + int(x.done and above))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:

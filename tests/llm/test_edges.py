@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from captext.llm import language, mixing, packing, quality, rules, sharding, simhash, substrings, tokens, vectors
 
@@ -69,9 +73,93 @@ def test_every_row_is_answered(docs, labels, name):
     assert RUNS[name](docs, labels).count() == len(ROWS)
 
 
-@pytest.mark.parametrize("name", ["packing", "near copies", "known language", "mixed", "without repeats", "first of groups"])
-def test_nulls_and_repeats(docs, labels, name):
-    assert RUNS[name](docs, labels).count() > 0
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def encoded(end):
+    t = Tokenizer.from_file(BYTES)
+    return [(d, [*t.encode(x or "", add_special_tokens=False).ids, end]) for d, x, _, _ in ROWS]
+
+
+def test_token_values(docs):
+    """Null ids come first, repeated rows follow each other, the name of an added token is that token."""
+    want = sorted(encoded(2), key=lambda x: (x[0] is not None, x[0] or 0))
+    assert want[-1][1].count(50256) == 1
+    starts = np.cumsum([0, *(len(ids) for _, ids in want)])[:-1].tolist()
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.token_shards(docs, BYTES).collect())
+    assert got == [(s, d, len(ids), crc(ids)) for s, (d, ids) in zip(starts, want, strict=True)]
+
+
+def test_packing_values(docs):
+    want, bins = Counter(), defaultdict(list)
+    for d, ids in encoded(0):
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want.update((d, k, a, b - a, crc(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    rows = packing.pack(docs, BYTES).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(b)] == np.cumsum([0, *(n for _, n in sorted(b))])[:-1].tolist() and sum(n for _, n in b) <= 2048 for b in bins.values())
+
+
+def test_group_values(docs):
+    """Wordless texts are one group, copies another; a row without a doc_id is in none and stays."""
+    groups = Counter((r.doc_id, r.component_id) for r in simhash.near_copy_groups(docs).collect())
+    assert groups == Counter({(0, 0): 1, (1, 0): 2, (2, 2): 1, (3, 2): 1, (4, 2): 1, (5, 5): 1, (6, 6): 1, (7, 7): 1})
+    kept = simhash.first_of_groups(docs)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([0, 2, 5, 6, 7, None])
+    hashes = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_groups(docs).collect()}
+    assert {(2, "0" * 16, 2), (3, "0" * 16, 2), (4, "0" * 16, 2)} <= hashes
+
+
+def test_language_values(docs):
+    kept = language.known_language(docs, PIECES)
+    assert kept.columns == docs.columns and not {2, 3, 4} & {r.doc_id for r in kept.collect()}
+    rows = [r for r in language.detect_language(docs, PIECES).collect() if r.doc_id in (2, 3, 4)]
+    assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
+
+
+def test_mix_values(docs):
+    """Each row stands as often as its copies say, with its other columns, whatever their names."""
+    taken = Counter()
+    for r in mixing.copies(docs).collect():
+        taken[r.doc_id] += r.copies
+        assert r.target <= 2 * r.source_size
+    rows = mixing.mixed_documents(docs)
+    assert rows.columns == docs.columns and Counter(r.doc_id for r in rows.collect()) == +taken
+    assert {(r.part, r.start, r.shard) for r in rows.collect()} == {(7, 7, 7)}
+    clash = docs.withColumnRenamed("part", "nth").withColumnRenamed("start", "copies").withColumnRenamed("_ord", "lot").withColumnRenamed("fp", "of")
+    assert Counter(r.doc_id for r in mixing.mixed_documents(clash).collect()) == +taken
+
+
+def test_repeat_values(docs):
+    """Only the long text repeats itself over 100 bytes: one period and what a string of 100 bytes needs beyond it stay."""
+    line = "all work and no play makes jack a dull boy\n"
+    rows = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in substrings.repeats_removed(docs).collect()}
+    assert (5, len(LONG), len(LONG) - len(line), 1) in rows and all(n == 0 for d, _, n, _ in rows if d != 5)
+    clash = docs.withColumnRenamed("part", "_row_order").withColumnRenamed("start", "_row_spans")
+    out = {r.doc_id: r for r in substrings.without_repeats(clash).collect()}
+    assert (out[5].text, out[5].n_chars) == (line, len(line)) and out[5]._row_order == 7 and out[0].n_chars == len(ROWS[0][1])
+
+
+def test_quality_and_rule_values(docs, labels):
+    scores = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    assert scores[2].score == scores[3].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scores.values())
+    rows = {r.doc_id: r for r in rules.quality_rules(docs, labels).collect()}
+    n = 10 * 3000
+    assert tuple(rows[5])[1:7] == (n, 33 * 3000, 0, 2999, n, True) and tuple(rows[2])[1:6] == tuple(rows[4])[1:6] == (0, 0, 0, 0, 0)
+    assert tuple(rows[7])[1:5] == (5, 24, 4, 0) and not any(r.kept for r in rows.values())
+
+
+def test_shard_values(docs):
+    rows = sharding.kd_shards(docs, 3).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    shard = {r.doc_id: r.shard for r in rows}
+    assert shard[0] == shard[1] and shard[2] == shard[3] and {r.size for r in rows if r.doc_id == 2} == {8}
 
 
 def test_no_labels(docs, labels):
