@@ -47,7 +47,7 @@ def decide_utterances(rows: DataFrame, weights: dict[str, float] = WEIGHTS, reas
     rows = rows.withColumns({f"_{k}": parts[k] for k in used})
     total = sum((F.col(f"_{k}") * w for k, w in used.items()), F.lit(0.0)) / sum(used.values())
     hard = F.col("is_echo") | (F.trim(F.coalesce("text", F.lit(""))) == "")
-    told = lambda sign, when, much: F.array_join(F.slice(F.array_compact(F.array(*(F.when(when(F.col(f"_{k}")), F.format_string(f"{k}{sign}%.2f", F.lit(w) * much(F.col(f"_{k}")))) for k, w in used.items()))), 1, reasons), " ")
+    told = lambda sign, when, much: F.array_join(F.slice(F.array_compact(F.array(*(F.when(when(F.col(f"_{k}")), F.format_string(f"{k}{sign}%.2f", F.floor(F.lit(w) * much(F.col(f"_{k}")) * 100 + 0.5) / 100)) for k, w in used.items()))), 1, reasons), " ")
     rows = rows.withColumns({
         "score": F.when(hard, 0.0).otherwise(total),
         "pros": F.when(hard, "").otherwise(told("+", lambda v: v >= 0.5, lambda v: v)),

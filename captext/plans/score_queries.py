@@ -42,7 +42,7 @@ def _t27() -> str:
         "overlap_voice": f"({OVERLAP('voice_text', 'text')})", "not_echo": yes("NOT is_echo"),
     }
     total = " + ".join(f"CAST({k}_ AS DOUBLE) * CAST({w} AS DOUBLE)" for k, w in scoring.WEIGHTS.items())
-    told = lambda sign, when, much: "array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {k}_ {when} 0.5 THEN printf('{k}{sign}%.2f', CAST({w} AS DOUBLE) * CAST({much.format(k + '_')} AS DOUBLE)) END" for k, w in scoring.WEIGHTS.items()) + "], lambda x: x IS NOT NULL), 1, 4), ' ')"
+    told = lambda sign, when, much: "array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {k}_ {when} 0.5 THEN printf('{k}{sign}%.2f', floor(CAST({w} AS DOUBLE) * CAST({much.format(k + '_')} AS DOUBLE) * 100 + 0.5) / 100) END" for k, w in scoring.WEIGHTS.items()) + "], lambda x: x IS NOT NULL), 1, 4), ' ')"
     return f"""WITH u AS (SELECT {', '.join(UTTERANCE)} FROM conversations), f AS (SELECT conv_id, turn, is_echo OR trim(text) = '' AS hard, {', '.join(f'({x}) AS {k}_' for k, x in f.items())} FROM u), s AS (SELECT *, ({total}) / {sum(scoring.WEIGHTS.values())} AS score FROM f)
       SELECT conv_id, turn, CASE WHEN hard THEN 'skip' WHEN score >= 0.55 THEN 'speak' WHEN score >= 0.30 THEN 'refine' ELSE 'skip' END AS action, round(CASE WHEN hard THEN 0.0 ELSE score END, 6) AS score,
       CASE WHEN hard THEN '' ELSE {told('+', '>=', '{}')} END AS pros, CASE WHEN hard THEN '' ELSE {told('-', '<', '(1.0 - {})')} END AS cons FROM s"""
@@ -241,13 +241,13 @@ CHANNELS = ("seq", "transform(luma, x -> x * CASE seq % 6 WHEN 1 THEN 0.2 WHEN 2
 
 def a18(s, d):
     rows = V.frames(s, d).selectExpr(*CHANNELS).withColumn("b", F.col("r"))
-    return scoring.frame_class(rows).select("seq", "kind", F.round(F.col("mean"), 4).alias("mean"), F.round("std", 4).alias("std"))
+    return scoring.frame_class(rows).select("seq", "kind", F.round(F.col("mean") * 192, 4).alias("total"), F.round("std", 3).alias("std"))
 
 
 _EDGE = lambda c: f"(list_sum(list_transform(list_filter(range(0, 64), lambda i: i < 8 OR i >= 56), lambda i: {c}[i + 1])) + list_sum(list_transform(list_filter(range(0, 64), lambda i: i % 8 = 0 OR i % 8 = 7), lambda i: {c}[i + 1]))) / 32"
 A18 = f"""WITH {V.ctes('frames')}, c AS (SELECT {', '.join(x.replace('x -> ', 'lambda x: ').replace('transform(', 'list_transform(') for x in CHANNELS)} FROM frames), g AS (SELECT seq, list_transform(range(1, 65), lambda i: (r[i] + g[i] + r[i]) / 3) AS grey, {_EDGE('r')} AS er, {_EDGE('g')} AS eg FROM c),
   m AS (SELECT *, list_sum(grey) / 64 AS mean FROM g), s AS (SELECT *, sqrt(list_sum(list_transform(grey, lambda v: (v - mean) * (v - mean))) / 64) AS std, eg > 100 AND eg > er * 1.2 AS green FROM m)
-  SELECT seq, CASE WHEN NOT green AND std > 40 AND mean > 40 AND mean < 220 THEN 'clean' WHEN green THEN 'green' WHEN mean >= 220 THEN 'bright' WHEN mean <= 40 THEN 'dark' ELSE 'low_contrast' END AS kind, round(mean, 4) AS mean, round(std, 4) AS std FROM s"""
+  SELECT seq, CASE WHEN NOT green AND std > 40 AND mean > 40 AND mean < 220 THEN 'clean' WHEN green THEN 'green' WHEN mean >= 220 THEN 'bright' WHEN mean <= 40 THEN 'dark' ELSE 'low_contrast' END AS kind, round(mean * 192, 4) AS total, round(std, 3) AS std FROM s"""
 
 
 def f17(s, d):
