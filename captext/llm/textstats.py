@@ -21,7 +21,10 @@ def repeated(ids: np.ndarray, size: int) -> int:
     """Positions of word numbers (below size) inside a 3-word window that occurs twice or more."""
     if len(ids) < 4:
         return 0
-    key = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+    pairs = ids[:-2] * size + ids[1:-1]
+    if size > 1 << 21:  # three numbers don't fit one of 64 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    key = pairs * size + ids[2:]
     ordered = np.sort(key)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
