@@ -131,7 +131,7 @@ def x15(s, d):
 
 
 def x16(s, d):
-    rows = live.stream_table(s, d, "events").selectExpr("event_type AS service", "ts", "event_id AS id", "value / 100 AS latency")
+    rows = live.stream_table(s, d, "events", most_files=16).selectExpr("event_type AS service", "ts", "event_id AS id", "value / 100 AS latency")
     return live.finished(fold.stream_fold(rows, "service", ["ts", "id"], fold.transition_step(), "service string, id long, state string, before string"), "alerts")
 
 

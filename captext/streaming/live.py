@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from captext.session import scratch
 
 
-def stream_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A file stream of a Parquet table that is a file or a folder."""
+def stream_table(spark: SparkSession, d: str, name: str, most_files: int = 1000) -> DataFrame:
+    """A file stream of a Parquet table that is a file or a folder, `most_files` to a micro-batch at most."""
     held = spark.read.parquet(f"{d}/{name}.parquet")
     folder = held.inputFiles()[0].rsplit("/", 1)[0].endswith(f"/{name}.parquet")
-    reader = spark.readStream.schema(held.schema)
+    reader = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", most_files)
     return reader.parquet(f"{d}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
