@@ -26,6 +26,8 @@ WORDS_HELD = 300_000
 #: Share of every language's probability that all pieces have alike, seen or not, and the probability of an unknown character.
 UNSEEN = 0.002
 UNKNOWN = 1e-6
+#: Least log probability of a letter, on average, of a text in a learned language.
+LEAST_LETTER = -9.0
 UNDETERMINED = "und"
 
 
@@ -223,12 +225,13 @@ class Detector:
         self.index: dict[str, int] = defaultdict(count().__next__)
         self.table = np.zeros((0, len(self.langs)))
 
-    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether its letters are likely ones of that language."""
         n, wide = len(texts), len(self.langs)
         words, stops = words_of(texts)
         filled = np.diff(stops) > 0
         if not wide:
-            return [UNDETERMINED] * n, np.zeros(n)
+            return [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
         if len(self.index) > WORDS_HELD:
             self._reset()
         index = self.index
@@ -241,7 +244,11 @@ class Detector:
             total[filled] = np.add.reduceat(table[at[words.indices.to_numpy()]], stops[:-1][filled])
         mean = total / np.maximum(np.diff(stops), 1)[:, None]
         score = np.where(filled, 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1), 0.0)
-        return [self.langs[b] if f else UNDETERMINED for b, f in zip(total.argmax(1), filled, strict=True)], score
+        letters = np.zeros(n)
+        if filled.any():
+            letters[filled] = np.add.reduceat(pc.utf8_length(words.dictionary).to_numpy()[words.indices.to_numpy()], stops[:-1][filled])
+        likely = filled & (total.max(1) >= LEAST_LETTER * letters)
+        return [self.langs[b] if f else UNDETERMINED for b, f in zip(total.argmax(1), filled, strict=True)], score, likely
 
 
 def _cut_batches(rows: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -272,22 +279,22 @@ def detect_language(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detect = Detector(*detector)
         for own in _cut_batches(rows):
-            name, score = detect(own.column("text"))
+            name, score, _ = detect(own.column("text"))
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(name, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, vocabulary: str, least: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose language is found with a score of `least` or more. See detect_language()."""
+def known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose language is found with a score of `least` or more, in likely letters. See detect_language()."""
     number = pieces(vocabulary)
     detector = (*learn(docs.where(fold() > 0), number), number)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detect = Detector(*detector)
         for own in _cut_batches(rows):
-            name, score = detect(own.column("text"))
-            yield own.filter(pa.array((score >= least) & (np.array(name) != UNDETERMINED)))
+            name, score, likely = detect(own.column("text"))
+            yield own.filter(pa.array((score >= least) & likely & (np.array(name) != UNDETERMINED)))
 
     return docs.mapInArrow(run, docs.schema)

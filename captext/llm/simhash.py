@@ -150,21 +150,26 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def _likely(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether each pair of sketch rows may be `least` similar: a shared share of slots, less 5 standard errors and 2 slots, reaches it."""
+    """Whether each pair of sketch rows may be `least` similar: a shared share of slots, less 4.5 standard errors of SLOTS and 2 slots, reaches it."""
     shared, filled = ((x == y) & (x > 0)).sum(-1), ((x > 0) | (y > 0)).sum(-1)
-    return shared + 2 >= (least - 0.1) * filled
+    return shared + 2 >= (least - 4.5 * (least * (1 - least) / SLOTS) ** 0.5) * filled
 
 
-def _meet(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of different components in one group of _block_pairs() that may be similar: across its two blocks, or all of one."""
+def _meet(key: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarray, bands: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of different components in one group of _block_pairs() that may be similar: across its two blocks, or all of one.
+
+    A pair with several common keys counts in the first of its bands (a row's keys, 32 bits each) only.
+    """
     found = []
+    band = int(np.argmax(bands[0] == np.uint32(key & 0xFFFFFFFF)))
     first = np.flatnonzero(blocks == blocks.min())
     other = np.flatnonzero(blocks != blocks.min())
     for k, i in enumerate(first):
         rest = other if len(other) else first[k + 1 :]
         rest = rest[comps[rest] != comps[i]]
         if len(rest):
-            for j in rest[_likely(rows[i], rows[rest], least)]:
+            rest = rest[_likely(rows[i], rows[rest], least)]
+            for j in rest[(bands[rest] == bands[i]).argmax(1) == band]:
                 found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return found
 
@@ -172,7 +177,7 @@ def _meet(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarr
 def _block_pairs(members: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of ids of different components under one key whose sketches don't exclude `least`.
 
-    members: key, id, component, sketch. A key's members are dealt by hash to
+    members: key, id, component, sketch, bands. A key's members are dealt by hash to
     blocks of about BLOCK, each two of which meet in one group of rows, so a
     common key is shared out and its pairs are compared, but not made into rows.
     """
@@ -180,7 +185,7 @@ def _block_pairs(members: DataFrame, least: float) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with")).select("key", "low", "high", "own", "id", "component", "sketch")
+    dealt = dealt.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with")).select("key", "low", "high", "own", "id", "component", "sketch", "bands")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -201,9 +206,10 @@ def _block_pairs(members: DataFrame, least: float) -> DataFrame:
         if table.num_rows:
             ids, comps, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
             slots = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, SLOTS)
+            bands, keys = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(-1, BANDS), table.column("key").to_numpy()
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=False):
                 if b > a + 1:
-                    found += _meet(ids[a:b], comps[a:b], own[a:b], slots[a:b], least)
+                    found += _meet(int(keys[a]), ids[a:b], comps[a:b], own[a:b], slots[a:b], bands[a:b], least)
         made = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
@@ -253,7 +259,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            fps, sets, fine, keys = [], [], [], []
+            fps, sets, fine, keys, short = [], [], [], [], []
             for t in batch.column("text").cast(pa.large_binary()).to_pylist():
                 h = _hashes(t, shingle)
                 if not len(h):
@@ -264,19 +270,20 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
                 own, bands = sketch(h)
                 fine.append(own)
                 keys.append(bands.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "fp", "h", "sketch", "keys"])
+                short.append(bands.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "fp", "h", "sketch", "keys", "bands"])
 
     def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             good = _likely(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("sa", "sb")), least)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>, bands binary")
     path = scratch(docs.sparkSession, "sketches")
     found.write.parquet(path)
     found = docs.sparkSession.read.parquet(path)
     points = cut(found.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
-    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys"))
+    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys", "bands"))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keyed.join(heads, "key").where("a < id").select("a", F.col("id").alias("b"))
@@ -291,7 +298,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     joined = connected_components(linked, "a", "b")
     shared = keyed.join(heads.select("key"), "key").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     apart = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    members = cut(shared.join(apart, "key")).join(firsts.select("id", "sketch"), "id")
+    members = cut(shared.join(apart, "key")).join(firsts.select("id", "sketch", "bands"), "id")
     more = cut(_block_pairs(members, least))
     joined = connected_components(linked.union(_alike(more, texts, shingle, least)), "a", "b")
     groups = points.join(joined, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("component_id"))
