@@ -151,7 +151,7 @@ def named_boxes(s, d):
 
 _NAMED = f"""{LINES}, b AS (SELECT doc_id * 1000000 + line_no // 3 AS frame_id, line_no * 2 AS pos, CAST(line_no * 40 AS DOUBLE) AS y0, CAST(line_no * 40 + 14 AS DOUBLE) AS y1, {NAMED} AS text FROM lines UNION ALL SELECT doc_id * 1000000 + line_no // 3, line_no * 2 + 1, line_no * 40 + 18, line_no * 40 + 32, line FROM lines),
   o AS (SELECT *, trim(lead(text) OVER w) AS after, lead(y0) OVER w AS top FROM b WINDOW w AS (PARTITION BY frame_id ORDER BY y0, pos)), c AS (SELECT * FROM o WHERE {has('trim(text)', r'^\p{Lu}[^\s\d{}\[\]<>=_/\\|]*( \p{Lu}[^\s\d{}\[\]<>=_/\\|]*){0,2}$')} AND length(trim(text)) <= 20 AND NOT {has('trim(text)', '[.,!?:;…]$')}
-    AND len(list_filter(string_split_regex(after, '\s+'), lambda x: x <> '')) >= 3 AND length(after) >= 12 AND length(after) > length(trim(text)) AND top > y0 AND top - y1 <= 2 * (y1 - y0)),
+    AND len(list_filter(string_split_regex(after, '\\s+'), lambda x: x <> '')) >= 3 AND length(after) >= 12 AND length(after) > length(trim(text)) AND top > y0 AND top - y1 <= 2 * (y1 - y0)),
   f AS (SELECT frame_id, trim(text) AS name, pos FROM c QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY y0, pos) = 1)"""
 W10S = f"WITH {_NAMED} SELECT frame_id, name, CAST(pos AS INTEGER) AS pos FROM f"
 W10T = f"WITH {_NAMED} SELECT b.frame_id, count(*) AS n FROM b LEFT JOIN f ON f.frame_id = b.frame_id AND f.pos = b.pos WHERE f.pos IS NULL GROUP BY b.frame_id"
