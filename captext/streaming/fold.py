@@ -58,7 +58,7 @@ def left_over(spark: SparkSession, checkpoint: str, key: str, step: Step, schema
 
 
 def table_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """Fold a table. A key's rows are in one task, as their order needs, but pass through it batch by batch: Spark sorts them, and only states are held."""
+    """Fold a table; rows without a key are left out. A key's rows are in one task, as their order needs, but pass through it batch by batch: Spark sorts them, and only states are held."""
     names, finish = _names(schema), getattr(step, "finish", None)
     types = rows.sparkSession.createDataFrame([], schema).schema
 
