@@ -295,7 +295,7 @@ def test_sharding(spark):
     copied = docs.where("doc_id % 7 = 0").select((docs.doc_id + 10_000_000).alias("doc_id"), "text", docs.source.alias("lang"), docs.lang.alias("source"))
     both = docs.union(copied).persist()
     texts = {r.doc_id: (r.text or "").encode() for r in both.collect()}
-    rows = sharding.kd_shards(both, 24).collect()
+    rows = sharding.kd_shards(both, 8).collect()
     size, slots, groups = Counter(), defaultdict(list), defaultdict(set)
     for r in rows:
         b = texts[r.doc_id]
@@ -303,8 +303,8 @@ def test_sharding(spark):
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
         groups[b].add(r.shard)
-    assert set(size) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    share = sum(size.values()) / 24
+    assert set(size) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share = sum(size.values()) / 8
     n = Counter(texts.values())
     assert all(len(g) == 1 for b, g in groups.items() if n[b] * (len(b) + 8) <= sharding.WHOLE * share)
     assert max(size.values()) - min(size.values()) <= 0.15 * share
