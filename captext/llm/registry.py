@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from captext.llm import decontamination, divergence, vector_codes
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,6 +76,24 @@ def op10_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.decontamination import contaminated_documents
+
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from captext.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +111,9 @@ ALL = {
     "op8_kd_shards": (op8_kd_shards, None),
     "op9_decision_list": (op9_decision_list, None),
     "op10_unigram_language": (op10_unigram_language, None),
+    "op11_decontamination": (op11_decontamination, decontamination.SQL),
+    "op12_vector_codes": (op12_vector_codes, vector_codes.SQL),
+    "op13_source_divergence": (op13_source_divergence, divergence.SQL),
     "pipeline": (pipeline, None),
 }
 
