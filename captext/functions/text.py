@@ -16,7 +16,7 @@ UKRAINIAN, RUSSIAN = "ІіЇїЄє", "ИиЫыЕе"
 #: Any letter of the Cyrillic blocks.
 CYRILLIC_BLOCK = r"[\x{0400}-\x{052F}]"
 #: Letters of one script without a look-alike in the other.
-SURE_LATIN = "[bdfghijklmnqrstuvwzDFGIJLNQRSUVWYZ]"
+SURE_LATIN = "[bdfghjklmnqrstvwzDFGJLNQRSVWZ]"
 SURE_CYRILLIC = "[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯёЁ]"
 
 
@@ -263,10 +263,19 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(F.lit(0.0))
 
 
+def _run(letter: str, sure: str) -> str:
+    """Two letters or more with a sure one among them."""
+    return f"({letter}+{sure}{letter}*|{sure}{letter}+)"
+
+
+#: A Latin and a Cyrillic run that touch, and the other way round.
+GLUED = (_run(LATIN, SURE_LATIN) + _run(CYRILLIC_BLOCK, SURE_CYRILLIC), _run(CYRILLIC_BLOCK, SURE_CYRILLIC) + _run(LATIN, SURE_LATIN))
+
+
 def split_scripts(token: Column) -> Column:
-    """A space between two or more Latin and two or more Cyrillic letters that touch."""
-    for a, b in ((LATIN, CYRILLIC_BLOCK), (CYRILLIC_BLOCK, LATIN)):
-        token = F.regexp_replace(token, f"({a}{{2}})({b}{{2}})", "$1 $2")
+    """A space between Latin and Cyrillic runs of two letters or more that touch, if each holds a letter without a look-alike: else it is one word with strange letters."""
+    for pattern in GLUED:
+        token = F.regexp_replace(token, pattern, "$1 $2")
     return token
 
 

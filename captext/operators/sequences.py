@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captext.functions.text import growth_tail, normalise_key, token_overlap
+from captext.operators.scan import changes, islands
 
 
 def per_stream(*order: str, key: str = "stream_id"):
@@ -141,8 +142,10 @@ def without_tiles(boxes: DataFrame, near: float = 20.0) -> DataFrame:
     return boxes.withColumn("_gap", F.col("y0") - F.lag("y0").over(w)).where("_gap IS NULL OR _gap >= " + str(near)).drop("_gap")
 
 
-def bands(rows: DataFrame, key: str, order: str, on: Column) -> DataFrame:
-    """Runs of consecutive rows that are on: key, first, last, n."""
+def bands(rows: DataFrame, key: str, order: str, on: Column, few_keys: bool = False) -> DataFrame:
+    """Runs of consecutive rows that are on: key, first, last, n. Where keys are few and large, `few_keys` scans by ranges instead of a window a key."""
+    if few_keys:
+        return islands(rows, key, [order], on)
     w = Window.partitionBy(key).orderBy(order)
     picked = rows.withColumn("_n", F.row_number().over(w)).where(on)
     return picked.withColumn("_run", F.col("_n") - F.row_number().over(w)).groupBy(key, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
@@ -163,12 +166,14 @@ def lowest_group(groups: DataFrame, key: str, below: Column) -> DataFrame:
     return groups.where(below).groupBy(key).agg(F.max_by(F.struct("first", "last", "n"), "first").alias("_x")).select(key, "_x.*")
 
 
+def service_state(latency: Column) -> Column:
+    """fast up to 1.5 s, slow up to 4 s, else offline."""
+    return F.when(latency <= 1.5, "fast").when(latency <= 4, "slow").otherwise("offline")
+
+
 def service_states(probes: DataFrame) -> DataFrame:
-    """Transitions of each service: fast up to 1.5 s, slow up to 4 s, else offline."""
-    w = Window.partitionBy("service").orderBy("ts", "id")
-    state = F.when(F.col("latency") <= 1.5, "fast").when(F.col("latency") <= 4, "slow").otherwise("offline")
-    rows = probes.withColumn("state", state).withColumn("before", F.lag("state").over(w))
-    return rows.where("before IS NULL OR before <> state")
+    """Transitions of each service by ts and id, with the state before. Services are few, so their rows are scanned by ranges."""
+    return changes(probes.withColumn("state", service_state(F.col("latency"))), "service", ["ts", "id"], F.col("state"))
 
 
 def retain(items: DataFrame, key: str, order: str, size: str | None = None, most: int = 60, budget: int | None = None) -> DataFrame:

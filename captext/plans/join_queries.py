@@ -218,6 +218,13 @@ def j13_near_lines(spark: SparkSession, d: str) -> DataFrame:
     return fusion.similar_texts(lines, "line", 0.75)
 
 
+def j13_contained(spark: SparkSession, d: str) -> DataFrame:
+    from captext.operators.lines import explode_lines
+
+    lines = explode_lines(V.table(spark, d, "documents")).select("line").distinct()
+    return fusion.contained_texts(lines, "line", 8)
+
+
 def j14_voices(spark: SparkSession, d: str) -> DataFrame:
     people = V.table(spark, d, "conversations").groupBy("conv_id", "role").count().withColumn("lang", F.expr("CASE conv_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'ru' END")).withColumn("gender", F.expr("CASE WHEN conv_id % 2 = 0 THEN 'male' ELSE 'female' END"))
     gendered, profiles = "lang string, gender string, voice string", "role string, lang string, gender string, voice string"
@@ -292,6 +299,7 @@ QUERIES = {
     "j11_silent": (j11_silent, J11),
     "j12_echo": (j12_echo, J12),
     "j13_near_lines": (j13_near_lines, None),
+    "j13_contained": (j13_contained, None),
     "j14_voices": (j14_voices, J14),
     "j15_language_route": (j15_language_route, _j15()),
     "j16_diff": (j16_diff, J16),

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
 from captext.operators import fusion
+from captext.operators.sequences import service_state
 from captext.plans import views as V
-from captext.plans.join_queries import OVERLAP, REGIONS, frame, values
+from captext.plans.join_queries import J10, J11, J12, REGIONS, frame, values
 from captext.plans.text_queries import SENTENCES
-from captext.plans.window_queries import K4, W13
+from captext.plans.window_queries import W13
 from captext.session import scratch
 from captext.sources import files
-from captext.streaming import fold, live
-
-TEXTS = "stream_id long, seq long, text string"
+from captext.sources.memory import Memory
+from captext.streaming import fold, joins, live, steps
 
 
 def capture_stream(s: SparkSession, d: str) -> DataFrame:
@@ -23,72 +23,59 @@ def capture_stream(s: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("conv_id AS stream_id", "turn * 3 + copy AS seq", "conv_id * 3600000 + (turn * 3 + copy) * 600 AS t", "CASE WHEN copy = 0 THEN substr(text, 1, length(text) div 2) ELSE text END AS text")
 
 
-def folded(step, schema: str = TEXTS):
-    return lambda s, d: live.folded(capture_stream(s, d), "stream_id", ["t", "seq"], step, schema)
+def folded(step, *more: str):
+    return lambda s, d: live.folded(capture_stream(s, d).selectExpr("*", *more), "stream_id", ["t", "seq"], step)
 
 
-def at(ms: str) -> Column:
-    return F.timestamp_millis(F.expr(f"1704067200000 + {ms}"))
+at = live.at
 
 
 def speech_stream(s, d):
     return live.stream_table(s, d, "conversations").where("role = 'user'").selectExpr("conv_id AS stream_id", "turn AS seq", "conv_id * 3600000 + turn * 4000 AS t0", "conv_id * 3600000 + turn * 4000 + 1000 + (length(text) % 30) * 100 AS t1", "text")
 
 
-def shown_stream(s, d):
-    rows = live.stream_table(s, d, "conversations").where("role = 'user' AND turn % 7 <> 0")
-    return rows.selectExpr("conv_id AS stream_id", "conv_id * 3600000 + turn * 4000 + ((turn % 5) - 1) * 2500 AS t", "regexp_replace(text, ' [^ ]*$', '') AS shown", "turn AS n")
+def subtitle_stream(s, d):
+    rows = live.stream_table(s, d, "conversations").withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).where("CASE WHEN own THEN role = 'user' AND turn % 7 <> 0 ELSE role = 'assistant' END")
+    return rows.selectExpr(
+        "conv_id AS stream_id", "conv_id * 3600000 + turn * 4000 + CASE WHEN own THEN ((turn % 5) - 1) * 2500 ELSE 0 END AS t", "CASE WHEN own THEN regexp_replace(text, ' [^ ]*$', '') ELSE text END AS text", "CASE WHEN own THEN turn ELSE turn + 100000 END AS seq"
+    )
+
+
+def playback_stream(s, d):
+    return live.stream_table(s, d, "conversations").where("role = 'assistant'").selectExpr("conv_id AS stream_id", "conv_id * 3600000 + turn * 4000 AS t0", "conv_id * 3600000 + turn * 4000 + 2000 AS t1")
+
+
+def event_stream(s, d, ends):
+    return ends.until(live.stream_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
 
 
 def x5(s, d):
-    return live.finished(live.sessions(live.stream_table(s, d, "events"), "user_id", "6 hours", least=0.3), "sessions").select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
+    return live.finished(s, lambda ends: live.sessions(event_stream(s, d, ends), "user_id", "6 hours", least=0.3), "sessions").select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
 
 
 X5 = """WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM b)
-  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AND epoch(max(ts)) - epoch(min(ts)) >= 0.3"""
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM r GROUP BY user_id, run HAVING epoch(max(ts)) - epoch(min(ts)) >= 0.3"""
 
 
 def x6(s, d):
-    return live.folded(speech_stream(s, d), "stream_id", ["t0", "seq"], fold.cut_step(), "stream_id long, seq long, t0 long, t1 long")
+    return live.folded(speech_stream(s, d), "stream_id", ["t0", "seq"], steps.Cuts())
 
 
 def x7(s, d):
-    a = speech_stream(s, d).withColumn("ta", at("t1")).withWatermark("ta", "8 seconds")
-    b = shown_stream(s, d).withColumnRenamed("stream_id", "sid").withColumn("tb", at("t")).withWatermark("tb", "8 seconds")
-    both = a.join(b, F.expr("stream_id = sid AND tb <= ta AND tb >= ta - INTERVAL 8 SECONDS"))
-    return live.finished(both.where(T.token_overlap(F.col("shown"), F.col("text")) >= 0.34).select("stream_id", "seq", "n", "shown"), "fused")
-
-
-X7 = f"""WITH {V.ctes('speech')}, u AS (SELECT stream_id, t0 + ((seq % 5) - 1) * 2500 AS t, regexp_replace(text, ' [^ ]*$', '') AS shown, seq AS n FROM speech WHERE seq % 7 <> 0)
-  SELECT s.stream_id, s.seq, n, shown FROM speech s JOIN u ON u.stream_id = s.stream_id AND u.t <= s.t1 AND u.t >= s.t1 - 8000 WHERE {OVERLAP('shown', 's.text')} >= 0.34"""
+    return joins.fused(s, speech_stream(s, d), subtitle_stream(s, d)).select("stream_id", "seq", "fused", F.round("overlap", 6).alias("overlap"), "text")
 
 
 def x8(s, d):
-    a = shown_stream(s, d).withColumn("ta", at("t")).withWatermark("ta", "3 seconds")
-    b = speech_stream(s, d).select(F.col("stream_id").alias("sid"), F.col("seq").alias("heard"), at("t1").alias("tb")).withWatermark("tb", "3 seconds")
-    both = a.join(b, F.expr("stream_id = sid AND tb >= ta - INTERVAL 2500 MILLISECONDS AND tb <= ta + INTERVAL 4 SECONDS"), "leftOuter")
-    return live.finished(both.where("heard IS NULL").select("stream_id", "n", "shown"), "silent")
-
-
-#: Subtitles that no voice can join any more when the stream ends.
-X8 = f"""WITH {V.ctes('speech')}, u AS (SELECT stream_id, t0 + ((seq % 5) - 1) * 2500 AS t, regexp_replace(text, ' [^ ]*$', '') AS shown, seq AS n FROM speech WHERE seq % 7 <> 0), m AS (SELECT least((SELECT max(t) FROM u), (SELECT max(t1) FROM speech)) - 3000 AS mark)
-  SELECT stream_id, n, shown FROM u WHERE t + 4000 < (SELECT mark FROM m) AND NOT EXISTS (SELECT 1 FROM speech s WHERE s.stream_id = u.stream_id AND s.t1 >= u.t - 2500 AND s.t1 <= u.t + 4000)"""
+    return joins.silent(s, subtitle_stream(s, d), speech_stream(s, d)).select("stream_id", "t", "text", "seq")
 
 
 def x9(s, d):
-    a = speech_stream(s, d).withColumn("ta", at("t0")).withWatermark("ta", "3 seconds")
-    b = live.stream_table(s, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("sid"), F.lit(1).alias("echo"), at("conv_id * 3600000 + turn * 4000").alias("tb")).withWatermark("tb", "3 seconds")
-    both = a.join(b, F.expr("stream_id = sid AND tb <= ta + INTERVAL 2 SECONDS AND tb >= ta - INTERVAL 4500 MILLISECONDS"), "leftOuter")
-    return live.finished(both.where("echo IS NULL").select("stream_id", "seq", "t0"), "unechoed")
-
-
-X9 = f"""WITH {V.ctes('speech', 'playback')}, m AS (SELECT least((SELECT max(t0) FROM speech), (SELECT max(t0) FROM playback)) - 3000 AS mark)
-  SELECT stream_id, seq, t0 FROM speech s WHERE t0 + 2000 < (SELECT mark FROM m) AND NOT EXISTS (SELECT 1 FROM playback p WHERE p.stream_id = s.stream_id AND p.t0 <= s.t0 + 2000 AND p.t0 >= s.t0 - 4500)"""
+    return joins.unechoed(s, speech_stream(s, d), playback_stream(s, d)).select("stream_id", "seq", "t0", "t1")
 
 
 def x10(s, d):
     rows = capture_stream(s, d).withColumn("at", at("t")).withColumn("key", T.normalise_key(F.col("text"))).withWatermark("at", "10 seconds")
-    return live.finished(rows.dropDuplicatesWithinWatermark(["stream_id", "key"]).select("stream_id", "key"), "distinct")
+    return live.finished(s, lambda ends: rows.dropDuplicatesWithinWatermark(["stream_id", "key"]).select("stream_id", "key"), "distinct")
 
 
 X10 = "SELECT DISTINCT stream_id, key FROM (SELECT conv_id AS stream_id, {k} AS key FROM conversations UNION ALL SELECT conv_id, {h} FROM conversations)"
@@ -96,43 +83,72 @@ X10 = "SELECT DISTINCT stream_id, key FROM (SELECT conv_id AS stream_id, {k} AS
 
 def x11(s, d):
     rows = capture_stream(s, d).withColumn("arrived", F.expr("t + (stream_id * 7 + seq * 13) % 6000"))
-    return live.finished(live.fresh(rows, "t", "arrived", 3000).select("stream_id", "seq"), "fresh")
+    return live.finished(s, lambda ends: live.fresh(rows, "t", "arrived", 3000).select("stream_id", "seq"), "fresh")
 
 
 X11 = "WITH c AS (SELECT conv_id AS stream_id, turn * 3 + copy AS seq FROM conversations, (VALUES (CAST(0 AS BIGINT)), (1), (2)) v(copy)) SELECT stream_id, seq FROM c WHERE (stream_id * 7 + seq * 13) % 6000 <= 3000"
 
 
 def x12(s, d):
-    rows = live.stream_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
-    out = rows.groupBy(F.session_window("ts", "2 hours").alias("w"), "event_type").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    return live.finished(out.select("event_type", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids")), "flushed")
+    def quiet(ends):
+        return event_stream(s, d, ends).groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
 
+    return live.finished(s, quiet, "flushed").select("user_id", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids"))
 
-X12 = """WITH b AS (SELECT event_type, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM b)
-  SELECT event_type, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM r GROUP BY event_type, run HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)"""
+
+X12 = """WITH b AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM b)
+  SELECT user_id, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM r GROUP BY user_id, run"""
 
 
 def x13(s, d):
-    rows = live.stream_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
-    out = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
-    return live.finished(out.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_id", "n"), "polled")
+    def polled(ends):
+        return event_stream(s, d, ends).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
+
+    return live.finished(s, polled, "polled").select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_id", "n")
+
+
+X13 = "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)"
+
+
+def _answers(missing: DataFrame) -> DataFrame:
+    """A provider of three ranks: the first accepted answer to each key, NULL where none is."""
+    ranked = missing.withColumn("rank", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))))).withColumn("result", F.expr("CASE (length(key) * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN key ELSE concat('>> ', key) END"))
+    good = F.coalesce(F.col("result").startswith(">>"), F.lit(False))
+    return ranked.groupBy("lang", "key").agg(F.min_by(F.when(good, F.col("result")), F.when(good, F.col("rank"))).alias("answer"))
 
 
-X13 = "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)"
+def _requests(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.trim("text").alias("key")).where("key IS NOT NULL")
 
 
 def x15(s, d):
-    def answer(batch: DataFrame) -> DataFrame:
-        rows = batch.withColumn("rank", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))))).selectExpr("doc_id", "rank", "CASE (doc_id * rank) % 4 WHEN 0 THEN NULL WHEN 1 THEN '[x failed]' WHEN 2 THEN text ELSE concat('>> ', text) END AS result")
-        good = F.coalesce(F.col("result").startswith(">>"), F.lit(False))
-        return rows.groupBy("doc_id").agg(F.min_by(F.when(good, F.col("result")), F.when(good, F.col("rank"))).alias("result"), F.min(F.when(good, F.col("rank"))).alias("rank")).withColumn("result", F.coalesce("result", F.lit("[failed]"))).sortWithinPartitions("doc_id")
+    """The memory holds what a first job learned from every second document."""
+    memory = Memory(s, scratch(s, "memory"), ["lang", "key"], "key string, lang string, answer string")
+    memory.answer(_requests(V.table(s, d, "documents").where("doc_id % 2 = 0")), _answers, batch=-1)
+    return memory.enrich(_requests(live.stream_table(s, d, "documents")), _answers).select("doc_id", "answer", "hit")
+
+
+_ANSWER = "CASE WHEN length(key) % 4 = 3 OR length(key) * 2 % 4 = 3 OR length(key) * 3 % 4 = 3 THEN concat('>> ', key) END"
+X15 = f"""WITH r AS (SELECT doc_id, coalesce(lang, '') AS lang, trim(text) AS key FROM documents WHERE text IS NOT NULL), a AS (SELECT *, {_ANSWER} AS answer FROM r), m AS (SELECT DISTINCT lang, key FROM a WHERE doc_id % 2 = 0 AND answer IS NOT NULL)
+  SELECT doc_id, coalesce(answer, '') AS answer, m.key IS NOT NULL AS hit FROM a LEFT JOIN m ON m.lang = a.lang AND m.key = a.key"""
+
+
+def j4_persisted(s, d):
+    """Memory after two jobs of which the second ran twice."""
+    memory = Memory(s, scratch(s, "memory"), ["lang", "key"], "key string, lang string, answer string")
+    rows = _requests(V.table(s, d, "documents"))
+    memory.answer(rows.where("doc_id % 3 = 0"), _answers, batch=0)
+    for _ in range(2):
+        memory.answer(rows, _answers, batch=1)
+    return memory.table().select("lang", "key", "answer")
+
 
-    return live.fan_out(live.stream_table(s, d, "documents"), {"answers": answer})["answers"].select("doc_id", "rank", "result")
+J4P = f"WITH r AS (SELECT DISTINCT coalesce(lang, '') AS lang, trim(text) AS key FROM documents WHERE text IS NOT NULL) SELECT lang, key, {_ANSWER} AS answer FROM r WHERE ({_ANSWER}) IS NOT NULL"
 
 
 def x16(s, d):
-    rows = live.stream_table(s, d, "events", most_files=16).selectExpr("event_type AS service", "ts", "event_id AS id", "value / 100 AS latency")
-    return live.finished(fold.stream_fold(rows, "service", ["ts", "id"], fold.transition_step(), "service string, id long, state string, before string"), "alerts")
+    rows = live.stream_table(s, d, "events", most_files=16).select(F.col("event_type").alias("service"), "ts", F.col("event_id").alias("id"), service_state(F.col("value") / 100).alias("state"))
+    return live.alerts(rows, "service", ["ts", "id"], "state").select("service", "id", "state", "before")
 
 
 def x17(s, d):
@@ -226,23 +242,24 @@ P7 = f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT
 KEY_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 QUERIES = {
-    "w3_hysteresis": (lambda s, d: fold.table_fold(V.frames(s, d), "stream_id", ["seq"], fold.hysteresis_step(), "stream_id int, seq long, diff double, moved boolean"), None),
-    "t23_window_merge": (lambda s, d: fold.table_fold(V.captures(s, d), "stream_id", ["seq"], fold.window_merge_step(), TEXTS), None),
-    "x1_text_change": (folded(fold.change_step()), None),
-    "x2_line_maturation": (folded(fold.maturing_step()), None),
-    "x3_chunker": (folded(fold.chunk_step()), None),
-    "x4_dedup_buffer": (folded(fold.buffer_step()), None),
+    "w3_hysteresis": (lambda s, d: fold.table_fold(V.frames(s, d), "stream_id", ["seq"], steps.Movement()), None),
+    "t23_window_merge": (lambda s, d: fold.table_fold(V.captures(s, d), "stream_id", ["seq"], steps.WindowMerge()), None),
+    "x1_text_change": (folded(steps.TextChanges()), None),
+    "x2_line_maturation": (folded(steps.MaturingLines()), None),
+    "x3_chunker": (folded(steps.Chunks()), None),
+    "x4_dedup_buffer": (folded(steps.NewTexts()), None),
     "x5_sessions": (x5, X5),
     "x6_forced_cut": (x6, None),
-    "x7_fusion": (x7, X7),
-    "x8_silent": (x8, X8),
-    "x9_echo_block": (x9, X9),
+    "x7_fusion": (x7, J10),
+    "x8_silent": (x8, J11),
+    "x9_echo_block": (x9, J12),
     "x10_event_dedup": (x10, X10.format(k=KEY_SQL.format("text"), h=KEY_SQL.format("substr(text, 1, length(text) // 2)"))),
     "x11_freshness": (x11, X11),
     "x12_flush": (x12, X12),
     "x13_poll": (x13, X13),
-    "x14_min_gap": (folded(fold.gap_step(), "stream_id long, seq long, t long"), None),
-    "x15_enrichment": (x15, K4),
+    "x14_min_gap": (folded(steps.Admissions(), "length(text) * 20 AS busy"), None),
+    "x15_enrichment": (x15, X15),
+    "j4_persisted": (j4_persisted, J4P),
     "x16_alerts": (x16, W13),
     "x17_fan_out": (x17, X17),
     "s1_scan_files": (s1, None),

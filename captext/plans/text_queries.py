@@ -92,7 +92,7 @@ def noisy(spark: SparkSession, d: str) -> DataFrame:
 def repair_sql(c: str) -> str:
     """repair_homoglyphs of a SQL expression."""
     latin, cyrillic = n(c, T.LATIN), n(c, T.CYRILLIC_BLOCK)
-    glued = sub(sub(c, f"({T.LATIN}{{2}})({T.CYRILLIC_BLOCK}{{2}})", r"\1 \2"), f"({T.CYRILLIC_BLOCK}{{2}})({T.LATIN}{{2}})", r"\1 \2")
+    glued = sub(sub(c, T.GLUED[0], r"\1 \2"), T.GLUED[1], r"\1 \2")
     lead = f"(CASE WHEN {n(c, T.SURE_LATIN)} = 0 AND {n(c, T.SURE_CYRILLIC)} = 0 THEN {cyrillic} - {latin} ELSE {n(c, T.SURE_CYRILLIC)} - {n(c, T.SURE_LATIN)} END)"
     ukr = lambda x: f"translate({x}, {q(T.UKRAINIAN)}, {q(T.RUSSIAN)})"
     return (

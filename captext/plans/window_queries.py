@@ -108,7 +108,7 @@ W11 = f"WITH {V.ctes('boxes')}, g AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY
 
 
 def w12(s, d):
-    return Q.bands(events(s, d).select("event_type", "event_id", "value"), "event_type", "event_id", F.col("value") > 100)
+    return Q.bands(events(s, d).select("event_type", "event_id", "value"), "event_type", "event_id", F.col("value") > 100, few_keys=True)
 
 
 W12 = """WITH n AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events), p AS (SELECT *, n - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM n WHERE value > 100)

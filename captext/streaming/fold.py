@@ -1,287 +1,139 @@
-"""Order-dependent logic per key, on streams and on tables alike.
-
-A step takes (state, row) and returns (state, output rows); states are small
-and bounded by their steps, rows of a key are folded in the order of `order`.
-A step with a `finish` attribute also says what a state still holds when its
-stream ends: finish(key, state) gives the last output rows.
-"""
+"""Steps (see steps.py) driven over tables and streams, in event time."""
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections import namedtuple
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-Step = Callable[[dict, object], tuple[dict, list[tuple]]]
-
-
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType, StructType
 
+from captext.streaming.steps import Step
 
-def stream_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """Fold a stream; the state is kept from batch to batch.
-
-    A key's rows of one micro-batch are sorted in memory: bound them by the
-    source's maxFilesPerTrigger or maxBytesPerTrigger.
-    """
-    names = _names(schema)
-
-    def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(held.get[0]) if held.exists else {}
-        out: list[tuple] = []
-        for row in pd.concat(list(frames)).sort_values(order).itertuples(index=False):
-            state, made = step(state, row)
-            out += made
-        held.update((pickle.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
+#: Times of rows are milliseconds since 2024-01-01; in a stream they stand so far after 1970.
+EPOCH = 1_704_067_200_000
+#: From this time on (9000-01-01) a stream is over.
+END = 221_845_392_000_000 - EPOCH
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
+def records(frame: pd.DataFrame, kinds: StructType) -> Iterator[tuple]:
+    """The rows of a frame with whole numbers and None where pandas has floats and NaN for a column with nulls."""
+    columns = []
+    for f in kinds.fields:
+        values = frame[f.name]
+        if isinstance(f.dataType, IntegralType) and values.dtype.kind == "f":
+            columns.append([None if x != x else int(x) for x in values])
+        else:
+            columns.append([None if x is pd.NaT else x for x in values])
+    return zip(*columns, strict=True)
 
-def left_over(spark: SparkSession, checkpoint: str, key: str, step: Step, schema: str) -> DataFrame:
-    """What the states of a stopped stream_fold() still hold, read from its checkpoint."""
-    names = _names(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [row for k, held in zip(frame["k"], frame["held"], strict=True) for row in step.finish(k, pickle.loads(held))]
-            yield pd.DataFrame(out, columns=names)
+def passed(step: Step, key, state, now: int | None) -> list[tuple]:
+    """What falls due until `now`, in order; None: ever."""
+    out: list[tuple] = []
+    while (due := step.due(state)) is not None and (now is None or due <= now):
+        out += step.fire(key, state, due)
+    return out
 
-    held = spark.read.format("statestore").load(checkpoint)
-    return held.select(F.col(f"key.{key}").alias("k"), F.col("value.groupState.state").alias("held")).where("held IS NOT NULL").mapInPandas(run, schema)
 
+def table_fold(rows: DataFrame, key: str, order: list[str], step: Step) -> DataFrame:
+    """Fold a table; rows without a key are left out.
 
-def table_fold(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """Fold a table; rows without a key are left out. A key's rows are in one task, as their order needs, but pass through it batch by batch: Spark sorts them, and only states are held."""
-    names, finish = _names(schema), getattr(step, "finish", None)
-    types = rows.sparkSession.createDataFrame([], schema).schema
+    A key's rows are in one task, as their order needs, but pass through it batch by
+    batch: Spark sorts them, and only states are held. The first column of `order` is
+    the time by which the step's moments fall due.
+    """
+    types, kinds = rows.sparkSession.createDataFrame([], step.schema).schema, rows.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, {}
+        record, now, state = namedtuple("Row", kinds.names), None, step.start()
         for frame in frames:
             out: list[tuple] = []
-            for row in frame.itertuples(index=False):
-                mine = getattr(row, key)
-                if mine != now:
-                    if finish and now is not None:
-                        out += finish(now, state)
-                    now, state = mine, {}
-                state, made = step(state, row)
-                out += made
-            yield pd.DataFrame(out, columns=names)
-        if finish and now is not None:
-            yield pd.DataFrame(finish(now, state), columns=names)
+            for row in map(record._make, records(frame, kinds)):
+                if getattr(row, key) != now:
+                    if now is not None:
+                        out += passed(step, now, state, None) + step.end(now, state)
+                    now, state = getattr(row, key), step.start()
+                out += passed(step, now, state, getattr(row, order[0]))
+                out += step.row(state, row)
+            yield pd.DataFrame(out, columns=types.names)
+        if now is not None:
+            yield pd.DataFrame(passed(step, now, state, None) + step.end(now, state), columns=types.names)
 
     return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, types)
 
 
-def _plain(text: str) -> str:
-    """Lower case, white space squeezed, marks at the end gone."""
-    return " ".join(text.lower().split()).rstrip(".,!?:;- ")
-
-
-def change_step(ttl: int = 1000, alike: float = 0.85, shortest: int = 4) -> Step:
-    """Emits (stream_id, seq, text) of texts that are new.
-
-    A text of less than `shortest` characters is noise. Texts of the last `ttl` ms
-    are remembered; one that contains another of them, or is part of it, is the
-    same and keeps it fresh. So is one whose common run with the last new text is
-    above `alike`; where that one is longer, it is what later ones are held against.
-    """
-    from captext.operators.fusion import common_run
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        key = _plain(row.text)
-        if len(key) < shortest:
-            return state, []
-        fresh = [(k, t) for k, t in state.get("fresh", []) if t >= row.t - ttl]
-        last = state.get("last", "")
-        same = [i for i, (k, _) in enumerate(fresh) if key in k or k in key]
-        if same:
-            fresh[same[0]] = (fresh[same[0]][0], row.t)
-            return {"fresh": fresh, "last": last}, []
-        if last and common_run(key, last) > alike:
-            return {"fresh": fresh, "last": max(last, key, key=len)}, []
-        return {"fresh": [*fresh, (key, row.t)], "last": key}, [(row.stream_id, row.seq, row.text)]
-
-    return step
-
+class Ordered(StatefulProcessor):
+    """Rows of a key wait for the watermark, then go through a step in their order; timers wake it without a next row.
 
-def maturing_step(memory: int = 80, alike: float = 0.75, grown: float = 1.15) -> Step:
-    """Emits (stream_id, seq, text) of lines that are stable: related to a line of the capture before, or to one seen before and not said.
-
-    Related: their common run is above `alike`, or one of five letters or more is
-    part of the other, at most three times as long, one. A line that a said one
-    grew into (longer by `grown`, alike or with eight letters of it inside) gives
-    only its tail; a line like a said one, or part of one, is not said again. The
-    last `memory` said lines are kept.
+    Waiting rows are a ListState, the step's state is a ValueState that goes when it
+    equals a new one. Rows that wait at once are sorted in memory: the watermark's
+    delay bounds them.
     """
-    from captext.functions.text import LOOKALIKE_DIGITS, LOOKALIKE_LETTERS
-    from captext.operators.fusion import common_run
-
-    table = str.maketrans(LOOKALIKE_LETTERS, LOOKALIKE_DIGITS)
-    bare = lambda text: " ".join("".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split())
-
-    def related(a: str, b: str) -> bool:
-        short, long = sorted((a, b), key=len)
-        return (len(short) >= 5 and short in long and len(long) <= 3 * len(short)) or common_run(a, b) > alike
-
-    def origin(key: str, said: list[str]) -> tuple[bool, str | None]:
-        """(said already, the said line that this one grew from)."""
-        root = None
-        for old in said:
-            if len(key) > grown * len(old):
-                if common_run(key, old) > alike or (len(old) >= 8 and old in key):
-                    root = old
-            elif common_run(key, old) > alike or (len(key) >= 15 and key in old) or (len(old) >= 15 and old in key):
-                return True, root
-        return False, root
-
-    def tail(line: str, root: str) -> str:
-        """The words of line behind those that it shares with root at the start."""
-        words, old = line.split(), root.split()
-        n = next((i for i, w in enumerate(words) if i >= len(old) or bare(w).translate(table) != old[i]), len(words))
-        return " ".join(words[n:])
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        said, before, once = list(state.get("said", [])), state.get("before", []), state.get("once", [])
-        lines = [x.strip() for x in row.text.split("\n") if x.strip()]
-        keyed = [(bare(x).translate(table), x) for x in lines]
-        keyed = [(k, x) for k, x in keyed if k]
-        found, out, fresh = set(), [], []
-        for key, line in keyed:
-            done, root = origin(key, said)
-            if done or not (root or any(related(key, k) for k in (*before, *once))):
-                continue
-            words = tail(line, root) if root else line
-            if words:
-                found.add(key)
-                fresh.append(key)
-                out.append((row.stream_id, row.seq, words))
-        keys = [k for k, _ in keyed]
-        return {"said": [*said, *fresh][-memory:], "before": keys, "once": [k for k in keys if k not in found]}, out
-
-    return step
-
-
-def chunk_step(idle: int = 5000, least: int = 3, most: int = 15) -> Step:
-    """Emits (stream_id, seq, text) at a comma or full stop after `least` words, beyond `most` words, after `idle` ms with two, and at the stream's end."""
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        words, at, seq = state.get("words", []), state.get("at", row.t), state.get("seq", row.seq)
-        out = []
-        if row.t - at >= idle and len(words) >= 2:
-            out.append((row.stream_id, seq, " ".join(words)))
-            words = []
-        for w in row.text.split():
-            words = [*words, w]
-            if (w[-1] in ",." and len(words) >= least) or len(words) > most:
-                out.append((row.stream_id, row.seq, " ".join(words)))
-                words = []
-        return {"words": words, "at": row.t, "seq": row.seq}, out
 
-    step.finish = lambda key, state: [(key, state["seq"], " ".join(state["words"]))] if state.get("words") else []
-    return step
-
-
-def buffer_step(memory: int = 20) -> Step:
-    """Emits (stream_id, seq, text) of texts that aren't among the last `memory` emitted."""
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        held, key = state.get("held", []), " ".join(row.text.lower().split())
-        if key in held:
-            return {"held": held}, []
-        return {"held": [*held, key][-memory:]}, [(row.stream_id, row.seq, row.text)]
-
-    return step
-
-
-def cut_step(pause: int = 260, least: int = 1100, most: int = 8000, gap: int = 700) -> Step:
-    """Emits (stream_id, seq, t0, t1) of pieces: cut at a pause if long enough and `gap` ms after the last cut, forced at `most` ms; the rest at the end."""
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        out = []
-        a, b, last = state.get("a", row.t0), state.get("b", row.t0), state.get("last")
-        if row.t0 - b >= pause and b - a >= least and (last is None or b - last >= gap):
-            out.append((row.stream_id, row.seq, a, b))
-            a, last = row.t0, b
-        b = max(b, row.t1)
-        while b - a >= most:
-            out.append((row.stream_id, row.seq, a, a + most))
-            a += most
-            last = a
-        return {"a": a, "b": b, "last": last, "seq": row.seq}, out
-
-    step.finish = lambda key, state: [(key, state["seq"], state["a"], state["b"])] if state and state["b"] > state["a"] else []
-    return step
-
-
-def gap_step(gap: int = 1000) -> Step:
-    """Emits (stream_id, seq, t) at least `gap` ms after the last one emitted."""
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        if "t" in state and row.t - state["t"] < gap:
-            return state, []
-        return {"t": row.t}, [(row.stream_id, row.seq, row.t)]
-
-    return step
-
-
-def transition_step() -> Step:
-    """Emits (service, id, state, before) where a service's state changes."""
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        now = "fast" if row.latency <= 1.5 else "slow" if row.latency <= 4 else "offline"
-        before = state.get("now")
-        return {"now": now}, [(row.service, row.id, now, before)] if now != before else []
-
-    return step
-
-
-def hysteresis_step(above: float = 8.0) -> Step:
-    """Emits (stream_id, seq, diff, moved) against a baseline frame that moves only with a difference above `above`; the middle is left out."""
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        luma = np.array(row.luma, float).reshape(8, 8).copy()
-        luma[2:6, 2:6] = 0
-        base = state.get("base")
-        diff = 255.0 if base is None else float(np.abs(luma - base).sum() / 48)
-        moved = diff > above
-        return {"base": luma if moved else base}, [(row.stream_id, row.seq, round(diff, 3), moved)]
-
-    return step
-
-
-def window_merge_step(most: int = 48, reach: int = 24, least: int = 4) -> Step:
-    """Emits (stream_id, seq, text): what a window adds beyond the longest run that its first `most` characters share with the last `most` so far.
-
-    Runs are sought in canonical letters (lower case, Cyrillic look-alikes as
-    Latin), start within the window's first `reach` characters and have `least` or
-    more; the first place of the longest counts, and one of eight settles it.
+    def __init__(self, kinds: StructType, made: list[str], order: list[str], step: Step):
+        self.names, self.kinds, self.out, self.step = kinds.names, kinds, made, step
+        self.order = [kinds.names.index(c) for c in order]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+        self.state = handle.getValueState("state", "state binary")
+        self.record = namedtuple("Row", self.names)
+        self.empty = self.step.start()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            found = list(records(frame, self.kinds))
+            if found:
+                self.waiting.appendList(found)
+                least = min(r[self.order[0]] for r in found)
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(EPOCH + int(first))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() - EPOCH
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: tuple(r[i] for i in self.order)) if self.waiting.exists() else []
+        ready = [r for r in rows if r[self.order[0]] <= now]
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.step.start()
+        out: list[tuple] = []
+        for r in ready:
+            out += passed(self.step, key[0], state, r[self.order[0]])
+            out += self.step.row(state, self.record(*r))
+        over = now >= END
+        out += passed(self.step, key[0], state, None if over else now)
+        if over:
+            out += self.step.end(key[0], state)
+        if ready:
+            later = rows[len(ready) :]
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if over or state == self.empty:
+            self.state.clear()
+        else:
+            self.state.update((pickle.dumps(state),))
+        wake = [r[self.order[0]] for r in rows[len(ready) :][:1]] + [d for d in [self.step.due(state)] if d is not None and not over]
+        if wake:
+            self.handle.registerTimer(EPOCH + int(min(wake)))
+        return iter([pd.DataFrame(out, columns=self.out)] if out else [])
+
+
+def stream_fold(rows: DataFrame, key: str, order: list[str], step: Step) -> DataFrame:
+    """Fold a stream that has a watermark on its event time, order[0] ms after EPOCH; rows without a key are left out.
+
+    Needs the RocksDB state store (live.finished() sets it).
     """
-    from captext.functions.text import CYRILLIC_LOOKALIKE, LATIN_LOOKALIKE
-
-    table = str.maketrans(CYRILLIC_LOOKALIKE, LATIN_LOOKALIKE)
-    plain = lambda text: "".join(c.lower()[:1] for c in text.translate(table))
-
-    def step(state: dict, row) -> tuple[dict, list[tuple]]:
-        merged, text = state.get("tail", ""), row.text
-        tail, head = plain(merged), plain(text[:most])
-        end, best = 0, 0
-        for k in range(min(reach, len(head))):
-            n = 0
-            while k + n < len(head) and head[k : k + n + 1] in tail:
-                n += 1
-            if n >= least and n > best:
-                end, best = k + n, n
-            if best >= 8:
-                break
-        return {"tail": (merged + text[end:])[-most:]}, [(row.stream_id, row.seq, text[end:])]
-
-    return step
+    names = [c for c in rows.columns if dict(rows.dtypes)[c] != "timestamp"]
+    kinds = StructType([f for f in rows.schema.fields if f.name in names])
+    types = rows.sparkSession.createDataFrame([], step.schema).schema
+    fold = Ordered(kinds, types.names, order, step)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(fold, types, "Append", "EventTime")

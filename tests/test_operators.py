@@ -12,7 +12,7 @@ from captext.operators import fusion, lexicon, sequences
 from captext.operators.components import connected_components
 from captext.operators.prefix import with_starts
 from captext.plans import views as V
-from captext.streaming import fold, live
+from captext.streaming import fold, live, steps
 
 
 def one(spark, column, value):
@@ -95,21 +95,21 @@ def test_common_run():
     assert fusion.common_run("abc", "abc") == 1 and fusion.common_run("", "a") == 0 and fusion.common_run("short", "much longer text") == 0
 
 
-@pytest.mark.parametrize("step", [fold.change_step(), fold.maturing_step(), fold.chunk_step(), fold.buffer_step()])
+@pytest.mark.parametrize("step", [steps.TextChanges(), steps.Chunks(), steps.NewTexts()])
 def test_stream_and_table_agree(spark, step):
-    d, schema = "/root/testdata/sf0.001", "stream_id long, seq long, text string"
+    d = "/root/testdata/sf0.001"
     from captext.plans.stream_queries import capture_stream
 
     table = spark.read.parquet(f"{d}/conversations.parquet").withColumn("copy", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))))
     table = table.selectExpr("conv_id AS stream_id", "turn * 3 + copy AS seq", "conv_id * 3600000 + (turn * 3 + copy) * 600 AS t", "CASE WHEN copy = 0 THEN substr(text, 1, length(text) div 2) ELSE text END AS text")
-    batch = fold.table_fold(table.repartition(3), "stream_id", ["t", "seq"], step, schema)
-    stream = live.folded(capture_stream(spark, d), "stream_id", ["t", "seq"], step, schema)
+    batch = fold.table_fold(table.repartition(3), "stream_id", ["t", "seq"], step)
+    stream = live.folded(capture_stream(spark, d), "stream_id", ["t", "seq"], step)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
 
 
 def test_chunks_lose_no_word(spark):
     rows = spark.createDataFrame([(1, i, i * 600, f"w{i} and more, words {i}") for i in range(30)], "stream_id long, seq long, t long, text string")
-    got = fold.table_fold(rows, "stream_id", ["seq"], fold.chunk_step(), "stream_id long, seq long, text string").collect()
+    got = fold.table_fold(rows, "stream_id", ["t", "seq"], steps.Chunks()).collect()
     said = " ".join(r.text for r in sorted(got, key=lambda r: r.seq)).split()
     every = " ".join(f"w{i} and more, words {i}" for i in range(30)).split()
     assert said == every
