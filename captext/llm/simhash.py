@@ -21,8 +21,11 @@ SEGMENTS = 16
 SLOTS = 512
 BANDS = 32
 ROWS = 4
-#: Members of a band key that meet each other in one group of rows at most (twice as many between two blocks).
-BLOCK = 1024
+#: Standard errors by which a sketch must fall short for its pair to be discarded: a pair at the threshold is lost with a chance of 1e-8.
+SURE = 5.6
+#: Members of a band key that meet each other in one group of rows at most (twice as many between two blocks), and comparisons planned for a partition.
+BLOCK = 4096
+WORK = 1 << 24
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, lower: bool = True) -> int:
@@ -150,42 +153,68 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def _likely(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether each pair of sketch rows may be `least` similar: a shared share of slots, less 4.5 standard errors of SLOTS and 2 slots, reaches it."""
+    """Whether each pair of sketch rows may be `least` similar: a shared share of slots, less SURE standard errors of SLOTS and 2 slots, reaches it."""
     shared, filled = ((x == y) & (x > 0)).sum(-1), ((x > 0) | (y > 0)).sum(-1)
-    return shared + 2 >= (least - 4.5 * (least * (1 - least) / SLOTS) ** 0.5) * filled
+    return shared + 2 >= (least - SURE * (least * (1 - least) / SLOTS) ** 0.5) * filled
+
+
+def shortened(sketches: np.ndarray) -> np.ndarray:
+    """Sketch rows as SLOTS / 16 unsigned longs, a hexadecimal digit a slot: 0 where it is empty, else 1 to 15."""
+    digits = np.where(sketches > 0, sketches % 15 + 1, 0).astype(np.uint64).reshape(len(sketches), -1, 16)
+    return (digits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(-1, dtype=np.uint64)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """How many hexadecimal digits of each row aren't 0."""
+    x = x | (x >> np.uint64(1))
+    x = x | (x >> np.uint64(2))
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
+
+
+def _may_be(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """_likely() of shortened() rows.
+
+    Of different slots one in 15 looks equal, so the equal ones among those that
+    are filled on both sides are counted back, which makes the error a little larger.
+    """
+    filled, same = _ones(x | y), SLOTS - _ones(x ^ y)
+    both = _ones(x) + _ones(y) - filled
+    shared = (same - (SLOTS - filled) - both / 15) * 15 / 14
+    return shared + 2 >= least * filled - SURE * (filled * (least * (1 - least) + (1 - least) / 14)) ** 0.5
 
 
 def _meet(key: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarray, bands: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs of different components in one group of _block_pairs() that may be similar: across its two blocks, or all of one.
 
-    A pair with several common keys counts in the first of its bands (a row's keys, 32 bits each) only.
+    A pair with several common keys counts in the first of its bands (a row's keys) only.
     """
     found = []
-    band = int(np.argmax(bands[0] == np.uint32(key & 0xFFFFFFFF)))
+    band = int(np.argmax(bands[0] == key))
     first = np.flatnonzero(blocks == blocks.min())
     other = np.flatnonzero(blocks != blocks.min())
     for k, i in enumerate(first):
         rest = other if len(other) else first[k + 1 :]
         rest = rest[comps[rest] != comps[i]]
         if len(rest):
-            rest = rest[_likely(rows[i], rows[rest], least)]
+            rest = rest[_may_be(rows[i], rows[rest], least)]
             for j in rest[(bands[rest] == bands[i]).argmax(1) == band]:
                 found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return found
 
 
-def _block_pairs(members: DataFrame, least: float) -> DataFrame:
+def _block_pairs(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of ids of different components under one key whose sketches don't exclude `least`.
 
-    members: key, id, component, sketch, bands. A key's members are dealt by hash to
-    blocks of about BLOCK, each two of which meet in one group of rows, so a
-    common key is shared out and its pairs are compared, but not made into rows.
+    members: key, id, component; sketches: id, short (shortened()), bands. A key's members
+    are dealt by hash to blocks of about BLOCK, each two of which meet in one group of
+    rows, so a common key is shared out and its pairs are compared, but not made into
+    rows. There are as many partitions as the comparisons ask for.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "n"))
+    work = sizes.agg(F.sum(F.col("n").cast("double") ** 2)).first()[0] or 0.0
+    dealt = members.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with")).select("key", "low", "high", "own", "id", "component", "sketch", "bands")
+    dealt = dealt.withColumn("low", F.least("own", "with")).withColumn("high", F.greatest("own", "with")).select("key", "low", "high", "own", "id", "component").join(sketches, "id")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -204,16 +233,15 @@ def _block_pairs(members: DataFrame, least: float) -> DataFrame:
     def _compared(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         found: list[tuple[int, int]] = []
         if table.num_rows:
-            ids, comps, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
-            slots = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, SLOTS)
-            bands, keys = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(-1, BANDS), table.column("key").to_numpy()
+            ids, comps, own, keys = (table.column(c).to_numpy() for c in ("id", "component", "own", "key"))
+            slots, bands = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(table.num_rows, -1) for c, kind in (("short", "<u8"), ("bands", "<i8")))
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=False):
                 if b > a + 1:
                     found += _meet(int(keys[a]), ids[a:b], comps[a:b], own[a:b], slots[a:b], bands[a:b], least)
         made = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work / WORK) + 1)
     return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -270,20 +298,20 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
                 own, bands = sketch(h)
                 fine.append(own)
                 keys.append(bands.view(np.int64))
-                short.append(bands.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "fp", "h", "sketch", "keys", "bands"])
+                short.append(shortened(np.frombuffer(own, "<u2").reshape(1, -1)).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()), pa.array(short, pa.binary())], ["doc_id", "fp", "h", "sketch", "keys", "bands", "short"])
 
     def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             good = _likely(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("sa", "sb")), least)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>, bands binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>, bands binary, short binary")
     path = scratch(docs.sparkSession, "sketches")
     found.write.parquet(path)
     found = docs.sparkSession.read.parquet(path)
     points = cut(found.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
-    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys", "bands"))
+    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys", "bands", "short"))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keyed.join(heads, "key").where("a < id").select("a", F.col("id").alias("b"))
@@ -298,8 +326,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     joined = connected_components(linked, "a", "b")
     shared = keyed.join(heads.select("key"), "key").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     apart = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    members = cut(shared.join(apart, "key")).join(firsts.select("id", "sketch", "bands"), "id")
-    more = cut(_block_pairs(members, least))
+    more = cut(_block_pairs(cut(shared.join(apart, "key")), firsts.select("id", "short", "bands"), least))
     joined = connected_components(linked.union(_alike(more, texts, shingle, least)), "a", "b")
     groups = points.join(joined, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("component_id"))
     return found.select("doc_id", "h").join(groups, "h").select("doc_id", "component_id")
