@@ -150,8 +150,11 @@ class Forward:
 
 
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The lower-case letter runs of texts in a row, as a dictionary array, and where each text's begin (and the end)."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\p{L}\p{M}]+", " ")
+    """The lower-case words of texts in a row, as a dictionary array, and where each text's begin (and the end).
+
+    A word begins with a letter, and has letters and marks: marks behind anything else are none.
+    """
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"^\p{M}+|[^\p{L}\p{M}]+\p{M}*", " ")
     split = pc.split_pattern(plain, " ")
     opens, words = split.offsets.to_numpy(), split.flatten()
     some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
