@@ -31,8 +31,7 @@ def whole_numbers(values: np.ndarray) -> np.ndarray:
         scaled = np.floor(values * SCALE)
     if not values.size or np.abs(scaled).max() * 2 < (MOST / max(1, values.shape[-1])) ** 0.5:
         return scaled.astype(np.int64)
-    exact = lambda x: max(-FURTHEST, min(FURTHEST, floor(x) * SCALE + floor((x - floor(x)) * SCALE)))
-    return np.array([exact(x) for x in values.ravel().tolist()], object).reshape(values.shape)
+    return np.array([floor(max(-FURTHEST, min(FURTHEST, x))) for x in scaled.ravel().tolist()], object).reshape(values.shape)
 
 
 def dictionary(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
