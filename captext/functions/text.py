@@ -257,6 +257,11 @@ def detect_language(text: Column) -> Column:
     )
 
 
+def main_script(text: Column, share: float = 0.3) -> Column:
+    """ru where more than `share` of the letters are Cyrillic, else en."""
+    return F.when(n_matches(text, r"[\x{0400}-\x{04FF}]") > n_matches(text, r"\p{L}") * share, "ru").otherwise("en")
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared words over the larger set; 0 if either has none."""
     x, y = (F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)) for c in (a, b))
@@ -408,21 +413,6 @@ def translation_faults(text: Column, result: Column, leftovers: bool = True) ->
     }
 
 
-#: Spoken forms: what is read in place of abbreviations, units after a number, ranges, drawn-out spellings and symbols.
-SPOKEN = (
-    (r"\b[Dd]r\. ", "doctor "), (r"\b[Mm]r\. ", "mister "), (r"\betc\.", "and so on"), (r"\be\.g\.", "for example"),
-    (r"\b(\d+) ?km\b", "$1 kilometres"), (r"\b(\d+) ?kg\b", "$1 kilograms"), (r"\b(\d+) ?%", "$1 percent"),
-    (r"\b(\d+)-(\d+)\b", "$1 to $2"), (r"\b([Hh])m{2,}\b", "$1mm"), (r"\b([Aa])h{2,}\b", "$1h"), (r"[|*#_~<>]+", " "), (r" {2,}", " "),
-)
-
-
-def spoken_form(text: Column, rules: tuple[tuple[str, str], ...] = SPOKEN) -> Column:
-    """text as it is read aloud, rule after rule."""
-    for pattern, to in rules:
-        text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
-
-
 def time_text(seconds: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss` of seconds since 1970."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,27 +115,74 @@ def translate_phrases(lines: DataFrame, phrases: DataFrame, glossary: DataFrame,
     return lines.where(size > 0).select(*keys, F.coalesce(F.col("_phrases")[whole], walked).alias("text"))
 
 
-def deletions(word: Column, depth: int = 2) -> Column:
+#: Length up to which known words are found by what deletions leave of them; longer ones by their pieces.
+SHORT = 8
+
+
+def deletions(word: str, depth: int) -> set[str]:
     """The word and all that is left of it after up to `depth` letters go."""
-    once = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
-    found = F.array(word)
+    found = last = {word}
     for _ in range(depth):
-        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda c: F.when(F.length(c) > 1, once(c)).otherwise(F.array(c))))))
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
     return found
 
 
+def pieces(length: int, distance: int) -> list[tuple[int, int]]:
+    """Start and end of distance + 1 pieces of a word; `distance` edits leave one of them whole."""
+    n = distance + 1
+    return [(i * length // n, (i + 1) * length // n) for i in range(n)]
+
+
+def index_keys(word: str, distance: int) -> set[str]:
+    """Keys under which a known word stands: its deletions, or where it is longer than SHORT its pieces with their place."""
+    if len(word) <= SHORT:
+        return deletions(word, distance)
+    return {f"{len(word)} {i} {word[a:b]}" for i, (a, b) in enumerate(pieces(len(word), distance))}
+
+
+def lookup_keys(word: str, distance: int) -> set[str]:
+    """Keys of which a word has one in common with every known word within `distance` edits.
+
+    A piece of the known word stands in this one at most `distance` letters off its place.
+    """
+    found = deletions(word, distance) if len(word) - distance <= SHORT else set()
+    for length in range(max(SHORT + 1, len(word) - distance), len(word) + distance + 1):
+        for i, (a, b) in enumerate(pieces(length, distance)):
+            found |= {f"{length} {i} {word[at : at + b - a]}" for at in range(max(0, a - distance), min(len(word) - (b - a), a + distance) + 1)}
+    return found
+
+
+def _keyed(words: DataFrame, column: str, keys, distance: int) -> DataFrame:
+    """column and key (a hash), a row for each of a word's keys."""
+    from xxhash import xxh64_intdigest
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            names, made = [], []
+            for word in batch.column(0).to_pylist():
+                own = keys(word, distance)
+                names += [word] * len(own)
+                made += [xxh64_intdigest(k) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.array(made, np.uint64).view(np.int64))], [column, "key"])
+
+    return words.select(column).mapInArrow(run, f"{column} string, key long")
+
+
 def fuzzy_lexicon(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFrame:
     """For each word (lower case) not in the lexicon its best entry within an edit distance: word, best, dist.
 
-    Words meet where they share a string left after deletions (at most `distance`
-    on each side), which every pair within the distance does; the distance is then
-    exact. Nearest first, then most frequent, then by name.
+    Short known words are indexed by what deletions leave of them, longer ones by
+    distance + 1 pieces, of which one at least is whole within the distance: three
+    keys a word instead of some n squared. Words meet by key, those of a fitting
+    length are then measured. Nearest first, then most frequent, then by name.
     """
-    unknown = words.select("word").distinct().join(lexicon.select("word"), "word", "left_anti")
-    left = unknown.select("word", F.explode(deletions(F.col("word"), distance)).alias("part"))
-    right = lexicon.select(F.col("word").alias("best"), "freq", F.explode(deletions(F.col("word"), distance)).alias("part"))
-    pairs = left.join(right, "part").withColumn("dist", F.levenshtein("word", "best")).where(F.col("dist") <= distance)
-    return pairs.groupBy("word").agg(F.min(F.struct("dist", -F.col("freq"), "best")).alias("x")).select("word", "x.best", "x.dist")
+    unknown = words.select("word").where("word IS NOT NULL").distinct().join(lexicon.select("word"), "word", "left_anti")
+    known = lexicon.select(F.col("word").alias("best"), "freq").where("best IS NOT NULL")
+    pairs = _keyed(unknown, "word", lookup_keys, distance).join(_keyed(known, "best", index_keys, distance), "key")
+    pairs = pairs.where(F.abs(F.length("word") - F.length("best")) <= distance).select("word", "best").distinct()
+    near = pairs.withColumn("dist", F.levenshtein("word", "best", distance)).where("dist >= 0").join(known, "best")
+    return near.groupBy("word").agg(F.min(F.struct("dist", -F.col("freq"), "best")).alias("x")).select("word", "x.best", "x.dist")
 
 
 #: Letters that recognition takes for each other.
@@ -186,26 +234,27 @@ def split_glued(words: DataFrame, lexicon: DataFrame, frequent: int = 20, least:
 
     A part costs 1 + 2 max(0, 3 - length), 2 less if it is frequent; the cheapest
     split wins, then the one of fewer words, then the one whose first parts are
-    longer. Words above 200 letters stay whole.
+    longer. The work for a word grows with its letters times `longest`.
     """
-    unknown = words.select("word").distinct().where((F.length("word") >= least) & (F.length("word") <= 200)).join(lexicon.select("word"), "word", "left_anti")
+    unknown = words.select("word").distinct().where(F.length("word") >= least).join(lexicon.select("word"), "word", "left_anti")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = []
             for word, edges in zip(batch.column("word").to_pylist(), batch.column("edges").to_pylist(), strict=True):
-                best: list[tuple | None] = [None] * len(word) + [(0, 0, ())]
-                for e in sorted(edges, key=lambda e: (-e["at"], -e["n"])):
+                # The rest of a word from each place on: cost, words, and the first one's length (negative, so that more is less).
+                best: list[tuple[int, int, int] | None] = [None] * len(word) + [(0, 0, 0)]
+                for e in reversed(edges):
                     a, n = e["at"] - 1, e["n"]
                     rest = best[a + n]
                     if rest is not None:
-                        made = (rest[0] + 1 + 2 * max(0, 3 - n) - 2 * (e["freq"] >= frequent), rest[1] + 1, (-n, *rest[2]))
+                        made = (rest[0] + 1 + 2 * max(0, 3 - n) - 2 * (e["freq"] >= frequent), rest[1] + 1, -n)
                         if best[a] is None or made < best[a]:
                             best[a] = made
                 parts, at = [], 0
-                for n in best[0][2] if best[0] else ():
-                    parts.append(word[at : at - n])
-                    at -= n
+                while best[0] is not None and at < len(word):
+                    parts.append(word[at : at - best[at][2]])
+                    at -= best[at][2]
                 out.append(" ".join(parts) if len(parts) > 1 else None)
             kept = batch.select(["word"]).append_column("parts", pa.array(out, pa.string()))
             yield kept.filter(pa.array([x is not None for x in out]))
@@ -252,9 +301,16 @@ def correct_spelling(docs: DataFrame, lexicon: DataFrame, distance: int = 2, lea
     return docs.join(found, key, "left").withColumn(text, F.when(F.col("_known").isNull(), F.col(text)).otherwise(put)).drop("_known")
 
 
+#: Letters that may have a sound: their table is a literal in the plan.
+MOST_SOUNDS = 1000
+
+
 def transcribe(words: DataFrame, sounds: DataFrame, after: dict[str, str], consonants: str) -> DataFrame:
     """word and sounds: each letter's sound (c, sound), or the one that `after` has for it behind a consonant; other letters stay."""
-    known, behind = T.literal_map({r["c"]: r["sound"] for r in sounds.select("c", "sound").collect()}), T.literal_map(after)
+    held = sounds.select("c", "sound").limit(MOST_SOUNDS + 1).collect()
+    if len(held) > MOST_SOUNDS:
+        raise ValueError(f"more than {MOST_SOUNDS} letters with a sound")
+    known, behind = T.literal_map({r["c"]: r["sound"] for r in held}), T.literal_map(after)
     letter = lambda i: F.substr("word", i, F.lit(1))
     one = lambda i: F.coalesce(F.when((i > 1) & F.contains(F.lit(consonants), letter(i - 1)), behind[letter(i)]), known[letter(i)], letter(i))
     return words.select("word", F.array_join(F.transform(F.sequence(F.lit(1), F.length("word")), one), "").alias("sounds"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captext.functions.text import n_matches, token_overlap
+from captext.operators.pictures import every_nth
+from captext.operators.quantiles import quantiles
 
 #: Weights of an utterance's features, and the scores from which it is spoken or refined.
 WEIGHTS = {
@@ -211,26 +213,36 @@ def frame_class(rows: DataFrame, red: str = "r", green: str = "g", blue: str = "
     return rows.withColumn("kind", kind).drop("_grey", "_r", "_g", "_b")
 
 
-def sharpness(frames: DataFrame, key: str = "seq", luma: str = "luma", width: int = 8, least: float = 500.0) -> DataFrame:
-    """key, sharpness (variance of the eight-neighbour Laplacian over the inner pixels) and blurred (below `least`)."""
+def sharpness(frames: DataFrame, key: str = "seq", luma: str = "luma", width: int = 8, least: float = 500.0, step: int = 1) -> DataFrame:
+    """key, sharpness (variance of the eight-neighbour Laplacian over the inner pixels) and blurred (below `least`).
+
+    With a `step` every so many pixels count, both ways (4: a quarter of the size).
+    Pictures of less than three rows or columns are left out.
+    """
+    if step > 1:
+        frames, width = frames.withColumn(luma, every_nth(F.col(luma), width, step)), (width - 1) // step + 1
+    if width < 3:
+        return frames.limit(0).select(key, F.lit(0.0).alias("sharpness"), F.lit(False).alias("blurred"))
+    frames = frames.where(F.size(luma) >= 3 * width)
     at = lambda dx, dy: F.col(luma)[F.col("_y") * width + dy * width + F.col("_x") + dx]
     ring = sum((at(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy), F.lit(0.0))
     inner = frames.withColumn("_x", F.explode(F.sequence(F.lit(1), F.lit(width - 2)))).withColumn("_y", F.explode(F.sequence(F.lit(1), F.floor(F.size(luma) / width).cast("int") - 2)))
     return inner.groupBy(key).agg(F.round(F.var_pop(8 * at(0, 0) - ring), 3).alias("sharpness")).withColumn("blurred", F.col("sharpness") < least)
 
 
-def stretch(rows: DataFrame, key: str, value: str, low: float = 0.01, high: float = 0.99, least: float = 10.0, accuracy: int | None = None) -> DataFrame:
-    """rows with `value` stretched from its percentiles by key to 0 to 255, as it is where they are less than `least` apart.
-
-    With an accuracy the percentiles are approximate (within 1 / accuracy of the
-    rank), from summaries of a bounded size; else exact, from all distinct values.
-    """
-    at = lambda p: F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy)
-    cuts = rows.groupBy(key).agg(at(low).alias("_lo"), at(high).alias("_hi"))
+def stretch(rows: DataFrame, key: str, value: str, low: float = 0.01, high: float = 0.99, least: float = 10.0, error: float | None = None) -> DataFrame:
+    """rows with `value` stretched from its quantiles by key to 0 to 255, as it is where they are less than `least` apart. See quantiles() for `error`."""
+    cuts = quantiles(rows, key, value, {"_lo": low, "_hi": high}, error)
     put = F.when(F.col("_hi") - F.col("_lo") < least, F.col(value)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)))
     return rows.join(cuts, key).withColumn(value, put).drop("_lo", "_hi")
 
 
+def provider_health(answers: DataFrame, ok: Column, error: float | None = None) -> DataFrame:
+    """provider, n, n_ok, mean_ms and p95_ms of answers (provider, lang, latency_ms), and langs: those in which it succeeded."""
+    counts = answers.groupBy("provider").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.avg("latency_ms").alias("mean_ms"), F.array_join(F.sort_array(F.collect_set(F.when(ok, F.col("lang")))), ",").alias("langs"))
+    return counts.join(quantiles(answers, "provider", "latency_ms", {"p95_ms": 0.95}, error), "provider", "left")
+
+
 def frame_energy(samples: str = "samples") -> dict[str, Column]:
     """rms, peak and level in decibels (-60 at least) of an array of samples."""
     x = F.transform(samples, lambda v: v.cast("double"))

@@ -111,18 +111,20 @@ J4 = """WITH r AS (SELECT doc_id, lang, trim(text) AS key FROM documents), m AS
 
 
 def unknown_words(spark: SparkSession, d: str, least: int = 4) -> DataFrame:
-    return V.tokens(spark, d).select(F.lower("token").alias("word")).where(F.col("word").rlike(f"^[a-z]{{{least},}}$")).distinct()
+    return V.tokens(spark, d).select(F.lower("token").alias("word")).where(F.col("word").rlike(rf"^\p{{L}}{{{least},}}$")).distinct()
 
 
 def j5_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.fuzzy_lexicon(unknown_words(spark, d), V.lexicon(spark, d).where(F.col("word").rlike("^[a-z]+$")), 2)
+    return lexicon.fuzzy_lexicon(unknown_words(spark, d), V.lexicon(spark, d), 2)
 
 
+#: DuckDB measures distances in bytes: each accented letter as one other byte.
+_BYTES = lambda w: f"translate({w}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœß', '0123456789!#$%&()*+,-./:;<=>?@[]^')"
 #: A word and what is left of it after one or two letters go.
 _LEFT = lambda w: f"list_distinct(list_concat([{w}], flatten(list_transform(range(1, length({w}) + 1), lambda i: list_concat([concat(substr({w}, 1, i - 1), substr({w}, i + 1))], list_transform(range(i + 1, length({w}) + 1), lambda j: concat(substr({w}, 1, i - 1), substr({w}, i + 1, j - i - 1), substr({w}, j + 1))))))))"
-J5 = f"""WITH {V.ctes('lexicon')}, u AS (SELECT DISTINCT lower(token) AS word FROM tokens WHERE {has('lower(token)', '^[a-z]{4,}$')} AND lower(token) NOT IN (SELECT word FROM lexicon)),
-  a AS (SELECT word, unnest({_LEFT('word')}) AS part FROM u), b AS (SELECT word AS best, freq, unnest({_LEFT('word')}) AS part FROM lexicon WHERE {has('word', '^[a-z]+$')}),
-  m AS (SELECT DISTINCT a.word, b.best, b.freq FROM a JOIN b ON a.part = b.part WHERE abs(length(a.word) - length(b.best)) <= 2), p AS (SELECT word, best, freq, levenshtein(word, best) AS dist FROM m)
+J5 = f"""WITH {V.ctes('lexicon')}, u AS (SELECT DISTINCT lower(token) AS word FROM tokens WHERE {has('lower(token)', '^\\p{L}{4,}$')} AND lower(token) NOT IN (SELECT word FROM lexicon)),
+  a AS (SELECT word, unnest({_LEFT('word')}) AS part FROM u), b AS (SELECT word AS best, freq, unnest({_LEFT('word')}) AS part FROM lexicon),
+  m AS (SELECT DISTINCT a.word, b.best, b.freq FROM a JOIN b ON a.part = b.part WHERE abs(length(a.word) - length(b.best)) <= 2), p AS (SELECT word, best, freq, levenshtein({_BYTES('word')}, {_BYTES('best')}) AS dist FROM m)
   SELECT word, best, CAST(dist AS INTEGER) AS dist FROM p WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, best) = 1"""
 
 
@@ -136,7 +138,7 @@ def j6_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MATES = values(tuple(lexicon._mates().items()), "letter, mates")
-J6 = f"""WITH {V.ctes('lexicon')}, u AS (SELECT DISTINCT lower(token) AS word FROM tokens WHERE {has('lower(token)', '^[a-z]{4,}$')} AND lower(token) NOT IN (SELECT word FROM lexicon)),
+J6 = f"""WITH {V.ctes('lexicon')}, u AS (SELECT DISTINCT lower(token) AS word FROM tokens WHERE {has('lower(token)', '^\\p{L}{4,}$')} AND lower(token) NOT IN (SELECT word FROM lexicon)),
   p AS (SELECT word, i, substr(word, i, 1) AS c, substr(word, i + 1, 1) AS next FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM u)),
   m AS (SELECT word, i, c, next, mates, unnest(string_split(mates, '')) AS mate FROM p JOIN {_MATES} ON c = letter),
   cand AS (SELECT word, concat(substr(word, 1, i - 1), mate, substr(word, i + 1)) AS candidate, 2 AS weight FROM m
@@ -156,7 +158,7 @@ def j8_longest_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 J8 = f"""WITH RECURSIVE {V.ctes('tokens')}, lex AS (SELECT lower(token) AS piece FROM tokens WHERE {has('token', '^\\p{L}+$')} GROUP BY 1 HAVING count(*) >= 3),
-  u AS (SELECT DISTINCT lower(token) AS word FROM tokens WHERE {has('lower(token)', '^[a-z]+$')}),
+  u AS (SELECT DISTINCT lower(token) AS word FROM tokens WHERE {has('lower(token)', '^\\p{L}+$')}),
   parts AS (SELECT word, i, n FROM (SELECT word, i, unnest(range(1, CAST(least(20, length(word) - i + 1) + 1 AS BIGINT))) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM u)) WHERE substr(word, i, n) IN (SELECT piece FROM lex)),
   far AS (SELECT word, i, max(n) AS n FROM parts GROUP BY word, i),
   walk AS (SELECT word, CAST(1 AS BIGINT) AS place, '' AS text FROM u UNION ALL

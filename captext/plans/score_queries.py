@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
+from captext.functions.spoken import BETWEEN, spoken_form, spoken_rules
 from captext.operators import fusion, lexicon, scoring
 from captext.operators.lines import explode_lines
 from captext.plans import views as V
@@ -136,11 +137,12 @@ A10 = f"""WITH {V.ctes('captures')}, l AS (SELECT stream_id, seq % 4 AS region,
 
 
 def a11(s, d):
-    rows = V.providers(s, d).withColumn("ok", F.coalesce(F.col("result").startswith(">>"), F.lit(False)))
-    return rows.groupBy("provider").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_ms"))
+    health = scoring.provider_health(V.providers(s, d), F.coalesce(F.col("result").startswith(">>"), F.lit(False)))
+    return health.select("provider", "n", "n_ok", F.round("mean_ms", 6).alias("mean_ms"), F.round("p95_ms", 6).alias("p95_ms"), "langs")
 
 
-A11 = f"WITH {V.ctes('providers')} SELECT provider, count(*) AS n, count(*) FILTER (WHERE coalesce(starts_with(result, '>>'), false)) AS n_ok, round(avg(latency_ms), 6) AS mean_ms, round(CAST(quantile_cont(latency_ms, 0.95) AS DOUBLE), 6) AS p95_ms FROM providers GROUP BY provider"
+OK = "coalesce(starts_with(result, '>>'), false)"
+A11 = f"WITH {V.ctes('providers')} SELECT provider, count(*) AS n, count(*) FILTER (WHERE {OK}) AS n_ok, round(avg(latency_ms), 6) AS mean_ms, round(CAST(quantile_cont(latency_ms, 0.95) AS DOUBLE), 6) AS p95_ms, coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang) FILTER (WHERE {OK}), '') AS langs FROM providers GROUP BY provider"
 
 
 def vectors(s, d):
@@ -250,12 +252,19 @@ A18 = f"""WITH {V.ctes('frames')}, c AS (SELECT {', '.join(x.replace('x -> ', 'l
   SELECT seq, CASE WHEN NOT green AND std > 40 AND mean > 40 AND mean < 220 THEN 'clean' WHEN green THEN 'green' WHEN mean >= 220 THEN 'bright' WHEN mean <= 40 THEN 'dark' ELSE 'low_contrast' END AS kind, round(mean * 192, 4) AS total, round(std, 3) AS std FROM s"""
 
 
+def pictures(s, d):
+    """Sixteen frames after each other as one picture of 32 by 32 pixels."""
+    rows = V.frames(s, d).groupBy(F.expr("seq div 16").alias("seq")).agg(F.flatten(F.expr("transform(sort_array(collect_list(struct(seq, luma))), x -> x.luma)")).alias("luma"))
+    return rows.where("size(luma) = 1024")
+
+
 def f17(s, d):
-    return scoring.sharpness(V.frames(s, d).withColumn("luma", F.transform("luma", lambda x: (x - 127) * 0.3)))
+    return scoring.sharpness(pictures(s, d), width=32, step=4)
 
 
 _AT = lambda dx, dy: f"luma[y * 8 + x + {dy * 8 + dx + 1}]"
-F17 = f"""WITH {V.ctes('frames')}, h AS (SELECT seq, list_transform(luma, lambda x: (x - 127) * 0.3) AS luma FROM frames), p AS (SELECT seq, 8 * {_AT(0, 0)} - ({' + '.join(_AT(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)}) AS l FROM h, range(1, 7) a(x), range(1, 7) b(y))
+F17 = f"""WITH {V.ctes('frames')}, g AS (SELECT seq // 16 AS seq, flatten(list(luma ORDER BY seq)) AS big FROM frames GROUP BY 1 HAVING count(*) = 16), h AS (SELECT seq, list_transform(range(0, 64), lambda i: big[(i // 8) * 128 + (i % 8) * 4 + 1]) AS luma FROM g),
+  p AS (SELECT seq, 8 * {_AT(0, 0)} - ({' + '.join(_AT(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)}) AS l FROM h, range(1, 7) a(x), range(1, 7) b(y))
   SELECT seq, round(var_pop(l), 3) AS sharpness, round(var_pop(l), 3) < 500 AS blurred FROM p GROUP BY seq"""
 
 
@@ -309,18 +318,23 @@ T16 = f"""WITH RECURSIVE p AS (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS
 
 
 #: Abbreviations, units, ranges, drawn-out spellings and symbols put after each line.
-UNSPOKEN = "concat(line, ' Dr. No, Mr. X etc. hmmmm Ahhh ', doc_id, ' km ', line_no, '-', doc_id, ' 5kg 7% a_b #1 e.g.')"
+UNSPOKEN = "concat(line, ' Dr. No, Mr. X etc. hmmmm Ahhh ', doc_id, ' km ', line_no, '-', doc_id, ' 5kg 7% a_b #1 e.g. z.B. usw. d.h. 3 Std env. 9 seg aprox. pág. 2–3 mm')"
 
 
 def t19(s, d):
-    return explode_lines(docs(s, d)).select("doc_id", "line_no", T.spoken_form(F.expr(UNSPOKEN)).alias("value"))
+    rows = explode_lines(docs(s, d), keep=("lang",))
+    return rows.select("doc_id", "line_no", spoken_form(F.expr(UNSPOKEN), F.col("lang")).alias("value"))
 
 
 def _t19() -> str:
-    c = UNSPOKEN
-    for p, to in T.SPOKEN:
-        c = sub(c, p, to.replace("$", "\\"))
-    return f"WITH {LINES} SELECT doc_id, line_no, trim({c}) AS value FROM lines"
+    def read(lang: str) -> str:
+        c = "raw"
+        for p, to in spoken_rules(lang):
+            c = sub(c, p, to.replace("$", "\\"))
+        return f"trim({c})"
+
+    cases = " ".join(f"WHEN {q(lang)} THEN {read(lang)}" for lang in sorted(BETWEEN) if lang != "en")
+    return f"WITH {LINES}, r AS (SELECT lines.doc_id, line_no, lang, {UNSPOKEN.replace('doc_id', 'lines.doc_id')} AS raw FROM lines JOIN documents ON documents.doc_id = lines.doc_id) SELECT doc_id, line_no, CASE coalesce(lang, '') {cases} ELSE {read('en')} END AS value FROM r"
 
 
 def t21(s, d):

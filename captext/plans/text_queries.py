@@ -171,6 +171,16 @@ def a7_language_confusion(spark: SparkSession, d: str) -> DataFrame:
 A7 = f"SELECT lang, {', '.join(f'count(*) FILTER (WHERE found = {q(k)}) AS as_{k}' for k in ('ru', 'ja', 'de', 'fr', 'en', 'auto'))} FROM (SELECT lang, {DETECT} AS found FROM documents) GROUP BY lang"
 
 
+def a7_cyrillic_share(spark: SparkSession, d: str) -> DataFrame:
+    """Every third line in Cyrillic spelling, some with a part of it only, by the share of their letters."""
+    rows = explode_lines(docs(spark, d)).withColumn("text", F.expr(SPELT)).withColumn("found", T.main_script(F.col("text")))
+    return rows.groupBy(F.expr("line_no % 6").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("found") == "ru").alias("as_ru"))
+
+
+SPELT = f"CASE line_no % 6 WHEN 0 THEN translate(lower(line), '{_ABC}', '{_CYR}') WHEN 3 THEN concat(line, ' ', translate(substr(lower(line), 1, 12), '{_ABC}', '{_CYR}')) ELSE line END"
+A7S = f"WITH {LINES}, t AS (SELECT line_no, {SPELT} AS text FROM lines) SELECT CAST(line_no % 6 AS INTEGER) AS kind, count(*) AS n, count(*) FILTER (WHERE {n('text', r'[\x{0400}-\x{04FF}]')} > {n('text', r'\p{L}')} * 0.3) AS as_ru FROM t GROUP BY 1"
+
+
 #: Every 50th token followed by so many letters from its first one on.
 RISEN = "CASE WHEN (doc_id + pos) % 50 = 0 THEN concat('AB', substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(2 + pos % 20 AS INTEGER))) ELSE token END"
 
@@ -325,5 +335,6 @@ QUERIES = {
     "f10_ansi": (lambda s, d: lines(s, d).select("doc_id", "line_no", T.strip_ansi(F.concat(F.lit("\x1b[31m"), F.col("line"), F.lit("\x1b[0m"))).alias("value")), f"WITH {LINES} SELECT doc_id, line_no, {sub('concat(chr(27), chr(91), chr(51), chr(49), chr(109), line, chr(27), chr(91), chr(48), chr(109))', r'\x1b\[[0-9;?]*[A-Za-z]', '')} AS value FROM lines"),
     "f18_short_lines": line_filter(lambda c: (F.length(c) >= 3) & (T.n_matches(c, r"\p{L}") >= 2), f"length(line) >= 3 AND {n('line', r'\p{L}')} >= 2"),
     "a6_script_profile": (a6_script_profile, A6),
+    "a7_cyrillic_share": (a7_cyrillic_share, A7S),
     "a7_language_confusion": (a7_language_confusion, A7),
 }

@@ -9,6 +9,7 @@ from captext.functions import text as T
 from captext.operators import scoring
 from captext.operators import sequences as Q
 from captext.operators.lines import explode_lines
+from captext.operators.pictures import reused_results
 from captext.plans import views as V
 from captext.plans.join_queries import OVERLAP
 from captext.plans.text_queries import KEY, LINES, has
@@ -29,6 +30,21 @@ W1 = f"""WITH {CAP}, k AS (SELECT *, {KEY('text')} AS key FROM captures), c AS (
   SELECT stream_id, seq, changed, length(last_value(CASE WHEN changed THEN text END IGNORE NULLS) {W}) AS n_last FROM c"""
 
 
+#: Each frame three times: as it is, with noise that a small copy doesn't show, and brighter by its number.
+SHOWN = "transform(luma, x -> x + CASE copy WHEN 1 THEN 0.0001 WHEN 2 THEN seq % 3 ELSE 0 END)"
+
+
+def w1_frames(s, d):
+    rows = V.frames(s, d).withColumn("copy", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3))))).selectExpr("stream_id", "seq * 3 + copy AS seq", f"{SHOWN} AS luma", "concat('read ', seq * 3 + copy) AS text")
+    return reused_results(rows, 8, 8).select("stream_id", "seq", "changed", "text")
+
+
+_BLOCK = " + ".join(f"luma[(b // 4) * 16 + (b % 4) * 2 + {i}]" for i in (1, 2, 9, 10))
+W1F = f"""WITH {V.ctes('frames')}, f AS (SELECT stream_id, seq * 3 + copy AS seq, {SHOWN.replace('transform(luma, x -> ', 'list_transform(luma, lambda x: ')} AS luma FROM frames, (VALUES (CAST(0 AS BIGINT)), (1), (2)) c(copy)),
+  g AS (SELECT stream_id, seq, list_transform(range(0, 16), lambda b: CAST(floor(({_BLOCK}) / 4) AS INTEGER)) AS sig FROM f), c AS (SELECT *, coalesce(lag(sig) {W} <> sig, true) AS changed FROM g)
+  SELECT stream_id, seq, changed, last_value(CASE WHEN changed THEN concat('read ', seq) END IGNORE NULLS) {W} AS text FROM c"""
+
+
 def w2(s, d):
     return Q.frame_difference(V.frames(s, d)).select("stream_id", "seq", F.round(F.col("diff") * 64, 3).alias("diff"), "moved", "cut")
 
@@ -276,6 +292,7 @@ U4 = f"""WITH {CAP}, n AS (SELECT stream_id, seq, text, row_number() {W} AS r FR
 
 QUERIES = {
     "w1_text_changes": (w1, W1),
+    "w1_frame_reuse": (w1_frames, W1F),
     "w2_frame_difference": (w2, W2),
     "w4_text_delta": (w4, W4),
     "t24_growth_tail": (t24, T24),

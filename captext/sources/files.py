@@ -15,9 +15,9 @@ RULE = "─" * 40
 
 
 def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...], recursive: bool = True) -> DataFrame:
-    """path, length and content of the files with one of the extensions, in any case; content is read only if it is used."""
+    """path, length and content of the files with one of the extensions, in any case, by path; content is read only if it is used."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return read.where(F.lower("path").rlike(rf"\.({'|'.join(e.lstrip('.') for e in extensions)})$"))
+    return read.where(F.lower("path").rlike(rf"\.({'|'.join(e.lstrip('.').lower() for e in extensions)})$")).orderBy("path")
 
 
 def batch_process(rows: DataFrame, recognise: Callable[[str], str], key: str, text: str) -> DataFrame:
@@ -136,16 +136,25 @@ def recogniser(name: str) -> Callable[[str], str]:
     return RECOGNISERS[name]()
 
 
+def _guarded(text: Column, mark: str) -> Column:
+    """text with one more backslash before each line that begins with the mark, or with backslashes and the mark."""
+    return F.regexp_replace(text, rf"(?m)^(\\*{mark})", r"\\$1")
+
+
+def _restored(text: Column, mark: str) -> Column:
+    return F.regexp_replace(text, rf"(?m)^\\(\\*{mark})", "$1")
+
+
 def write_capture_log(rows: DataFrame, path: str) -> None:
     """One text record a capture: `[at] (conf%, seconds)`, the text, a rule."""
     head = F.format_string("[%s] (%s%%, %s)", "at", F.col("conf").cast("int").cast("string"), F.format_number("scan_s", 1))
-    rows.select(F.concat(head, F.lit("\n"), F.col("text"))).write.option("lineSep", f"\n{RULE}\n").text(path)
+    rows.select(F.concat(head, F.lit("\n"), _guarded(F.col("text"), RULE))).write.option("lineSep", f"\n{RULE}\n").text(path)
 
 
 def read_capture_log(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", f"\n{RULE}\n").text(path)
     part = lambda i: F.regexp_extract("value", r"(?s)^\[([^\]]*)\] \((\d+)%, ([0-9.]+)\)\n(.*)$", i)
-    return raw.select(part(1).alias("at"), part(2).cast("double").alias("conf"), part(3).cast("double").alias("scan_s"), part(4).alias("text"))
+    return raw.select(part(1).alias("at"), part(2).cast("double").alias("conf"), part(3).cast("double").alias("scan_s"), _restored(part(4), RULE).alias("text"))
 
 
 def valid_regions(regions: DataFrame) -> DataFrame:
@@ -159,10 +168,6 @@ RESULT = ("filename", "text", "chars", "lines", "error")
 BOM = "\ufeff"
 
 
-def txt_block(name: Column, text: Column) -> Column:
-    return F.concat(F.lit("=== "), name, F.lit(" ===\n"), text)
-
-
 def write_results(rows: DataFrame, path: str) -> None:
     """A batch's results (RESULT, success) below path as `csv` (those columns, a byte order mark before each file's header), `json` and `txt` (a block a file)."""
     none = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
@@ -170,7 +175,7 @@ def write_results(rows: DataFrame, path: str) -> None:
     csv = plain.toDF(BOM + "filename", *RESULT[1:])
     csv.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(f"{path}/csv")
     rows.write.json(f"{path}/json")
-    plain.select(F.concat(F.lit("=== "), "filename", F.lit(" ===\n"), "text")).write.option("lineSep", "\n\n").text(f"{path}/txt")
+    plain.select(F.concat(F.lit("=== "), "filename", F.lit(" ===\n"), _guarded(F.col("text"), "=== "))).write.option("lineSep", "\n\n").text(f"{path}/txt")
 
 
 def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -183,7 +188,7 @@ def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
     # A block begins where a line is a name between bars; what stands before the first one is no block.
     held = spark.read.option("lineSep", "\n\n=== ").text(f"{path}/txt").select(F.regexp_replace("value", r"^=== |\n\n$", "").alias("v"))
     part = lambda i: F.regexp_extract("v", r"(?s)^(.*?) ===\n(.*)$", i)
-    return held.select(part(1).alias("filename"), part(2).alias("text")).where("filename <> ''")
+    return held.select(part(1).alias("filename"), _restored(part(2), "=== ").alias("text")).where("filename <> ''")
 
 
 @F.udtf(returnType="pos int, sentence string")

@@ -270,6 +270,95 @@ def test_scanned_files(spark, tmp_path):
     assert got == {n: os.path.getsize(f"{SF}/{n}") for n in os.listdir(SF) if n.lower().endswith((".parquet", ".pq"))}
 
 
+def test_marks_inside_texts_stay(spark, tmp_path):
+    """Texts that hold the lines which part records, and such lines with backslashes before them."""
+    texts = ["plain", "a\n=== b ===\nc", "=== x ===", "\\=== y ===\n\\\\=== z", "a\n\n=== b ===\n\nc", f"a\n{files.RULE}\nb\n\\{files.RULE}", "", "\\ only"]
+    rows = spark.createDataFrame([(f"f{i}.png", t, True, None, len(t), 1) for i, t in enumerate(texts)], "filename string, text string, success boolean, error string, chars long, lines long")
+    files.write_results(rows, f"{tmp_path}/batch")
+    for kind in ("txt", "json"):
+        assert {r.filename: r.text for r in files.read_results(spark, f"{tmp_path}/batch", kind).collect()} == {f"f{i}.png": t for i, t in enumerate(texts)}
+    log = rows.selectExpr("filename AS at", "cast(7 AS double) AS conf", "cast(0.5 AS double) AS scan_s", "text")
+    files.write_capture_log(log, f"{tmp_path}/log")
+    assert {r["at"]: r.text for r in files.read_capture_log(spark, f"{tmp_path}/log").collect()} == {f"f{i}.png": t for i, t in enumerate(texts)}
+
+
+def test_pictures(spark):
+    from captext.operators import pictures
+
+    rng = np.random.default_rng(3)
+    frame = rng.uniform(0, 255, (9, 12))
+    row = spark.createDataFrame([(frame.ravel().tolist(),)], "luma array<double>")
+    got = row.select(pictures.every_nth(F.col("luma"), 12, 4).alias("a"), pictures.block_means(F.col("luma"), 12, 9, 4, 3).alias("b"), pictures.block_means(F.col("luma"), 12, 9, 5, 4).alias("c"), pictures.signature(F.col("luma"), 12, 9).alias("d")).first()
+    assert np.allclose(np.reshape(got.a, (3, 3)), frame[::4, ::4])
+    assert np.allclose(np.reshape(got.b, (3, 4)), frame.reshape(3, 3, 4, 3).mean((1, 3)))
+    cuts = lambda n, k: [(i * n // k, (i + 1) * n // k) for i in range(k)]
+    assert np.allclose(np.reshape(got.c, (4, 5)), [[frame[a:b, c:d].mean() for c, d in cuts(12, 5)] for a, b in cuts(9, 4)])
+    assert len(got.d) == 16 and all(isinstance(x, int) for x in got.d)
+    flat, sharp = [100.0] * 1024, (rng.integers(0, 2, 1024) * 255.0).tolist()
+    rows = spark.createDataFrame([(1, flat), (2, sharp), (3, flat[:64])], "seq long, luma array<double>")
+    assert {r.seq: r.blurred for r in scoring.sharpness(rows, width=32, step=4).collect()} == {1: True, 2: False}
+    small = np.array(sharp).reshape(32, 32)[::4, ::4]
+    lap = [9 * small[y, x] - small[y - 1 : y + 2, x - 1 : x + 2].sum() for y in range(1, 7) for x in range(1, 7)]
+    assert scoring.sharpness(rows, width=32, step=4).where("seq = 2").first().sharpness == pytest.approx(np.var(lap), rel=1e-6)
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_quantiles_by_ranks(spark, most):
+    from captext.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(0, 9, 101), "b": np.repeat([1.0, 2.0], 30), "c": np.array([7.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own] + [("a", None), ("d", None), (None, 1.0)], "k string, v double")
+    shares = {"low": 0.01, "half": 0.5, "high": 0.953, "top": 1.0}
+    got = {r.k: r for r in quantiles(rows, "k", "v", shares, most=most).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k, own in values.items():
+        assert [got[k][n] for n in shares] == pytest.approx([np.quantile(own, p) for p in shares.values()])
+    for r in quantiles(rows.where("k IS NOT NULL"), "k", "v", shares, error=0.01).collect():
+        own = np.sort(values[r.k])
+        for n, p in shares.items():
+            assert own[max(0, int((p - 0.02) * len(own)) - 1)] <= r[n] <= own[min(len(own) - 1, int((p + 0.02) * len(own)) + 1)]
+
+
+def test_fuzzy_words_of_all_lengths_and_letters(spark):
+    rng = random.Random(12)
+    letters = "abcdeäßéж"
+    known = {"".join(rng.choices(letters, k=n)) for n in range(1, 30) for _ in range(12)}
+
+    def edited(w):
+        for _ in range(rng.randint(1, 3)):
+            at, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+            w = w[:at] + (rng.choice(letters) if kind < 2 else "") + w[at + (kind > 0) :]
+        return w
+
+    asked = {edited(w) for w in known} - known - {""}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for most in (1, 2):
+        words, table = spark.createDataFrame([(w,) for w in asked] + [(None,)], "word string"), spark.createDataFrame([(w, len(w) % 3 + 1) for w in known], "word string, freq long")
+        got = {r.word: (r.dist, r.best) for r in lexicon.fuzzy_lexicon(words, table, most).collect()}
+        want = {}
+        for w in asked:
+            near = [(d, -(len(k) % 3 + 1), k) for k in known if abs(len(k) - len(w)) <= most and (d := distance(w, k)) <= most]
+            if near:
+                d, _, k = min(near)
+                want[w] = (d, k)
+        assert got == want and len(want) > 100
+
+
+def test_long_glued_words(spark):
+    known = spark.createDataFrame([("on", 50), ("one", 50), ("two", 3), ("et", 3)], "word string, freq long")
+    words = spark.createDataFrame([("onetwo" * 100,), ("onetwo" * 2000 + "x",)], "word string")
+    assert [r.parts for r in lexicon.split_glued(words, known).collect()] == [" ".join(["one", "two"] * 100)]
+
+
 def test_splits_of_glued_words(spark):
     rng = random.Random(4)
     known = {"".join(rng.choices("abc", k=rng.randrange(1, 6))): rng.choice((3, 50)) for _ in range(25)}
