@@ -15,10 +15,16 @@ def builder(app: str = "captext") -> SparkSession.Builder:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches of at most `most` for this session's Python tasks, in place of 64 MB: a batch of texts stands several times in the JVM and in its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor reaches.
 
@@ -43,6 +49,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/captext-{uuid.uuid4().hex}/{name}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a path that scratch() gave, and its folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df):
     """The same rows from a reliable checkpoint, with the lineage cut."""
     shared_root(df.sparkSession)
