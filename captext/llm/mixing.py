@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captext.llm.columns import set_aside
-from captext.session import cut
+from captext.operators.scan import ranged, with_total
+from captext.session import cut, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one task rounds, and buckets whose residuals meet in a task of the next level.
@@ -28,25 +29,32 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Each source's target: `share` of all sizes by weight, none above `most` times its source's size.
+def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target of sizes (source, source_size): `share` of all sizes by weight, none above `most` times its source's size.
 
-    Weights repeat over the sources in code-point order, null last. What a
-    source can't take is shared again by weight among the others.
+    Weights repeat over the sources in code-point order, null last. What a source
+    can't take is shared again by weight among the others, round by round until none
+    is above; a round sends two sums to the driver, however many sources there are.
     """
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, rest = share * sum(sizes.values()), list(order)
-    while rest:
-        total = sum(weight[s] for s in rest)
-        above = [s for s in rest if left * weight[s] / total > most * sizes[s]]
-        if not above:
-            return out | {s: left * weight[s] / total for s in rest}
-        out |= {s: most * sizes[s] for s in above}
-        left -= sum(out[s] for s in above)
-        rest = [s for s in rest if s not in out]
-    return out
+    placed = with_total(ranged(sizes.withColumn("_null", F.col("source").isNull()).withColumn("_one", F.lit(1)), "_one", ["_null", "source"]), "_one", ["_null", "source"], F.lit(1), "_place")
+    weight = F.array(*(F.lit(float(w)) for w in weights))[F.pmod(F.col("_place") - 1, F.lit(len(weights))).cast("int")]
+    rows = cut(placed.select("source", "source_size", weight.alias("_weight"), F.lit(None).cast("double").alias("target")))
+    left = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    spent = 0.0
+    while True:
+        rest = F.col("target").isNull()
+        total, n = rows.where(rest).agg(F.sum("_weight"), F.count("*")).first()
+        if not n:
+            break
+        fair = F.lit(left - spent) * F.col("_weight") / F.lit(total)
+        above = fair > most * F.col("source_size")
+        if rows.where(rest & above).limit(1).count():
+            rows = cut(rows.withColumn("target", F.when(rest & above, most * F.col("source_size")).otherwise(F.col("target"))))
+            spent = float(rows.agg(F.sum("target")).first()[0])
+            continue
+        rows = rows.withColumn("target", F.coalesce("target", fair))
+        break
+    return rows.select("source", "source_size", "target")
 
 
 def pivotal(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
@@ -114,13 +122,15 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     last level a source's rows, at most FAN_IN * (RESERVE + 1), meet in a bucket by
     its hash; the last residual is rounded to the nearer side and one or two reserved
     documents flip where that brings the source nearer to its target. Documents of
-    size 0 are rounded each by a hash. Reruns agree. One row a source reaches the
-    driver and every task: sources may be millions, not as many as documents.
+    size 0 are rounded each by a hash. Reruns agree. Sources meet their targets in a
+    join, so there may be as many as documents.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), F.xxhash64("text").alias("hash"))
     rows = cut(_numbered(rows))
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    goal = targets(sizes, weights, share, most)
+    path = scratch(docs.sparkSession, "targets")
+    targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).write.parquet(path)
+    facts = docs.sparkSession.read.parquet(path).withColumnRenamed("source", "of")
+    rows = rows.join(facts, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("times", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).drop("of", "source_size", "target")
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
@@ -152,8 +162,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         return frame.assign(p=p, open=left)
 
     def local(frame: pd.DataFrame) -> pd.DataFrame:
-        named = [None if s is None or s != s else s for s in frame["source"]]
-        f = np.array([goal[s] / sizes[s] if sizes[s] else 0.0 for s in named])
+        f = frame["times"].to_numpy(float)
         base = np.floor(f + 1e-12)
         frame = frame.assign(base=base.astype(np.int32), p=np.clip(f - base, 0, 1))
         zero = frame["size"] == 0
@@ -180,7 +189,6 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     out = settled[0]
     for part in settled[1:]:
         out = out.union(part)
-    facts = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes] or [], "of string, source_size long, target double")
     return out.join(facts, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "lot", "nth", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))
 
 
