@@ -257,6 +257,11 @@ def detect_language(text: Column) -> Column:
     )
 
 
+def long_enough(text: Column, shortest: int = 3, letters: int = 2) -> Column:
+    """Whether a line has `shortest` characters and `letters` letters."""
+    return (F.length(text) >= shortest) & (n_matches(text, r"\p{L}") >= letters)
+
+
 def main_script(text: Column, share: float = 0.3) -> Column:
     """ru where more than `share` of the letters are Cyrillic, else en."""
     return F.when(n_matches(text, r"[\x{0400}-\x{04FF}]") > n_matches(text, r"\p{L}") * share, "ru").otherwise("en")

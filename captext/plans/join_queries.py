@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
-from captext.operators import fusion, lexicon
+from captext.operators import fusion, lexicon, reports
 from captext.plans import views as V
 from captext.plans.text_queries import has, q
 
@@ -220,6 +220,13 @@ def j13_near_lines(spark: SparkSession, d: str) -> DataFrame:
     return fusion.similar_texts(lines, "line", 0.75)
 
 
+def j13_groups(spark: SparkSession, d: str) -> DataFrame:
+    from captext.operators.lines import explode_lines
+
+    lines = explode_lines(V.table(spark, d, "documents")).select("line").distinct()
+    return fusion.similar_groups(lines, "line", 0.75)
+
+
 def j13_contained(spark: SparkSession, d: str) -> DataFrame:
     from captext.operators.lines import explode_lines
 
@@ -241,9 +248,8 @@ J14 = f"""WITH p AS (SELECT DISTINCT conv_id, role, CASE conv_id % 3 WHEN 0 THEN
 
 
 def j15_language_route(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.table(spark, d, "documents").select("doc_id", T.detect_language(F.col("text")).alias("lang"))
-    routes = frame(spark, DEFAULTS, "lang string, voice string")
-    return rows.join(routes, "lang", "left").groupBy("lang", F.coalesce("voice", F.lit("voice_any")).alias("voice")).agg(F.count("*").alias("n"))
+    routed = reports.language_routes(V.table(spark, d, "documents").select("doc_id", "text"), frame(spark, DEFAULTS, "lang string, voice string"))
+    return routed.groupBy("lang", "voice").agg(F.count("*").alias("n"))
 
 
 def _j15() -> str:
@@ -268,7 +274,7 @@ J17 = f"WITH {V.ctes('settings_a', 'settings_b')} SELECT coalesce(a.path, b.path
 
 
 def j18_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return V.lexicon(spark, d, 20).join(frame(spark, GLOSSARY, "src string, dst string").select(F.col("src").alias("word")), "word", "left_anti")
+    return reports.uncovered(V.lexicon(spark, d, 20), frame(spark, GLOSSARY, "src string, dst string"))
 
 
 J18 = f"WITH {V.ctes('tokens')} SELECT lower(token) AS word, count(*) AS freq FROM tokens WHERE {has('token', '^\\p{L}+$')} AND lower(token) NOT IN (SELECT src FROM {values(GLOSSARY, 'src, dst')}) GROUP BY 1 HAVING count(*) >= 20"
@@ -302,6 +308,7 @@ QUERIES = {
     "j12_echo": (j12_echo, J12),
     "j13_near_lines": (j13_near_lines, None),
     "j13_contained": (j13_contained, None),
+    "j13_groups": (j13_groups, None),
     "j14_voices": (j14_voices, J14),
     "j15_language_route": (j15_language_route, _j15()),
     "j16_diff": (j16_diff, J16),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
 from captext.functions.spoken import BETWEEN, spoken_form, spoken_rules
-from captext.operators import fusion, lexicon, scoring
+from captext.operators import fusion, lexicon, reports, scoring
 from captext.operators.lines import explode_lines
 from captext.plans import views as V
 from captext.plans.join_queries import OVERLAP, frame, values
@@ -107,8 +107,7 @@ A5P = f"""WITH {A5X}, q AS (SELECT conv_id * 1000 + turn AS id, CASE turn % 4 WH
 
 
 def a1(s, d):
-    rows = V.table(s, d, "pages").select(F.length("html").alias("chars"), F.size(F.split("html", "\n")).alias("lines"), (F.length("html") > 0).alias("success"))
-    return rows.agg(F.count("*").alias("total"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), F.sum("chars").alias("chars"), F.sum("lines").alias("lines"))
+    return reports.batch_summary(V.table(s, d, "pages").select(F.length("html").alias("chars"), F.size(F.split("html", "\n")).alias("lines"), (F.length("html") > 0).alias("success")))
 
 
 A1 = "SELECT count(*) AS total, count(*) FILTER (WHERE length(html) > 0) AS ok, count(*) FILTER (WHERE NOT length(html) > 0) AS failed, CAST(sum(length(html)) AS BIGINT) AS chars, CAST(sum(len(string_split(html, chr(10)))) AS BIGINT) AS lines FROM pages"
@@ -119,9 +118,7 @@ def s2(s, d):
 
 
 def a9(s, d):
-    rows = V.captures(s, d).withColumn("pass", F.col("seq") % 3)
-    passes = rows.groupBy("stream_id", "pass").agg(F.avg("conf").alias("conf"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return passes.groupBy("stream_id").agg(F.max_by("pass", F.struct(F.round("conf", 9), -F.col("pass"))).alias("pass"), F.length(F.max_by("text", F.struct(F.round("conf", 9), -F.col("pass")))).cast("long").alias("chars"))
+    return reports.best_pass(V.captures(s, d).withColumn("pass", F.col("seq") % 3)).select("stream_id", "pass", F.length("text").cast("long").alias("chars"))
 
 
 A9 = f"""WITH {V.ctes('captures')}, p AS (SELECT stream_id, seq % 3 AS pass, avg(conf) AS conf, string_agg(text, ' ' ORDER BY seq) AS text FROM captures GROUP BY 1, 2)
@@ -129,8 +126,7 @@ A9 = f"""WITH {V.ctes('captures')}, p AS (SELECT stream_id, seq % 3 AS pass, avg
 
 
 def a10(s, d):
-    last = V.captures(s, d).withColumn("region", F.col("seq") % 4).groupBy("stream_id", "region").agg(F.max_by("text", "t").alias("text"))
-    return last.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", "text"))), lambda x: F.concat(F.lit("["), x["region"].cast("string"), F.lit("] "), x["text"])), "\n").alias("text"))
+    return reports.region_texts(V.captures(s, d).withColumn("region", F.col("seq") % 4))
 
 
 A10 = f"""WITH {V.ctes('captures')}, l AS (SELECT stream_id, seq % 4 AS region, arg_max(text, t) AS text FROM captures GROUP BY 1, 2) SELECT stream_id, string_agg(concat('[', region, '] ', text), chr(10) ORDER BY region) AS text FROM l GROUP BY stream_id"""
@@ -269,8 +265,7 @@ F17 = f"""WITH {V.ctes('frames')}, g AS (SELECT seq // 16 AS seq, flatten(list(l
 
 
 def f11(s, d):
-    why = F.when(F.length("text") < 2, "short").when(F.col("no_speech") > 0.6, "no_speech").when(F.col("logprob") < -1, "logprob").when(F.col("compression") > 2.4, "compression").when(F.col("lang") == "ru", "target").otherwise("kept")
-    return V.speech(s, d).groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+    return V.speech(s, d).groupBy(reports.speech_verdict("ru").alias("reason")).agg(F.count("*").alias("n"))
 
 
 F11 = f"WITH {V.ctes('speech')} SELECT CASE WHEN length(text) < 2 THEN 'short' WHEN no_speech > 0.6 THEN 'no_speech' WHEN logprob < -1 THEN 'logprob' WHEN compression > 2.4 THEN 'compression' WHEN lang = 'ru' THEN 'target' ELSE 'kept' END AS reason, count(*) AS n FROM speech GROUP BY 1"

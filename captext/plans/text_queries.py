@@ -333,7 +333,7 @@ QUERIES = {
     "f7_keep_script": per_doc(lambda c: T.keep_script(c, "A-Za-z"), f"CASE WHEN length(trim({sub('text', '[^A-Za-z0-9 .,!?;:\\-\'\"()—–\\n]', '')})) > 0 THEN trim({sub('text', '[^A-Za-z0-9 .,!?;:\\-\'\"()—–\\n]', '')}) ELSE trim(text) END"),
     "f9_log_noise": (lambda s, d: lines(s, d).select("doc_id", "line_no", T.strip_log_noise(F.expr("concat('12:0', line_no % 10, ':07,123 [INFO] mod_name - ', line)")).alias("value")), f"WITH {LINES}, x AS (SELECT doc_id, line_no, concat('12:0', line_no % 10, ':07,123 [INFO] mod_name - ', line) AS l FROM lines) SELECT doc_id, line_no, {_log_sql('l')} AS value FROM x"),
     "f10_ansi": (lambda s, d: lines(s, d).select("doc_id", "line_no", T.strip_ansi(F.concat(F.lit("\x1b[31m"), F.col("line"), F.lit("\x1b[0m"))).alias("value")), f"WITH {LINES} SELECT doc_id, line_no, {sub('concat(chr(27), chr(91), chr(51), chr(49), chr(109), line, chr(27), chr(91), chr(48), chr(109))', r'\x1b\[[0-9;?]*[A-Za-z]', '')} AS value FROM lines"),
-    "f18_short_lines": line_filter(lambda c: (F.length(c) >= 3) & (T.n_matches(c, r"\p{L}") >= 2), f"length(line) >= 3 AND {n('line', r'\p{L}')} >= 2"),
+    "f18_short_lines": line_filter(T.long_enough, f"length(line) >= 3 AND {n('line', r'\p{L}')} >= 2"),
     "a6_script_profile": (a6_script_profile, A6),
     "a7_cyrillic_share": (a7_cyrillic_share, A7S),
     "a7_language_confusion": (a7_language_confusion, A7),

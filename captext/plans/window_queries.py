@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
-from captext.operators import scoring
+from captext.operators import reports, scoring
 from captext.operators import sequences as Q
 from captext.operators.lines import explode_lines
 from captext.operators.pictures import reused_results
@@ -196,9 +196,7 @@ W15 = f"""WITH {V.ctes('speech')}, x AS (SELECT stream_id, seq, greatest(CAST(su
 
 
 def w16(s, d):
-    both = V.subtitles(s, d).selectExpr("stream_id", "t", "seq", "cast(NULL AS bigint) AS heard").unionByName(V.speech(s, d).selectExpr("stream_id", "t1 AS t", "seq", "t1 AS heard"))
-    w = Window.partitionBy("stream_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("last", F.max("heard").over(w)).where("heard IS NULL").select("stream_id", "seq", F.coalesce(F.col("t") - F.col("last") <= 1200, F.lit(False)).alias("voiced"), (F.col("t") - F.col("last")).alias("age"))
+    return reports.last_voice(V.subtitles(s, d), V.speech(s, d))
 
 
 W16 = f"""WITH {V.ctes('subtitles')}, b AS (SELECT stream_id, t, seq, CAST(NULL AS BIGINT) AS heard FROM subtitles UNION ALL SELECT stream_id, t1, seq, t1 FROM speech), m AS (SELECT *, max(heard) OVER (PARTITION BY stream_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS last FROM b)
@@ -210,10 +208,7 @@ def k1(s, d):
 
 
 def k2(s, d):
-    rows = explode_lines(V.table(s, d, "documents")).where(T.is_utterance(F.col("line"), 2))
-    words = F.size(F.filter(F.split("line", " "), lambda x: x != ""))
-    rank = F.when(F.col("line").rlike("[.?!…]"), 2.0).otherwise(0.0) + F.least(F.lit(1.0), words / 8.0)
-    return rows.withColumn("rank", rank).groupBy("doc_id").agg(F.max_by("line", F.struct("rank", -F.col("line_no"))).alias("line"), F.max("rank").alias("rank"))
+    return reports.best_block(explode_lines(V.table(s, d, "documents")))
 
 
 def _k2() -> str:
@@ -234,10 +229,8 @@ K3 = """SELECT tick, event_id, kind FROM (SELECT CAST(day(ts) * 100 + hour(ts) A
 
 
 def k4(s, d):
-    rows = V.providers(s, d)
     good = F.col("result").isNotNull() & (F.trim("result") != "") & ~F.col("result").rlike(r"^\[.*failed") & F.col("result").startswith(">>")
-    first = rows.groupBy("doc_id").agg(F.min_by(F.when(good, F.col("result")), F.when(good, F.col("rank"))).alias("result"), F.min(F.when(good, F.col("rank"))).alias("rank"))
-    return first.select("doc_id", "rank", F.coalesce("result", F.lit("[failed]")).alias("result"))
+    return reports.first_accepted(V.providers(s, d), "doc_id", good)
 
 
 GOOD = f"result IS NOT NULL AND trim(result) <> '' AND NOT {has('result', r'^\[.*failed')} AND starts_with(result, '>>')"
@@ -260,8 +253,7 @@ K5 = f"""WITH {V.ctes('boxes')}, q AS (SELECT frame_id, pos, CAST(CASE WHEN {_N}
 
 
 def k6(s, d):
-    rows = explode_lines(V.table(s, d, "documents")).where(~T.is_valid_text(F.col("line"))).withColumn("letters", T.n_matches(F.col("line"), r"\p{L}"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("letters"), "line_no"))).where("r <= 6").select("doc_id", "line_no", F.col("letters").cast("long").alias("letters"))
+    return reports.worst_lines(explode_lines(V.table(s, d, "documents")))
 
 
 def _k6() -> str:
@@ -271,13 +263,11 @@ def _k6() -> str:
 
 
 def u2(s, d):
-    key = T.normalise_key(F.col("line"))
-    return explode_lines(V.table(s, d, "documents")).select(key.alias("key")).where("length(key) > 3").distinct()
+    return reports.distinct_keys(explode_lines(V.table(s, d, "documents")), "line")
 
 
 def u3(s, d):
-    rows = V.captures(s, d).select("stream_id", T.normalise_key(F.col("text")).alias("key")).distinct()
-    return rows.join(V.playback(s, d).select("stream_id", T.normalise_key(F.col("text")).alias("key")), ["stream_id", "key"], "left_anti")
+    return reports.new_keys(V.captures(s, d), V.playback(s, d))
 
 
 U3 = f"WITH {V.ctes('captures', 'playback')} SELECT DISTINCT stream_id, {KEY('text')} AS key FROM captures EXCEPT SELECT stream_id, {KEY('text')} FROM playback"

@@ -255,6 +255,28 @@ def test_contained_texts(spark, monkeypatch):
     assert len(want) > 100
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_similar_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(fusion, "BLOCK", block)
+    rng = random.Random(9)
+    texts = set()
+    for _ in range(12):
+        base = "".join(rng.choices("abcdefgh ", k=rng.randint(20, 90)))
+        texts |= {base[: len(base) - rng.randint(0, len(base) // 4)] + "".join(rng.choices("xyz", k=rng.randint(0, 6))) for _ in range(8)}
+    texts = sorted(texts | {"lone text of its own", "z"})
+    near = {t: {o for o in texts if o != t and fusion.common_run(t, o) >= 0.75} for t in texts}
+    want = []
+    for t in texts:
+        reached, edge = {t}, [t]
+        while edge:
+            new = near[edge.pop()] - reached
+            reached |= new
+            edge += new
+        want.append((t, len(near[t]), min(reached)))
+    frame = spark.createDataFrame([(t,) for t in texts] * 2 + [(None,)], "line string")
+    assert sorted(map(tuple, fusion.similar_groups(frame, "line", 0.75).collect())) == want and max(n for _, n, _ in want) > 3
+
+
 def test_contained_lines(spark):
     from captext.operators.lines import explode_lines
 
