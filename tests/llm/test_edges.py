@@ -184,3 +184,43 @@ def test_vectors(spark):
     assert got[0] == (2, 0, True) and got[1] == (2, 0, False) and got[2] == (2, 0, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12))
     assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+def test_texts_of_marks_have_no_language(spark, docs):
+    """Marks, emoji with a variation selector and digits aren't letters; marks behind letters belong to them."""
+    texts = {100: "❤️", 101: "\u0301\u0302", 102: "👍🏽 ❤️ 12 !", 103: "\u0301the cafe\u0301 is open and the dog runs away"}
+    rows = spark.createDataFrame([(d, t, None, None, 1, 1, 1, 1, 1, 1, 1) for d, t in texts.items()], SCHEMA).union(docs)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.detect_language(rows, PIECES).collect() if r.doc_id in texts}
+    assert found[100] == found[101] == found[102] == ("und", 0.0) and found[103][0] != "und"
+    assert {r.doc_id for r in language.known_language(rows, PIECES).collect()} & {100, 101, 102} == set()
+    words, stops = language.words_of(__import__("pyarrow").array([texts[103], "a\u0301b", None]))
+    assert words.to_pylist() == ["the", "cafe\u0301", "is", "open", "and", "the", "dog", "runs", "away", "a\u0301b"] and stops.tolist() == [0, 9, 10, 10]
+
+
+def test_ties(spark, labels):
+    """Equal texts have equal scores; documents of one size are mixed alike in every run."""
+    rows = [(i, "the same few words in every text", "en", f"s{i % 3}", *[1] * 7) for i in range(90)]
+    a, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[::-1], SCHEMA).repartition(5)
+    assert len({r.score for r in quality.quality_scores(a, labels).collect()}) == 1
+    mixed = [sorted((r.doc_id, r.taken) for r in mixing.mix(x).collect()) for x in (a, b)]
+    assert mixed[0] == mixed[1] and {t for _, t in mixed[0]} <= {0, 7, 14}
+
+
+def test_targets_of_many_sources(spark):
+    """Targets by weight in code-point order, null last, with the excess shared again, against a plain version."""
+    rng = np.random.default_rng(8)
+    names = [f"{c}{i}" for i in range(40) for c in "aZé中"] + [None]
+    sizes = {s: int(x) for s, x in zip(names, rng.pareto(0.5, len(names)) * 100, strict=True)} | {"a0": 0}
+    order = [*sorted((s for s in sizes if s is not None), key=str.encode), None]
+    weight, out = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}
+    while True:
+        rest = [s for s in order if s not in out]
+        left, total = 1.5 * sum(sizes.values()) - sum(out.values()), sum(weight[s] for s in rest)
+        above = [s for s in rest if left * weight[s] / total > 2 * sizes[s]]
+        if not above:
+            break
+        out |= {s: 2.0 * sizes[s] for s in above}
+    out |= {s: left * weight[s] / total for s in rest}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(frame).collect()}
+    assert set(got) == set(out) and all(math.isclose(got[s], out[s], abs_tol=1e-6) for s in out)

@@ -82,3 +82,29 @@ def test_links_near_the_threshold(spark):
 def test_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert groups(spark, texts) == plain_groups(texts)
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    """2,000 pairs of sets at 0.80 to 0.82: no sketch discards one, and each has a key in common."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (20, 60, 200, 2000):
+        for _ in range(500):
+            share = rng.uniform(0.8, 0.82)
+            both = int(np.ceil(2 * size * share / (1 + share)))
+            h = rng.integers(0, 2**64, 2 * size - both, dtype=np.uint64)
+            (x, kx), (y, ky) = simhash.sketch(h[:size]), simhash.sketch(np.concatenate((h[:both], h[size:])))
+            x, y = (np.frombuffer(v, "<u2").reshape(1, -1) for v in (x, y))
+            assert simhash._likely(x, y, 0.8)[0] and simhash._may_be(simhash.shortened(x), simhash.shortened(y), 0.8)[0] and (kx == ky).any()
+
+
+def test_short_sketches_count_what_whole_ones_count():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**16, (50, simhash.SLOTS)).astype("<u2") | 1
+    x[rng.random(x.shape) < 0.3] = 0
+    short = simhash.shortened(x)
+    assert (simhash._ones(short) == (x > 0).sum(1)).all()
+    assert (simhash._ones(short[0] ^ short) == ((np.where(x > 0, x % 15 + 1, 0)) != np.where(x[0] > 0, x[0] % 15 + 1, 0)).sum(1)).all()
