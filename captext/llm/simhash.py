@@ -171,19 +171,25 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
 
 
-def _may_be(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """_likely() of shortened() rows.
-
-    Of different slots one in 15 looks equal, so the equal ones among those that
-    are filled on both sides are counted back, which makes the error a little larger.
+def _may_be(x: np.ndarray, y: np.ndarray, least: float, nx: int, ny: np.ndarray) -> np.ndarray:
+    """Whether pairs of shortened() rows of nx and ny shingles may be `least` similar.
+
+    Sets whose sizes differ by more can't be. At `least` a union has at most
+    (nx + ny) / (1 + least) shingles, and the filled slots are a random part of it,
+    drawn without putting back: the fewer are left out, the smaller the error of the
+    shared share. Of different slots one in 15 looks equal, so the equal ones among
+    those that are filled on both sides are counted back. A pair is discarded where
+    it falls short by SURE standard errors and 2 slots.
     """
     filled, same = _ones(x | y), SLOTS - _ones(x ^ y)
     both = _ones(x) + _ones(y) - filled
     shared = (same - (SLOTS - filled) - both / 15) * 15 / 14
-    return shared + 2 >= least * filled - SURE * (filled * (least * (1 - least) + (1 - least) / 14)) ** 0.5
+    left_out = np.maximum(0.0, 1 - filled * (1 + least) / (nx + ny))
+    error = (filled * (least * (1 - least) * left_out + (1 - least) / 14)) ** 0.5
+    return (np.minimum(nx, ny) >= least * np.maximum(nx, ny)) & (shared + 2 >= least * filled - SURE * error)
 
 
-def _meet(key: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarray, bands: np.ndarray, least: float) -> list[tuple[int, int]]:
+def _meet(key: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows: np.ndarray, bands: np.ndarray, n: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs of different components in one group of _block_pairs() that may be similar: across its two blocks, or all of one.
 
     A pair with several common keys counts in the first of its bands (a row's keys) only.
@@ -196,7 +202,7 @@ def _meet(key: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows
         rest = other if len(other) else first[k + 1 :]
         rest = rest[comps[rest] != comps[i]]
         if len(rest):
-            rest = rest[_may_be(rows[i], rows[rest], least)]
+            rest = rest[_may_be(rows[i], rows[rest], least, n[i], n[rest])]
             for j in rest[(bands[rest] == bands[i]).argmax(1) == band]:
                 found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return found
@@ -205,7 +211,7 @@ def _meet(key: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, rows
 def _block_pairs(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of ids of different components under one key whose sketches don't exclude `least`.
 
-    members: key, id, component; sketches: id, short (shortened()), bands. A key's members
+    members: key, id, component; sketches: id, short (shortened()), bands, n (shingles). A key's members
     are dealt by hash to blocks of about BLOCK, each two of which meet in one group of
     rows, so a common key is shared out and its pairs are compared, but not made into
     rows. There are as many partitions as the comparisons ask for.
@@ -233,11 +239,11 @@ def _block_pairs(members: DataFrame, sketches: DataFrame, least: float) -> DataF
     def _compared(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         found: list[tuple[int, int]] = []
         if table.num_rows:
-            ids, comps, own, keys = (table.column(c).to_numpy() for c in ("id", "component", "own", "key"))
+            ids, comps, own, keys, n = (table.column(c).to_numpy() for c in ("id", "component", "own", "key", "n"))
             slots, bands = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(table.num_rows, -1) for c, kind in (("short", "<u8"), ("bands", "<i8")))
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=False):
                 if b > a + 1:
-                    found += _meet(int(keys[a]), ids[a:b], comps[a:b], own[a:b], slots[a:b], bands[a:b], least)
+                    found += _meet(int(keys[a]), ids[a:b], comps[a:b], own[a:b], slots[a:b], bands[a:b], n[a:b], least)
         made = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
@@ -287,31 +293,33 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            fps, sets, fine, keys, short = [], [], [], [], []
+            fps, sets, fine, keys, short, sizes = [], [], [], [], [], []
             for t in batch.column("text").cast(pa.large_binary()).to_pylist():
                 h = _hashes(t, shingle)
                 if not len(h):
                     h = np.zeros(1, np.uint64)
                 ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
                 fps.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
-                sets.append(xxh3_128_digest(np.unique(h).tobytes()))
+                own = np.unique(h)
+                sets.append(xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
                 own, bands = sketch(h)
                 fine.append(own)
                 keys.append(bands.view(np.int64))
                 short.append(shortened(np.frombuffer(own, "<u2").reshape(1, -1)).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()), pa.array(short, pa.binary())], ["doc_id", "fp", "h", "sketch", "keys", "bands", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()), pa.array(short, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "h", "sketch", "keys", "bands", "short", "n"])
 
     def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             good = _likely(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("sa", "sb")), least)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>, bands binary, short binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, h binary, sketch binary, keys array<long>, bands binary, short binary, n long")
     path = scratch(docs.sparkSession, "sketches")
     found.write.parquet(path)
     found = docs.sparkSession.read.parquet(path)
     points = cut(found.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
-    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys", "bands", "short"))
+    firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys", "bands", "short", "n"))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keyed.join(heads, "key").where("a < id").select("a", F.col("id").alias("b"))
@@ -326,7 +334,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     joined = connected_components(linked, "a", "b")
     shared = keyed.join(heads.select("key"), "key").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     apart = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    more = cut(_block_pairs(cut(shared.join(apart, "key")), firsts.select("id", "short", "bands"), least))
+    more = cut(_block_pairs(cut(shared.join(apart, "key")), firsts.select("id", "short", "bands", "n"), least))
     joined = connected_components(linked.union(_alike(more, texts, shingle, least)), "a", "b")
     groups = points.join(joined, F.col("id") == F.col("node"), "left").select("h", F.coalesce("component", "id").alias("component_id"))
     return found.select("doc_id", "h").join(groups, "h").select("doc_id", "component_id")
