@@ -96,7 +96,7 @@ def test_sketches_keep_pairs_at_the_threshold():
             h = rng.integers(0, 2**64, 2 * size - both, dtype=np.uint64)
             (x, kx), (y, ky) = simhash.sketch(h[:size]), simhash.sketch(np.concatenate((h[:both], h[size:])))
             x, y = (np.frombuffer(v, "<u2").reshape(1, -1) for v in (x, y))
-            assert simhash._likely(x, y, 0.8)[0] and simhash._may_be(simhash.shortened(x), simhash.shortened(y), 0.8)[0] and (kx == ky).any()
+            assert simhash._likely(x, y, 0.8)[0] and simhash._may_be(simhash.shortened(x), simhash.shortened(y), 0.8, size, np.array([size]))[0] and (kx == ky).any()
 
 
 def test_short_sketches_count_what_whole_ones_count():
