@@ -25,3 +25,15 @@ def test_steadied_pitch_of_an_utterance_that_begins_silent(spark, tmp_path):
     found = {r.label: (r.pitch_hz, r.conf) for r in QUERIES["a14_steadied"](spark, d).collect()}
     assert found[1] == (1000.0, 0.6)
     assert found[2][0] > 0
+
+
+def test_every_frame_has_a_sharpness(spark, tmp_path):
+    d = embeddings(spark, tmp_path, [(i, tone(3 + i), 0) for i in range(5)])
+    rows = QUERIES["f17_blur"](spark, d).collect()
+    assert sorted(r.seq for r in rows) == list(range(5))
+    # A pixel's Laplacian needs all eight neighbours: 36 inner pixels a frame.
+    luma = [(round((x + 1) * 127.5, 3) - 127) * 0.3 for x in np.array(tone(3), np.float32).tolist()]
+    lap = [9 * luma[y * 8 + x] - sum(luma[(y + a) * 8 + x + b] for a in (-1, 0, 1) for b in (-1, 0, 1)) for y in range(1, 7) for x in range(1, 7)]
+    mean = sum(lap) / 36
+    assert abs(next(r.sharpness for r in rows if r.seq == 0) - sum((v - mean) ** 2 for v in lap) / 36) < 0.01
+
