@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 
 import numpy as np
 
@@ -37,3 +39,30 @@ def test_every_frame_has_a_sharpness(spark, tmp_path):
     mean = sum(lap) / 36
     assert abs(next(r.sharpness for r in rows if r.seq == 0) - sum((v - mean) ** 2 for v in lap) / 36) < 0.01
 
+
+
+def test_similar_and_contained_lines_of_many_lengths(spark):
+    from captext.operators import fusion
+
+    rng = random.Random(7)
+    texts = set()
+    for n in (1, 2, 5, 9, 16, 17, 33, 40, 64, 130, 300):
+        for _ in range(6):
+            t = "".join(rng.choice("ab c") for _ in range(n))
+            texts |= {t, t + "x", "yy" + t, t[: n // 2] + "q" + t[n // 2 + 1 :], t[1:]} - {""}
+    frame = spark.createDataFrame([(t,) for t in sorted(texts)], "line string")
+    want = {(a, b) for a in texts for b in texts if a < b and fusion.common_run(a, b) >= 0.75 - 1e-9}
+    assert {(r.a, r.b) for r in fusion.similar_texts(frame, "line", 0.75).collect()} == want
+    within = {(a, b) for a in texts for b in texts if len(a) >= 4 and a != b and a in b}
+    assert {tuple(r) for r in fusion.contained_texts(frame, "line", 4).collect()} == within
+
+
+def test_keys_of_lines_are_made_together():
+    """A second for a megabyte at most; letter by letter it took four."""
+    from captext.operators import fusion
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2500)]
+    start = time.process_time()
+    found = sum(len(numbers) for numbers, _ in fusion._anchors(texts, 0.75))
+    assert found >= 2500 and time.process_time() - start < 1.0
