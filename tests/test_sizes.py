@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from captext.functions import text as T
 from captext.plans import registry
 
 QUERIES = registry.queries()
@@ -66,3 +70,15 @@ def test_keys_of_lines_are_made_together():
     start = time.process_time()
     found = sum(len(numbers) for numbers, _ in fusion._anchors(texts, 0.75))
     assert found >= 2500 and time.process_time() - start < 1.0
+
+
+def test_scripts_and_ramps_of_whole_texts(spark):
+    words = ["tехt", "оa", "hello", "приbет", "текстtext", "wordслово", "і", "кiт", "Ёлка1", "", "мiсто-city", "абвгдежзиклм", "abcdefghij", "abc.defghij", "aabcdefghijk", " а"]
+    text = "  ".join(words) + "\n\t" + " ".join(words)
+    one = {r.x: r.y for r in spark.createDataFrame([(w,) for w in {*words, *text.replace("\n\t", "  ").split("  ")}], "x string").select("x", T.repair_homoglyphs(F.col("x")).alias("y")).collect()}
+    want = re.sub(r"[^ \t\n\x0b\f\r]+", lambda m: one[m[0]], text)
+    rows = spark.createDataFrame([(text,), (None,)], "x string").select(T.repair_scripts(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [want, None]
+    ramps = {r.x: r.y for r in spark.createDataFrame([(w,) for w in words] + [(None,)], "x string").select("x", T.has_ramp(F.col("x")).alias("y")).collect()}
+    plain = {r.x: r.y for r in spark.createDataFrame([(w,) for w in words], "x string").select("x", T.is_ramp(F.col("x")).alias("y")).where("x NOT LIKE '%.%' AND x NOT LIKE '%-%'").collect()}
+    assert ramps[None] is None and not ramps["abc.defghij"] and all(ramps[w] == y for w, y in plain.items()) and ramps["abcdefghij"]
