@@ -77,7 +77,7 @@ class TextChanges(Step):
             return []
         state.at = row.t
         match = text if text in state.texts else None
-        if match is None and state.last and common_run(text, state.last) > self.alike:
+        if match is None and state.last and common_run(text, state.last, self.alike) > self.alike:
             if len(text) > len(state.last):
                 state.last, state.texts[text] = text, row.t
             return []
@@ -129,7 +129,7 @@ class MaturingLines(Step):
         return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split()).translate(self.digits)
 
     def relations(self, line: str, old: str) -> set[str]:
-        run, short, long = common_run(line, old), min(len(line), len(old)), max(len(line), len(old))
+        run, short, long = common_run(line, old, self.alike), min(len(line), len(old)), max(len(line), len(old))
         inside = line in old or old in line
         grew = len(line) > self.grown * len(old)
         rules = {
