@@ -62,7 +62,7 @@ def test_similar_and_contained_lines_of_many_lengths(spark):
 
 
 def test_keys_of_lines_are_made_together():
-    """A second for a megabyte at most; letter by letter it took four."""
+    """A second of CPU time for a million characters at most."""
     from captext.operators import fusion
 
     rng = random.Random(3)
