@@ -115,8 +115,14 @@ def translate_phrases(lines: DataFrame, phrases: DataFrame, glossary: DataFrame,
     return lines.where(size > 0).select(*keys, F.coalesce(F.col("_phrases")[whole], walked).alias("text"))
 
 
-#: Length up to which known words are found by what deletions leave of them; longer ones by their pieces.
-SHORT = 8
+#: Length up to which known words are found by what deletions leave of them; longer ones by their pieces, which have seven letters or so there.
+SHORT = 20
+#: The same for more than two edits, where words have more of such keys.
+SHORT_FAR = 8
+
+
+def _short(distance: int) -> int:
+    return SHORT if distance <= 2 else SHORT_FAR
 
 
 def deletions(word: str, depth: int) -> set[str]:
@@ -136,7 +142,7 @@ def pieces(length: int, distance: int) -> list[tuple[int, int]]:
 
 def index_keys(word: str, distance: int) -> set[str]:
     """Keys under which a known word stands: its deletions, or where it is longer than SHORT its pieces with their place."""
-    if len(word) <= SHORT:
+    if len(word) <= _short(distance):
         return deletions(word, distance)
     return {f"{len(word)} {i} {word[a:b]}" for i, (a, b) in enumerate(pieces(len(word), distance))}
 
@@ -146,42 +152,45 @@ def lookup_keys(word: str, distance: int) -> set[str]:
 
     A piece of the known word stands in this one at most `distance` letters off its place.
     """
-    found = deletions(word, distance) if len(word) - distance <= SHORT else set()
-    for length in range(max(SHORT + 1, len(word) - distance), len(word) + distance + 1):
+    short = _short(distance)
+    found = deletions(word, distance) if len(word) - distance <= short else set()
+    for length in range(max(short + 1, len(word) - distance), len(word) + distance + 1):
         for i, (a, b) in enumerate(pieces(length, distance)):
             found |= {f"{length} {i} {word[at : at + b - a]}" for at in range(max(0, a - distance), min(len(word) - (b - a), a + distance) + 1)}
     return found
 
 
 def _keyed(words: DataFrame, column: str, keys, distance: int) -> DataFrame:
-    """column and key (a hash), a row for each of a word's keys."""
+    """The columns of words and key (a hash), a row for each key of the word in `column`."""
     from xxhash import xxh64_intdigest
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            names, made = [], []
-            for word in batch.column(0).to_pylist():
-                own = keys(word, distance)
-                names += [word] * len(own)
-                made += [xxh64_intdigest(k) for k in own]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.array(made, np.uint64).view(np.int64))], [column, "key"])
+            made, ends = [], [0]
+            for word in batch.column(column).to_pylist():
+                made += map(xxh64_intdigest, keys(word, distance))
+                ends.append(len(made))
+            hashes = pa.array(np.array(made, np.uint64).view(np.int64))
+            yield batch.append_column("key", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hashes))
 
-    return words.select(column).mapInArrow(run, f"{column} string, key long")
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInArrow(run, f"{given}, key array<long>").select(*words.columns, F.explode("key").alias("key"))
 
 
 def fuzzy_lexicon(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFrame:
     """For each word (lower case) not in the lexicon its best entry within an edit distance: word, best, dist.
 
-    Short known words are indexed by what deletions leave of them, longer ones by
-    distance + 1 pieces, of which one at least is whole within the distance: three
-    keys a word instead of some n squared. Words meet by key, those of a fitting
-    length are then measured. Nearest first, then most frequent, then by name.
+    Known words are indexed by what deletions leave of them, so that only words a
+    few edits apart meet; those of more than SHORT letters by distance + 1 pieces,
+    of which one at least is whole within the distance, as they would have some n
+    squared keys. Words that meet are measured at once. Nearest first, then most
+    frequent, then by name.
     """
     unknown = words.select("word").where("word IS NOT NULL").distinct().join(lexicon.select("word"), "word", "left_anti")
     known = lexicon.select(F.col("word").alias("best"), "freq").where("best IS NOT NULL")
     pairs = _keyed(unknown, "word", lookup_keys, distance).join(_keyed(known, "best", index_keys, distance), "key")
-    pairs = pairs.where(F.abs(F.length("word") - F.length("best")) <= distance).select("word", "best").distinct()
-    near = pairs.withColumn("dist", F.levenshtein("word", "best", distance)).where("dist >= 0").join(known, "best")
+    pairs = pairs.where(F.abs(F.length("word") - F.length("best")) <= distance)
+    near = pairs.withColumn("dist", F.levenshtein("word", "best", distance)).where("dist >= 0")
     return near.groupBy("word").agg(F.min(F.struct("dist", -F.col("freq"), "best")).alias("x")).select("word", "x.best", "x.dist")
 
 

@@ -82,3 +82,13 @@ def test_scripts_and_ramps_of_whole_texts(spark):
     ramps = {r.x: r.y for r in spark.createDataFrame([(w,) for w in words] + [(None,)], "x string").select("x", T.has_ramp(F.col("x")).alias("y")).collect()}
     plain = {r.x: r.y for r in spark.createDataFrame([(w,) for w in words], "x string").select("x", T.is_ramp(F.col("x")).alias("y")).where("x NOT LIKE '%.%' AND x NOT LIKE '%-%'").collect()}
     assert ramps[None] is None and not ramps["abc.defghij"] and all(ramps[w] == y for w, y in plain.items()) and ramps["abcdefghij"]
+
+
+def test_words_that_only_share_a_part_do_not_meet():
+    from captext.operators import lexicon
+
+    rng = random.Random(5)
+    known, asked = (["the" + "".join(rng.choices("etaoinsr", k=6)) for _ in range(300)] for _ in range(2))
+    index = [lexicon.index_keys(k, 2) for k in known]
+    met = sum(bool(lexicon.lookup_keys(w, 2) & keys) for w in asked for keys in index)
+    assert met < 0.1 * len(asked) * len(known)
