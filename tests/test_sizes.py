@@ -92,3 +92,15 @@ def test_words_that_only_share_a_part_do_not_meet():
     index = [lexicon.index_keys(k, 2) for k in known]
     met = sum(bool(lexicon.lookup_keys(w, 2) & keys) for w in asked for keys in index)
     assert met < 0.1 * len(asked) * len(known)
+
+
+def test_many_known_words_of_one_text(spark):
+    from captext.operators import cleaning
+
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(2000)]
+    long = "q" * 1500
+    text = " ".join(w.capitalize() for w in words) + f" {long.capitalize()} rest"
+    answers = spark.createDataFrame([(w, f"{w[:2]} {w[2:]}") for w in words] + [(long, f"{long[:700]} {long[700:]}")], "word string, put string")
+    got = {r.doc_id: r.text for r in cleaning.replace_words(spark.createDataFrame([(1, text), (2, None), (3, "rest")], "doc_id long, text string"), "text", answers).collect()}
+    put = " ".join(f"{w[:2].capitalize()} {w[2:]}" for w in words) + f" Q{long[1:700]} {long[700:]} rest"
+    assert got == {1: put, 2: None, 3: "rest"}
