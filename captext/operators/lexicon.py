@@ -305,9 +305,8 @@ def correct_spelling(docs: DataFrame, lexicon: DataFrame, distance: int = 2, lea
     asked = docs.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(word), 1), F.lower))).alias("word"))
     best = fuzzy_lexicon(asked.select("word"), lexicon, distance).select("word", "best")
     found = asked.join(best, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("_known"))
-    parts = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}'-]+|[^\p{L}\p{N}'-]+)"), 1)
-    put = F.array_join(F.transform(parts, lambda w: F.coalesce(T.restore_case(w, F.col("_known")[F.lower(w)]), w)), "")
-    return docs.join(found, key, "left").withColumn(text, F.when(F.col("_known").isNull(), F.col(text)).otherwise(put)).drop("_known")
+    put = T.put_known(F.col(text), r"([\p{L}\p{N}'-]+|[^\p{L}\p{N}'-]+)", F.col("_known"))
+    return docs.join(found, key, "left").withColumn(text, put).drop("_known")
 
 
 #: Letters that may have a sound: their table is a literal in the plan.
