@@ -198,18 +198,21 @@ def fuzzy_lexicon(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> Da
 CONFUSED = ("ao", "ec", "il", "nh", "uv", "rn", "tf", "gq", "mn", "bd")
 
 
-def confusion_candidates(word: Column) -> Column:
-    """Structs (candidate, weight) one edit away: a confused letter 2, a letter before its mate dropped 2, any letter dropped 0, a mate added 1."""
-    mates = F.create_map(*(x for pair in _mates().items() for x in (F.lit(pair[0]), F.lit(pair[1]))))
-    at = F.sequence(F.lit(1), F.length(word))
-    cut = lambda i, put, skip: F.concat(F.substr(word, F.lit(1), i - 1), put, F.substr(word, i + skip))
-    letter = lambda i: F.substr(word, i, F.lit(1))
-    near = lambda i: F.coalesce(mates[letter(i)], F.lit(""))
-    one = lambda c, weight: F.struct(c.alias("candidate"), weight.cast("int").alias("weight"))
-    subs = F.flatten(F.transform(at, lambda i: F.transform(F.filter(F.split(near(i), ""), lambda m: m != ""), lambda m: one(cut(i, m, 1), F.lit(2)))))
-    adds = F.flatten(F.transform(at, lambda i: F.transform(F.filter(F.split(near(i), ""), lambda m: m != ""), lambda m: one(cut(i, F.concat(letter(i), m), 1), F.lit(1)))))
-    drops = F.transform(at, lambda i: one(cut(i, F.lit(""), 1), F.when((F.length(letter(i + 1)) > 0) & F.contains(near(i), letter(i + 1)), 2).otherwise(0)))
-    return F.concat(subs, adds, drops)
+def confusion_candidates(word: str, mates: dict[str, str]) -> dict[str, int]:
+    """Words one edit away with their highest weight: a confused letter 2, a letter before its mate dropped 2, any letter dropped 0, a mate added 1."""
+    found: dict[str, int] = {}
+
+    def put(candidate: str, weight: int) -> None:
+        if found.get(candidate, -1) < weight:
+            found[candidate] = weight
+
+    for i, letter in enumerate(word):
+        before, after, near = word[:i], word[i + 1 :], mates.get(letter, "")
+        for m in near:
+            put(before + m + after, 2)
+            put(before + letter + m + after, 1)
+        put(before + after, 2 if after and after[0] in near else 0)
+    return found
 
 
 def _mates() -> dict[str, str]:
@@ -223,7 +226,20 @@ def _mates() -> dict[str, str]:
 def confusion_correct(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """word and best for unknown words of four letters or more: the heaviest candidate, ties by strictly higher frequency; none if still tied."""
     unknown = words.select("word").where("length(word) >= 4").distinct().join(lexicon.select("word"), "word", "left_anti")
-    made = unknown.select("word", F.explode(confusion_candidates(F.col("word"))).alias("c")).select("word", "c.candidate", "c.weight").groupBy("word", "candidate").agg(F.max("weight").alias("weight"))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mates = _mates()
+        for batch in rows:
+            candidates, weights, ends = [], [], [0]
+            for word in batch.column(0).to_pylist():
+                found = confusion_candidates(word, mates)
+                candidates += found
+                weights += found.values()
+                ends.append(len(candidates))
+            both = pa.StructArray.from_arrays([pa.array(candidates, pa.string()), pa.array(weights, pa.int32())], ["candidate", "weight"])
+            yield batch.append_column("c", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both))
+
+    made = unknown.mapInArrow(run, "word string, c array<struct<candidate: string, weight: int>>").select("word", F.inline("c"))
     known = made.join(lexicon.withColumnRenamed("word", "candidate"), "candidate")
     w = Window.partitionBy("word").orderBy(F.desc("weight"), F.desc("freq"))
     ranked = known.withColumn("r", F.rank().over(w)).where("r = 1")
