@@ -104,3 +104,19 @@ def test_many_known_words_of_one_text(spark):
     got = {r.doc_id: r.text for r in cleaning.replace_words(spark.createDataFrame([(1, text), (2, None), (3, "rest")], "doc_id long, text string"), "text", answers).collect()}
     put = " ".join(f"{w[:2].capitalize()} {w[2:]}" for w in words) + f" Q{long[1:700]} {long[700:]} rest"
     assert got == {1: put, 2: None, 3: "rest"}
+
+
+def test_brief_texts_of_common_letters_are_found_by_hash(spark, monkeypatch):
+    """Texts of few letters, whose pieces stand in every other text: only true pairs are made, FEW texts at once."""
+    from captext.operators import fusion
+
+    rng = random.Random(11)
+    longer = ["".join(rng.choice("ab ") for _ in range(rng.randint(33, 400))) for _ in range(200)]
+    brief = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(8, 31))) for _ in range(900)} | {t[i : i + n] for t in longer for i, n in ((3, 9), (0, 8), (len(t) - 31, 31))})
+    found = [(brief[a], longer[b]) for x, y in fusion._held_in(longer, fusion._sought(brief, 8)) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    want = {(a, b) for a in brief for b in longer if a in b}
+    assert sorted(found) == sorted(want) and len(want) > 600
+    monkeypatch.setattr(fusion, "FEW", 500)
+    texts = {*brief, *longer, *("é" * n for n in (1, 8, 9, 40))}
+    frame = spark.createDataFrame([(t,) for t in sorted(texts)], "line string")
+    assert {tuple(r) for r in fusion.contained_texts(frame, "line", 8).collect()} == {(a, b) for a in texts if len(a) >= 8 for b in texts if a != b and a in b}
