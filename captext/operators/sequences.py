@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,54 +58,147 @@ def heard_before(rows: DataFrame, above: float = 0.6, memory: int = 16) -> DataF
     return rows.withColumn("_held", held).withColumn("own", F.exists("_held", lambda x: token_overlap(x, F.col("text")) > above)).drop("_held")
 
 
+def _framed(boxes: DataFrame, run, *columns: str, schema: str) -> DataFrame:
+    """What run(keys, firsts, fields) makes of batches of whole frames: their ids, the number of each box' frame and the boxes' columns, NaN for a null number."""
+
+    def batches(given):
+        for batch in given:
+            held = batch.column("held")
+            of = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+            fields = dict(zip(columns, held.flatten().flatten(), strict=True))
+            yield run(batch.column("frame_id"), of, {c: v if pa.types.is_string(v.type) else v.to_numpy(zero_copy_only=False) for c, v in fields.items()})
+
+    return boxes.groupBy("frame_id").agg(F.collect_list(F.struct(*columns)).alias("held")).mapInArrow(batches, schema)
+
+
+def _nulls_first(values: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(values), -np.inf, values)
+
+
+def _near(of: np.ndarray, height: np.ndarray, n: int) -> np.ndarray:
+    """For each of n frames max(8, 0.6 median height)."""
+    known = ~np.isnan(height)
+    order = np.lexsort((height[known], of[known]))
+    size = np.bincount(of[known], minlength=n)
+    first = np.cumsum(size) - size
+    tall, some = np.zeros(n), size > 0
+    sorted_height = height[known][order]
+    tall[some] = (sorted_height[(first + (size - 1) // 2)[some]] + sorted_height[(first + size // 2)[some]]) / 2
+    return np.maximum(8.0, 0.6 * tall)
+
+
+def _read(keys, of: np.ndarray, row: np.ndarray, x: dict) -> pa.RecordBatch:
+    """frame_id, n_rows and text of frames whose boxes are in rows, counted over all frames."""
+    order = np.lexsort((x["pos"], _nulls_first(x["x0"]), row))
+    texts = x["text"].take(pa.array(order)).to_pylist()
+    first = np.flatnonzero(np.diff(row[order], prepend=-1))
+    lines = [" ".join(w for w in texts[a:b] if w is not None) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(texts)], strict=True)]
+    sizes = np.bincount(of[order][first], minlength=len(keys))
+    ends = np.cumsum(sizes).tolist()
+    text = ["\n".join(lines[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(text, pa.string())], ["frame_id", "n_rows", "text"])
+
+
+_READ = {"schema": "frame_id long, n_rows long, text string"}
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """frame_id and text: boxes in rows by the gap of their middles (max(8, 0.6 median height)), left to right."""
-    tall = boxes.groupBy("frame_id").agg(F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("tall"))
-    placed = boxes.join(tall, "frame_id").withColumn("yc", (F.col("y0") + F.col("y1")) / 2)
-    w = Window.partitionBy("frame_id").orderBy("yc", "x0", "pos")
-    new = F.coalesce((F.col("yc") - F.lag("yc").over(w) > F.greatest(F.lit(8.0), 0.6 * F.col("tall"))).cast("int"), F.lit(1))
-    rows = placed.withColumn("_new", new).withColumn("row", F.sum("_new").over(w))
-    line = rows.groupBy("frame_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "pos", "text"))), lambda x: x["text"]), " ").alias("line"))
-    return line.groupBy("frame_id").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """frame_id and text: boxes in rows by the gap of their middles (max(8, 0.6 median height)), left to right. A frame is held in memory."""
+
+    def run(keys, of, x):
+        middle = (x["y0"] + x["y1"]) / 2
+        order = np.lexsort((x["pos"], _nulls_first(x["x0"]), _nulls_first(middle), of))
+        near = _near(of, x["y1"] - x["y0"], len(keys))[of[order]]
+        gap = np.diff(middle[order], prepend=np.nan)
+        new = (np.diff(of[order], prepend=-1) != 0) | ~(gap <= near)
+        row = np.empty(len(of), np.int64)
+        row[order] = np.cumsum(new)
+        return _read(keys, of, row, x)
+
+    return _framed(boxes.where("frame_id IS NOT NULL"), run, "x0", "y0", "y1", "pos", "text", **_READ)
 
 
 def reading_order_exact(boxes: DataFrame) -> DataFrame:
     """reading_order() with rows by the running mean of their middles: a box, from the top down, joins the first row that it is near to."""
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for key, held in zip(frame["frame_id"], frame["held"], strict=True):
-                height = sorted(b["y1"] - b["y0"] for b in held)
-                near = max(8.0, 0.6 * (height[(len(height) - 1) // 2] + height[len(height) // 2]) / 2)
-                rows: list[list] = []
-                for b in sorted(held, key=lambda b: ((b["y0"] + b["y1"]) / 2, b["x0"], b["pos"])):
-                    middle = (b["y0"] + b["y1"]) / 2
-                    row = next((r for r in rows if abs(r[0] / len(r[1]) - middle) <= near), None)
-                    if row is None:
-                        rows.append(row := [0.0, []])
-                    row[0] += middle
-                    row[1].append(b)
-                rows.sort(key=lambda r: r[0] / len(r[1]))
-                text = "\n".join(" ".join(b["text"] for b in sorted(r[1], key=lambda b: (b["x0"], b["pos"]))) for r in rows)
-                out.append((key, len(rows), text))
-            yield pd.DataFrame(out, columns=["frame_id", "n_rows", "text"])
-
-    held = boxes.groupBy("frame_id").agg(F.collect_list(F.struct("x0", "y0", "y1", "pos", "text")).alias("held"))
-    return held.mapInPandas(run, "frame_id long, n_rows long, text string")
+    def run(keys, of, x):
+        middle = (x["y0"] + x["y1"]) / 2
+        order = np.lexsort((x["pos"], x["x0"], middle, of))
+        limits = _near(of, x["y1"] - x["y0"], len(keys)).tolist()
+        made, last, start, sums, counts = [], -1, 0, [], []
+        ranks = []
+
+        def close():
+            # Rows by their mean, in the order in which they began where it is equal.
+            at = {r: i for i, r in enumerate(sorted(range(len(sums)), key=lambda r: sums[r] / counts[r]))}
+            ranks.extend(start + at[r] for r in made)
+
+        for frame, m in zip(of[order].tolist(), middle[order].tolist(), strict=True):
+            if frame != last:
+                close()
+                start += len(sums)
+                made, last, sums, counts, near = [], frame, [], [], limits[frame]
+            r = next((r for r in range(len(sums)) if abs(sums[r] / counts[r] - m) <= near), None)
+            if r is None:
+                r = len(sums)
+                sums.append(0.0)
+                counts.append(0)
+            sums[r] += m
+            counts[r] += 1
+            made.append(r)
+        close()
+        row = np.empty(len(of), np.int64)
+        row[order] = ranks
+        return _read(keys, of, row, x)
+
+    return _framed(boxes, run, "x0", "y0", "y1", "pos", "text", **_READ)
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches over edges (a, b)."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
 
 
 def merge_boxes(boxes: DataFrame) -> DataFrame:
-    """frame_id, the merged rectangles and their number of boxes; boxes (pos is theirs in the frame) merge that overlap in height and are near in width, transitively."""
-    from captext.operators.components import connected_components
-
-    ids = boxes.withColumn("id", F.struct("frame_id", "pos"))
-    a, b = ids.alias("a"), ids.alias("b")
-    near = F.expr("""a.frame_id = b.frame_id AND a.pos < b.pos AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.55 * least(a.y1 - a.y0, b.y1 - b.y0)
-      AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 0.55 * greatest(a.y1 - a.y0, b.y1 - b.y0)""")
-    found = connected_components(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "a", "b")
-    grouped = ids.join(found, F.col("id") == F.col("node"), "left").withColumn("box", F.coalesce("component", "id"))
-    return grouped.groupBy("box").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n")).select("box.frame_id", F.col("box.pos").alias("box"), "x0", "y0", "x1", "y1", "n")
+    """frame_id, the merged rectangles and their number of boxes; boxes (pos is theirs in the frame) merge that overlap in height and are near in width, transitively.
+
+    A frame is held in memory; from the top down, a box meets those that start before its end.
+    """
+
+    def run(keys, of, x):
+        x0, y0, x1, y1 = (x[c] for c in ("x0", "y0", "x1", "y1"))
+        same, node = np.unique(np.stack((of, x["pos"].astype(np.int64)), 1), axis=0, return_inverse=True)
+        order = np.lexsort((_nulls_first(y0), of))
+        height = y1 - y0
+        # How far below a box' end one may start: for boxes that end before they start.
+        slack = 0.55 * max(0.0, -np.nanmin(height)) if (height < 0).any() else 0.0
+        at, step, edges = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False)[of[order]]), 0, []
+        while len(at):
+            step += 1
+            at = at[at + step < len(order)]
+            i, j = order[at], order[at + step]
+            on = (of[i] == of[j]) & ~(y0[j] > y1[i] + slack)
+            at, i, j = at[on], i[on], j[on]
+            over = np.fmin(y1[i], y1[j]) - np.fmax(y0[i], y0[j]) >= 0.55 * np.fmin(height[i], height[j])
+            near = np.fmax(x0[i], x0[j]) - np.fmin(x1[i], x1[j]) <= 0.55 * np.fmax(height[i], height[j])
+            edges.append(np.stack((node[i], node[j]), 1)[over & near])
+        a, b = np.concatenate(edges).T if edges else np.zeros((2, 0), np.int64)
+        root = _joined(len(same), a, b)[node]
+        order = np.argsort(root, kind="stable")
+        first = np.flatnonzero(np.diff(root[order], prepend=-1))
+        key, pos = same[root[order][first]].T
+        sides = [f.reduceat(c[order], first) for f, c in ((np.fmin, x0), (np.fmin, y0), (np.fmax, x1), (np.fmax, y1))]
+        counts = np.diff(np.append(first, len(order)))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(key)), pa.array(pos.astype(np.int32)), *(pa.array(c, from_pandas=True) for c in sides), pa.array(counts)], ["frame_id", "box", "x0", "y0", "x1", "y1", "n"])
+
+    return _framed(boxes.where("pos IS NOT NULL"), run, "x0", "y0", "x1", "y1", "pos", schema="frame_id long, box int, x0 double, y0 double, x1 double, y1 double, n long")
 
 
 def name_lines(rows: DataFrame) -> DataFrame:

@@ -120,3 +120,43 @@ def test_brief_texts_of_common_letters_are_found_by_hash(spark, monkeypatch):
     texts = {*brief, *longer, *("é" * n for n in (1, 8, 9, 40))}
     frame = spark.createDataFrame([(t,) for t in sorted(texts)], "line string")
     assert {tuple(r) for r in fusion.contained_texts(frame, "line", 8).collect()} == {(a, b) for a in texts if len(a) >= 8 for b in texts if a != b and a in b}
+
+
+def test_boxes_of_a_frame_are_worked_on_in_one_task(spark, monkeypatch):
+    """No join and no rounds of jobs: a frame's boxes meet once, by frame."""
+    from captext.operators import components, sequences
+
+    def rounds(*_):
+        raise AssertionError("rounds of jobs for boxes of a frame")
+
+    monkeypatch.setattr(components, "connected_components", rounds)
+    rng = random.Random(5)
+    rows = []
+    for frame in range(30):
+        for pos in range(rng.choice((1, 2, 25, 60))):
+            x, y = rng.randint(0, 400), rng.randint(0, 300)
+            rows.append((frame, pos, float(x), float(y), float(x + rng.randint(0, 60)), float(y + rng.randint(-3, 40))))
+    rows += [(40, 0, None, 0.0, 5.0, 9.0), (40, 1, 3.0, None, 9.0, 9.0), (40, 2, 90.0, 200.0, 95.0, None), (40, 3, None, None, None, None)]
+    boxes = spark.createDataFrame([(*r, f"t{r[1]}") for r in rows], "frame_id long, pos int, x0 double, y0 double, x1 double, y1 double, text string")
+    want = set()
+    for frame in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == frame]
+        root = {r[1]: r[1] for r in own}
+        for _ in own:
+            for _, p, *a in own:
+                for _, o, *b in own:
+                    least = lambda *v: min((x for x in v if x is not None), default=None)
+                    most = lambda *v: max((x for x in v if x is not None), default=None)
+                    less = lambda u, v: None if u is None or v is None else u - v
+                    tall = (less(a[3], a[1]), less(b[3], b[1]))
+                    over, thin, gap, high = less(least(a[3], b[3]), most(a[1], b[1])), least(*tall), less(most(a[0], b[0]), least(a[2], b[2])), most(*tall)
+                    if p < o and None not in (over, thin, gap, high) and over >= 0.55 * thin and gap <= 0.55 * high:
+                        root[p] = root[o] = min(root[p], root[o])
+        for k in set(root.values()):
+            held = [r for r in own if root[r[1]] == k]
+            side = lambda i, f: f((r[i] for r in held if r[i] is not None), default=None)
+            want.add((frame, k, side(2, min), side(3, min), side(4, max), side(5, max), len(held)))
+    assert {tuple(r) for r in sequences.merge_boxes(boxes).collect()} == want and len(want) < len(rows)
+    for read in (sequences.reading_order, sequences.reading_order_exact):
+        plan = read(boxes.where("frame_id < 40"))._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Window" not in plan
