@@ -160,3 +160,18 @@ def test_boxes_of_a_frame_are_worked_on_in_one_task(spark, monkeypatch):
     for read in (sequences.reading_order, sequences.reading_order_exact):
         plan = read(boxes.where("frame_id < 40"))._jdf.queryExecution().toString()
         assert "Join" not in plan and "Window" not in plan
+
+
+def test_spoken_rules_one_by_one(spark):
+    """Patterns that are tried where they can match only give what they give one after the other, also side by side."""
+    from captext.functions import spoken
+
+    texts = ["Dr.Dr. Dr. Dr.Mr.Mr. etc.etc.", "dr. ahhhahhh ahhh ohhh,ohh hmm", "_Dr. éDr. \U0001d400Dr. 1Dr.", "5 km5 km 7kmh 3 - 4-5", "", " e.g.e.g.|i.e. #No.No.", "z.B.z.B. d.h. usw.usw.", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain, made = F.col("x"), spoken.spoken_form(F.col("x"), "en")
+    for pattern, to in spoken.spoken_rules("en"):
+        plain = F.regexp_replace(plain, pattern, to)
+    for a, b in rows.select(F.trim(plain), made).collect():
+        assert a == b
+    # One text each, so that a rule's own text is not made anew for each rule.
+    assert rows.select(made)._jdf.queryExecution().analyzed().toString().count("x#") < 10
