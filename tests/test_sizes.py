@@ -175,3 +175,14 @@ def test_spoken_rules_one_by_one(spark):
         assert a == b
     # One text each, so that a rule's own text is not made anew for each rule.
     assert rows.select(made)._jdf.queryExecution().analyzed().toString().count("x#") < 10
+
+
+def test_trees_are_taken_apart_once(spark, tmp_path, monkeypatch):
+    from captext.sources import files
+
+    spark.sql("SELECT 1L AS event_id, 7L AS user_id, 'click' AS event_type, '{\"k\": 3}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    asked, flatten = [], files.flatten_settings
+    monkeypatch.setattr(files, "flatten_settings", lambda *a: asked.append(1) or flatten(*a))
+    rows = QUERIES["t26_flatten"](spark, str(tmp_path))
+    assert sorted((r.path, r.value) for r in rows.collect()) == [("copy.id", "7"), ("on", "true"), ("props.k", "3"), ("user.id", "7"), ("user.kind", "set")]
+    assert len(asked) == 1 and "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
