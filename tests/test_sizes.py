@@ -177,6 +177,12 @@ def test_spoken_rules_one_by_one(spark):
     assert rows.select(made)._jdf.queryExecution().analyzed().toString().count("x#") < 10
 
 
+def test_kept_script_is_made_once(spark):
+    rows = spark.createDataFrame([("añb§§c",), ("§",), ("",), (None,)], "x string").select(T.keep_script(F.col("x"), "A-Za-z").alias("y"))
+    assert [r.y for r in rows.collect()] == ["abc", "§", "", None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
 def test_trees_are_taken_apart_once(spark, tmp_path, monkeypatch):
     from captext.sources import files
 
