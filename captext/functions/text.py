@@ -349,8 +349,8 @@ def repair_scripts(text: Column, tie: str | None = None) -> Column:
 
     def run(batches):
         repair = _repair(tie)
-        # Only runs with a Cyrillic letter can change.
-        run_of = re.compile(r"[^ \t\n\x0b\f\r]*[\u0400-\u052f][^ \t\n\x0b\f\r]*")
+        # Only runs with a Cyrillic letter can change; a run is gone through once, from its start.
+        run_of = re.compile(r"(?<![^ \t\n\x0b\f\r])[^ \t\n\x0b\f\r\u0400-\u052f]*[\u0400-\u052f][^ \t\n\x0b\f\r]*")
         for texts in batches:
             yield pa.array([None if t is None else run_of.sub(lambda m: repair(m[0]), t) for t in texts.to_pylist()], pa.string())
 

@@ -177,6 +177,14 @@ def test_spoken_rules_one_by_one(spark):
     assert rows.select(made)._jdf.queryExecution().analyzed().toString().count("x#") < 10
 
 
+def test_long_words_are_repaired_in_one_go(spark):
+    """Words without a Cyrillic letter are gone through once, not once from each of their letters."""
+    text = "a" * 60_000 + " hеllo"
+    start = time.time()
+    rows = spark.createDataFrame([(text,)] * 4, "x string").select(T.repair_scripts(F.col("x")).alias("y")).collect()
+    assert {r.y for r in rows} == {text[:60_001] + "hello"} and time.time() - start < 12
+
+
 def test_kept_script_is_made_once(spark):
     rows = spark.createDataFrame([("añb§§c",), ("§",), ("",), (None,)], "x string").select(T.keep_script(F.col("x"), "A-Za-z").alias("y"))
     assert [r.y for r in rows.collect()] == ["abc", "§", "", None]
