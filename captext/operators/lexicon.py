@@ -28,6 +28,12 @@ def build_lexicon(tokens: DataFrame, least: int = 3, seeds: DataFrame | None = N
 MOST_LITERALS = 100
 
 
+def _literals(table: DataFrame) -> dict[str, str] | None:
+    """src and dst of a table of MOST_LITERALS rows at most, None for a larger one."""
+    held = table.select("src", "dst").limit(MOST_LITERALS + 1).collect()
+    return {r["src"]: r["dst"] for r in held if r["src"] is not None and r["dst"] is not None} if len(held) <= MOST_LITERALS else None
+
+
 def with_answers(docs: DataFrame, words: Column, table: DataFrame, key: str, out: str) -> DataFrame:
     """docs with `out`, a map from those of the array `words` that `table` (src, distinct; dst) knows.
 
@@ -35,9 +41,8 @@ def with_answers(docs: DataFrame, words: Column, table: DataFrame, key: str, out
     larger one the distinct words of each row meet it, and those found come back as
     one map a row; docs then needs one row a key.
     """
-    held = table.select("src", "dst").limit(MOST_LITERALS + 1).collect()
-    if len(held) <= MOST_LITERALS:
-        return docs.withColumn(out, T.literal_map({r["src"]: r["dst"] for r in held if r["src"] is not None and r["dst"] is not None}))
+    if (held := _literals(table)) is not None:
+        return docs.withColumn(out, T.literal_map(held))
     asked = docs.select(key, F.explode(F.array_distinct(words)).alias("src"))
     found = asked.join(table.select("src", "dst"), "src").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("src", "dst"))).alias(out))
     return docs.join(found, key, "left").withColumn(out, F.coalesce(out, T.literal_map({})))
@@ -91,28 +96,51 @@ def translate_phrases(lines: DataFrame, phrases: DataFrame, glossary: DataFrame,
     spelled = T.literal_map(contractions or {})
     raw = T.words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'\s]+", " "))
     lines = lines.select(*keys, T.words(F.array_join(F.transform(raw, lambda w: F.regexp_replace(F.coalesce(spelled[w], w), "'", "")), " ")).alias("_w"))
-    lines = lines.withColumn("_id", F.struct(*keys))
-    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array())))
     whole = F.array_join("_w", " ")
-    lines = with_answers(lines, F.concat(grams, F.array(whole)), phrases, "_id", "_phrases")
-    lines = with_answers(lines, F.col("_w"), glossary, "_id", "_words")
-    size = F.size("_w")
-    # The longest phrase that starts at each place, in words; 1 for none.
-    reach = F.transform("_w", lambda _, i: F.coalesce(*(F.when((i + n <= size) & F.col("_phrases")[F.array_join(F.slice("_w", i + 1, F.lit(n)), " ")].isNotNull(), F.lit(n)) for n in range(longest, 1, -1)), F.lit(1)))
-    lines = lines.withColumn("_n", reach)
-
-    def put(i: Column) -> Column:
-        word = F.col("_w")[i]
-        single = F.coalesce(F.col("_words")[word], F.when(~word.isin(*ARTICLES), word), F.lit(""))
-        return F.when(F.col("_n")[i] > 1, F.col("_phrases")[F.array_join(F.slice("_w", i + 1, F.col("_n")[i]), " ")]).otherwise(single)
-
-    def step(state: Column, i: Column) -> Column:
-        here = i == state["next"]
-        return F.struct(F.when(here, i + F.col("_n")[i]).otherwise(state["next"]).alias("next"), F.when(here, F.array_append(state["out"], put(i))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() AS array<string>)").alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda state: F.array_join(F.filter(state["out"], lambda w: w != ""), " "))
-    return lines.where(size > 0).select(*keys, F.coalesce(F.col("_phrases")[whole], walked).alias("text"))
+    held, singles = _literals(phrases), _literals(glossary)
+    lines = lines.where(F.size("_w") > 0).withColumn("_id", F.struct(*keys))
+    if held is None:
+        grams = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array())))
+        lines = with_answers(lines, F.concat(grams, F.array(whole)), phrases, "_id", "_phrases")
+    if singles is None:
+        lines = with_answers(lines, F.col("_w"), glossary, "_id", "_words")
+
+    def put(batches):
+        for texts, own, words in batches:
+            out = []
+            for i, line in enumerate(texts.to_pylist()):
+                answers = dict(own[i].as_py() or ()) if held is None else held
+                out.append(_put_phrases(line, answers, dict(words[i].as_py() or ()) if singles is None else singles, longest, firsts if firsts is not None else _firsts(answers)))
+            yield pa.array(out, pa.string())
+
+    firsts = None if held is None else _firsts(held)
+    # A table that is a literal is held by the function, and its column empty.
+    none = F.lit(None).cast("map<string, string>")
+    found = F.arrow_udf(T._typed(put, 3), "string")(whole, F.col("_phrases") if held is None else none, F.col("_words") if singles is None else none)
+    return lines.select(*keys, found.alias("text"))
+
+
+def _firsts(phrases: dict[str, str]) -> set[str]:
+    return {p.split(" ", 1)[0] for p in phrases}
+
+
+def _put_phrases(line: str, phrases: dict[str, str], singles: dict[str, str], longest: int, firsts: set[str]) -> str:
+    """The words of a line, parted by single spaces, in their answers; firsts: the first words of phrases."""
+    if phrases.get(line) is not None:
+        return phrases[line]
+    words, out, at = line.split(" "), [], 0
+    while at < len(words):
+        word, n = words[at], 1
+        if word in firsts:
+            n = next((n for n in range(min(longest, len(words) - at), 1, -1) if phrases.get(" ".join(words[at : at + n])) is not None), 1)
+        if n > 1:
+            said = phrases[" ".join(words[at : at + n])]
+        elif (said := singles.get(word)) is None:
+            said = "" if word in ARTICLES else word
+        if said:
+            out.append(said)
+        at += n
+    return " ".join(out)
 
 
 #: Length up to which known words are found by what deletions leave of them; longer ones by their pieces, which have seven letters or so there.

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
+from captext.operators import lexicon
 from captext.plans import registry
 
 QUERIES = registry.queries()
@@ -200,3 +201,24 @@ def test_trees_are_taken_apart_once(spark, tmp_path, monkeypatch):
     rows = QUERIES["t26_flatten"](spark, str(tmp_path))
     assert sorted((r.path, r.value) for r in rows.collect()) == [("copy.id", "7"), ("on", "true"), ("props.k", "3"), ("user.id", "7"), ("user.kind", "set")]
     assert len(asked) == 1 and "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_of_a_line_of_many_words(spark):
+    """The answers of a line were put together by copying all before each word."""
+    pairs = "src string, dst string"
+    phrases, words = spark.createDataFrame([("of the", "du")], pairs), spark.createDataFrame([("in", "dans")], pairs)
+    lines = spark.createDataFrame([(1, "of the in word a " * 20_000)], "id long, line string")
+    begun = time.monotonic()
+    got = lexicon.translate_phrases(lines, phrases, words, ["id"]).collect()
+    assert got[0].text == " ".join(["du dans word"] * 20_000)
+    assert time.monotonic() - begun < 30
+
+
+def test_phrases_of_large_tables(spark, monkeypatch):
+    pairs = "src string, dst string"
+    phrases, words = spark.createDataFrame([("of the", "du"), ("go", "allez")], pairs), spark.createDataFrame([("in", "dans")], pairs)
+    lines = spark.createDataFrame([(1, "of the in word a"), (2, "go"), (3, "..."), (4, "zzz")], "id long, line string")
+    few = sorted(map(tuple, lexicon.translate_phrases(lines, phrases, words, ["id"]).collect()))
+    assert few == [(1, "du dans word"), (2, "allez"), (4, "zzz")]
+    monkeypatch.setattr(lexicon, "MOST_LITERALS", 0)
+    assert sorted(map(tuple, lexicon.translate_phrases(lines, phrases, words, ["id"]).collect())) == few
