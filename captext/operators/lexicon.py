@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captext.functions import text as T
+from captext.session import cut
 
 
 def build_lexicon(tokens: DataFrame, least: int = 3, seeds: DataFrame | None = None, seed_weight: int = 5) -> DataFrame:
@@ -278,8 +279,142 @@ def _edges(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """word and edges: places and lengths of lexicon words inside it. A word has as many as it has substrings at most."""
     parts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("at") + 1))).alias("n"))
     parts = parts.withColumn("piece", F.expr("substr(word, at, n)"))
-    found = parts.join(lexicon.select(F.col("word").alias("piece"), "freq"), "piece")
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "n", "freq"))).alias("edges"))
+    found = parts.join(lexicon.select(F.col("word").alias("piece"), "often"), "piece")
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "n", "often"))).alias("edges"))
+
+
+#: Bits of a sieve for each of its words, hashes of a word, and bits at most (16 MB).
+SIEVE_BITS, SIEVE_HASHES, MOST_BITS = 24, 5, 1 << 27
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, stirred."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Pieces:
+    """Hashes of all pieces of a batch of words, from sums over their letters."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(self.sizes)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        #: Letters of the word from each place on.
+        self.left = np.repeat(self.ends, self.sizes) - np.arange(len(letters))
+        powers = np.full(len(letters), _ODD, np.uint64)
+        back = np.full(len(letters), pow(_ODD, -1, 1 << 64), np.uint64)
+        powers[:1] = back[:1] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((letters + np.uint64(1)) * np.cumprod(powers), dtype=np.uint64)))
+
+    def hashes(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return _mixed((self.sums[at + n] - self.sums[at]) * self.back[at])
+
+
+def _places(hashes: np.ndarray, often: bool, bits: int) -> Iterator[np.ndarray]:
+    """The sieve's bits of words: of those known, or those known as frequent."""
+    other = _mixed(hashes + np.uint64(2 if often else 1)) | np.uint64(1)
+    for k in range(SIEVE_HASHES):
+        yield (hashes + np.uint64(k) * other) & np.uint64(bits - 1)
+
+
+def _sieve(lexicon: DataFrame) -> np.ndarray:
+    """Bytes with the bits of the lexicon's words, of bounded size: it passes all of them and few others."""
+    n = lexicon.count()
+    bits = 1 << 15
+    while bits < min(MOST_BITS, SIEVE_BITS * n):
+        bits *= 2
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            own = Pieces(batch.column("word").to_pylist())
+            some = np.flatnonzero(own.sizes)
+            hashes = own.hashes((own.ends - own.sizes)[some], own.sizes[some])
+            frequent = hashes[batch.column("often").to_numpy(zero_copy_only=False)[some].astype(bool)]
+            for found in (*_places(hashes, False, bits), *_places(frequent, True, bits)):
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64) + 1)], ["bit"])
+
+    found = lexicon.mapInArrow(run, "bit long").groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("held")).collect()
+    out = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in found:
+        out[r["bucket"] - 1] = np.frombuffer(r["held"], np.uint8)
+    return out.reshape(-1)
+
+
+def _passed(sieve: np.ndarray, hashes: np.ndarray, often: bool) -> np.ndarray:
+    """Which of the hashes have all their bits in the sieve."""
+    at = np.arange(len(hashes))
+    for k in range(SIEVE_HASHES):
+        other = _mixed(hashes[at] + np.uint64(2 if often else 1)) | np.uint64(1)
+        place = (hashes[at] + np.uint64(k) * other) & np.uint64(len(sieve) * 8 - 1)
+        at = at[(sieve[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(hashes), bool)
+    out[at] = True
+    return out
+
+
+def _taken_apart(words: DataFrame, lexicon: DataFrame, longest: int, parts, exact) -> DataFrame:
+    """word and parts, the best that `parts` makes of the pieces that pass the lexicon's sieve, or of the true ones where one that it chose isn't known.
+
+    What passes holds all true pieces at their true cost or less. So a best choice
+    that is true is the best of the true ones too, and only its own pieces meet the
+    lexicon, not all of a word's. Few words have a wrong one: those go to `exact`.
+
+    lexicon: word and often, cut. parts(word, edges as (place, length, often) from the
+    last place): pieces and whether each is frequent, NULL where it needs no lexicon.
+    """
+    sieve = _sieve(lexicon)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = batch.column(0).to_pylist()
+            own = Pieces(texts)
+            places, lengths, frequent = [], [], []
+            for n in range(1, longest + 1):
+                at = np.flatnonzero(own.left >= n)
+                hashes = own.hashes(at, n)
+                good = _passed(sieve, hashes, False)
+                places.append(at[good])
+                lengths.append(np.full(len(places[-1]), n))
+                frequent.append(_passed(sieve, hashes[good], True))
+            place, length, often = map(np.concatenate, (places, lengths, frequent))
+            order = np.argsort(-place, kind="stable")
+            place, length, often = place[order], length[order], often[order]
+            starts = own.ends - own.sizes
+            firsts = np.searchsorted(-place, -own.ends, side="right")
+            lasts = np.searchsorted(-place, -starts, side="right")
+            made = []
+            for word, start, a, b in zip(texts, starts.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+                made.append(parts(word, zip((place[a:b] - start).tolist(), length[a:b].tolist(), often[a:b].tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.list_(pa.bool_()))], ["word", "parts", "often"])
+
+    made = cut(words.mapInArrow(run, "word string, parts array<string>, often array<boolean>").where("size(parts) > 0"))
+    chosen = made.select("word", F.explode(F.arrays_zip("parts", "often")).alias("x")).select("word", F.col("x.parts").alias("piece"), F.col("x.often").alias("often")).where("often IS NOT NULL")
+    wrong = cut(chosen.join(lexicon.select(F.col("word").alias("piece"), "often"), ["piece", "often"], "left_anti").select("word").distinct())
+    right = made.join(wrong, "word", "left_anti").select("word", F.array_join("parts", " ").alias("parts"))
+    return right.unionByName(exact(wrong, lexicon))
+
+
+def _cheapest(word: str, edges) -> tuple[list[str], list[bool]]:
+    """The pieces of the cheapest split and whether each is frequent; none if there is no split in two or more."""
+    # The rest of a word from each place on: cost, words, and the first one's length (negative, so that more is less).
+    best: list[tuple[int, int, int, bool] | None] = [None] * len(word) + [(0, 0, 0, False)]
+    for a, n, often in edges:
+        rest = best[a + n]
+        # The word itself is unknown, also where it passes a sieve.
+        if rest is not None and n < len(word):
+            made = (rest[0] + 1 + 2 * max(0, 3 - n) - 2 * often, rest[1] + 1, -n, often)
+            if best[a] is None or made < best[a]:
+                best[a] = made
+    pieces, frequent, at = [], [], 0
+    while best[0] is not None and at < len(word):
+        pieces.append(word[at : at - best[at][2]])
+        frequent.append(best[at][3])
+        at -= best[at][2]
+    return (pieces, frequent) if len(pieces) > 1 else ([], [])
 
 
 def split_glued(words: DataFrame, lexicon: DataFrame, frequent: int = 20, least: int = 6, longest: int = 20) -> DataFrame:
@@ -289,46 +424,50 @@ def split_glued(words: DataFrame, lexicon: DataFrame, frequent: int = 20, least:
     split wins, then the one of fewer words, then the one whose first parts are
     longer. The work for a word grows with its letters times `longest`.
     """
-    unknown = words.select("word").distinct().where(F.length("word") >= least).join(lexicon.select("word"), "word", "left_anti")
+    known = cut(lexicon.where("word IS NOT NULL").groupBy("word").agg(F.max(F.col("freq") >= frequent).alias("often")))
+    unknown = words.select("word").distinct().where(F.length("word") >= least).join(known.select("word"), "word", "left_anti")
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            out = []
-            for word, edges in zip(batch.column("word").to_pylist(), batch.column("edges").to_pylist(), strict=True):
-                # The rest of a word from each place on: cost, words, and the first one's length (negative, so that more is less).
-                best: list[tuple[int, int, int] | None] = [None] * len(word) + [(0, 0, 0)]
-                for e in reversed(edges):
-                    a, n = e["at"] - 1, e["n"]
-                    rest = best[a + n]
-                    if rest is not None:
-                        made = (rest[0] + 1 + 2 * max(0, 3 - n) - 2 * (e["freq"] >= frequent), rest[1] + 1, -n)
-                        if best[a] is None or made < best[a]:
-                            best[a] = made
-                parts, at = [], 0
-                while best[0] is not None and at < len(word):
-                    parts.append(word[at : at - best[at][2]])
-                    at -= best[at][2]
-                out.append(" ".join(parts) if len(parts) > 1 else None)
-            kept = batch.select(["word"]).append_column("parts", pa.array(out, pa.string()))
-            yield kept.filter(pa.array([x is not None for x in out]))
-
-    return _edges(unknown, lexicon, longest).mapInArrow(run, "word string, parts string")
+    def exact(rest: DataFrame, known: DataFrame) -> DataFrame:
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                out = []
+                for word, edges in zip(batch.column("word").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+                    out.append(" ".join(_cheapest(word, ((e["at"] - 1, e["n"], e["often"]) for e in reversed(edges)))[0]) or None)
+                kept = batch.select(["word"]).append_column("parts", pa.array(out, pa.string()))
+                yield kept.filter(pa.array([x is not None for x in out]))
+
+        return _edges(rest, known, longest).mapInArrow(run, "word string, parts string")
+
+    return _taken_apart(unknown, known, longest, _cheapest, exact)
+
+
+def _furthest(word: str, edges) -> tuple[list[str], list[bool | None]]:
+    """From the left the longest piece at each place, else one letter, which needs no lexicon."""
+    far = [1] * len(word)
+    for a, n, _ in edges:
+        far[a] = max(far[a], n)
+    pieces, at = [], 0
+    while at < len(word):
+        pieces.append(word[at : at + far[at]])
+        at += far[at]
+    return pieces, [False if len(p) > 1 else None for p in pieces]
 
 
 def longest_match(words: DataFrame, lexicon: DataFrame, longest: int = 20) -> DataFrame:
     """word and parts: from the left the longest known word, else one letter."""
-    pieces = _edges(words.select("word").distinct(), lexicon, longest)
-    every = words.select("word").distinct().join(pieces, "word", "left")
-    far = lambda at: F.coalesce(F.array_max(F.transform(F.filter(F.col("edges"), lambda e: e["at"] == at), lambda e: e["n"])), F.lit(1))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("text"))
-
-    def step(state: Column, i: Column) -> Column:
-        n = far(i)
-        moved = F.struct((i + n).alias("at"), F.concat(state["text"], F.when(i > 1, F.lit(" ")).otherwise(F.lit("")), F.substr(F.col("word"), i, n)).alias("text"))
-        return F.when(i == state["at"], moved).otherwise(state)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step, lambda state: state["text"])
-    return every.where("length(word) > 0").select("word", walked.alias("parts"))
+    known = cut(lexicon.where("word IS NOT NULL").select("word", F.lit(False).alias("often")).distinct())
+    words = words.select("word").where("length(word) > 0").distinct()
+
+    def exact(rest: DataFrame, known: DataFrame) -> DataFrame:
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                both = zip(batch.column("word").to_pylist(), batch.column("edges").to_pylist(), strict=True)
+                out = [" ".join(_furthest(word, ((e["at"] - 1, e["n"], False) for e in edges or ()))[0]) for word, edges in both]
+                yield batch.select(["word"]).append_column("parts", pa.array(out, pa.string()))
+
+        return rest.join(_edges(rest, known, longest), "word", "left").mapInArrow(run, "word string, parts string")
+
+    return _taken_apart(words, known, longest, _furthest, exact)
 
 
 def lexicon_union(*sources: DataFrame) -> DataFrame:

@@ -222,3 +222,20 @@ def test_phrases_of_large_tables(spark, monkeypatch):
     assert few == [(1, "du dans word"), (2, "allez"), (4, "zzz")]
     monkeypatch.setattr(lexicon, "MOST_LITERALS", 0)
     assert sorted(map(tuple, lexicon.translate_phrases(lines, phrases, words, ["id"]).collect())) == few
+
+
+def test_only_chosen_pieces_meet_the_lexicon(spark, monkeypatch):
+    """All pieces of every word were dealt out, some 55 for ten letters."""
+    rng, asked = random.Random(2), []
+    known = spark.createDataFrame([(w, rng.choice((3, 50))) for w in sorted({"".join(rng.choices("abcd", k=rng.randrange(1, 7))) for _ in range(200)})], "word string, freq long")
+    words = spark.createDataFrame([("".join(rng.choices("abcdé", k=rng.randrange(1, 30))),) for _ in range(500)], "word string")
+    edges = lexicon._edges
+    monkeypatch.setattr(lexicon, "_edges", lambda rest, *more: asked.append(rest.count()) or edges(rest, *more))
+    ways = (lexicon.split_glued, lexicon.longest_match)
+    found = [sorted(map(tuple, way(words, known).collect())) for way in ways]
+    assert found[0] and len(found[1]) == words.distinct().count() and asked == [0, 0]
+    # A sieve that passes everything: all words with an unknown piece go the exact way, with the same result.
+    monkeypatch.setattr(lexicon, "_passed", lambda sieve, hashes, often: np.ones(len(hashes), bool))
+    assert [sorted(map(tuple, way(words, known).collect())) for way in ways] == found and min(asked[2:]) > 50
+    # An unknown word that passes by chance is no piece of itself.
+    assert lexicon._cheapest("window", [(3, 3, False), (0, 6, True), (0, 3, False)]) == (["win", "dow"], [False, False])
