@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ SURE_CYRILLIC = "[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИ
 
 
 def n_matches(text: Column, pattern: str) -> Column:
+    """How often a pattern matches. For a class of characters what is left when the others go at once is measured, as Spark counts by an array of all matches."""
+    if re.fullmatch(r"(?!\[\^\^)\[(?:[^\[\]\\&]|\\.)+\]|\\[pP]\{\w+\}", pattern):
+        others = rf"[^{pattern}]" if pattern[0] == "\\" else f"[{pattern[2:]}" if pattern[1] == "^" else f"[^{pattern[1:]}"
+        return F.length(F.regexp_replace(text, F.lit(others + "+"), F.lit("")))
     return F.regexp_count(text, F.lit(pattern))
 
 

@@ -239,3 +239,13 @@ def test_only_chosen_pieces_meet_the_lexicon(spark, monkeypatch):
     assert [sorted(map(tuple, way(words, known).collect())) for way in ways] == found and min(asked[2:]) > 50
     # An unknown word that passes by chance is no piece of itself.
     assert lexicon._cheapest("window", [(3, 3, False), (0, 6, True), (0, 3, False)]) == (["win", "dow"], [False, False])
+
+
+def test_counts_of_classes(spark):
+    """Spark's own count makes an array of all matches."""
+    texts = ["", "aБ1 ^^[]\\ é😀-", "....", None, "x" * 50 + "\n"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    for p in (r"\p{L}", r"\p{Nd}", r"[^\p{L}\p{N}\s.,!?\-:;'\"()]", "[A-Za-z]", r"[|~`{}<>\[\]\\^_]", "[^^a]", r"[\p{L}\p{N}_]+", r"[\x{0400}-\x{04FF}]"):
+        found = rows.select(T.n_matches(F.col("text"), p).alias("n"), F.regexp_count("text", F.lit(p)).alias("want")).collect()
+        assert [r.n for r in found] == [r.want for r in found]
+    assert "regexp_count" not in str(T.n_matches(F.col("text"), r"\p{L}"))
