@@ -76,8 +76,22 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame, key: str = "doc_id") -> D
     """Two-word phrases found from left to right without overlap: key, pos, src, dst."""
     w = Window.partitionBy(key).orderBy("pos")
     pairs = tokens.withColumn("src", F.concat_ws(" ", F.lower("token"), F.lower(F.lead("token").over(w))))
-    hits = pairs.join(phrases, "src")
-    island = F.col("pos") - F.row_number().over(w)
+    return _apart(pairs.join(phrases, "src"), key)
+
+
+def phrase_hits_in_texts(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """phrase_hits of the tokens of explode_tokens; docs has one row a key. Pairs are made inside a row and meet a table of MOST_LITERALS rows at most where they are, so that only hits are dealt out then."""
+    every = F.filter(F.transform(F.split(text, r"[ \n]+"), lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda x: x["token"] != "")
+    # Of the token that no other follows a pair is itself, as in phrase_hits.
+    pair = lambda x, next: F.struct(x["pos"].alias("pos"), F.concat_ws(" ", F.lower(x["token"]), F.lower(next["token"])).alias("src"))
+    pairs = docs.select(key, every.alias("_x")).select(key, F.inline(F.zip_with("_x", F.slice("_x", F.lit(2), F.greatest(F.size("_x") - 1, F.lit(0))), pair)))
+    few = _literals(phrases) is not None
+    return _apart(pairs.join(F.broadcast(phrases) if few else phrases, "src"), key)
+
+
+def _apart(hits: DataFrame, key: str) -> DataFrame:
+    """Every other hit of those at neighbouring places."""
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     ranked = hits.withColumn("island", island).withColumn("nth", F.row_number().over(Window.partitionBy(key, "island").orderBy("pos")))
     return ranked.where("nth % 2 = 1").select(key, "pos", "src", "dst")
 

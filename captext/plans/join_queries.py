@@ -92,7 +92,7 @@ def _j2_translate() -> str:
 
 
 def j2_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.phrase_hits(V.tokens(spark, d), frame(spark, PHRASES, "src string, dst string"))
+    return lexicon.phrase_hits_in_texts(V.table(spark, d, "documents"), frame(spark, PHRASES, "src string, dst string"))
 
 
 J2 = f"""WITH {V.ctes('tokens')}, p AS (SELECT doc_id, pos, concat(lower(token), ' ', lower(lead(token) OVER (PARTITION BY doc_id ORDER BY pos))) AS src FROM tokens),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from captext.functions import text as T
 from captext.operators import lexicon
+from captext.operators.lines import explode_tokens
 from captext.plans import registry
 
 QUERIES = registry.queries()
@@ -249,3 +250,12 @@ def test_counts_of_classes(spark):
         found = rows.select(T.n_matches(F.col("text"), p).alias("n"), F.regexp_count("text", F.lit(p)).alias("want")).collect()
         assert [r.n for r in found] == [r.want for r in found]
     assert "regexp_count" not in str(T.n_matches(F.col("text"), r"\p{L}"))
+
+
+def test_phrases_without_dealing_out_tokens(spark):
+    phrases = spark.createDataFrame([("of the", "du"), ("the of", "le de"), ("go", "allez")], "src string, dst string")
+    docs = spark.createDataFrame([(1, "Of the of the\n of  the"), (2, None), (3, ""), (4, "go"), (5, " x of the go ")], "doc_id long, text string")
+    tokens = explode_tokens(docs)
+    found = lexicon.phrase_hits_in_texts(docs, phrases)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lexicon.phrase_hits(tokens, phrases).collect())) != []
+    assert "lead(" not in QUERIES["j2_phrases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
