@@ -217,7 +217,12 @@ _ROWS = lambda c: f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence
 
 
 def t17_script_runs(spark: SparkSession, d: str) -> DataFrame:
-    mixed = noisy(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw", "token"))), lambda x: F.concat(x["token"], F.lit(" "), F.translate(x["token"], "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз"))), ", ").alias("text"))
+    # A text's tokens hold no space, so they are dealt out as one string and their places; rows of one doc_id are merged.
+    every = F.filter(F.transform(F.split("text", r"[ \n]+"), lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda x: x["token"].rlike("^[A-Za-z]{4,}$"))
+    rows = docs(spark, d).select("doc_id", every.alias("x")).where("size(x) > 0").select("doc_id", F.struct(F.col("x.pos").alias("pos"), F.array_join("x.token", " ").alias("tokens")).alias("x"))
+    apart = F.flatten(F.transform("x", lambda x: F.arrays_zip(x["pos"].alias("pos"), F.split(x["tokens"], " ").alias("token"))))
+    merged = rows.groupBy("doc_id").agg(F.collect_list("x").alias("x")).select("doc_id", F.when(F.size("x") == 1, apart).otherwise(F.array_sort(apart)).alias("x"))
+    mixed = merged.select("doc_id", F.array_join(F.transform("x", lambda x: F.concat(x["token"], F.lit(" "), F.translate(x["token"], "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхыз"))), ", ").alias("text"))
     return mixed.select("doc_id", F.posexplode(T.script_runs(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", "x.lang", "x.run")
 
 

@@ -259,3 +259,12 @@ def test_phrases_without_dealing_out_tokens(spark):
     found = lexicon.phrase_hits_in_texts(docs, phrases)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lexicon.phrase_hits(tokens, phrases).collect())) != []
     assert "lead(" not in QUERIES["j2_phrases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_script_runs_of_places_and_tokens(spark, tmp_path):
+    """Each token went out twice, beside its place and its form with noise."""
+    spark.createDataFrame([(1, "seven of  nine\ncome 12"), (2, None), (3, "a b"), (4, "word")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")}).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["t17_script_runs"](spark, str(tmp_path))
+    assert [r.run for r in rows.where("doc_id = 1").orderBy("pos").collect()] == ["seven", "севен,", "nine", "нине,", "come", "цоме"]
+    assert {r.doc_id for r in rows.collect()} == {1, 4}
+    assert "raw" not in rows._jdf.queryExecution().analyzed().toString()
