@@ -12,7 +12,7 @@ from captext.plans import views as V
 from captext.plans.join_queries import J10, J11, J12, REGIONS, frame, values
 from captext.plans.text_queries import SENTENCES
 from captext.plans.window_queries import W13
-from captext.session import scratch
+from captext.session import scratch, small_batches
 from captext.sources import files
 from captext.sources.memory import Memory
 from captext.streaming import fold, joins, live, steps
@@ -165,6 +165,7 @@ def s1(s, d):
 
 def s3(s, d):
     """The results of a batch as CSV, JSON and text blocks, each read back."""
+    small_batches(s)
     rows = files.batch_process(V.table(s, d, "documents"), str.strip, "doc_id", "text").withColumn("filename", F.concat(F.lit("doc "), F.col("key").cast("string"), F.lit(".png")))
     path = scratch(s, "batch")
     files.write_results(rows, path)

@@ -268,3 +268,13 @@ def test_script_runs_of_places_and_tokens(spark, tmp_path):
     assert [r.run for r in rows.where("doc_id = 1").orderBy("pos").collect()] == ["seven", "севен,", "nine", "нине,", "come", "цоме"]
     assert {r.doc_id for r in rows.collect()} == {1, 4}
     assert "raw" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_batch_sinks_take_small_batches(spark):
+    """A batch of 64 MB of texts stood several times in a Python worker."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        assert QUERIES["s3_batch_sinks"](spark, "/root/testdata/sf0.001").count() == 600
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
