@@ -80,7 +80,8 @@ def close_pairs(points: DataFrame) -> DataFrame:
     in its own cell, in those with one count more (up) and one less (down).
     Distance 0 meets own to own; 1 own to up; 2 up to up where the sums of the
     counts agree and up to down where they differ by two. Every meeting is then
-    checked exactly. 33 rows a point are shuffled.
+    checked exactly. 33 rows a point are shuffled; Spark sizes them as one row,
+    so the join isn't left to its choice, which may be to broadcast them.
     """
     one = lambda i: F.lit(1).cast("long") if i == 0 else F.shiftleft(F.lit(1).cast("long"), 4 * i)
     digit = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15))
@@ -96,7 +97,7 @@ def close_pairs(points: DataFrame) -> DataFrame:
         " OR a.move = 1 AND b.move = 1 AND a.fp < b.fp AND a.own <> b.own OR a.move = 1 AND b.move = -1)"
         " AND bit_count(a.fp ^ b.fp) <= 2"
     )
-    return a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return a.join(b.hint("merge"), meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -276,6 +277,16 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
     return pairs.join(some[1], "b").join(some[0], "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def under_shared_keys(firsts: DataFrame) -> DataFrame:
+    """key, id, a: the rows of firsts (id, keys) under each key that several have, and the first of them.
+
+    Spark sizes all BANDS keys of a row as one, so the join isn't left to its choice, which may be to broadcast them.
+    """
+    keyed = firsts.select("id", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(heads.hint("merge"), "key")
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Per document: doc_id and component_id, over links between texts whose shingles' Jaccard similarity is `least` or more.
 
@@ -320,9 +331,8 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     found = docs.sparkSession.read.parquet(path)
     points = cut(found.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
     firsts = cut(found.join(points.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sketch", "keys", "bands", "short", "n"))
-    keyed = firsts.select("id", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(heads, "key").where("a < id").select("a", F.col("id").alias("b"))
+    keyed = under_shared_keys(firsts)
+    pairs = keyed.where("a < id").select("a", F.col("id").alias("b"))
     one = points.groupBy("fp").agg(F.min("id").alias("id"))
     near = close_pairs(one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     level = points.join(one.select("fp", F.col("id").alias("a")), "fp").where("a < id").select("a", F.col("id").alias("b"))
@@ -332,7 +342,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     likely = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
     linked = cut(_alike(likely, texts, shingle, least))
     joined = connected_components(linked, "a", "b")
-    shared = keyed.join(heads.select("key"), "key").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    shared = keyed.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     apart = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     more = cut(_block_pairs(cut(shared.join(apart, "key")), firsts.select("id", "short", "bands", "n"), least))
     joined = connected_components(linked.union(_alike(more, texts, shingle, least)), "a", "b")

@@ -108,3 +108,12 @@ def test_short_sketches_count_what_whole_ones_count():
     short = simhash.shortened(x)
     assert (simhash._ones(short) == (x > 0).sum(1)).all()
     assert (simhash._ones(short[0] ^ short) == ((np.where(x > 0, x % 15 + 1, 0)) != np.where(x[0] > 0, x[0] % 15 + 1, 0)).sum(1)).all()
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    # Spark sizes an exploded table as if each array had one element, so that it took 32 or 33 times 10 MB for small.
+    firsts = spark.createDataFrame([(i, [i, 7, 8]) for i in range(20)], "id long, keys array<long>")
+    points = spark.createDataFrame([(i, 1 << i) for i in range(20)], "id long, fp long")
+    for made, n in ((simhash.under_shared_keys(firsts), 42), (simhash.close_pairs(points), 190)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == n
