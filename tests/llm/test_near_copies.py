@@ -112,8 +112,8 @@ def test_short_sketches_count_what_whole_ones_count():
 
 def test_exploded_rows_are_not_broadcast(spark):
     # Spark sizes an exploded table as if each array had one element, so that it took 32 or 33 times 10 MB for small.
-    firsts = spark.createDataFrame([(i, [i, 7, 8]) for i in range(20)], "id long, keys array<long>")
-    points = spark.createDataFrame([(i, 1 << i) for i in range(20)], "id long, fp long")
+    firsts = spark.range(20).selectExpr("id", "array(id, 7L, 8L) AS keys")
+    points = spark.range(20).selectExpr("id", "shiftleft(1L, cast(id AS int)) AS fp")
     for made, n in ((simhash.under_shared_keys(firsts), 42), (simhash.close_pairs(points), 190)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
         assert made.count() == n
