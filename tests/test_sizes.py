@@ -278,3 +278,31 @@ def test_batch_sinks_take_small_batches(spark):
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_texts_are_cleaned_without_arrays_of_their_runs(spark):
+    """A text's runs as an array take several times the text, in the JVM and on the way to Python."""
+    from captext.operators import cleaning
+
+    known = spark.createDataFrame([("the", 30), ("castle", 30), ("gate", 30)], "word string, freq long")
+    docs = spark.createDataFrame([(1, "Thecastle \t§§ THNT ... a-\nb 1.500 thecastle"), (2, None), (3, ""), (4, "gate"), (5, "xthnt Thnt thnts-thnt")], "doc_id long, text string")
+    made = cleaning.clean_documents(docs, cleaning.clean_stages({"thnt": "tent"}), known)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.text, r.changed) for r in made.collect()}
+    assert got[1] == ("The castle TENT … ab 1.5 the castle", ["space", "hyphens", "words", "tokens", "fixes", "decimals"])
+    assert got[2] == (None, []) and got[3] == ("", []) and got[4] == ("gate", [])
+    assert got[5] == ("xthnt Tent thnts-tent", ["fixes"])
+
+
+def test_plain_functions_of_texts(spark):
+    texts = ["", " ", "\n", "a\t§ b\n\n ~~ \n--.. c\r x", "..\r ..\x85 § ", "\t.\t", "a1 1! §1", "я§ §§ 12"]
+    good = [w for w in ("a", "b", "c\r", "x", "..\r", "..\x85", "--..", ".", "a1", "1!", "я§", "12")]
+    got = {r.x: r.y for r in spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.keep_tokens(F.col("x")).alias("y")).collect()}
+    assert got == {t: "\n".join(" ".join(w for w in line.replace("\t", " ").split(" ") if w in good) for line in t.split("\n")) for t in texts}
+    held = {"σας": "a b", "tree": "t ree", "straße": "stra ße"}
+    rows = spark.createDataFrame([("ΣΑΣ'Α Σας", held), ("Tree TREE trees tree-tree İtree tree", held), ("STRASSE Straße", held), ("tree", None)], "x string, k map<string, string>")
+    assert [r.y for r in rows.select(T.put_known(F.col("x"), "L", "", F.col("k")).alias("y")).collect()] == ["A B'Α A b", "T ree T REE trees t ree-t ree İtree t ree", "STRASSE Stra ße", "tree"]
+    many = {f"w{'abcdefghij'[i]}": str(i) for i in range(10)} | {"tree": "t ree"}
+    assert T._put_runs("Tree wa,WB wcx", "L", "", many, str.isalpha) == "T ree 0,1 wcx"
+    ramps = {"abcdefghij": True, "abcde,fghij": False, "x abcdefghi": False, "ab9abcdefghijk!": True, "": False}
+    assert {t: r for t, r in ((r.x, r.y) for r in spark.createDataFrame([(t,) for t in ramps], "x string").select("x", T.has_ramp(F.col("x")).alias("y")).collect())} == ramps
