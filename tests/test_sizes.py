@@ -306,3 +306,31 @@ def test_plain_functions_of_texts(spark):
     assert T._put_runs("Tree wa,WB wcx", "L", "", many, str.isalpha) == "T ree 0,1 wcx"
     ramps = {"abcdefghij": True, "abcde,fghij": False, "x abcdefghi": False, "ab9abcdefghijk!": True, "": False}
     assert {t: r for t, r in ((r.x, r.y) for r in spark.createDataFrame([(t,) for t in ramps], "x string").select("x", T.has_ramp(F.col("x")).alias("y")).collect())} == ramps
+
+
+def test_few_candidates_for_contained_texts_of_common_phrases():
+    """Texts made of the same phrases share short substrings; what stands beside one tells most of them apart, and none that is contained is lost."""
+    from collections import Counter
+
+    from captext.operators import fusion
+
+    rng = random.Random(5)
+    phrases = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(10, 24))) for _ in range(60)]
+    texts = {" ".join(rng.choice(phrases) for _ in range(rng.randint(2, 6))) for _ in range(2000)} | {"ab" * n for n in (16, 17, 40, 300)}
+    texts = sorted(t for t in texts | {t[i : i + n] for t in list(texts)[:200] for i, n in ((0, 33), (5, 40), (11, 64))} if len(t) >= 32)
+    own, holds = {}, {}
+    for mine, found in ((True, own), (False, holds)):
+        for numbers, c, keys in fusion._minimisers(texts, 32, mine):
+            for i, k in zip(numbers.tolist(), keys.tolist(), strict=True):
+                found.setdefault(i, set()).add((c, k))
+    n = Counter(k for keys in holds.values() for k in keys)
+    # By substrings alone there were some 14 candidates a text.
+    assert sum(min(n[k] for k in own[i]) - 1 for i in own) < 3 * len(texts)
+    within = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and a in b]
+    assert len(within) > 300 and all(own[i] <= holds[j] for i, j in within)
+    bits = fusion._key_bits(np.array([k for _, k in own[0]], np.int64), 1 << 15)
+    sieve = np.zeros(1 << 12, np.uint8)
+    for b in bits:
+        np.bitwise_or.at(sieve, (b >> np.uint64(3)).astype(np.int64), np.left_shift(1, (b & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+    assert len(fusion._sieved(sieve, np.array([k for _, k in own[0]], np.int64))) == len(own[0])
+    assert len(fusion._sieved(sieve, np.arange(1000))) < 10
