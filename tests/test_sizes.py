@@ -303,7 +303,22 @@ def test_plain_functions_of_texts(spark):
     rows = spark.createDataFrame([("ΣΑΣ'Α Σας", held), ("Tree TREE trees tree-tree İtree tree", held), ("STRASSE Straße", held), ("tree", None)], "x string, k map<string, string>")
     assert [r.y for r in rows.select(T.put_known(F.col("x"), "L", "", F.col("k")).alias("y")).collect()] == ["A B'Α A b", "T ree T REE trees t ree-t ree İtree t ree", "STRASSE Stra ße", "tree"]
     many = {f"w{'abcdefghij'[i]}": str(i) for i in range(10)} | {"tree": "t ree"}
-    assert T._put_runs("Tree wa,WB wcx", "L", "", many, str.isalpha) == "T ree 0,1 wcx"
+    assert T._put_runs("Tree wa,WB wcx", "L", "", many) == "T ree 0,1 wcx"
+    broken = ["a-\nb-\nc-\nd", "a- \t\n\t b", "-\nb", "a-\n", "1-\na", "é-\nя", "a--\nb", "ab-\ncd-\nef"]
+    rows = spark.createDataFrame([(t,) for t in broken], "x string").select(T.join_hyphens(F.col("x")).alias("a"), T.hyphens_joined(F.col("x")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and rows[0].b == "ab-\ncd"
+    found = spark.createDataFrame([("Tree tree's\nTREES x1 één-één", ), (None,)], "x string").select(T.distinct_words(F.col("x"), 3).alias("y")).collect()
+    assert [sorted(r.y) for r in found] == [["tree", "trees", "één"], []]
+
+
+def test_dirt_of_texts(spark, tmp_path):
+    from captext.plans import text_queries as Q
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("aeopcxyzt\n") for _ in range(rng.randint(0, 9))) for _ in range(n)) for n in (1, 5, 30, 400)] + ["", None]
+    spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    both = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.expr(f"array_join(transform(split(text, ' '), (w, i) -> {Q.DIRT}), ' ')").alias("want")).join(Q.dirty(spark, str(tmp_path)), "doc_id").collect()
+    assert len(both) == 6 and all(r.want == r.text for r in both)
     ramps = {"abcdefghij": True, "abcde,fghij": False, "x abcdefghi": False, "ab9abcdefghijk!": True, "": False}
     assert {t: r for t, r in ((r.x, r.y) for r in spark.createDataFrame([(t,) for t in ramps], "x string").select("x", T.has_ramp(F.col("x")).alias("y")).collect())} == ramps
 
